@@ -156,6 +156,13 @@ def running_min(x: str | Column) -> Scan:
     return _running(F.min, x, F.least)
 
 
+def min_before(x: str | Column) -> Scan:
+    """Smallest value of the rows before this one."""
+    v = _c(x)
+    return Scan(lambda o: F.min(v), lambda s, w: F.min(s).over(w.rowsBetween(*_BEFORE)),
+                lambda w: F.min(v).over(w.rowsBetween(*_BEFORE)), F.least)
+
+
 def running_max(x: str | Column) -> Scan:
     return _running(F.max, x, F.greatest)
 
@@ -242,8 +249,7 @@ def value_chunks(df: DataFrame, keys, col: str, buckets: int = 64) -> DataFrame:
     keys = cols(keys)
     grid = [i / buckets for i in range(1, buckets)]
     bounds = df.groupBy(*keys).agg(F.percentile_approx(col, grid, 2000).alias("_bounds"))
-    # Without keys the bounds are a single row of fixed size.
-    placed = df.join(bounds, keys) if keys else df.crossJoin(F.broadcast(bounds))
+    placed = df.join(bounds, keys) if keys else attach_row(df, bounds)
     below = F.size(F.filter("_bounds", lambda b: b < F.col(col))).cast("long")
     return placed.withColumn("_chunk", below).drop("_bounds")
 
@@ -268,7 +274,7 @@ def exact_quantiles(df: DataFrame, keys, col: str, probs: Mapping[str, float], *
     keys = cols(keys)
     ranked = value_ranks(df, keys, col, buckets)
     total = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    placed = ranked.join(total, keys) if keys else ranked.crossJoin(F.broadcast(total))
+    placed = ranked.join(total, keys) if keys else attach_row(ranked, total)
     wanted = F.array(*[F.struct(F.lit(n).alias("name"),
                                 (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
                        for n, p in probs.items()])
@@ -285,5 +291,11 @@ def exact_quantiles(df: DataFrame, keys, col: str, probs: Mapping[str, float], *
                                 for n in probs])
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Append the columns of a one-row result (a global aggregate) to every row as a scalar subquery."""
+    row = one.select(F.struct("*").alias("_row")).scalar()
+    return df.select("*", row.alias("_row")).select(*df.columns, "_row.*")
+
+
 def all_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))

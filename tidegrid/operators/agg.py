@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import bucket, cols, epoch, exact_quantiles, from_epoch, scan, prev
+from ..frames import attach_row, bucket, cols, epoch, exact_quantiles, from_epoch, scan, prev
 from ..functions.calendar import trunc
+from ..functions.stats import corr
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
@@ -230,7 +231,7 @@ def by_state(df: DataFrame, sensor: str, keys) -> DataFrame:
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], keys=()) -> DataFrame:
     """Pairwise Pearson correlations (each pair once) per group in one aggregation."""
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("corr"))
+    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), corr(a, b).alias("corr"))
              for i, a in enumerate(columns) for b in columns[i + 1:]]
     return df.groupBy(*cols(keys)).agg(F.array(*parts).alias("_r")).select(*cols(keys), F.inline("_r"))
 
@@ -240,16 +241,15 @@ def pair_corr(df: DataFrame, pairs: Sequence[tuple[str, str]], keys=(), min_n: i
     parts = []
     for a, b in pairs:
         both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        r = F.nanvl(F.corr(a, b), F.lit(0.0))
         parts.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(both).alias("n"),
-                              F.when(F.count_if(both) > min_n, F.coalesce(r, F.lit(0.0))).otherwise(0.0).alias("corr")))
+                              F.when(F.count_if(both) > min_n, F.coalesce(corr(a, b), F.lit(0.0))).otherwise(0.0).alias("corr")))
     return df.groupBy(*cols(keys)).agg(F.array(*parts).alias("_r")).select(*cols(keys), F.inline("_r"))
 
 
 def attach_dim_stats(df: DataFrame, dim: DataFrame, columns: Sequence[str], prefix: str = "dim_") -> DataFrame:
-    """Mean and spread of a dimension's numeric columns as constants on every row (one broadcast row)."""
+    """Mean and spread of a dimension's numeric columns as constants on every row."""
     one = dim.agg(*[f(c).alias(f"{prefix}{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev))])
-    return df.crossJoin(F.broadcast(one))
+    return attach_row(df, one)
 
 
 def summarize_runs(df: DataFrame, value: str, keys) -> DataFrame:
@@ -299,7 +299,7 @@ def fit_minmax(df: DataFrame, columns: Sequence[str], keys=()) -> DataFrame:
 def apply_minmax(df: DataFrame, fitted: DataFrame, columns: Sequence[str], keys=()) -> DataFrame:
     """Scale to [-1, 1] with stored ranges; boolean columns are left alone."""
     keys = cols(keys)
-    both = df.join(fitted, keys, "left") if keys else df.crossJoin(F.broadcast(fitted))  # one row
+    both = df.join(fitted, keys, "left") if keys else attach_row(df, fitted)
     use = [c for c in columns if f"{c}_lo" in fitted.columns]
     made = {c: 2 * (F.col(c) - F.col(f"{c}_lo")) / F.nullif(F.col(f"{c}_hi") - F.col(f"{c}_lo"), F.lit(0.0)) - 1 for c in use}
     return both.withColumns(made).select(*df.columns)
@@ -314,7 +314,7 @@ def cheapest_quartile(df: DataFrame, price: str, keys=()) -> DataFrame:
     """Rows priced at or below the first quartile of their key."""
     keys = cols(keys)
     q = exact_quantiles(df, keys, price, {"_q": 0.25})
-    both = df.join(q, keys) if keys else df.crossJoin(F.broadcast(q))  # one row
+    both = df.join(q, keys) if keys else attach_row(df, q)
     return both.where(F.col(price) <= F.col("_q")).drop("_q")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import bucket, cols, epoch, exact_quantiles, prev, scan, time_frames
+from ..frames import attach_row, bucket, cols, epoch, exact_quantiles, prev, scan, time_frames
 from ..functions import clean as fc
 
 
@@ -235,7 +235,7 @@ def decimate(df: DataFrame, span: str = "7 days", step: str = "5 minutes", keys=
     """Keep only rows on ``step`` epochs in series at least ``span`` long."""
     keys = cols(keys)
     ends = df.groupBy(*keys).agg((F.max(epoch(ts)) - F.min(epoch(ts))).alias("_span"))
-    both = df.join(ends, keys) if keys else df.crossJoin(F.broadcast(ends))
+    both = df.join(ends, keys) if keys else attach_row(df, ends)
     whole_seconds = F.floor(epoch(ts) / 1_000_000).cast("long")
     keep = (F.col("_span") < _us(span)) | (F.pmod(whole_seconds, F.lit(_us(step) // 1_000_000)) == 0)
     return both.where(keep).drop("_span")

@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import bucket_no, cols, epoch, last_valid, micros, next_valid, row_frames, running_sum, scan
+from ..frames import attach_row, bucket_no, cols, epoch, last_valid, micros, next_valid, row_frames, running_sum, scan
+from ..functions.stats import corr
 
 
 def attach_external(df: DataFrame, ext: DataFrame, on: str | Sequence[str], suffix: str | None = None) -> DataFrame:
@@ -171,7 +172,7 @@ def intersect_time(a: DataFrame, b: DataFrame, on) -> DataFrame:
 
 def correlate_with(df: DataFrame, ext: DataFrame, on, target: str, factors: Sequence[str]) -> DataFrame:
     """Correlation of a series with external factors over the common times."""
-    parts = [F.struct(F.lit(f).alias("factor"), F.corr(target, f).alias("corr"), F.count(F.when(
+    parts = [F.struct(F.lit(f).alias("factor"), corr(target, f).alias("corr"), F.count(F.when(
         F.col(target).isNotNull() & F.col(f).isNotNull(), 1)).alias("n")) for f in factors]
     return df.join(ext, cols(on)).agg(F.array(*parts).alias("r")).select(F.inline("r"))
 
@@ -204,7 +205,7 @@ def knn_join(left: DataFrame, donors: DataFrame, features: Mapping[str, str], k:
         both = d.select(F.col(f"_d_{lead}").alias("_x"), F.lit(0).alias("_side"), F.struct(*d.columns).alias("_d"))
         for p in parts:
             both = both.unionByName(p, allowMissingColumns=True)
-        placed = both.crossJoin(F.broadcast(bounds)).withColumn(
+        placed = attach_row(both, bounds).withColumn(
             "_chunk", F.size(F.filter("_bounds", lambda e: e < F.col("_x"))).cast("long")).drop("_bounds")
         one = F.when(F.col("_d").isNotNull(), 1).otherwise(0).cast("long")
         return scan(placed, (), ["_x", "_side", "_d"], {"_no": running_sum(one)})
@@ -234,7 +235,7 @@ def knn_lookup(df: DataFrame, literature: DataFrame, features: Mapping[str, str]
                target: str, k: int = 3) -> DataFrame:
     """Predict a trait from the nearest literature rows; unknown features take the literature mean."""
     means = literature.agg(*[F.avg(c).alias(f"_m_{f}") for f, c in features.items()])
-    filled = df.crossJoin(F.broadcast(means)).withColumns(  # a single row of fixed size
+    filled = attach_row(df, means).withColumns(
         {f: F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) for f in features})
     return knn_join(filled, literature, features, k, row_id=row_id, donor_id=donor_id, target=target)
 

@@ -1,12 +1,16 @@
-"""Model input, training, metrics."""
+"""Model input, splits, training with MLlib, metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..frames import attach_row, cols, epoch, row_frames, value_ranks
+from ..functions.stats import corr
+from ..functions.tails import t_two_sided
+
 EPS = 1e-8
 
 
@@ -28,3 +32,102 @@ def concat_levels(frames: Mapping[str, DataFrame], tag: str = "level") -> DataFr
         part = df.withColumn(tag, F.lit(name))
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
+
+
+def resolve_target(df: DataFrame, wanted: str) -> str:
+    """The column named ``wanted``, else the first one containing it."""
+    if wanted in df.columns:
+        return wanted
+    near = [c for c in df.columns if wanted.lower() in c.lower()]
+    if not near:
+        raise ValueError(f"no column for target {wanted}")
+    return near[0]
+
+
+def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.dropna(subset=list(columns))
+
+
+def time_rank(df: DataFrame, ts: str = "ts", name: str = "time_rank") -> DataFrame:
+    """Share of rows before each row's time, from merged timestamps: no global sort in one task."""
+    t = df.withColumn("_t", epoch(ts))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    ranks = attach_row(value_ranks(t, (), "_t"), total).select("_t", (F.col("below") / F.col("_total")).alias(name))
+    return t.join(ranks, "_t").drop("_t")
+
+
+def time_split(df: DataFrame, ts: str = "ts", train: float = 0.7, valid: float = 0.15) -> DataFrame:
+    """Column ``part``: the earliest rows train, the next validate, the last test."""
+    r = F.col("time_rank")
+    return time_rank(df, ts).withColumn("part", F.when(r < train, "train").when(r < train + valid, "valid").otherwise("test")).drop("time_rank")
+
+
+def expanding_folds(df: DataFrame, folds: int, ts: str = "ts") -> DataFrame:
+    """Rows per fold of an expanding-window cross-validation: fold k trains on blocks before k and validates on block k."""
+    block = F.floor(F.col("time_rank") * (folds + 1)).cast("int")
+    d = time_rank(df, ts).withColumn("_block", block)
+    uses = F.sequence(F.greatest(F.col("_block"), F.lit(1)), F.lit(folds))
+    out = d.withColumn("fold", F.explode(uses))
+    return out.withColumn("role", F.when(F.col("_block") == F.col("fold"), "valid").otherwise("train")).drop("_block", "time_rank")
+
+
+def scaled(df: DataFrame, features: Sequence[str], kind: str = "standard"):
+    """Assemble and scale; returns the fitted pipeline and the scaled frame."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+
+    make = {"standard": lambda: StandardScaler(inputCol="raw", outputCol="features", withMean=True),
+            "robust": lambda: RobustScaler(inputCol="raw", outputCol="features", withCentering=True, relativeError=0.0001)}[kind]
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw", handleInvalid="skip"), make()]).fit(df)
+    return fitted, fitted.transform(df)
+
+
+def train_regressor(df: DataFrame, features: Sequence[str], target: str, *, kind: str = "boosted", part: str | None = None,
+                    rounds: int = 50, depth: int = 5, scale: str = "standard", seed: int = 7):
+    """Fit scaling and a tree ensemble; boosting stops early on the ``valid`` part when there is one."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
+    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+
+    data = complete_rows(df, [*features, target])
+    if kind == "boosted":
+        tree = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)
+        if part:
+            data = data.where(F.col(part) != "test").withColumn("_valid", F.col(part) == "valid")
+            tree = tree.setValidationIndicatorCol("_valid")
+    else:
+        data = data.where(F.col(part) == "train") if part else data
+        tree = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=rounds, maxDepth=depth, seed=seed)
+    scaler = (RobustScaler(inputCol="raw", outputCol="features") if scale == "robust"
+              else StandardScaler(inputCol="raw", outputCol="features", withMean=True))
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), scaler, tree]).fit(data)
+
+
+def importances(model, features: Sequence[str], top: int | None = None) -> list[tuple[str, float]]:
+    """Gain importances, largest first."""
+    found = zip(features, model.stages[-1].featureImportances.toArray())
+    return sorted(((n, float(v)) for n, v in found), key=lambda p: (-p[1], p[0]))[:top]
+
+
+def score(model, df: DataFrame) -> DataFrame:
+    return model.transform(df)
+
+
+def metrics(df: DataFrame, actual: str, predicted: str, keys=()) -> DataFrame:
+    """RMSE, MAE, R², MAPE, Pearson r and its two-sided p-value."""
+    y, p = F.col(actual), F.col(predicted)
+    e = y - p
+    g = df.where(y.isNotNull() & p.isNotNull()).groupBy(*cols(keys)).agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
+        (1 - F.sum(e * e) / F.nullif(F.var_pop(y) * F.count(F.lit(1)), F.lit(0.0))).alias("r2"),
+        (F.avg(F.abs(e / F.nullif(y, F.lit(0.0)))) * 100).alias("mape"), corr(y, p).alias("r"))
+    t = F.col("r") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    return g.withColumn("p_value", t_two_sided(t, (F.col("n") - 2).cast("double")))
+
+
+def sequences(df: DataFrame, columns: Sequence[str], length: int, keys, order="ts", chunk="1 day") -> DataFrame:
+    """The last ``length`` rows as an array of value vectors; rows without a full history are left out."""
+    def build(w):
+        return {"sequence": F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).over(w.rowsBetween(-length + 1, 0))}
+
+    return row_frames(df, keys, order, length - 1, 0, build, chunk=chunk).where(F.size("sequence") == length)

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from ..frames import (bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, micros, prev, row_frames,
+from ..frames import (attach_row, bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, micros, prev, row_frames,
                       running_count, running_product, running_sum, scan, time_frames)
 
 
@@ -189,7 +189,7 @@ def sliding_windows(df: DataFrame, size: str, slide: str, keys, ts: str = "hour"
     k, size_us, slide_us = cols(keys), micros(size), micros(slide)
     t = epoch(ts)
     ends = df.groupBy(*k).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
-    both = df.join(ends, k) if k else df.crossJoin(F.broadcast(ends))  # one row
+    both = df.join(ends, k) if k else attach_row(df, ends)
     off, last = t - F.col("_a"), floor_div(F.col("_b") - F.col("_a") - size_us, slide_us)
     hi = floor_div(off, slide_us)
     hi = F.least(hi, last) if full_only else hi
@@ -249,7 +249,7 @@ def price_features(df: DataFrame, price: str, keys=(), ts: str = "hour") -> Data
     out = lag_time(lag_time(df, price, "1h", k, ts, "price_lag_1h"), price, "24h", k, ts, "price_lag_24h")
     out = out.withColumns({"_m": trunc("month", ts), "_d": trunc("day", ts)}).join(month, [*k, "_m"], "left").join(day, [*k, "_d"], "left")
     q = exact_quantiles(df, k, price, {"_p75": 0.75})
-    out = out.join(q, k) if k else out.crossJoin(F.broadcast(q))  # one row
+    out = out.join(q, k) if k else attach_row(out, q)
     return out.withColumns({"deviation": F.col(price) - F.col("_mean"), "is_winter": winter(ts),
                             "is_peak": F.col(price) > F.col("_p75")}).drop("_m", "_d", "_mean", "_p75")
 
@@ -275,7 +275,7 @@ def decompose(df: DataFrame, col: str, period: int, keys, order="ts", model: str
     k = cols(keys)
     phase = out.groupBy(*k, "_phase").agg(F.avg("_bare").alias("_s"))
     centre = phase.groupBy(*k).agg(F.avg("_s").alias("_c"))
-    phase = phase.join(centre, k) if k else phase.crossJoin(F.broadcast(centre))  # one row
+    phase = phase.join(centre, k) if k else attach_row(phase, centre)
     additive = model == "additive"
     phase = phase.select(*k, "_phase", (F.col("_s") - F.col("_c") if additive else F.col("_s") / F.col("_c")).alias("seasonal"))
     resid = F.col("_bare") - F.col("seasonal") if additive else F.col("_bare") / F.col("seasonal")

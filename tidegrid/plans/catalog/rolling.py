@@ -252,7 +252,7 @@ def _(v):
        s AS (SELECT p.*, size, size // 2 AS st FROM p, (VALUES (12), (18), (24)) t(size)),
        w AS (SELECT * EXCLUDE (n, i0), unnest(generate_series(greatest(floor((i0 - size) / st)::BIGINT + 1, 0), least(i0 // st, (n - size) // st))) AS w FROM s WHERE n >= size),
        {_quality_sql('w', ['signal', 'size', 'w'], 'ts', ['value'])},
-       b AS (SELECT signal, size, avg(score) * (1 - size / 24 * 0.1) AS adjusted FROM qs WHERE score >= 0.1 GROUP BY ALL)
+       b AS (SELECT signal, size, m * (1 - size / 24 * 0.1) AS adjusted FROM (SELECT signal, size, avg(score) AS m FROM qs WHERE score >= 0.1 GROUP BY signal, size))
        SELECT signal, arg_max(size, (adjusted, -size)) AS window_size, max(adjusted) AS adjusted FROM b GROUP BY signal""")
 def _(v):
     return sp.suggest_window(dense(v), ["value"], "signal")

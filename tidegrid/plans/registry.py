@@ -28,7 +28,7 @@ REGISTRY: dict[str, Query] = {}
 
 # Added before rounding so that exact halves and minus zero round alike whatever
 # the order of summation was.
-NUDGE = 1e-8
+NUDGE = 1.2345678e-8
 
 
 def query(ids: str, name: str, *, views: str = "", sql: str | None = None,
@@ -43,7 +43,7 @@ def query(ids: str, name: str, *, views: str = "", sql: str | None = None,
     def register(build: Build) -> Build:
         def tidy(v: Views) -> DataFrame:
             df = build(v)
-            made = {c: F.round(F.col(c).cast("double") + F.lit(NUDGE), digits) for c in rounded}
+            made = {c: F.round(F.col(c).cast("double") + F.lit(NUDGE), digits) + F.lit(0.0) for c in rounded}
             made.update({c: F.col(c).cast("long") for c in whole})
             return df.withColumns(made) if made else df
 
@@ -67,7 +67,7 @@ def _oracle(sql, views, rounded, whole, digits):
             body = f"WITH {"RECURSIVE " if recursive else ""}{joined},\n{body[5:]}"
         else:
             body = f"WITH {joined}\n{body}"
-    fixes = [f"round(CAST({c} AS DOUBLE) + {NUDGE:.8f}::DOUBLE, {digits}) AS {c}" for c in rounded]
+    fixes = [f"round(CAST({c} AS DOUBLE) + {NUDGE!r}::DOUBLE, {digits}) + 0 AS {c}" for c in rounded]
     fixes += [f"CAST({c} AS BIGINT) AS {c}" for c in whole]
     return f"SELECT * REPLACE ({', '.join(fixes)}) FROM (\n{body}\n) AS checked" if fixes else body
 
