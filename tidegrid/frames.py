@@ -1,8 +1,8 @@
-"""Ordered computation over keyed series that never puts one series in one task.
+"""Ordered computation over keyed series that never puts one hot series in one task.
 
 A plain ``Window.partitionBy(keys)`` sorts a whole series in a single task, so a
 series holding a third of all rows decides the run time of the job. The helpers
-here split every series and stay exact:
+here split long series and stay exact:
 
 * ``scan`` (previous/next row, fills, running totals) cuts a series into time
   chunks. Each chunk is reduced to one row, the small chunk table is scanned per
@@ -13,8 +13,13 @@ here split every series and stay exact:
 * ``exact_quantiles`` finds order statistics by bucketing values instead of
   holding a key's values in one buffer.
 
-``chunk=None`` selects the plain window. Use it only where the number of rows per
-key is bounded by construction: a series on a fixed grid has at most span / step.
+Every function takes ``chunk``, which says which series are split:
+
+* a duration (``"1 day"``) or a column monotone in the order: all of them;
+* a ``Split`` from ``split_hot``: only the keys measured to be too large, so that
+  ordinary keys keep the cheap one-shuffle window;
+* ``None``: none. Correct to use where rows per key are bounded by construction,
+  as on a fixed grid (span / step rows per key).
 """
 
 from __future__ import annotations
@@ -79,6 +84,48 @@ def cols(names: str | Iterable[str]) -> list[str]:
     return [names] if isinstance(names, str) else list(names)
 
 
+# -------------------------------------------------------------------------- split
+
+
+@dataclass(frozen=True)
+class Split:
+    """Which keys are too large for one task. ``hot=None`` means: treat every key so."""
+
+    keys: tuple[str, ...]
+    hot: tuple[tuple, ...] | None
+    chunk: str | int = "1 day"
+
+    def test(self) -> Column:
+        """True on rows of a hot key."""
+        if self.hot is None:
+            return F.lit(True)
+        if not self.keys:
+            return F.lit(bool(self.hot))
+        if len(self.keys) == 1:
+            known = [k[0] for k in self.hot if k[0] is not None]
+            none = F.col(self.keys[0]).isNull() if len(known) < len(self.hot) else F.lit(False)
+            return F.coalesce(F.col(self.keys[0]).isin(known), F.lit(False)) | none
+        tests = [all_of(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(self.keys, k)) for k in self.hot]
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def split_hot(df: DataFrame, keys, limit: int = 2_000_000, chunk: str | int = "1 day", most: int = 10_000) -> Split:
+    """Measure which keys hold more than ``limit`` rows.
+
+    One map-side combined count whose hot rows alone reach the driver; should
+    there be more than ``most`` of them, every key is split and no list is kept.
+    """
+    k = cols(keys)
+    found = (df.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+             .select(*(k or [F.lit(1).alias("_all")])).limit(most + 1).collect())
+    return Split(tuple(k), None if len(found) > most else tuple(tuple(r) for r in found), chunk)
+
+
+def is_plain(chunk) -> bool:
+    """Whether no series has to be split."""
+    return chunk is None or (isinstance(chunk, Split) and chunk.hot == ())
+
+
 # --------------------------------------------------------------------------- scan
 
 
@@ -168,7 +215,7 @@ def running_max(x: str | Column) -> Scan:
 
 
 def scan(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
-         specs: Mapping[str, Scan], *, chunk: str | int | Column | None = "1 day",
+         specs: Mapping[str, Scan], *, chunk: str | int | Column | Split | None = "1 day",
          keep_chunk: bool = False) -> DataFrame:
     """Append one column per spec, computed along ``order`` within ``keys``.
 
@@ -177,21 +224,26 @@ def scan(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     the chunk column in place so that a following scan reuses the partitioning.
     """
     keys, order = cols(keys), cols(order)
-    if chunk is None:
+    if "_chunk" not in df.columns and is_plain(chunk):
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: s.merge(s.local(w), F.lit(None)) for n, s in specs.items()})
+    hot = chunk.test() if isinstance(chunk, Split) else F.lit(True)
     if "_chunk" in df.columns:
         rows = df
+    elif isinstance(chunk, Column):
+        rows = df.withColumn("_chunk", chunk)
+    elif isinstance(chunk, Split):
+        rows = df.withColumn("_chunk", F.when(hot, bucket_no(order[0], chunk.chunk)).otherwise(F.lit(0).cast("long")))
     else:
-        rows = df.withColumn("_chunk", chunk if isinstance(chunk, Column) else bucket_no(order[0], chunk))
+        rows = df.withColumn("_chunk", bucket_no(order[0], chunk))
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    heads = rows.groupBy(*keys, "_chunk").agg(
+    heads = rows.where(hot).groupBy(*keys, "_chunk").agg(
         *[s.summary(rank).alias(f"_s_{n}") for n, s in specs.items()])
     across = Window.partitionBy(*keys).orderBy("_chunk")
     carried = heads.select(*keys, "_chunk", *[
         s.carry(F.col(f"_s_{n}"), across).alias(f"_k_{n}") for n, s in specs.items()])
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    out = rows.join(carried, [*keys, "_chunk"])
+    out = rows.join(carried, [*keys, "_chunk"], "left")
     kept = [c for c in df.columns if c != "_chunk"] + (["_chunk"] if keep_chunk else [])
     return out.select(*kept, *[
         s.merge(s.local(w), F.col(f"_k_{n}")).alias(n) for n, s in specs.items()])
@@ -202,18 +254,19 @@ def scan(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
 
 def row_frames(df: DataFrame, keys, order, before: int, after: int,
                build: Callable[[WindowSpec], Mapping[str, Column]], *,
-               chunk: str | int | Column | None = "1 day", block: int = 1 << 18) -> DataFrame:
+               chunk: str | int | Column | Split | None = "1 day", block: int = 1 << 18) -> DataFrame:
     """Append frames reaching at most ``before`` rows back and ``after`` ahead."""
     keys, order = cols(keys), cols(order)
-    if chunk is None:
+    if is_plain(chunk):
         return df.withColumns(dict(build(Window.partitionBy(*keys).orderBy(*order))))
     size = max(block, 8 * (before + after))
-    no = F.col("_no") - 1
-    copies = F.sequence(F.greatest(floor_div(no - after, size), F.lit(0).cast("long")),
-                        floor_div(no + before, size))
+    no, zero = F.col("_no") - 1, F.lit(0).cast("long")
+    copies = F.sequence(F.greatest(floor_div(no - after, size), zero), floor_div(no + before, size))
+    home = floor_div(no, size)
+    if isinstance(chunk, Split):
+        copies, home = F.when(chunk.test(), copies).otherwise(F.array(zero)), F.when(chunk.test(), home).otherwise(zero)
     numbered = scan(df, keys, order, {"_no": running_count()}, chunk=chunk)
-    spread = (numbered.withColumn("_home", floor_div(no, size))
-              .withColumn("_block", F.explode(copies)))
+    spread = numbered.withColumn("_home", home).withColumn("_block", F.explode(copies))
     w = Window.partitionBy(*keys, "_block").orderBy(*order)
     made = dict(build(w))
     return (spread.select(*df.columns, "_home", "_block", *[c.alias(n) for n, c in made.items()])
@@ -254,25 +307,46 @@ def value_chunks(df: DataFrame, keys, col: str, buckets: int = 64) -> DataFrame:
     return placed.withColumn("_chunk", below).drop("_bounds")
 
 
-def value_ranks(df: DataFrame, keys, col: str, buckets: int = 64) -> DataFrame:
+def value_scan(df: DataFrame, keys, col: str, specs: Mapping[str, Scan], *, chunk="spread", tie=()) -> DataFrame:
+    """``scan`` along a numeric column instead of time."""
+    if is_plain(chunk):
+        return scan(df, keys, [col, *tie], specs, chunk=None)
+    return scan(value_chunks(df, keys, col), keys, [col, *tie], specs)
+
+
+def value_ranks(df: DataFrame, keys, col: str, chunk="spread") -> DataFrame:
     """One row per key and distinct value: count ``n``, rows below ``below``, rows up to it ``upto``."""
     keys = cols(keys)
     merged = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("n"))
-    out = scan(value_chunks(merged, keys, col, buckets), keys, [col], {"upto": running_sum("n")})
-    return out.withColumn("below", F.col("upto") - F.col("n"))
+    return value_scan(merged, keys, col, {"upto": running_sum("n")}, chunk=chunk).withColumn("below", F.col("upto") - F.col("n"))
 
 
-def exact_quantiles(df: DataFrame, keys, col: str, probs: Mapping[str, float], *,
-                    buckets: int = 64) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys, col: str, probs: Mapping[str, float], *, chunk="spread") -> DataFrame:
     """Linearly interpolated quantiles per key, one row per key.
 
-    The built-in exact ``percentile`` keeps every distinct value of a group in
-    one buffer. Here equal values are merged first, a mergeable sketch supplies
-    bucket bounds, counts per bucket give rank offsets, and only rows of the
-    buckets that hold a wanted rank are ordered.
+    The built-in ``percentile`` keeps every distinct value of a group in one
+    buffer, which suits ordinary keys. For hot ones (all, with ``"spread"``) equal
+    values are merged first, a mergeable sketch supplies bucket bounds, counts per
+    bucket give rank offsets, and only values around a wanted rank are picked.
     """
     keys = cols(keys)
-    ranked = value_ranks(df, keys, col, buckets)
+    if is_plain(chunk):
+        return _built_in(df, keys, col, probs)
+    if isinstance(chunk, Split) and chunk.hot is not None:
+        hot = chunk.test()
+        return _built_in(df.where(~hot), keys, col, probs).unionByName(_by_rank(df.where(hot), keys, col, probs)).where(
+            F.col(next(iter(probs))).isNotNull() if not keys else F.lit(True))
+    return _by_rank(df, keys, col, probs)
+
+
+def _built_in(df, keys, col, probs):
+    q = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(
+        F.percentile(F.col(col).cast("double"), F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+    return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
+
+
+def _by_rank(df, keys, col, probs):
+    ranked = value_ranks(df, keys, col)
     total = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     placed = ranked.join(total, keys) if keys else attach_row(ranked, total)
     wanted = F.array(*[F.struct(F.lit(n).alias("name"),

@@ -53,16 +53,21 @@ def _beta_part(a: float, b: float, x: float) -> float:
     return head * f
 
 
-@F.pandas_udf("double")
-def normal_two_sided(z: pd.Series) -> pd.Series:
+def _udf(fn):
+    """Vectorised function over columns, built when used: a session must exist by then."""
+    return lambda *columns: F.pandas_udf(fn, "double")(*columns)
+
+
+def _normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2)), na_action="ignore")
 
 
-@F.pandas_udf("double")
-def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else _gamma_tail(k / 2, v / 2) for v, k in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
+def _student(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) else _beta_part(k / 2, 0.5, k / (k + v * v)) for v, k in zip(t, df)], dtype="float64")
+
+
+normal_two_sided, chi2_tail, t_two_sided = _udf(_normal), _udf(_chi2), _udf(_student)

@@ -101,13 +101,13 @@ def histogram_entropy(df: DataFrame, value: str, keys, bins: int, base: float |
     return counts.groupBy(*keys).agg((-F.sum(p * log)).alias("entropy"))
 
 
-def ext_stats(df: DataFrame, value: str, keys, bins: int = 50) -> DataFrame:
+def ext_stats(df: DataFrame, value: str, keys, bins: int = 50, chunk="spread") -> DataFrame:
     """Moments, quantiles, MAD, IQR and histogram entropy per key."""
     keys = cols(keys)
     x = df.select(*keys, value).where(F.col(value).isNotNull())
-    q = exact_quantiles(x, keys, value, QUANTILES)
+    q = exact_quantiles(x, keys, value, QUANTILES, chunk=chunk)
     dev = x.join(q.select(*keys, "p50"), keys).withColumn("_d", F.abs(F.col(value) - F.col("p50")))
-    mad = exact_quantiles(dev, keys, "_d", {"mad": 0.5})
+    mad = exact_quantiles(dev, keys, "_d", {"mad": 0.5}, chunk=chunk)
     out = x.groupBy(*keys).agg(*[c.alias(n) for n, c in moments(value).items()])
     return (out.join(q, keys).join(mad, keys).join(histogram_entropy(x, value, keys, bins, None), keys)
             .withColumn("iqr", F.col("p75") - F.col("p25")))
@@ -220,9 +220,9 @@ def hour_profile(df: DataFrame, value: str, keys, ts: str = "ts") -> DataFrame:
     return df.groupBy(*cols(keys), F.hour(ts).alias("hour")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def by_state(df: DataFrame, sensor: str, keys) -> DataFrame:
+def by_state(df: DataFrame, sensor: str, keys, chunk="spread") -> DataFrame:
     """Quartiles, mean and count of a sensor per group and state."""
-    q = exact_quantiles(df, keys, sensor, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    q = exact_quantiles(df, keys, sensor, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, chunk=chunk)
     return q.join(df.groupBy(*cols(keys)).agg(F.avg(sensor).alias("mean"), F.count(sensor).alias("n")), cols(keys))
 
 
@@ -252,9 +252,9 @@ def attach_dim_stats(df: DataFrame, dim: DataFrame, columns: Sequence[str], pref
     return attach_row(df, one)
 
 
-def summarize_runs(df: DataFrame, value: str, keys) -> DataFrame:
+def summarize_runs(df: DataFrame, value: str, keys, chunk="spread") -> DataFrame:
     """Mean, population spread, median, IQR, extremes and number of runs."""
-    q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, chunk=chunk)
     s = df.groupBy(*cols(keys)).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"),
                                     F.max(value).alias("max"), F.count(value).alias("n"))
     return s.join(q, cols(keys)).withColumn("iqr", F.col("q3") - F.col("q1")).drop("q1", "q3")
@@ -310,10 +310,10 @@ def top_k(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.desc(by), tie).limit(k)
 
 
-def cheapest_quartile(df: DataFrame, price: str, keys=()) -> DataFrame:
+def cheapest_quartile(df: DataFrame, price: str, keys=(), chunk="spread") -> DataFrame:
     """Rows priced at or below the first quartile of their key."""
     keys = cols(keys)
-    q = exact_quantiles(df, keys, price, {"_q": 0.25})
+    q = exact_quantiles(df, keys, price, {"_q": 0.25}, chunk=chunk)
     both = df.join(q, keys) if keys else attach_row(df, q)
     return both.where(F.col(price) <= F.col("_q")).drop("_q")
 

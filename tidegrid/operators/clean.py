@@ -47,16 +47,16 @@ def clip_counts(df: DataFrame, rules: Mapping[str, tuple[float | None, float | N
     return df.agg(F.array(*parts).alias("r")).select(F.inline("r"))
 
 
-def iqr_bounds(df: DataFrame, col: str, keys=(), factor: float = 1.5) -> DataFrame:
-    q = exact_quantiles(df, keys, col, {"q1": 0.25, "q3": 0.75})
+def iqr_bounds(df: DataFrame, col: str, keys=(), factor: float = 1.5, chunk="spread") -> DataFrame:
+    q = exact_quantiles(df, keys, col, {"q1": 0.25, "q3": 0.75}, chunk=chunk)
     spread = F.col("q3") - F.col("q1")
     return q.select(*cols(keys), (F.col("q1") - factor * spread).alias("low"),
                     (F.col("q3") + factor * spread).alias("high"))
 
 
-def iqr_outliers(df: DataFrame, col: str, keys, factor: float = 1.5, strategy: str = "null") -> DataFrame:
+def iqr_outliers(df: DataFrame, col: str, keys, factor: float = 1.5, strategy: str = "null", chunk="spread") -> DataFrame:
     """Outliers beyond the quartiles by ``factor`` x IQR to NULL, or clipped to the bounds."""
-    joined = df.join(iqr_bounds(df, col, keys, factor), cols(keys), "left")
+    joined = df.join(iqr_bounds(df, col, keys, factor, chunk), cols(keys), "left")
     x = F.col(col)
     if strategy == "clip":
         new = F.when(x.isNotNull(), F.least(F.greatest(x, F.col("low")), F.col("high")))
@@ -94,17 +94,17 @@ class OutlierRule:
     factor: float = 1.5
 
 
-def mad_bounds(df: DataFrame, col: str, keys, factor: float = 3.0) -> DataFrame:
+def mad_bounds(df: DataFrame, col: str, keys, factor: float = 3.0, chunk="spread") -> DataFrame:
     """median ± factor x 1.4826 x MAD per key."""
-    med = exact_quantiles(df, keys, col, {"med": 0.5})
+    med = exact_quantiles(df, keys, col, {"med": 0.5}, chunk=chunk)
     dev = df.join(med, cols(keys)).withColumn("_dev", F.abs(F.col(col) - F.col("med")))
-    spread = exact_quantiles(dev, keys, "_dev", {"mad": 0.5})
+    spread = exact_quantiles(dev, keys, "_dev", {"mad": 0.5}, chunk=chunk)
     half = factor * 1.4826 * F.col("mad")
     return med.join(spread, cols(keys)).select(*cols(keys), (F.col("med") - half).alias("low"),
                                                (F.col("med") + half).alias("high"))
 
 
-def apply_outlier_rules(df: DataFrame, rules: Sequence[OutlierRule], keys) -> DataFrame:
+def apply_outlier_rules(df: DataFrame, rules: Sequence[OutlierRule], keys, chunk="spread") -> DataFrame:
     """All rules in one projection; data-driven bounds are joined per key first."""
     keys, out, made, extra = cols(keys), df, {}, []
     for n, r in enumerate(rules):
@@ -113,11 +113,11 @@ def apply_outlier_rules(df: DataFrame, rules: Sequence[OutlierRule], keys) -> Da
         lo, hi = F.lit(r.low).cast("double"), F.lit(r.high).cast("double")
         if r.method != "domain":
             if r.method == "iqr":
-                b = iqr_bounds(df, r.column, keys, r.factor)
+                b = iqr_bounds(df, r.column, keys, r.factor, chunk)
             elif r.method == "mad":
-                b = mad_bounds(df, r.column, keys, r.factor)
+                b = mad_bounds(df, r.column, keys, r.factor, chunk)
             elif r.method == "winsorize":
-                b = exact_quantiles(df, keys, r.column, {"low": 0.05, "high": 0.95})
+                b = exact_quantiles(df, keys, r.column, {"low": 0.05, "high": 0.95}, chunk=chunk)
             else:
                 raise ValueError(f"unknown outlier method {r.method}")
             lo, hi = F.col(f"_lo{n}"), F.col(f"_hi{n}")
@@ -133,11 +133,11 @@ def apply_outlier_rules(df: DataFrame, rules: Sequence[OutlierRule], keys) -> Da
 
 
 def suggest_bounds(df: DataFrame, columns: Sequence[str],
-                   limits: Mapping[str, tuple[float, float]] | None = None) -> DataFrame:
+                   limits: Mapping[str, tuple[float, float]] | None = None, chunk="spread") -> DataFrame:
     """p01/p25/p75/p99 bounds, widened by 1.5 IQR, cut to min/max and physical limits."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))
                                          for c in columns])).alias("r")).select("r.column", "r.v")
-    q = exact_quantiles(long, "column", "v", {"p01": 0.01, "p25": 0.25, "p75": 0.75, "p99": 0.99})
+    q = exact_quantiles(long, "column", "v", {"p01": 0.01, "p25": 0.25, "p75": 0.75, "p99": 0.99}, chunk=chunk)
     ends = long.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     caps = F.create_map(*[x for c in columns for x in (F.lit(c), F.array(
         *[F.lit(float(v)) for v in (limits or {}).get(c, (float("-inf"), float("inf")))]))])

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, exact_quantiles
+from ..frames import Split, attach_row, cols, exact_quantiles, is_plain
 from .stress import forward
 
 
 def mark_peaks(df: DataFrame, price: str, keys, rule: str = "p75", hours: tuple[int, int] = (7, 23), ts: str = "hour",
-               name: str = "is_peak") -> DataFrame:
+               name: str = "is_peak", chunk="spread") -> DataFrame:
     """Peak rows by one rule: price above its ``p75`` or ``mean`` per key, or fixed ``hours`` of day."""
     k = cols(keys)
     if rule == "hours":
         h = F.hour(ts)
         return df.withColumn(name, (h >= hours[0]) & (h < hours[1]))
     if rule == "p75":
-        limit = exact_quantiles(df, k, price, {"_limit": 0.75})
+        limit = exact_quantiles(df, k, price, {"_limit": 0.75}, chunk=chunk)
     elif rule == "mean":
         limit = df.groupBy(*k).agg(F.avg(price).alias("_limit"))
     else:
@@ -46,10 +46,10 @@ def energy_features(df: DataFrame, power: str, price: str, peak: str, keys) -> D
     return out.select(*cols(keys), "cost_weighted", "peak_ratio_sum", "peak_ratio_mean", "efficiency", "cost_per_degree_hour")
 
 
-def load_shift(df: DataFrame, power: str, price: str, keys) -> DataFrame:
+def load_shift(df: DataFrame, power: str, price: str, keys, chunk="spread") -> DataFrame:
     """Saving from moving mean load into the cheapest quarter of the prices."""
     k = cols(keys)
-    q = exact_quantiles(df, k, price, {"_q": 0.25})
+    q = exact_quantiles(df, k, price, {"_q": 0.25}, chunk=chunk)
     stats = df.join(q, k).groupBy(*k).agg(
         F.avg(price).alias("_p"), F.avg(F.when(F.col(price) <= F.col("_q"), F.col(price))).alias("_c"), F.avg(power).alias("_w"))
     return stats.select(*k, ((F.col("_p") - F.col("_c")) * F.col("_w")).alias("shift_saving"))
@@ -60,7 +60,7 @@ def hours_until_cheap(df: DataFrame, price: str, keys, ts: str = "hour", chunk="
     from ..frames import epoch, next_valid, scan
 
     k = cols(keys)
-    q = exact_quantiles(df, k, price, {"_q": 0.25})
+    q = exact_quantiles(df, k, price, {"_q": 0.25}, chunk=chunk if is_plain(chunk) or isinstance(chunk, Split) else "spread")
     d = df.join(q, k) if k else attach_row(df, q)
     cheap = F.when(F.col(price) < F.col("_q"), epoch(ts))
     d = scan(d, k, ts, {"_t": next_valid(cheap)}, chunk=chunk)

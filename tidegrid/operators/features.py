@@ -75,12 +75,12 @@ def extract(df: DataFrame, value: str, keys, profile: Mapping[str, Callable[[],
     return prepare(df, value, keys, order, chunk).groupBy(*cols(keys)).agg(*[f().alias(n) for n, f in profile.items()])
 
 
-def minimal(df: DataFrame, value: str, keys) -> DataFrame:
+def minimal(df: DataFrame, value: str, keys, chunk="spread") -> DataFrame:
     """The minimal set needs no window at all; the median comes from ranks."""
     k = cols(keys)
     d = df.where(F.col(value).isNotNull()).select(*k, F.col(value).cast("double").alias("v"))
     out = d.groupBy(*k).agg(*[f().alias(n) for n, f in MINIMAL.items()])
-    return out.join(exact_quantiles(d, k, "v", {"median": 0.5}), k)
+    return out.join(exact_quantiles(d, k, "v", {"median": 0.5}, chunk=chunk), k)
 
 
 def duplicate_features(df: DataFrame, value: str, keys) -> DataFrame:

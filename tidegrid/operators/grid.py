@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import (bucket, bucket_no, cols, epoch, exact_quantiles, from_epoch, last_valid, micros, next_valid,
+from ..frames import (Split, bucket, bucket_no, cols, epoch, exact_quantiles, from_epoch, is_plain, last_valid, micros, next_valid,
                       prev, row_frames, running_count, scan)
 
 
@@ -126,7 +126,7 @@ def interpolate(df: DataFrame, columns, keys, order="ts", *, by: str = "time", l
     return out.withColumns(made).drop("_pos", *specs)
 
 
-def fill_stat(df: DataFrame, col: str, how: str, keys) -> DataFrame:
+def fill_stat(df: DataFrame, col: str, how: str, keys, chunk="spread") -> DataFrame:
     """Fill with the key's mean, median or mode, or with zero."""
     keys = cols(keys)
     if how == "zero":
@@ -134,7 +134,7 @@ def fill_stat(df: DataFrame, col: str, how: str, keys) -> DataFrame:
     if how == "mean":
         stat = df.groupBy(*keys).agg(F.avg(col).alias("_s"))
     elif how == "median":
-        stat = exact_quantiles(df, keys, col, {"_s": 0.5})
+        stat = exact_quantiles(df, keys, col, {"_s": 0.5}, chunk=chunk)
     elif how == "mode":
         counts = df.where(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.count(F.lit(1)).alias("_n"))
         stat = counts.groupBy(*keys).agg(F.max_by(col, F.struct("_n", -F.col(col))).alias("_s"))
@@ -164,7 +164,7 @@ def impute(df: DataFrame, rules: Mapping[str, Mapping], keys, order="ts", defaul
             continue
         else:
             for c in names:
-                out = fill_stat(out, c, how, keys)
+                out = fill_stat(out, c, how, keys, chunk if is_plain(chunk) else "spread")
     return out
 
 
@@ -215,7 +215,7 @@ def infer_step(df: DataFrame, keys, ts: str = "ts", how: str = "median", chunk="
         "_gap", (epoch(ts) - F.col("_p")) / 1e6)
     if how == "first":
         return gaps.where(F.col("_gap").isNotNull()).groupBy(*keys).agg(F.min_by("_gap", ts).alias("step_s"))
-    return exact_quantiles(gaps, keys, "_gap", {"step_s": 0.5})
+    return exact_quantiles(gaps, keys, "_gap", {"step_s": 0.5}, chunk=chunk if is_plain(chunk) or isinstance(chunk, Split) else "spread")
 
 
 def multires(df: DataFrame, resolutions: Sequence[str], keys, value: str, ts: str = "ts") -> DataFrame:

@@ -48,24 +48,24 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def time_rank(df: DataFrame, ts: str = "ts", name: str = "time_rank") -> DataFrame:
+def time_rank(df: DataFrame, ts: str = "ts", name: str = "time_rank", chunk="spread") -> DataFrame:
     """Share of rows before each row's time, from merged timestamps: no global sort in one task."""
     t = df.withColumn("_t", epoch(ts))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    ranks = attach_row(value_ranks(t, (), "_t"), total).select("_t", (F.col("below") / F.col("_total")).alias(name))
+    ranks = attach_row(value_ranks(t, (), "_t", chunk), total).select("_t", (F.col("below") / F.col("_total")).alias(name))
     return t.join(ranks, "_t").drop("_t")
 
 
-def time_split(df: DataFrame, ts: str = "ts", train: float = 0.7, valid: float = 0.15) -> DataFrame:
+def time_split(df: DataFrame, ts: str = "ts", train: float = 0.7, valid: float = 0.15, chunk="spread") -> DataFrame:
     """Column ``part``: the earliest rows train, the next validate, the last test."""
     r = F.col("time_rank")
-    return time_rank(df, ts).withColumn("part", F.when(r < train, "train").when(r < train + valid, "valid").otherwise("test")).drop("time_rank")
+    return time_rank(df, ts, chunk=chunk).withColumn("part", F.when(r < train, "train").when(r < train + valid, "valid").otherwise("test")).drop("time_rank")
 
 
-def expanding_folds(df: DataFrame, folds: int, ts: str = "ts") -> DataFrame:
+def expanding_folds(df: DataFrame, folds: int, ts: str = "ts", chunk="spread") -> DataFrame:
     """Rows per fold of an expanding-window cross-validation: fold k trains on blocks before k and validates on block k."""
     block = F.floor(F.col("time_rank") * (folds + 1)).cast("int")
-    d = time_rank(df, ts).withColumn("_block", block)
+    d = time_rank(df, ts, chunk=chunk).withColumn("_block", block)
     uses = F.sequence(F.greatest(F.col("_block"), F.lit(1)), F.lit(folds))
     out = d.withColumn("fold", F.explode(uses))
     return out.withColumn("role", F.when(F.col("_block") == F.col("fold"), "valid").otherwise("train")).drop("_block", "time_rank")

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, following, min_before, prev, running_count, scan, value_chunks, value_ranks
+from ..frames import attach_row, cols, following, is_plain, min_before, prev, running_count, value_ranks, value_scan
 from ..functions.tails import chi2_tail, normal_two_sided
 from .join import asof_join
 
@@ -22,33 +22,32 @@ def minimised(df: DataFrame, objectives: Mapping[str, str]) -> DataFrame:
     return df.withColumns({c: -F.col(c) for c, goal in objectives.items() if goal == "max"})
 
 
-def front_points(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
+def front_points(df: DataFrame, a: str, b: str, keys=(), chunk="spread") -> DataFrame:
     """Distinct non-dominated points, ordered by ``a``: each improves ``b`` on all smaller ``a``."""
     k = cols(keys)
     best = df.groupBy(*k, a).agg(F.min(b).alias(b))
-    d = scan(value_chunks(best, k, a), k, [a], {"_m": min_before(b)})
+    d = value_scan(best, k, a, {"_m": min_before(b)}, chunk=chunk)
     return d.where(F.col("_m").isNull() | (F.col(b) < F.col("_m"))).drop("_m")
 
 
-def non_dominated(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
+def non_dominated(df: DataFrame, a: str, b: str, keys=(), chunk="spread") -> DataFrame:
     """Rows no other row dominates (equal rows do not dominate each other)."""
-    return df.join(front_points(df, a, b, keys), [*cols(keys), a, b], "left_semi")
+    return df.join(front_points(df, a, b, keys, chunk), [*cols(keys), a, b], "left_semi")
 
 
-def hypervolume(df: DataFrame, a: str, b: str, ref: tuple[float, float], keys=()) -> DataFrame:
+def hypervolume(df: DataFrame, a: str, b: str, ref: tuple[float, float], keys=(), chunk="spread") -> DataFrame:
     """Area dominated by the front up to the reference point."""
     k = cols(keys)
-    inside = front_points(df.where((F.col(a) < ref[0]) & (F.col(b) < ref[1])), a, b, k)
-    d = scan(value_chunks(inside, k, a), k, [a], {"_p": prev(b)})
+    inside = front_points(df.where((F.col(a) < ref[0]) & (F.col(b) < ref[1])), a, b, k, chunk)
+    d = value_scan(inside, k, a, {"_p": prev(b)}, chunk=chunk)
     area = (ref[0] - F.col(a)) * (F.coalesce(F.col("_p"), F.lit(float(ref[1]))) - F.col(b))
     return d.groupBy(*k).agg(F.sum(area).alias("hypervolume"), F.count(F.lit(1)).alias("points"))
 
 
-def spacing(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
+def spacing(df: DataFrame, a: str, b: str, keys=(), chunk="spread") -> DataFrame:
     """Population spread of nearest-neighbour distances on the front; on a front the nearest neighbour is adjacent."""
     k = cols(keys)
-    d = value_chunks(front_points(df, a, b, k), k, a)
-    d = scan(d, k, [a], {"_p": prev(F.struct(a, b)), "_n": following(F.struct(a, b))})
+    d = value_scan(front_points(df, a, b, k, chunk), k, a, {"_p": prev(F.struct(a, b)), "_n": following(F.struct(a, b))}, chunk=chunk)
     dist = lambda s: F.hypot(F.col(a) - F.col(f"{s}.{a}"), F.col(b) - F.col(f"{s}.{b}"))
     return d.groupBy(*k).agg(F.coalesce(F.stddev_pop(F.least(dist("_p"), dist("_n"))), F.lit(0.0)).alias("spacing"))
 
@@ -60,13 +59,15 @@ def maximum_spread(df: DataFrame, a: str, b: str, keys=(), ideal: tuple[float, f
     return df.groupBy(*cols(keys)).agg((ra * rb).alias("max_spread"))
 
 
-def _line_chunk(x: str) -> Column:
+def _line(chunk, x: str) -> Column | None:
     """Chunk number along a numeric axis, monotone in ``x``: even in log scale, so any range gives few chunks."""
+    if is_plain(chunk):
+        return None
     c = F.col(x).cast("double")
     return (F.signum(c) * F.floor(F.log1p(F.abs(c)) * 16)).cast("long")
 
 
-def epsilon_indicator(front: DataFrame, truth: DataFrame, a: str, b: str, keys=()) -> DataFrame:
+def epsilon_indicator(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(), chunk="spread") -> DataFrame:
     """Smallest shift with which the front weakly dominates the true front.
 
     Along a front a - b rises, the gap in ``a`` grows and the gap in ``b`` shrinks,
@@ -75,8 +76,8 @@ def epsilon_indicator(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(
     k = cols(keys)
     f = front.select(*k, (F.col(a) - F.col(b)).alias("_x"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     t = truth.select(*k, F.col(a).alias("ta"), F.col(b).alias("tb")).withColumn("_x", F.col("ta") - F.col("tb"))
-    lo = asof_join(t, f, k, "_x", values=["_a", "_b"], chunk=_line_chunk("_x")).withColumnsRenamed({"_a": "_la", "_b": "_lb"})
-    both = asof_join(lo, f, k, "_x", values=["_a", "_b"], direction="forward", chunk=_line_chunk("_x"))
+    lo = asof_join(t, f, k, "_x", values=["_a", "_b"], chunk=_line(chunk, "_x")).withColumnsRenamed({"_a": "_la", "_b": "_lb"})
+    both = asof_join(lo, f, k, "_x", values=["_a", "_b"], direction="forward", chunk=_line(chunk, "_x"))
     gap = lambda p, q: F.greatest(F.col(p) - F.col("ta"), F.col(q) - F.col("tb"))
     # greatest skips NULLs: guard the sides that found no partner
     left = F.when(F.col("_la").isNotNull(), gap("_la", "_lb"))
@@ -84,7 +85,7 @@ def epsilon_indicator(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(
     return both.groupBy(*k).agg(F.max(F.least(left, right)).alias("epsilon"))
 
 
-def igd_plus(front: DataFrame, truth: DataFrame, a: str, b: str, keys=()) -> DataFrame:
+def igd_plus(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(), chunk="spread") -> DataFrame:
     """Mean over true points of the smallest distance counting only worse coordinates.
 
     Points left of a true point compete by ``b`` alone and points below it by ``a``
@@ -92,12 +93,12 @@ def igd_plus(front: DataFrame, truth: DataFrame, a: str, b: str, keys=()) -> Dat
     and within the bound can be closer, and it is a range of front numbers.
     """
     k = cols(keys)
-    f = scan(value_chunks(front.select(*k, F.col(a).alias("_x"), F.col(b).alias("_fb")), k, "_x"), k, ["_x"], {"_no": running_count()})
+    f = value_scan(front.select(*k, F.col(a).alias("_x"), F.col(b).alias("_fb")), k, "_x", {"_no": running_count()}, chunk=chunk)
     t = truth.select(*k, F.col(a).alias("ta"), F.col(b).alias("tb"))
-    at = _line_chunk("_x")
+    at = _line(chunk, "_x")
     d = asof_join(t.withColumn("_x", F.col("ta")), f, k, "_x", values=["_fb", "_no"], chunk=at).withColumnsRenamed({"_fb": "_left", "_no": "_lo"}).drop("_x")
     g = f.select(*k, F.col("_fb").alias("_y"), F.col("_x").alias("_fa"))
-    d = asof_join(d.withColumn("_y", F.col("tb")), g, k, "_y", values=["_fa"], chunk=_line_chunk("_y")).drop("_y")
+    d = asof_join(d.withColumn("_y", F.col("tb")), g, k, "_y", values=["_fa"], chunk=_line(chunk, "_y")).drop("_y")
     by_b = F.when(F.col("_left").isNotNull(), F.greatest(F.col("_left") - F.col("tb"), F.lit(0.0)))
     by_a = F.when(F.col("_fa").isNotNull(), F.greatest(F.col("_fa") - F.col("ta"), F.lit(0.0)))
     d = d.withColumn("_u", F.coalesce(F.least(by_b, by_a), F.lit(float("inf")))).drop("_left", "_fa")
@@ -126,18 +127,18 @@ def convergence(df: DataFrame, value: str, keys, order: str, window: int = 20, t
 # ---------------------------------------------------------------------- rank tests
 
 
-def average_ranks(df: DataFrame, value: str, keys=()) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, keys=(), chunk="spread") -> DataFrame:
     """Attach the average rank of each row's value and the tie size."""
     k = cols(keys)
-    r = value_ranks(df, k, value).select(*k, value, (F.col("below") + (F.col("n") + 1) / 2).alias("rank"), F.col("n").alias("ties"))
+    r = value_ranks(df, k, value, chunk).select(*k, value, (F.col("below") + (F.col("n") + 1) / 2).alias("rank"), F.col("n").alias("ties"))
     return df.join(r, [*k, value])
 
 
-def wilcoxon(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
+def wilcoxon(df: DataFrame, x: str, y: str, keys=(), chunk="spread") -> DataFrame:
     """Signed-rank test of paired rows: zero differences dropped, normal approximation with tie correction."""
     k = cols(keys)
     d = df.select(*k, (F.col(x) - F.col(y)).alias("_d")).where(F.col("_d") != 0).withColumn("_a", F.abs("_d"))
-    ranks = value_ranks(d, k, "_a").select(*k, "_a", (F.col("below") + (F.col("n") + 1) / 2).alias("_r"), F.col("n").alias("_t"))
+    ranks = value_ranks(d, k, "_a", chunk).select(*k, "_a", (F.col("below") + (F.col("n") + 1) / 2).alias("_r"), F.col("n").alias("_t"))
     g = d.join(ranks, [*k, "_a"]).groupBy(*k).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_wp"),
         F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("_wm"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
@@ -149,17 +150,17 @@ def wilcoxon(df: DataFrame, x: str, y: str, keys=()) -> DataFrame:
     return out.withColumn("p_value", normal_two_sided("z"))
 
 
-def _two_groups(df: DataFrame, value: str, group: str, x: str, y: str, keys):
+def _two_groups(df: DataFrame, value: str, group: str, x: str, y: str, keys, chunk):
     k = cols(keys)
-    d = average_ranks(df.where(F.col(group).isin(x, y)).where(F.col(value).isNotNull()), value, k)
+    d = average_ranks(df.where(F.col(group).isin(x, y)).where(F.col(value).isNotNull()), value, k, chunk)
     is_x = F.col(group) == x
     return d.groupBy(*k).agg(F.count_if(is_x).alias("n_x"), F.count_if(~is_x).alias("n_y"),
                              F.sum(F.when(is_x, F.col("rank"))).alias("_r"), F.sum(F.col("ties") * F.col("ties") - 1).alias("_ties"))
 
 
-def mann_whitney(df: DataFrame, value: str, group: str, x: str, y: str, keys=()) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, group: str, x: str, y: str, keys=(), chunk="spread") -> DataFrame:
     """U of the first sample, normal p-value (tie and continuity corrected), effect r and A12 with its band."""
-    g = _two_groups(df, value, group, x, y, keys)
+    g = _two_groups(df, value, group, x, y, keys, chunk)
     nx, ny = F.col("n_x"), F.col("n_y")
     n = nx + ny
     u = F.col("_r") - nx * (nx + 1) / 2
@@ -176,16 +177,16 @@ def a12_band(a12: str) -> Column:
             .when(v >= 0.36, "small (reversed)").when(v >= 0.29, "medium (reversed)").otherwise("large (reversed)"))
 
 
-def _rank_sums(df: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFrame]:
-    d = average_ranks(df.where(F.col(value).isNotNull()), value)
+def _rank_sums(df: DataFrame, value: str, group: str, chunk) -> tuple[DataFrame, DataFrame]:
+    d = average_ranks(df.where(F.col(value).isNotNull()), value, (), chunk)
     per = d.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("rank").alias("_r"))
     total = d.agg(F.count(F.lit(1)).alias("_total"), F.sum(F.col("ties") * F.col("ties") - 1).alias("_ties"))
     return per, total  # a handful of groups, and one row
 
 
-def kruskal_wallis(df: DataFrame, value: str, group: str) -> DataFrame:
+def kruskal_wallis(df: DataFrame, value: str, group: str, chunk="spread") -> DataFrame:
     """H with tie correction and its chi-square tail."""
-    per, total = _rank_sums(df, value, group)
+    per, total = _rank_sums(df, value, group, chunk)
     s = attach_row(per.agg(F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_s"), F.count(F.lit(1)).alias("n_groups")), total)
     n = F.col("_total")
     h = (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
@@ -211,9 +212,9 @@ def friedman(df: DataFrame, value: str, group: str, block: str) -> DataFrame:
     return out.withColumn("p_value", chi2_tail("chi2", (k - 1).cast("double")))
 
 
-def dunn(df: DataFrame, value: str, group: str) -> DataFrame:
+def dunn(df: DataFrame, value: str, group: str, chunk="spread") -> DataFrame:
     """Pairwise comparison of mean ranks with Bonferroni-corrected p-values; the pairs are the result."""
-    per, total = _rank_sums(df, value, group)
+    per, total = _rank_sums(df, value, group, chunk)
     stats = F.sort_array(F.collect_list(F.struct(F.col(group).cast("string").alias("g"), (F.col("_r") / F.col("_n")).alias("m"), F.col("_n").alias("n"))))
     d = attach_row(per.agg(stats.alias("_s")), total)
     d = d.select("*", F.explode("_s").alias("a")).select("*", F.explode(F.filter("_s", lambda e: e["g"] > F.col("a.g"))).alias("b"))

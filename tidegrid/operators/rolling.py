@@ -239,7 +239,7 @@ def rolling_summary(df: DataFrame, col: str, every: str, keys, ts: str = "ts") -
     return blocks.groupBy(*cols(keys)).agg(F.avg("m").alias("mean_of_means"), F.max("s").alias("max_std"), F.count(F.lit(1)).alias("blocks"))
 
 
-def price_features(df: DataFrame, price: str, keys=(), ts: str = "hour") -> DataFrame:
+def price_features(df: DataFrame, price: str, keys=(), ts: str = "hour", chunk="spread") -> DataFrame:
     """Deviation from the month's mean, price 1 h and 24 h earlier, yesterday's mean, winter and peak flags."""
     from ..functions.calendar import trunc, winter
 
@@ -248,7 +248,7 @@ def price_features(df: DataFrame, price: str, keys=(), ts: str = "hour") -> Data
     day = df.groupBy(*k, from_epoch(epoch(trunc("day", ts)) + micros("1 day")).alias("_d")).agg(F.avg(price).alias("price_yesterday"))
     out = lag_time(lag_time(df, price, "1h", k, ts, "price_lag_1h"), price, "24h", k, ts, "price_lag_24h")
     out = out.withColumns({"_m": trunc("month", ts), "_d": trunc("day", ts)}).join(month, [*k, "_m"], "left").join(day, [*k, "_d"], "left")
-    q = exact_quantiles(df, k, price, {"_p75": 0.75})
+    q = exact_quantiles(df, k, price, {"_p75": 0.75}, chunk=chunk)
     out = out.join(q, k) if k else attach_row(out, q)
     return out.withColumns({"deviation": F.col(price) - F.col("_mean"), "is_winter": winter(ts),
                             "is_peak": F.col(price) > F.col("_p75")}).drop("_m", "_d", "_mean", "_p75")

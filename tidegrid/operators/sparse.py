@@ -56,12 +56,12 @@ def change_counts(df: DataFrame, value: str, keys, ts: str = "ts", chunk="1 day"
     return stats.select(*k).join(found, k, "left").fillna(0)
 
 
-def extremes(df: DataFrame, value: str, keys, ts: str = "ts", min_points: int = 10) -> DataFrame:
+def extremes(df: DataFrame, value: str, keys, ts: str = "ts", min_points: int = 10, chunk="spread") -> DataFrame:
     """Points beyond the 5th and 95th percentile and the hours they stand for."""
     k, x, t = cols(keys), F.col(value), epoch(ts)
     size = df.groupBy(*k).agg(F.count(value).alias("_n"), F.count(F.lit(1)).alias("_slots"),
                               F.floor((F.max(t) - F.min(t)) / 3600e6).alias("_h"))
-    q = exact_quantiles(df, k, value, {"_p5": 0.05, "_p95": 0.95})
+    q = exact_quantiles(df, k, value, {"_p5": 0.05, "_p95": 0.95}, chunk=chunk)
     d = df.join(q, k)
     hits = d.groupBy(*k).agg(F.count_if(x > F.col("_p95")).alias("_hi"), F.count_if(x < F.col("_p5")).alias("_lo"))
     many = F.col("_n") > min_points

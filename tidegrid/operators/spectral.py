@@ -173,5 +173,9 @@ def coherence(df: DataFrame, x: str, y: str, scales: Sequence[float], half: int,
 
 
 def explode_block(df: DataFrame, keys, name: str) -> DataFrame:
-    """One row per array element with its position."""
-    return df.select(*cols(keys), F.posexplode(name).alias("pos", name))
+    """One row per array element with its position.
+
+    The outer form keeps Catalyst from copying the array's whole expression into
+    an inferred not-empty filter; complete blocks are never empty.
+    """
+    return df.select(*cols(keys), F.posexplode_outer(name).alias("pos", name))

@@ -75,7 +75,7 @@ STATS = "mean std min max skewness kurtosis p5 p25 p50 p75 p95 mad iqr entropy"
        e AS (SELECT signal, -sum(c / n * ln(c / n)) AS entropy FROM b GROUP BY signal)
        SELECT s.*, mad, p75 - p25 AS iqr, entropy FROM s JOIN m USING (signal) JOIN e USING (signal)""")
 def _(v):
-    return oa.ext_stats(v.readings_n, "value", "signal")
+    return oa.ext_stats(v.readings_n, "value", "signal", chunk=v.split("signal"))
 
 
 @query("G-08", "agg_block_stats", views="readings", r="mean std range cv energy",
@@ -149,7 +149,7 @@ def _(v):
        sql="""SELECT entity, date_trunc('day', ts)::TIMESTAMP AS day, sum(CASE WHEN value > 15 THEN least(coalesce(nx - epoch_us(ts), 0), 86400000000) / 3600e6 ELSE 0 END) AS on_hours FROM (
        SELECT *, lead(epoch_us(ts)) OVER (PARTITION BY entity ORDER BY ts) AS nx FROM readings) GROUP BY ALL""")
 def _(v):
-    return oa.on_hours(v.readings.withColumn("on", F.col("value") > 15), "on", "entity")
+    return oa.on_hours(v.readings.withColumn("on", F.col("value") > 15), "on", "entity", chunk=v.split("entity"))
 
 
 @query("G-19", "agg_hour_profile", views="readings", r="mean", i="hour n",
@@ -161,7 +161,7 @@ def _(v):
 @query("G-20", "agg_by_state", views="lines", r="q25 q50 q75 mean", i="n",
        sql="""SELECT status, line, quantile_cont(light, 0.25) AS q25, quantile_cont(light, 0.5) AS q50, quantile_cont(light, 0.75) AS q75, avg(light) AS mean, count(*) AS n FROM lines GROUP BY ALL""")
 def _(v):
-    return oa.by_state(v.lines, "light", ["status", "line"])
+    return oa.by_state(v.lines, "light", ["status", "line"], chunk=v.split("status", "line", of="lines"))
 
 
 @query("G-21", "agg_corr_matrix", views="climate", r="corr", digits=5,
@@ -196,7 +196,7 @@ def _(v):
        sql="""SELECT algorithm, avg(f1) AS mean, stddev_pop(f1) AS std, median(f1) AS median, quantile_cont(f1, 0.75) - quantile_cont(f1, 0.25) AS iqr, min(f1) AS min, max(f1) AS max, count(f1) AS n
        FROM solutions GROUP BY algorithm""")
 def _(v):
-    return oa.summarize_runs(v.solutions, "f1", "algorithm")
+    return oa.summarize_runs(v.solutions, "f1", "algorithm", chunk=v.split("algorithm", of="solutions"))
 
 
 @query("G-26", "agg_runs", views="solutions", r="f1_mean f1_std f2_mean f2_std", i="runs",
@@ -233,7 +233,7 @@ def _(v):
 @query("W-22", "agg_change_stats", views="readings", r="mean_change std_change",
        sql="""SELECT entity, signal, avg(d) AS mean_change, stddev(d) AS std_change FROM (SELECT entity, signal, value - lag(value) OVER (PARTITION BY entity, signal ORDER BY ts) AS d FROM readings) GROUP BY ALL""")
 def _(v):
-    return oa.change_stats(v.readings, "value", ["entity", "signal"])
+    return oa.change_stats(v.readings, "value", ["entity", "signal"], chunk=v.split("entity", "signal"))
 
 
 @query("W-27", "agg_day_total", views="lines", r="day_total",
@@ -251,7 +251,7 @@ def _(v):
 @query("L-05", "agg_cheapest_quartile", views="price", r="price",
        sql="SELECT hour, price FROM price WHERE price <= (SELECT quantile_cont(price, 0.25) FROM price)")
 def _(v):
-    return oa.cheapest_quartile(v.price, "price")
+    return oa.cheapest_quartile(v.price, "price", chunk=None)
 
 
 @query("U-01,U-02,U-05", "agg_union_levels", views="readings", r="value", i="entity n",

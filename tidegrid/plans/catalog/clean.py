@@ -91,8 +91,8 @@ QUARTILES = """q AS (SELECT signal, quantile_cont(value, 0.25) AS q1, quantile_c
        FROM readings_n JOIN q USING (signal)""")
 def _(v):
     d = v.readings_n.select("event_id", "signal", F.col("value").alias("nulled"), F.col("value").alias("clipped"))
-    d = oc.iqr_outliers(d, "nulled", "signal")
-    return oc.iqr_outliers(d, "clipped", "signal", strategy="clip").select("event_id", "nulled", "clipped")
+    d = oc.iqr_outliers(d, "nulled", "signal", chunk=v.split("signal"))
+    return oc.iqr_outliers(d, "clipped", "signal", strategy="clip", chunk=v.split("signal")).select("event_id", "nulled", "clipped")
 
 
 @query("C-11", "clean_rolling_z", views="readings_n",
@@ -114,14 +114,14 @@ def _(v):
     R = oc.OutlierRule
     d = v.readings_n.withColumn("mad", F.col("value"))
     rules = [R("value", "domain", low=0.0, high=200.0), R("value", "iqr", factor=2.0), R("mad", "mad", factor=3.0)]
-    return oc.apply_outlier_rules(d, rules, "signal").select("event_id", "value", "mad")
+    return oc.apply_outlier_rules(d, rules, "signal", chunk=v.split("signal")).select("event_id", "value", "mad")
 
 
 @query("C-15", "clean_winsorize", views="readings_n", r="value",
        sql="""WITH q AS (SELECT signal, quantile_cont(value, 0.05) AS lo, quantile_cont(value, 0.95) AS hi FROM readings_n GROUP BY signal)
        SELECT event_id, CASE WHEN value IS NOT NULL THEN least(greatest(value, lo), hi) END AS value FROM readings_n JOIN q USING (signal)""")
 def _(v):
-    return oc.apply_outlier_rules(v.readings_n, [oc.OutlierRule("value", "winsorize")], "signal").select("event_id", "value")
+    return oc.apply_outlier_rules(v.readings_n, [oc.OutlierRule("value", "winsorize")], "signal", chunk=v.split("signal")).select("event_id", "value")
 
 
 @query("C-14", "clean_suggest_bounds", views="lines", r="low high",
@@ -131,7 +131,7 @@ def _(v):
        SELECT "column", greatest(least(p01, p25 - 1.5 * (p75 - p25)), lo, CASE WHEN "column" = 'temp' THEN 5 ELSE -1e300 END) AS low,
        least(greatest(p99, p75 + 1.5 * (p75 - p25)), hi, CASE WHEN "column" = 'temp' THEN 45 ELSE 1e300 END) AS high FROM q""")
 def _(v):
-    return oc.suggest_bounds(v.lines, ["temp", "light"], {"temp": (5.0, 45.0)})
+    return oc.suggest_bounds(v.lines, ["temp", "light"], {"temp": (5.0, 45.0)}, chunk=v.spread(of="lines"))
 
 
 @query("C-16,C-17", "clean_recode", views="readings",
@@ -202,7 +202,7 @@ def _(v):
        sql="""SELECT event_id, CASE WHEN value BETWEEN 1 AND 90 AND coalesce(abs(value - lag(value) OVER (PARTITION BY entity, signal ORDER BY ts)) <= 30, TRUE)
        THEN value END AS value FROM readings""")
 def _(v):
-    return oc.physics_check(v.readings, "value", ["entity", "signal"], 1.0, 90.0, 30.0).select("event_id", "value")
+    return oc.physics_check(v.readings, "value", ["entity", "signal"], 1.0, 90.0, 30.0, chunk=v.split("entity", "signal")).select("event_id", "value")
 
 
 @query("C-29,C-32", "clean_availability_flags", views="wide",

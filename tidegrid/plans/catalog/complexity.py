@@ -26,7 +26,7 @@ def _cov(y):
        SELECT entity, r1 AS acf1, r2 AS acf2, r3 AS acf3, p2 AS pacf2, (r3 - (r1 - p2 * r1) * r2 - p2 * r1) / (1 - (r1 - p2 * r1) * r1 - p2 * r2) AS pacf3,
        CASE WHEN r1 <= 0 THEN 1 WHEN r2 <= 0 THEN 2 WHEN r3 <= 0 THEN 3 END AS zero_lag FROM p""")
 def _(v):
-    d = cx.pacf(cx.acf(v.climate, "temp", 3, "entity", chunk=HALF))
+    d = cx.pacf(cx.acf(v.climate, "temp", 3, "entity", chunk=None))
     return d.select("entity", *[F.col("acf")[k].alias(f"acf{k}") for k in (1, 2, 3)], *[F.col("pacf")[k].alias(f"pacf{k}") for k in (2, 3)], "zero_lag")
 
 
@@ -47,7 +47,7 @@ def _(v):
        a AS (SELECT *, sum(p) OVER (PARTITION BY entity, i) AS px, sum(p) OVER (PARTITION BY entity, j) AS py FROM j)
        SELECT entity, sum(p * log2(p / (px * py))) AS mutual_info FROM a GROUP BY entity""")
 def _(v):
-    return cx.delayed_mutual_info(v.climate, "temp", "light", 2, 8, "entity", chunk=HALF)
+    return cx.delayed_mutual_info(v.climate, "temp", "light", 2, 8, "entity", chunk=None)
 
 
 @query("X-05", "complexity_shannon", views="readings", r="entropy",
@@ -98,7 +98,7 @@ def _(v):
        k AS (SELECT entity, ((b < a)::INT + (c < a)::INT, (a < b)::INT + (c < b)::INT, (a < c)::INT + (b < c)::INT) AS pat, count(*) AS n FROM l WHERE c IS NOT NULL GROUP BY ALL),
        q AS (SELECT entity, n / sum(n) OVER (PARTITION BY entity) AS p FROM k) SELECT entity, -sum(p * log2(p)) / log2(6) AS permutation_entropy FROM q GROUP BY entity""")
 def _(v):
-    return cx.permutation_entropy(v.climate, "temp", 3, "entity", chunk=HALF)
+    return cx.permutation_entropy(v.climate, "temp", 3, "entity", chunk=None)
 
 
 @query("X-09", "complexity_higuchi", views="climate", r="fractal_dimension", digits=5,
@@ -107,7 +107,7 @@ def _(v):
        c AS (SELECT entity, k, i % k AS m, sum(d) * (any_value(n) - 1) / (count(*) * k * k) AS l FROM l WHERE d IS NOT NULL GROUP BY entity, k, i % k), g AS (SELECT entity, k, avg(l) AS l FROM c GROUP BY ALL)
        SELECT entity, regr_slope(ln(l), ln(1 / k)) AS fractal_dimension FROM g WHERE l > 0 GROUP BY entity""")
 def _(v):
-    return cx.higuchi(v.climate, "temp", 5, "entity", chunk=HALF)
+    return cx.higuchi(v.climate, "temp", 5, "entity", chunk=None)
 
 
 @query("X-10", "complexity_lempel_ziv", views="readings")
@@ -181,13 +181,13 @@ def _(v):
 
 @query("X-14", "wavelet_coherence", views="climate")
 def _(v):
-    return spx.coherence(v.climate.select("entity", "ts", "temp", "light"), "temp", "light", [2.0, 4.0], 4, "entity", chunk=HALF)
+    return spx.coherence(v.climate.select("entity", "ts", "temp", "light"), "temp", "light", [2.0, 4.0], 4, "entity", chunk=None)
 
 
 @query("X-15", "features_minimal", views="readings", r="sum mean std var rms max abs_max min median", i="length", digits=5,
        sql="""SELECT entity, sum(value) AS sum, avg(value) AS mean, count(value) AS length, stddev_pop(value) AS std, var_pop(value) AS var, sqrt(avg(value * value)) AS rms, max(value) AS max, max(abs(value)) AS abs_max, min(value) AS min, median(value) AS median FROM readings GROUP BY entity""")
 def _(v):
-    return ft.minimal(v.readings, "value", "entity")
+    return ft.minimal(v.readings, "value", "entity", chunk=v.split("entity"))
 
 
 SERIES = """s AS (SELECT entity, ts, value AS v, avg(value) OVER (PARTITION BY entity) AS mean, stddev_pop(value) OVER (PARTITION BY entity) AS std, count(*) OVER (PARTITION BY entity) AS n, row_number() OVER w AS i,
@@ -211,7 +211,7 @@ COUNTS = "count_above_mean count_below_mean longest_strike_above_mean longest_st
 @query("X-16", "features_efficient", views="readings", r=" ".join(n for n in DUCK if n not in COUNTS.split()), i=COUNTS, digits=3,
        sql=f"WITH {SERIES} SELECT entity, " + ", ".join(f"{e} AS {n}" for n, e in DUCK.items()) + " FROM f GROUP BY entity")
 def _(v):
-    return ft.extract(v.readings, "value", "entity", ft.EFFICIENT)
+    return ft.extract(v.readings, "value", "entity", ft.EFFICIENT, chunk=v.split("entity"))
 
 
 @query("X-16", "features_duplicates", views="readings", r="reoccurring_values reoccurring_points distinct_share sum_of_reoccurring_values",
@@ -224,7 +224,7 @@ def _(v):
 @query("X-16", "features_energy_chunks", views="readings", r="energy_share", i="part",
        sql="""SELECT entity, floor((i - 1) * 5 / n) AS part, sum(v * v) / any_value(e) AS energy_share FROM (SELECT entity, value AS v, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i, count(*) OVER (PARTITION BY entity) AS n, sum(value * value) OVER (PARTITION BY entity) AS e FROM readings) GROUP BY 1, 2""")
 def _(v):
-    return ft.energy_chunks(v.readings, "value", "entity", 5)
+    return ft.energy_chunks(v.readings, "value", "entity", 5, chunk=v.split("entity"))
 
 
 @query("X-16", "features_counts", views="readings", i="range_0 range_1 value_0",
@@ -237,7 +237,7 @@ def _(v):
        sql=f"""SELECT entity, count(*) FILTER (nl = 3 AND nr = 3 AND temp > ml AND temp > mr) AS peaks_3 FROM (SELECT entity, temp, count(*) OVER l AS nl, count(*) OVER r AS nr, max(temp) OVER l AS ml, max(temp) OVER r AS mr FROM climate
        WINDOW l AS ({WIN} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), r AS ({WIN} ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) GROUP BY entity""")
 def _(v):
-    return ft.support_peaks(v.climate, "temp", 3, "entity", chunk=HALF)
+    return ft.support_peaks(v.climate, "temp", 3, "entity", chunk=None)
 
 
 @query("X-17", "features_profiled", views="readings", r="value", digits=3,
@@ -245,7 +245,7 @@ def _(v):
        {SERIES.replace('entity', 'signal').replace('FROM readings', "FROM (SELECT * FROM readings WHERE signal = 'click')")}, e AS (SELECT signal, {', '.join(f'({x})::DOUBLE AS {n}' for n, x in DUCK.items())} FROM f GROUP BY signal)
        SELECT signal, feature, value FROM (UNPIVOT m ON COLUMNS(* EXCLUDE signal) INTO NAME feature VALUE value) UNION ALL SELECT signal, feature, value FROM (UNPIVOT e ON COLUMNS(* EXCLUDE signal) INTO NAME feature VALUE value)""")
 def _(v):
-    return ft.extract_profiled(v.readings, "value", (), "signal", ["click"])
+    return ft.extract_profiled(v.readings, "value", (), "signal", ["click"], chunk=v.split("signal"))
 
 
 @query("X-18", "features_impute_matrix", views="wide", r="click error",

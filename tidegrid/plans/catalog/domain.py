@@ -11,8 +11,9 @@ from ...operators import growth as og
 from ...operators import stress as os_
 from ..registry import query
 
-# the climate view has one row per entity and day; half-year chunks keep a few rows per chunk
-HALF = "182 days"
+# the climate view has one row per entity and day, so rows per key are bounded by the span;
+# a few queries split it all the same, into half years, to keep that path checked
+GRID, HALF = None, "182 days"
 WIN = "PARTITION BY entity ORDER BY ts"
 
 
@@ -31,7 +32,7 @@ def full(expr, n, name):
        sql="""SELECT entity, date_trunc('day', ts)::TIMESTAMP AS day, sum(coalesce(greatest(value, 0), 0) * coalesce((epoch_us(ts) - epoch_us(p)) / 1e6, 0) / 1e6) AS dli
        FROM (SELECT *, lag(ts) OVER (PARTITION BY entity ORDER BY ts) AS p FROM readings_n) GROUP BY ALL""")
 def _(v):
-    return og.dli(v.readings_n, "value", "entity")
+    return og.dli(v.readings_n, "value", "entity", chunk=v.split("entity"))
 
 
 @query("D-02", "growth_gdd_daily", views="readings_n", r="gdd_daily gdd_cumulative",
@@ -126,7 +127,7 @@ def _(v):
        sql="""SELECT entity, sum(value * (epoch_us(ts) - coalesce(epoch_us(p), 2 * epoch_us(ts) - epoch_us(n))) / 1e6) / 3600 AS integral FROM (SELECT *, lag(ts) OVER q AS p, lead(ts) OVER q AS n FROM readings
        WINDOW q AS (PARTITION BY entity ORDER BY ts)) GROUP BY entity""")
 def _(v):
-    return og.total_integral(v.readings, "value", "entity", 1 / 3600)
+    return og.total_integral(v.readings, "value", "entity", 1 / 3600, chunk=v.split("entity"))
 
 
 @query("D-28", "control_setpoint", views="climate", r="mad in_range_pct",
@@ -150,7 +151,7 @@ def _(v):
 @query("D-11", "stress_counts", views="climate", i="above_0 above_1",
        sql=f"SELECT entity, ts, {full('count(*) FILTER (temp > 20) OVER w', 14, 'above_0')}, {full('count(*) FILTER (temp > 35) OVER w', 14, 'above_1')} FROM climate {fwd(14)}")
 def _(v):
-    return os_.counts_above(v.climate, "temp", [20, 35], 14, "entity", chunk=HALF).select("entity", "ts", "above_0", "above_1")
+    return os_.counts_above(v.climate, "temp", [20, 35], 14, "entity", chunk=GRID).select("entity", "ts", "above_0", "above_1")
 
 
 @query("D-12,D-13", "stress_windows", views="climate", r="vpd_integral hot_hours cold_hours dim_hours bright_hours co2_low_integral", i="co2_low_count",
@@ -174,7 +175,7 @@ def _(v):
        sql="""SELECT event_id, i - coalesce(max(CASE WHEN value > 30 THEN i END) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING), 0) AS recovery_hours
        FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts) AS i FROM readings)""")
 def _(v):
-    return os_.recovery_hours(v.readings, F.col("value") > 30, "entity").select("event_id", "recovery_hours")
+    return os_.recovery_hours(v.readings, F.col("value") > 30, "entity", chunk=v.split("entity")).select("event_id", "recovery_hours")
 
 
 @query("D-16", "stress_clusters", views="climate", r="cluster_hours", i="cluster_count",
@@ -182,13 +183,13 @@ def _(v):
        c AS (SELECT entity, ts, count(*) OVER w AS n, count(*) FILTER (s) OVER w AS t, count(*) FILTER (s AND NOT p) OVER w + (s AND p)::INT AS k FROM f {fwd(20)})
        SELECT entity, ts, CASE WHEN n = 20 THEN k END AS cluster_count, CASE WHEN n = 20 THEN CASE WHEN k > 0 THEN t / k ELSE 0 END END AS cluster_hours FROM c""")
 def _(v):
-    return os_.clusters(v.climate, F.col("temp") > 30, 20, "entity", chunk=HALF).select("entity", "ts", "cluster_count", "cluster_hours")
+    return os_.clusters(v.climate, F.col("temp") > 30, 20, "entity", chunk=GRID).select("entity", "ts", "cluster_count", "cluster_hours")
 
 
 @query("D-17", "stress_rapid", views="climate", r="humidity_stress_hours", i="rapid_changes",
        sql=f"""SELECT entity, count(*) FILTER (abs(temp - l) > 10) AS rapid_changes, count(*) FILTER (rh < 50 OR rh > 80) * 24 AS humidity_stress_hours FROM (SELECT *, lag(temp, 5) OVER ({WIN}) AS l FROM climate) GROUP BY entity""")
 def _(v):
-    return os_.rapid_changes(v.climate, "temp", "rh", "entity", 5, max_change=10.0, dry=50.0, step_h=24.0, chunk=HALF)
+    return os_.rapid_changes(v.climate, "temp", "rh", "entity", 5, max_change=10.0, dry=50.0, step_h=24.0, chunk=GRID)
 
 
 @query("D-17,D-26", "stress_share_hours", views="readings_n", r="stress_hours",
@@ -203,12 +204,12 @@ def _(v):
 @query("D-18", "actuator_edges", views="readings_n", i="edges",
        sql="SELECT entity, count(*) FILTER (p <> o) AS edges FROM (SELECT entity, value > 20 AS o, lag(value > 20) OVER (PARTITION BY entity ORDER BY ts) AS p FROM readings_n WHERE value IS NOT NULL) GROUP BY entity")
 def _(v):
-    return oa.edge_count(v.readings_n, "value", 20.0, "entity")
+    return oa.edge_count(v.readings_n, "value", 20.0, "entity", chunk=v.split("entity"))
 
 
 @query("D-19", "actuator_duty", views="climate", r="duty_cycle", sql=f"SELECT entity, ts, {full('count(*) FILTER (temp > 25) OVER w / 12 * 100', 12, 'duty_cycle')} FROM climate {fwd(12)}")
 def _(v):
-    return oa.duty_cycle(v.climate, "temp", 25.0, 12, "entity", chunk=HALF).select("entity", "ts", "duty_cycle")
+    return oa.duty_cycle(v.climate, "temp", 25.0, 12, "entity", chunk=GRID).select("entity", "ts", "duty_cycle")
 
 
 @query("D-20", "actuator_overshoot", views="lines", r="overshoot undershoot",
@@ -221,7 +222,7 @@ def _(v):
 @query("D-21", "actuator_settled", views="climate", r="settled",
        sql=f"SELECT entity, ts, {full('CASE WHEN greatest(max(temp) OVER w - 25, 25 - min(temp) OVER w) <= 25 * 60 / 100.0 THEN 1 ELSE 0 END', 4, 'settled')} FROM climate {fwd(4)}")
 def _(v):
-    return oa.settled(v.climate.withColumn("sp", F.lit(25.0)), "temp", "sp", 60.0, 4, "entity", chunk=HALF).select("entity", "ts", "settled")
+    return oa.settled(v.climate.withColumn("sp", F.lit(25.0)), "temp", "sp", 60.0, 4, "entity", chunk=GRID).select("entity", "ts", "settled")
 
 
 @query("D-22", "actuator_effort", views="climate", r="effort",
@@ -234,27 +235,27 @@ def _(v):
 @query("D-23", "actuator_sync", views="climate", r="sync", digits=4,
        sql=f"SELECT entity, ts, {full('CASE WHEN var_pop(temp) OVER w * var_pop(light) OVER w <= 1e-18 THEN 0 ELSE corr(temp, light) OVER w END', 15, 'sync')} FROM climate {fwd(15)}")
 def _(v):
-    return oa.synchronisation(v.climate, "temp", "light", 15, "entity", chunk=HALF).select("entity", "ts", "sync")
+    return oa.synchronisation(v.climate, "temp", "light", 15, "entity", chunk=GRID).select("entity", "ts", "sync")
 
 
 @query("D-24", "actuator_oscillations", views="climate", i="oscillations",
        sql=f"""SELECT entity, count(*) FILTER (abs(a) > 5 AND abs(b) > 5 AND sign(a) <> sign(b)) AS oscillations FROM (SELECT entity, lead(temp) OVER q - 2 * temp + lag(temp) OVER q AS b, temp - 2 * lag(temp) OVER q + lag(temp, 2) OVER q AS a FROM climate WINDOW q AS ({WIN})) GROUP BY entity""")
 def _(v):
-    return oa.oscillations(v.climate, "temp", 5.0, "entity", chunk=HALF)
+    return oa.oscillations(v.climate, "temp", 5.0, "entity", chunk=GRID)
 
 
 @query("D-25", "actuator_daily", views="readings", r="value_avg absent_avg value_on_hours", i="value_changes",
        sql="""SELECT entity, date_trunc('day', ts)::TIMESTAMP AS day, avg(value) AS value_avg, NULL::DOUBLE AS absent_avg, count(*) FILTER (value <> p) AS value_changes, coalesce(sum(CASE WHEN value > 20 THEN (epoch_us(n) - epoch_us(ts)) / 3600e6 END), 0) AS value_on_hours
        FROM (SELECT *, lag(value) OVER q AS p, lead(ts) OVER q AS n FROM readings WINDOW q AS (PARTITION BY entity ORDER BY ts)) GROUP BY ALL""")
 def _(v):
-    return oa.daily_summary(v.readings, "entity", ["value", "absent"], ["value"], {"value": 20.0})
+    return oa.daily_summary(v.readings, "entity", ["value", "absent"], ["value"], {"value": 20.0}, chunk=v.split("entity"))
 
 
 @query("D-26", "actuator_movements", views="wide", i="movements",
        sql="""WITH l AS (SELECT entity, hour, s, x FROM (UNPIVOT wide ON click, error INTO NAME s VALUE x))
        SELECT entity, count(*) FILTER (abs(x - p) > 5) AS movements FROM (SELECT *, lag(x) OVER (PARTITION BY entity, s ORDER BY hour) AS p FROM l) GROUP BY entity""")
 def _(v):
-    return oa.movements(v.wide, ["click", "error"], "entity", "hour")
+    return oa.movements(v.wide, ["click", "error"], "entity", "hour", chunk=None)
 
 
 @query("D-26", "actuator_active_hours", views="wide", r="active_hours",
@@ -293,7 +294,7 @@ LAGS = range(4)
        sql="WITH l AS (SELECT entity, out_temp, " + ", ".join(f"lead(temp, {k}) OVER ({WIN}) AS y{k}" for k in LAGS) + " FROM climate), r AS (" + " UNION ALL ".join(
            f"SELECT entity, {k} AS lag, corr(y{k}, out_temp) AS corr FROM l GROUP BY entity" for k in LAGS) + ") SELECT entity, arg_max(lag, (corr, -lag)) AS lag, max(corr) AS corr FROM r GROUP BY entity")
 def _(v):
-    return oc.best_lag(v.climate, "out_temp", "temp", 3, "entity", chunk=HALF)
+    return oc.best_lag(v.climate, "out_temp", "temp", 3, "entity", chunk=GRID)
 
 
 @query("D-34", "coupling_rolling_lag", views="climate", r="corr", digits=4,
@@ -301,20 +302,20 @@ def _(v):
        r AS (SELECT entity, ts, count(y3) OVER w AS n, {', '.join(f'corr(y{k}, out_temp) OVER w AS r{k}' for k in LAGS)} FROM l {fwd(20)})
        SELECT entity, ts, CASE WHEN n = 20 THEN greatest(r0, r1, r2, r3) END AS corr FROM r""")
 def _(v):
-    return oc.rolling_lag(v.climate, "out_temp", "temp", 3, 20, "entity", chunk=HALF).select("entity", "ts", "corr")
+    return oc.rolling_lag(v.climate, "out_temp", "temp", 3, 20, "entity", chunk=GRID).select("entity", "ts", "corr")
 
 
 @query("D-30", "coupling_slope", views="climate", r="slope", digits=3,
        sql=f"""SELECT entity, ts, {full('CASE WHEN count(x) OVER w > 10 THEN regr_slope(y, x) OVER w ELSE 0 END', 24, 'slope')} FROM (SELECT entity, ts, CASE WHEN abs(temp - out_temp) > 5 THEN temp - out_temp END AS x, CASE WHEN abs(temp - out_temp) > 5 THEN power END AS y FROM climate) {fwd(24)}""")
 def _(v):
-    return oc.thermal_slope(v.climate, "temp", "out_temp", "power", 24, "entity", min_diff=5.0, chunk=HALF).select("entity", "ts", "slope")
+    return oc.thermal_slope(v.climate, "temp", "out_temp", "power", 24, "entity", min_diff=5.0, chunk=GRID).select("entity", "ts", "slope")
 
 
 @query("D-31", "coupling_radiation_gain", views="climate", r="radiation_gain shgc",
        sql=f"""SELECT entity, ts, CASE WHEN nx IS NOT NULL THEN CASE WHEN light > 50 AND nx > temp THEN least(500 * (nx - temp) / (light * 20 * 3.6), 1) ELSE 0 END END AS radiation_gain,
        CASE WHEN light > 100 AND wind > 0 THEN least(500 * wind / (light * 20 * 3.6), 0.87) ELSE 0.4 END * (1 - 0.8 * rh / 100) AS shgc FROM (SELECT *, lead(temp) OVER ({WIN}) AS nx FROM climate)""")
 def _(v):
-    d = oc.radiation_gain(v.climate, "light", "temp", 20.0, 500.0, "entity", chunk=HALF)
+    d = oc.radiation_gain(v.climate, "light", "temp", 20.0, 500.0, "entity", chunk=GRID)
     return d.select("entity", "ts", "radiation_gain", oc.shgc("light", "wind", "rh", 500.0, 20.0).alias("shgc"))
 
 
@@ -339,13 +340,13 @@ def _(v):
        sql=f"""SELECT entity, ts, {full('CASE WHEN count(s) OVER w > 5 AND sum(s) OVER w > 0 THEN sum(l) OVER w / sum(s) OVER w ELSE 3 END', 12, 'u_value')} FROM (SELECT entity, ts, CASE WHEN light * 0.1 * 0.7 < 50 AND abs(temp - out_temp) > 2 THEN power * 1000 END AS l,
        CASE WHEN light * 0.1 * 0.7 < 50 AND abs(temp - out_temp) > 2 THEN (temp - out_temp) * 200 END AS s FROM climate) {fwd(12)}""")
 def _(v):
-    return oc.u_value(v.climate, "temp", "out_temp", "power", "light", 200.0, 0.1, 12, "entity", chunk=HALF).select("entity", "ts", "u_value")
+    return oc.u_value(v.climate, "temp", "out_temp", "power", "light", 200.0, 0.1, 12, "entity", chunk=GRID).select("entity", "ts", "u_value")
 
 
 @query("D-36", "coupling_simple", views="climate", r="light_temp co2_temp thermal_inertia", digits=5,
        sql=f"""SELECT entity, coalesce(corr(light, temp), 0) AS light_temp, covar_pop(co2, temp) AS co2_temp, 1 / (1 + coalesce(max(abs(temp - l) / 60), 0)) AS thermal_inertia FROM (SELECT *, lag(temp, 60) OVER ({WIN}) AS l FROM climate) GROUP BY entity""")
 def _(v):
-    return oc.simple_coupling(v.climate, "light", "temp", "co2", "entity", chunk=HALF)
+    return oc.simple_coupling(v.climate, "light", "temp", "co2", "entity", chunk=GRID)
 
 
 # ------------------------------------------------------------------------- energy
@@ -362,20 +363,20 @@ for _rule, _test in (("p75", "price > quantile_cont(price, 0.75) OVER (PARTITION
            sql=f"""WITH {SPOT}, m AS (SELECT *, {_test} AS pk FROM spot) SELECT entity, sum(power * price) AS cost_weighted, CASE WHEN sum(power) FILTER (NOT pk) > 0 THEN coalesce(sum(power) FILTER (pk), 0) / sum(power) FILTER (NOT pk) ELSE 999 END AS peak_ratio_sum,
            coalesce(avg(power) FILTER (pk) / (avg(power) FILTER (NOT pk) + 1e-8), 1) AS peak_ratio_mean, coalesce(sum(power) / nullif(sum(power * price), 0), 0) AS efficiency, sum(power * price) / 480 AS cost_per_degree_hour FROM m GROUP BY entity""")
     def _(v, rule=_rule):
-        return oe.energy_features(oe.mark_peaks(spot(v), "price", "entity", rule), "power", "price", "is_peak", "entity")
+        return oe.energy_features(oe.mark_peaks(spot(v), "price", "entity", rule, chunk=None), "power", "price", "is_peak", "entity")
 
 
 @query("D-37", "energy_load_shift", views="wide price", r="shift_saving",
        sql=f"""WITH {SPOT}, q AS (SELECT entity, quantile_cont(price, 0.25) AS q FROM spot GROUP BY entity) SELECT entity, (avg(price) - avg(price) FILTER (price <= q)) * avg(power) AS shift_saving FROM spot JOIN q USING (entity) GROUP BY entity""")
 def _(v):
-    return oe.load_shift(spot(v), "power", "price", "entity")
+    return oe.load_shift(spot(v), "power", "price", "entity", chunk=None)
 
 
 @query("D-37", "energy_until_cheap", views="price", r="hours_until_cheap",
        sql="""SELECT hour, CASE WHEN price <= q THEN 0 ELSE (nx - epoch_us(hour)) / 3600e6 END AS hours_until_cheap FROM (SELECT *, min(CASE WHEN price < q THEN epoch_us(hour) END) OVER (ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nx
        FROM price, (SELECT quantile_cont(price, 0.25) AS q FROM price))""")
 def _(v):
-    return oe.hours_until_cheap(v.price, "price", ()).select("hour", "hours_until_cheap")
+    return oe.hours_until_cheap(v.price, "price", (), chunk=None).select("hour", "hours_until_cheap")
 
 
 @query("D-38,D-39,D-40", "energy_windows", views="wide price", r="weighted_cost cost_efficiency peak_ratio tou_score roi", digits=4,
@@ -385,7 +386,7 @@ def _(v):
        CASE WHEN n = 8 THEN CASE WHEN t * hi > t * lo THEN 1 - (c - t * lo) / (t * hi - t * lo) ELSE 1 END END AS tou_score, CASE WHEN n = 8 THEN CASE WHEN c + oth > 0 THEN (made - c - oth) / (c + oth) ELSE 0 END END AS roi FROM a""")
 def _(v):
     d = spot(v).withColumns({"made": F.lit(10.0), "other": F.lit(1.0)})
-    out = oe.cost_windows(d, 8, "entity", energy="power", price="price", output="made", other="other", hour=F.hour("hour"))
+    out = oe.cost_windows(d, 8, "entity", energy="power", price="price", output="made", other="other", hour=F.hour("hour"), chunk=None)
     return out.select("entity", "hour", "weighted_cost", "cost_efficiency", "peak_ratio", "tou_score", "roi")
 
 
@@ -401,7 +402,7 @@ def _(v):
        sql="""WITH m AS (SELECT w.*, p.price > (SELECT quantile_cont(price, 0.75) FROM (SELECT price FROM wide JOIN price USING (hour))) AS pk FROM wide w JOIN price p USING (hour))
        SELECT entity, (coalesce(avg((click > 0.5)::INT) FILTER (pk), 0) + coalesce(avg((error > 0.5)::INT) FILTER (pk), 0)) / 2 AS peak_activity FROM m GROUP BY entity""")
 def _(v):
-    d = oe.mark_peaks(v.wide.join(v.price, "hour"), "price", (), "p75")
+    d = oe.mark_peaks(v.wide.join(v.price, "hour"), "price", (), "p75", chunk=v.split(of="wide"))
     return oe.peak_lamp_activity(d, ["click", "error"], "is_peak", "entity")
 
 

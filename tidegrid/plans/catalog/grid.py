@@ -75,8 +75,8 @@ def _(v):
        last_value(value IGNORE NULLS) OVER (PARTITION BY signal ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS limited FROM readings_n""")
 def _(v):
     d = v.readings_n.select("event_id", "signal", "ts", F.col("value").alias("unlimited"), F.col("value").alias("limited"))
-    d = og.ffill(d, "unlimited", "signal")
-    return og.ffill(d, "limited", "signal", limit=1).select("event_id", "unlimited", "limited")
+    d = og.ffill(d, "unlimited", "signal", chunk=v.split("signal"))
+    return og.ffill(d, "limited", "signal", limit=1, chunk=v.split("signal")).select("event_id", "unlimited", "limited")
 
 
 @query("I-07", "impute_bfill", views="readings_n", r="unlimited limited",
@@ -84,8 +84,8 @@ def _(v):
        first_value(value IGNORE NULLS) OVER (PARTITION BY signal ORDER BY ts ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS limited FROM readings_n""")
 def _(v):
     d = v.readings_n.select("event_id", "signal", "ts", F.col("value").alias("unlimited"), F.col("value").alias("limited"))
-    d = og.bfill(d, "unlimited", "signal")
-    return og.bfill(d, "limited", "signal", limit=1).select("event_id", "unlimited", "limited")
+    d = og.bfill(d, "unlimited", "signal", chunk=v.split("signal"))
+    return og.bfill(d, "limited", "signal", limit=1, chunk=v.split("signal")).select("event_id", "unlimited", "limited")
 
 
 @query("I-08", "impute_linear", views="readings_n", r="edges limited",
@@ -103,7 +103,7 @@ def _(v):
        first_value(value IGNORE NULLS) OVER z AS rv, first_value(CASE WHEN value IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER z AS rt FROM readings_n
        WINDOW w AS (PARTITION BY signal ORDER BY ts ROWS UNBOUNDED PRECEDING), z AS (PARTITION BY signal ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""")
 def _(v):
-    return og.interpolate(v.readings_n, "value", "signal", area="inside").select("event_id", "value")
+    return og.interpolate(v.readings_n, "value", "signal", area="inside", chunk=v.split("signal")).select("event_id", "value")
 
 
 @query("I-10", "impute_stat", views="readings_n", r="mean median mode zero",
@@ -116,7 +116,7 @@ def _(v):
     hows = ("mean", "median", "mode", "zero")
     d = v.readings_n.select("event_id", "signal", *[F.col("value").alias(h) for h in hows])
     for h in hows:
-        d = og.fill_stat(d, h, h, "signal")
+        d = og.fill_stat(d, h, h, "signal", chunk=v.split("signal"))
     return d.drop("signal")
 
 
@@ -126,8 +126,8 @@ def _(v):
        FROM wide WINDOW w AS (PARTITION BY entity ORDER BY hour ROWS UNBOUNDED PRECEDING), z AS (PARTITION BY entity ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""")
 def _(v):
     d = v.wide.select("entity", "hour", "click", "error", "view")
-    d = og.impute(d, {"error": {"how": "zero"}, "view": {"how": "ffill", "limit": 2}, "absent": {"how": "mean"}}, "entity", "hour")
-    return og.fill_both(d, "click", "entity", "hour", last_resort=0.0)
+    d = og.impute(d, {"error": {"how": "zero"}, "view": {"how": "ffill", "limit": 2}, "absent": {"how": "mean"}}, "entity", "hour", chunk=None)
+    return og.fill_both(d, "click", "entity", "hour", last_resort=0.0, chunk=None)
 
 
 @query("I-16,I-17", "impute_report", views="wide", i="filled remaining",
@@ -135,7 +135,7 @@ def _(v):
        WINDOW w AS (PARTITION BY entity ORDER BY hour ROWS UNBOUNDED PRECEDING), z AS (PARTITION BY entity ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
        SELECT 'click' AS "column", count(*) FILTER (click IS NULL AND filled IS NOT NULL) AS filled, count(*) FILTER (filled IS NULL) AS remaining FROM f""")
 def _(v):
-    return og.fill_report(v.wide, og.fill_both(v.wide, "click", "entity", "hour"), ["click"])
+    return og.fill_report(v.wide, og.fill_both(v.wide, "click", "entity", "hour", chunk=None), ["click"])
 
 
 @query("I-14", "impute_conservative", views="readings_n", r="value",
@@ -149,13 +149,13 @@ def _(v):
 @query("I-18", "grid_infer_step", views="readings", r="step_s",
        sql="""SELECT entity, median(g) AS step_s FROM (SELECT entity, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity ORDER BY ts))) / 1e6 AS g FROM readings) GROUP BY entity""")
 def _(v):
-    return og.infer_step(v.readings, "entity")
+    return og.infer_step(v.readings, "entity", chunk=v.split("entity"))
 
 
 @query("I-18", "grid_first_step", views="readings", r="step_s",
        sql="""SELECT entity, arg_min(g, ts) AS step_s FROM (SELECT entity, ts, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity ORDER BY ts))) / 1e6 AS g FROM readings) WHERE g IS NOT NULL GROUP BY entity""")
 def _(v):
-    return og.infer_step(v.readings, "entity", how="first")
+    return og.infer_step(v.readings, "entity", how="first", chunk=v.split("entity"))
 
 
 @query("I-19", "grid_multires", views="readings", r="mean", i="n",

@@ -49,7 +49,7 @@ QUOTES = "quotes AS (SELECT entity, ts, value AS quote FROM readings WHERE signa
 def _(v):
     a = v.readings.where("signal <> 'view'").select("event_id", "entity", "ts")
     q = v.readings.where("signal = 'view'").select("entity", "ts", F.col("value").alias("quote"))
-    return oj.asof_join(a, q, "entity", values=["quote"], matched_ts="quote_ts").select("event_id", "quote", "quote_ts")
+    return oj.asof_join(a, q, "entity", values=["quote"], matched_ts="quote_ts", chunk=v.split("entity")).select("event_id", "quote", "quote_ts")
 
 
 @query("J-05", "join_asof_ttl", views="readings", r="quote",
@@ -58,7 +58,7 @@ def _(v):
 def _(v):
     a = v.readings.where("signal <> 'view'").select("event_id", "entity", "ts")
     q = v.readings.where("signal = 'view'").select("entity", "ts", F.col("value").alias("quote"))
-    return oj.asof_join(a, q, "entity", values=["quote"], tolerance="12h").select("event_id", "quote")
+    return oj.asof_join(a, q, "entity", values=["quote"], tolerance="12h", chunk=v.split("entity")).select("event_id", "quote")
 
 
 @query("J-05", "join_asof_forward", views="readings", r="quote",
@@ -66,7 +66,7 @@ def _(v):
 def _(v):
     a = v.readings.where("signal <> 'view'").select("event_id", "entity", "ts")
     q = v.readings.where("signal = 'view'").select("entity", "ts", F.col("value").alias("quote"))
-    return oj.asof_join(a, q, "entity", values=["quote"], direction="forward").select("event_id", "quote")
+    return oj.asof_join(a, q, "entity", values=["quote"], direction="forward", chunk=v.split("entity")).select("event_id", "quote")
 
 
 @query("J-06,J-08", "join_era_progress", views="readings", r="progress", i="run",
@@ -96,7 +96,7 @@ def _(v):
     from ...operators import model as om
     from ...operators import segment as sg
 
-    parent = sg.island_stats(sg.label_islands(v.readings, "12h", "entity"), "entity").withColumnRenamed("segment_id", "era_id")
+    parent = sg.island_stats(sg.label_islands(v.readings, "12h", "entity", chunk=v.split("entity")), "entity", chunk=v.split("entity")).withColumnRenamed("segment_id", "era_id")
     hours = lambda d: d.withColumn("hours", (epoch("end_time") - epoch("start_time")) / 3600e6)
     d = oj.parent_era(hours(runs(v)), hours(parent), "entity", child_id=["entity", "run"], parent_cols=["era_id", "rows", "hours"])
     d = om.cross_level(d, {"rows": "parent_rows"}, durations=("hours", "parent_hours"))
@@ -162,7 +162,7 @@ def _(v):
 @query("J-15,W-19", "join_lagged", views="readings", r="value_lag_1 value_lag_4",
        sql="""SELECT event_id, lag(value, 1) OVER w AS value_lag_1, lag(value, 4) OVER w AS value_lag_4 FROM readings WINDOW w AS (PARTITION BY signal ORDER BY ts)""")
 def _(v):
-    return oj.lagged(v.readings, "value", [1, 4], "signal").select("event_id", "value_lag_1", "value_lag_4")
+    return oj.lagged(v.readings, "value", [1, 4], "signal", chunk=v.split("signal")).select("event_id", "value_lag_1", "value_lag_4")
 
 
 @query("J-14", "join_knn", r="c_acctbal",

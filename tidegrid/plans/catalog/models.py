@@ -50,14 +50,14 @@ def _(v):
 @query("M-10", "model_time_split", views="readings",
        sql="""SELECT event_id, CASE WHEN b < 0.7 THEN 'train' WHEN b < 0.85 THEN 'valid' ELSE 'test' END AS part FROM (SELECT event_id, (rank() OVER (ORDER BY ts) - 1) / count(*) OVER () AS b FROM readings)""")
 def _(v):
-    return om.time_split(v.readings, "ts").select("event_id", "part")
+    return om.time_split(v.readings, "ts", chunk=v.split(of="readings")).select("event_id", "part")
 
 
 @query("M-10", "model_folds", views="readings", i="fold rows",
        sql="""WITH b AS (SELECT event_id, floor((rank() OVER (ORDER BY ts) - 1) / count(*) OVER () * 5)::INT AS b FROM readings)
        SELECT fold, CASE WHEN b = fold THEN 'valid' ELSE 'train' END AS role, count(*) AS rows FROM b, generate_series(1, 4) g(fold) WHERE b <= fold GROUP BY ALL""")
 def _(v):
-    return om.expanding_folds(v.readings, 4, "ts").groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"))
+    return om.expanding_folds(v.readings, 4, "ts", chunk=v.split(of="readings")).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("M-13", "model_metrics", views="climate", r="rmse mae r2 mape r", i="n", digits=4,
@@ -75,7 +75,7 @@ def _(v):
 @query("M-16", "model_sequences", views="climate", r="first_temp last_rh", i="steps",
        sql="""SELECT entity, ts, 6 AS steps, lag(temp, 5) OVER w AS first_temp, rh AS last_rh FROM climate WINDOW w AS (PARTITION BY entity ORDER BY ts) QUALIFY count(*) OVER (PARTITION BY entity ORDER BY ts ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) = 6""")
 def _(v):
-    s = om.sequences(v.climate, ["temp", "rh"], 6, "entity", chunk="182 days")
+    s = om.sequences(v.climate, ["temp", "rh"], 6, "entity", chunk=None)
     return s.select("entity", "ts", F.size("sequence").alias("steps"), F.col("sequence")[0][0].alias("first_temp"), F.col("sequence")[5][1].alias("last_rh"))
 
 
@@ -96,14 +96,14 @@ def _(v):
 
 @query("M-10,M-11,M-15", "model_boosted", views="climate")
 def _(v):
-    d = om.time_split(v.climate, "ts")
+    d = om.time_split(v.climate, "ts", chunk=v.split(of="climate"))
     m = om.train_regressor(d, ["temp", "rh", "light", "n"], "power", part="part", rounds=5, depth=3)
     return om.metrics(om.score(m, d.where("part = 'test'")), "power", "prediction")
 
 
 @query("M-12,M-15", "model_forest", views="climate")
 def _(v):
-    d = om.time_split(v.climate, "ts")
+    d = om.time_split(v.climate, "ts", chunk=v.split(of="climate"))
     m = om.train_regressor(d, ["temp", "rh", "light", "n"], "power", part="part", kind="forest", rounds=10, scale="robust")
     return om.metrics(om.score(m, d.where("part = 'test'")), "power", "prediction")
 
@@ -122,13 +122,13 @@ def mins(v):
 @query("P-01,J-16", "pareto_front", views="solutions", r="a b",
        sql="""WITH m AS (SELECT algorithm, sol, f1 AS a, -f2 AS b FROM solutions) SELECT * FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.algorithm = x.algorithm AND y.a <= x.a AND y.b <= x.b AND (y.a < x.a OR y.b < x.b))""")
 def _(v):
-    return op.non_dominated(mins(v), "a", "b", "algorithm").select("algorithm", "sol", "a", "b")
+    return op.non_dominated(mins(v), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")).select("algorithm", "sol", "a", "b")
 
 
 @query("P-02", "pareto_hypervolume", views="solutions", r="hypervolume", i="points", digits=3,
        sql=f"""WITH {FRONT} SELECT algorithm, sum((1000 - a) * (coalesce(p, 0) - b)) AS hypervolume, count(*) AS points FROM (SELECT *, lag(b) OVER (PARTITION BY algorithm ORDER BY a) AS p FROM front WHERE a < 1000 AND b < 0) GROUP BY algorithm""")
 def _(v):
-    return op.hypervolume(mins(v), "a", "b", (1000.0, 0.0), "algorithm")
+    return op.hypervolume(mins(v), "a", "b", (1000.0, 0.0), "algorithm", chunk=v.split("algorithm", of="solutions"))
 
 
 SOME = FRONT.replace("FROM solutions)", "FROM solutions WHERE f2 <= 46)").replace("m AS", "m2 AS").replace("best AS", "best2 AS").replace("front AS", "fr AS").replace("FROM m ", "FROM m2 ").replace("FROM best)", "FROM best2)")
@@ -138,20 +138,20 @@ SOME = FRONT.replace("FROM solutions)", "FROM solutions WHERE f2 <= 46)").replac
        sql=f"""WITH {FRONT}, {SOME} SELECT algorithm, avg(d) AS igd_plus FROM (SELECT t.algorithm, t.a, t.b, min(sqrt(pow(greatest(f.a - t.a, 0), 2) + pow(greatest(f.b - t.b, 0), 2))) AS d FROM front t JOIN fr f USING (algorithm) GROUP BY ALL) GROUP BY algorithm""")
 def _(v):
     m = mins(v)
-    return op.igd_plus(op.front_points(m.where("b >= -46"), "a", "b", "algorithm"), op.front_points(m, "a", "b", "algorithm"), "a", "b", "algorithm")
+    return op.igd_plus(op.front_points(m.where("b >= -46"), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")), op.front_points(m, "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions"))
 
 
 @query("P-04", "pareto_epsilon", views="solutions", r="epsilon",
        sql=f"""WITH {FRONT}, {SOME} SELECT algorithm, max(e) AS epsilon FROM (SELECT t.algorithm, t.a, t.b, min(greatest(f.a - t.a, f.b - t.b)) AS e FROM front t JOIN fr f USING (algorithm) GROUP BY ALL) GROUP BY algorithm""")
 def _(v):
     m = mins(v)
-    return op.epsilon_indicator(op.front_points(m.where("b >= -46"), "a", "b", "algorithm"), op.front_points(m, "a", "b", "algorithm"), "a", "b", "algorithm")
+    return op.epsilon_indicator(op.front_points(m.where("b >= -46"), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")), op.front_points(m, "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions"))
 
 
 @query("P-05", "pareto_spacing", views="solutions", r="spacing",
-       sql=f"""WITH {FRONT} SELECT algorithm, coalesce(stddev_pop(d), 0) AS spacing FROM (SELECT x.algorithm, x.a, min(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) AS d FROM front x JOIN front y ON x.algorithm = y.algorithm AND x.a <> y.a GROUP BY ALL) GROUP BY algorithm""")
+       sql=f"""WITH {FRONT} SELECT algorithm, coalesce(stddev_pop(d), 0) AS spacing FROM (SELECT x.algorithm, x.a, min(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) AS d FROM front x LEFT JOIN front y ON x.algorithm = y.algorithm AND x.a <> y.a GROUP BY ALL) GROUP BY algorithm""")
 def _(v):
-    return op.spacing(mins(v), "a", "b", "algorithm")
+    return op.spacing(mins(v), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions"))
 
 
 @query("P-06", "pareto_spread", views="solutions", r="max_spread",
@@ -174,7 +174,7 @@ def _(v):
        abs((least(wp, wm) - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)) / sqrt(n) AS effect_r FROM g""")
 def _(v):
     d = v.climate.select(F.round(F.col("temp") - F.col("rh") / 2, 6).alias("x"), F.lit(0.0).alias("y"))
-    return op.wilcoxon(d, "x", "y").drop("p_value")
+    return op.wilcoxon(d, "x", "y", chunk=v.split(of="climate")).drop("p_value")
 
 
 RANKS = "rk AS (SELECT algorithm, f2, count(*) OVER (PARTITION BY f2) AS t, rank() OVER (ORDER BY f2) + (count(*) OVER (PARTITION BY f2) - 1) / 2 AS r FROM src)"
@@ -186,14 +186,14 @@ RANKS = "rk AS (SELECT algorithm, f2, count(*) OVER (PARTITION BY f2) AS t, rank
        SELECT nx AS n_x, ny AS n_y, u, u / (nx * ny) AS a12, z, z / sqrt(n) AS effect_r,
        CASE WHEN u / (nx * ny) >= 0.71 THEN 'large' WHEN u / (nx * ny) >= 0.64 THEN 'medium' WHEN u / (nx * ny) >= 0.56 THEN 'small' WHEN u / (nx * ny) >= 0.44 THEN 'negligible' WHEN u / (nx * ny) >= 0.36 THEN 'small (reversed)' WHEN u / (nx * ny) >= 0.29 THEN 'medium (reversed)' ELSE 'large (reversed)' END AS band FROM z""")
 def _(v):
-    return op.mann_whitney(v.solutions, "f2", "algorithm", "ECONOMY", "SMALL").drop("p_value")
+    return op.mann_whitney(v.solutions, "f2", "algorithm", "ECONOMY", "SMALL", chunk=v.split(of="solutions")).drop("p_value")
 
 
 @query("P-10", "test_kruskal", views="solutions", r="h", i="n_groups n_total",
        sql=f"""WITH src AS (SELECT * FROM solutions), {RANKS}, g AS (SELECT algorithm, count(*) AS n, sum(r) AS r FROM rk GROUP BY algorithm), t AS (SELECT count(*) AS n, sum(t * t - 1) AS ties FROM rk)
        SELECT (SELECT count(*) FROM g) AS n_groups, n AS n_total, (12 / (n * (n + 1)) * (SELECT sum(r * r / n) FROM g) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM t""")
 def _(v):
-    return op.kruskal_wallis(v.solutions, "f2", "algorithm").drop("p_value")
+    return op.kruskal_wallis(v.solutions, "f2", "algorithm", chunk=v.split(of="solutions")).drop("p_value")
 
 
 @query("P-10", "test_friedman", views="solutions", r="chi2", i="n_blocks n_groups",
@@ -210,14 +210,14 @@ def _(v):
        sql=f"""WITH src AS (SELECT * FROM solutions), {RANKS}, g AS (SELECT algorithm AS g, count(*) AS n, avg(r) AS m FROM rk GROUP BY algorithm), t AS (SELECT count(*) AS n, sum(t * t - 1) AS ties FROM rk)
        SELECT a.g AS group_a, b.g AS group_b, (a.m - b.m) / sqrt((t.n * (t.n + 1) / 12 - ties / (12 * (t.n - 1))) * (1 / a.n + 1 / b.n)) AS z FROM g a, g b, t WHERE a.g < b.g""")
 def _(v):
-    return op.dunn(v.solutions, "f2", "algorithm").drop("p_adjusted")
+    return op.dunn(v.solutions, "f2", "algorithm", chunk=v.split(of="solutions")).drop("p_adjusted")
 
 
 @query("P-08,P-09,P-10,P-11", "test_p_values", views="solutions")
 def _(v):
-    k = op.kruskal_wallis(v.solutions, "f2", "algorithm").select(F.lit("kruskal").alias("test"), "p_value")
-    m = op.mann_whitney(v.solutions, "f2", "algorithm", "ECONOMY", "SMALL").select(F.lit("mann_whitney"), "p_value")
-    return k.union(m).union(op.dunn(v.solutions, "f2", "algorithm").select(F.concat_ws("-", "group_a", "group_b"), "p_adjusted"))
+    k = op.kruskal_wallis(v.solutions, "f2", "algorithm", chunk=v.split(of="solutions")).select(F.lit("kruskal").alias("test"), "p_value")
+    m = op.mann_whitney(v.solutions, "f2", "algorithm", "ECONOMY", "SMALL", chunk=v.split(of="solutions")).select(F.lit("mann_whitney"), "p_value")
+    return k.union(m).union(op.dunn(v.solutions, "f2", "algorithm", chunk=v.split(of="solutions")).select(F.concat_ws("-", "group_a", "group_b"), "p_adjusted"))
 
 
 @query("P-13", "pareto_quality", views="climate", r="energy_efficiency growth_effectiveness feasibility stability overall_quality",

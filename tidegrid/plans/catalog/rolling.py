@@ -35,7 +35,7 @@ DUCK = {"mean": "avg(value)", "std": "stddev(value)", "min": "min(value)", "max"
        sql="SELECT event_id, " + ", ".join(f"CASE WHEN count(value) OVER w >= 10 THEN {DUCK[s]} OVER w END AS value_{s}" for s in SIMPLE)
        + f" FROM readings WINDOW w AS ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)")
 def _(v):
-    return ro.rolling_rows(v.readings, "value", 12, SIMPLE, "signal", min_n=10).select("event_id", *[f"value_{s}" for s in SIMPLE])
+    return ro.rolling_rows(v.readings, "value", 12, SIMPLE, "signal", min_n=10, chunk=v.split("signal")).select("event_id", *[f"value_{s}" for s in SIMPLE])
 
 
 @query("W-10", "rolling_quantiles", views="readings", r="value_q10 value_q25 value_q50 value_q75 value_q90",
@@ -43,7 +43,7 @@ def _(v):
        + f" FROM readings WINDOW w AS ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)")
 def _(v):
     s = ("q10", "q25", "q50", "q75", "q90")
-    return ro.rolling_rows(v.readings, "value", 24, s, "signal").select("event_id", *[f"value_{x}" for x in s])
+    return ro.rolling_rows(v.readings, "value", 24, s, "signal", chunk=v.split("signal")).select("event_id", *[f"value_{x}" for x in s])
 
 
 SKEW = ("CASE WHEN count(value) OVER w >= 6 THEN (avg(value*value*value) OVER w - 3 * avg(value) OVER w * avg(value*value) OVER w + 2 * pow(avg(value) OVER w, 3)) / pow(var_pop(value) OVER w, 1.5) END")
@@ -56,21 +56,21 @@ SKEW = ("CASE WHEN count(value) OVER w >= 6 THEN (avg(value*value*value) OVER w
        FROM readings WINDOW w AS ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
 def _(v):
     s = ("range", "skew", "kurt", "cv")
-    return ro.rolling_rows(v.readings, "value", 24, s, "signal", min_n=6).select("event_id", *[f"value_{x}" for x in s])
+    return ro.rolling_rows(v.readings, "value", 24, s, "signal", min_n=6, chunk=v.split("signal")).select("event_id", *[f"value_{x}" for x in s])
 
 
 @query("W-12", "rolling_robust", views="readings", r="value_iqr value_mad",
        sql=f"""SELECT event_id, quantile_cont(value, 0.75) OVER w - quantile_cont(value, 0.25) OVER w AS value_iqr, mad(value) OVER w AS value_mad
        FROM readings WINDOW w AS ({W} ROWS BETWEEN 14 PRECEDING AND CURRENT ROW)""")
 def _(v):
-    return ro.rolling_rows(v.readings, "value", 15, ("iqr", "mad"), "signal").select("event_id", "value_iqr", "value_mad")
+    return ro.rolling_rows(v.readings, "value", 15, ("iqr", "mad"), "signal", chunk=v.split("signal")).select("event_id", "value_iqr", "value_mad")
 
 
 @query("W-13", "rolling_z", views="readings", r="value_z", digits=5,
        sql=f"""SELECT event_id, CASE WHEN stddev_pop(value) OVER w <= 1e-10 THEN 0 ELSE (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) END AS value_z
        FROM readings WINDOW w AS ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
 def _(v):
-    return ro.rolling_rows(v.readings, "value", 24, ("z",), "signal").select("event_id", "value_z")
+    return ro.rolling_rows(v.readings, "value", 24, ("z",), "signal", chunk=v.split("signal")).select("event_id", "value_z")
 
 
 @query("W-14", "rolling_means", views="readings", r="value_gmean value_hmean", digits=5,
@@ -78,18 +78,18 @@ def _(v):
        count(CASE WHEN value <> 0 THEN value END) OVER w / sum(CASE WHEN value <> 0 THEN 1 / value END) OVER w AS value_hmean
        FROM readings WINDOW w AS ({W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
 def _(v):
-    return ro.rolling_rows(v.readings, "value", 10, ("gmean", "hmean"), "signal").select("event_id", "value_gmean", "value_hmean")
+    return ro.rolling_rows(v.readings, "value", 10, ("gmean", "hmean"), "signal", chunk=v.split("signal")).select("event_id", "value_gmean", "value_hmean")
 
 
 @query("W-08", "rolling_stride", views="readings", sql=f"SELECT event_id FROM (SELECT event_id, row_number() OVER ({W}) AS n FROM readings) WHERE (n - 1) % 15 = 0")
 def _(v):
-    return ro.stride(v.readings, 15, "signal").select("event_id")
+    return ro.stride(v.readings, 15, "signal", chunk=v.split("signal")).select("event_id")
 
 
 @query("W-09,D-22", "rolling_abs_diff", views="readings", r="abs_diff",
        sql=f"""SELECT event_id, sum(s) OVER ({W} ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS abs_diff FROM (SELECT *, abs(value - lag(value) OVER ({W})) AS s FROM readings)""")
 def _(v):
-    return ro.rolling_abs_diff(v.readings, "value", 10, "signal").select("event_id", "abs_diff")
+    return ro.rolling_abs_diff(v.readings, "value", 10, "signal", chunk=v.split("signal")).select("event_id", "abs_diff")
 
 
 @query("W-15", "rolling_ewma", views="readings", r="ewma",
@@ -97,7 +97,7 @@ def _(v):
        r(signal, n, y) AS (SELECT signal, n, value FROM o WHERE n = 1 UNION ALL SELECT o.signal, o.n, 0.7 * r.y + 0.3 * o.value FROM r JOIN o ON o.signal = r.signal AND o.n = r.n + 1)
        SELECT event_id, y AS ewma FROM o JOIN r USING (signal, n)""".replace("WITH RECURSIVE ", "WITH "))
 def _(v):
-    return ro.ewma(v.readings, "value", 0.3, "signal").select("event_id", "ewma")
+    return ro.ewma(v.readings, "value", 0.3, "signal", chunk=v.split("signal")).select("event_id", "ewma")
 
 
 @query("W-16", "rolling_holt", views="readings", r="level trend",
@@ -106,13 +106,13 @@ def _(v):
          0.3 * (0.4 * o.value + 0.6 * (r.l + r.t) - r.l) + 0.7 * r.t FROM r JOIN o ON o.signal = r.signal AND o.n = r.n + 1)
        SELECT event_id, l AS level, t AS trend FROM o JOIN r USING (signal, n)""")
 def _(v):
-    return ro.holt(v.readings, "value", 0.4, 0.3, "signal").select("event_id", "level", "trend")
+    return ro.holt(v.readings, "value", 0.4, 0.3, "signal", chunk=v.split("signal")).select("event_id", "level", "trend")
 
 
 @query("W-17,W-18", "rolling_cumulative", views="readings", r="total growth", digits=5,
        sql=f"""SELECT event_id, sum(value) OVER w AS total, product(1 + value / 100000) OVER w AS growth FROM readings WINDOW w AS ({W} ROWS UNBOUNDED PRECEDING)""")
 def _(v):
-    return ro.cumulative(v.readings, {"total": ("sum", "value"), "growth": ("product", 1 + F.col("value") / 100000)}, "signal").select("event_id", "total", "growth")
+    return ro.cumulative(v.readings, {"total": ("sum", "value"), "growth": ("product", 1 + F.col("value") / 100000)}, "signal", chunk=v.split("signal")).select("event_id", "total", "growth")
 
 
 @query("W-19", "rolling_lag_time", views="grid", r="value_lag_24h",
@@ -125,13 +125,13 @@ def _(v):
        sql=f"""SELECT event_id, value - lag(value) OVER w AS value_delta, (value - lag(value) OVER w) / nullif((epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6, 0) AS value_rate
        FROM readings WINDOW w AS ({W})""")
 def _(v):
-    return ro.rate_of_change(v.readings, "value", "signal").select("event_id", "value_delta", "value_rate")
+    return ro.rate_of_change(v.readings, "value", "signal", chunk=v.split("signal")).select("event_id", "value_delta", "value_rate")
 
 
 @query("W-21", "rolling_gradient", views="readings", r="gradient",
        sql=f"""SELECT event_id, coalesce((lead(value) OVER w - lag(value) OVER w) / 2, lead(value) OVER w - value, value - lag(value) OVER w) AS gradient FROM readings WINDOW w AS ({W})""")
 def _(v):
-    return ro.gradient(v.readings, "value", "signal").select("event_id", "gradient")
+    return ro.gradient(v.readings, "value", "signal", chunk=v.split("signal")).select("event_id", "gradient")
 
 
 @query("W-23", "rolling_volatility", views="grid", r="vol_1d vol_7d",
@@ -153,7 +153,7 @@ def _(v):
        FROM price p LEFT JOIN price a ON a.hour + INTERVAL 1 HOUR = p.hour LEFT JOIN price b ON b.hour + INTERVAL 24 HOUR = p.hour
        LEFT JOIN (SELECT date_trunc('day', hour) + INTERVAL 1 DAY AS d, avg(price) AS m FROM price GROUP BY 1) y ON y.d = date_trunc('day', p.hour)""")
 def _(v):
-    return ro.price_features(v.price, "price")
+    return ro.price_features(v.price, "price", chunk=None)
 
 
 def _decompose_sql(op):
@@ -262,7 +262,7 @@ def _(v):
        sql="""SELECT entity, points, coverage, coalesce(longest, 0) AS longest_gap_hours, coalesce(mean, 0) AS mean_gap_hours FROM (SELECT entity, count(click) AS points, count(click) / count(*) AS coverage FROM wide GROUP BY entity)
        LEFT JOIN (SELECT entity, max(h) FILTER (h > 0) AS longest, avg(h) FILTER (h > 0) AS mean FROM (SELECT entity, floor((epoch_us(hour) - epoch_us(lag(hour) OVER (PARTITION BY entity ORDER BY hour))) / 3600e6) AS h FROM wide WHERE click IS NOT NULL) GROUP BY entity) USING (entity)""")
 def _(v):
-    return sp.coverage_gaps(v.wide, "click", "entity", "hour")
+    return sp.coverage_gaps(v.wide, "click", "entity", "hour", chunk=None)
 
 
 @query("V-02", "sparse_null_runs", views="wide", r="longest_gap_min mean_gap_min", i="gaps",
@@ -284,7 +284,7 @@ def _(v):
        SELECT entity, count(*) FILTER (value <> p) AS changes, count(*) FILTER (abs(value - p) > 2 * s) AS large_changes, count(*) FILTER ((p - m) * (value - m) < 0) AS mean_crossings,
        count(*) FILTER ((value < 0) <> (p < 0)) AS sign_changes FROM p GROUP BY entity""")
 def _(v):
-    return sp.change_counts(v.readings_n, "value", "entity")
+    return sp.change_counts(v.readings_n, "value", "entity", chunk=v.split("entity"))
 
 
 @query("V-05", "sparse_extremes", views="readings_n", r="extreme_hours", i="extreme_high extreme_low",
@@ -292,7 +292,7 @@ def _(v):
        c AS (SELECT entity, n, slots, h, count(*) FILTER (value > p95) AS hi, count(*) FILTER (value < p5) AS lo FROM readings_n JOIN q USING (entity) GROUP BY ALL)
        SELECT entity, CASE WHEN n > 10 THEN hi ELSE 0 END AS extreme_high, CASE WHEN n > 10 THEN lo ELSE 0 END AS extreme_low, CASE WHEN n > 10 THEN h * ((hi + lo) / n) * n / slots ELSE 0 END AS extreme_hours FROM c""")
 def _(v):
-    return sp.extremes(v.readings_n, "value", "entity")
+    return sp.extremes(v.readings_n, "value", "entity", chunk=v.split("entity"))
 
 
 @query("V-06", "sparse_activity", views="readings_n", r="peak_ratio", i="peak_hour active",

@@ -11,7 +11,7 @@ SELECT *, coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity OR
 
 
 def islands(v):
-    return sg.label_islands(v.readings, "12h", "entity")
+    return sg.label_islands(v.readings, "12h", "entity", chunk=v.split("entity"))
 
 
 @query("E-01,E-05", "segment_islands", views="readings", i="segment_id",
@@ -24,7 +24,7 @@ def _(v):
        sql=f"""WITH {ISLANDS} SELECT entity, segment_id, min(ts) AS start_time, max(ts) AS end_time, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6 AS minutes,
        count(*) AS rows, FALSE AS has_gaps, 0.0 AS gap_minutes FROM isl GROUP BY ALL HAVING count(*) >= 2""")
 def _(v):
-    return sg.island_stats(islands(v), "entity", min_rows=2)
+    return sg.island_stats(islands(v), "entity", min_rows=2, chunk=v.split("entity"))
 
 
 @query("E-02,E-04", "segment_merged", views="readings", i="segment_id rows subs", r="gap_minutes",
@@ -33,8 +33,8 @@ def _(v):
        SELECT entity, merged AS segment_id, count(*) AS rows, count(DISTINCT segment_id) AS subs,
        coalesce(sum(d) FILTER (d > {GAP} AND new24 = 0), 0) / 60e6 AS gap_minutes, count(*) FILTER (d > {GAP} AND new24 = 0) > 0 AS has_gaps FROM m GROUP BY ALL""")
 def _(v):
-    m = sg.merge_small_gaps(islands(v), "24h", "entity")
-    stats = sg.island_stats(m, "entity", gap="12h").select("entity", "segment_id", "rows", "gap_minutes", "has_gaps")
+    m = sg.merge_small_gaps(islands(v), "24h", "entity", chunk=v.split("entity"))
+    stats = sg.island_stats(m, "entity", gap="12h", chunk=v.split("entity")).select("entity", "segment_id", "rows", "gap_minutes", "has_gaps")
     subs = m.groupBy("entity", "segment_id").agg(F.countDistinct("sub_segment_id").alias("subs"))
     return stats.join(subs, ["entity", "segment_id"])
 
@@ -44,7 +44,7 @@ def _(v):
        SELECT (entity, segment_id) FROM isl GROUP BY entity, segment_id HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= 3600000000 AND count(*) >= 4)""")
 def _(v):
     d = islands(v)
-    return sg.filter_segments(d, sg.island_stats(d, "entity"), "entity", 1.0, 4).select("event_id", "segment_id")
+    return sg.filter_segments(d, sg.island_stats(d, "entity", chunk=v.split("entity")), "entity", 1.0, 4).select("event_id", "segment_id")
 
 
 @query("E-08", "segment_quantize", views="readings",
@@ -57,7 +57,7 @@ def _(v):
 @query("E-10", "segment_apply_breaks", views="readings", i="era_id",
        sql="""SELECT event_id, sum((value > 60)::INT) OVER (PARTITION BY entity ORDER BY ts ROWS UNBOUNDED PRECEDING) AS era_id FROM readings""")
 def _(v):
-    return sg.apply_breaks(v.readings, F.col("value") > 60, "entity").select("event_id", "era_id")
+    return sg.apply_breaks(v.readings, F.col("value") > 60, "entity", chunk=v.split("entity")).select("event_id", "era_id")
 
 
 RUNS = """lab AS (SELECT entity, ts, (value > 15)::INT AS label FROM readings),
@@ -67,7 +67,7 @@ eras AS (SELECT entity, run, label, min(ts) AS start_time, max(ts) AS end_time,
 
 
 def runs(v):
-    return sg.segments_from_labels(v.readings.withColumn("label", (F.col("value") > 15).cast("int")), "label", "entity")
+    return sg.segments_from_labels(v.readings.withColumn("label", (F.col("value") > 15).cast("int")), "label", "entity", chunk=v.split("entity"))
 
 
 @query("E-11", "segment_runs", views="readings", i="run rows label", sql=f"WITH {RUNS} SELECT * FROM eras")
@@ -106,7 +106,7 @@ def _(v):
        count(value) OVER l AS nl, count(value) OVER r AS nr, avg(value) OVER l AS ml, avg(value) OVER r AS mr, var_pop(value) OVER l AS vl, var_pop(value) OVER r AS vr
        FROM readings WINDOW l AS (PARTITION BY signal ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), r AS (PARTITION BY signal ORDER BY ts ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))""")
 def _(v):
-    return sg.mean_shift_score(v.readings, "value", "signal", 5).select("event_id", "score")
+    return sg.mean_shift_score(v.readings, "value", "signal", 5, chunk=v.split("signal")).select("event_id", "score")
 
 
 @query("E-16", "segment_monthly_eras", views="climate", r="mean_temp", i="windows",

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import bucket
+from ..frames import Split, bucket, cols, split_hot
 
 SIGNALS = ("click", "error", "purchase", "signup", "view")
 
@@ -22,6 +22,17 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def split(self, *keys: str, of: str = "readings") -> Split:
+        """Keys of a view too large for one task, measured once per query."""
+        made = self.__dict__.setdefault("_splits", {})
+        if (of, keys) not in made:
+            made[of, keys] = split_hot(getattr(self, of), cols(keys))
+        return made[of, keys]
+
+    def spread(self, of: str):
+        """For quantiles over a whole view: spread them unless it is small."""
+        return None if self.split(of=of).hot == () else "spread"
+
     @cached_property
     def readings(self) -> DataFrame:
         """Long form, one row per reading."""
