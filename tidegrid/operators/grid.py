@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import (Split, bucket, bucket_no, cols, epoch, exact_quantiles, from_epoch, is_plain, last_valid, micros, next_valid,
+from ..frames import (Split, bucket, bucket_no, cols, epoch, exact_quantiles, following, from_epoch, is_plain, last_valid, micros, next_valid,
                       prev, row_frames, running_count, scan)
 
 
@@ -23,9 +23,20 @@ def grid_points(df: DataFrame, step: str, keys, ts: str = "ts") -> DataFrame:
         *k, from_epoch(F.col("_i") * micros(step)).alias(ts))
 
 
-def densify(df: DataFrame, step: str, keys, ts: str = "ts") -> DataFrame:
-    """Left join of the data to the complete grid; ``ts`` must already lie on it."""
-    return grid_points(df, step, keys, ts).join(df, [*cols(keys), ts], "left")
+def densify(df: DataFrame, step: str, keys, ts: str = "ts", chunk=None) -> DataFrame:
+    """Add the missing grid rows, with NULLs, between a key's first and last row.
+
+    ``ts`` must lie on the grid and be unique per key. Each row emits the empty
+    slots up to its successor, so there is no join and the one shuffle, by key, is
+    shared with later windows over the same key.
+    """
+    s, t = micros(step), epoch(ts)
+    out = scan(df, keys, ts, {"_n": following(t)}, chunk=chunk)
+    slots = F.coalesce(F.floor((F.col("_n") - t) / s) - 1, F.lit(0).cast("long"))
+    out = out.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(slots, F.lit(0).cast("long")))))
+    keep = {*cols(keys), ts}
+    return out.select(*[F.when(F.col("_o") == 0, F.col(c)).alias(c) if c not in keep
+                        else (from_epoch(t + F.col("_o") * s).alias(c) if c == ts else F.col(c)) for c in df.columns])
 
 
 def asfreq(df: DataFrame, step: str, keys, ts: str = "ts") -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..frames import (attach_row, bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, micros, prev, row_frames,
@@ -209,6 +209,44 @@ def filled_windows(windows: DataFrame, keys, size: str, step: str = "1h", min_fi
     return out.where(F.col("window_rows") >= int(need))
 
 
+def pane_windows(df: DataFrame, size: str, slide: str, keys, values: Sequence[str], ts: str = "hour", extra: Mapping[str, Column] | None = None,
+                 min_rows: int = 1) -> DataFrame:
+    """Sliding-window mean, std, min, max and count of several columns, without copying rows.
+
+    Windows as in ``sliding_windows``; ``size`` is a multiple of ``slide``. Rows are
+    first reduced to one partial result per pane of width ``slide``; each window then
+    adds up its size / slide panes. ``extra`` sums, per window, further expressions.
+    """
+    k, size_us, slide_us = cols(keys), micros(size), micros(slide)
+    if size_us % slide_us:
+        raise ValueError("size must be a multiple of slide")
+    per, t = size_us // slide_us, epoch(ts)
+    w = Window.partitionBy(*k)  # rows per key are bounded by the grid
+    d = df.withColumn("_a", F.min(t).over(w)).withColumn("_last", floor_div(F.max(t).over(w) - F.col("_a") - size_us, slide_us))
+    parts = [F.count(F.lit(1)).alias("window_rows")]
+    for c in values:
+        parts += [F.count(c).alias(f"{c}_n"), F.sum(c).alias(f"{c}_s"), F.sum(F.col(c) * F.col(c)).alias(f"{c}_q"),
+                  F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi")]
+    parts += [F.sum(e).alias(f"_x_{n}") for n, e in (extra or {}).items()]
+    panes = d.withColumn("_pane", floor_div(t - F.col("_a"), slide_us)).groupBy(*k, "_a", "_last", "_pane").agg(*parts)
+    lo = F.greatest(F.col("_pane") - (per - 1), F.lit(0).cast("long"))
+    spread = (panes.withColumn("_hi", F.least(F.col("_pane"), F.col("_last"))).withColumn("_lo", lo).where("_lo <= _hi")
+              .withColumn("window_no", F.explode(F.sequence("_lo", "_hi"))))
+    adds = [F.sum("window_rows").alias("window_rows")]
+    for c in values:
+        adds += [F.sum(f"{c}_n").alias(f"{c}_n"), F.sum(f"{c}_s").alias(f"{c}_s"), F.sum(f"{c}_q").alias(f"{c}_q"),
+                 F.min(f"{c}_lo").alias(f"{c}_min"), F.max(f"{c}_hi").alias(f"{c}_max")]
+    adds += [F.sum(f"_x_{n}").alias(n) for n in (extra or {})]
+    g = spread.groupBy(*k, "_a", "window_no").agg(*adds).where(F.col("window_rows") >= min_rows)
+    out = [*k, F.col("window_no"), from_epoch(F.col("_a") + F.col("window_no") * slide_us).alias("window_start"), F.col("window_rows")]
+    for c in values:
+        n, s, q = F.col(f"{c}_n"), F.col(f"{c}_s"), F.col(f"{c}_q")
+        var = F.greatest((q - s * s / F.nullif(n, F.lit(0))) / F.nullif(n - 1, F.lit(0)), F.lit(0.0))
+        out += [n.alias(f"{c}_count"), (s / F.nullif(n, F.lit(0))).alias(f"{c}_mean"), F.when(n > 1, F.sqrt(var)).alias(f"{c}_std"),
+                F.col(f"{c}_min"), F.col(f"{c}_max")]
+    return g.select(*out, *(extra or {}))
+
+
 def sliding_rows(df: DataFrame, size: int, slide: int, keys, order="ts", chunk="1 day") -> DataFrame:
     """Windows counted in rows; a short tail counts if at least half full (one row per row and window)."""
     pos = scan(df, keys, order, {"_n": running_count()}, chunk=chunk)

@@ -1,7 +1,46 @@
-"""Hourly pipeline: clean, grid, fill, price join, windows, window features."""
+"""Hourly feature flow: clean, hourly grid, conservative fill, price join, windows, window features.
+
+One plan without an action. Per entity and hour the readings shrink to one row, so
+everything after the first aggregation is bounded by entities x hours and stays
+partitioned by entity: filling, joining the (small) price series, cutting windows
+and both aggregation levels need no further shuffle by key.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import clean as fc
+from ..operators.agg import hourly
+from ..operators.grid import conservative_fill, densify
+from ..operators.join import attach_external
+from ..operators.rolling import pane_windows
+from .views import Views
+
+SIGNALS = ("click", "error", "view")
+# Plausible range and largest change per hour of each signal.
+FILL = {f"{s}_mean": (0.0, 200.0, 30.0) for s in SIGNALS}
+MAX_GAP = 12
+
+
+def filled_hours(v: Views) -> DataFrame:
+    """Complete hourly grid per entity with short gaps filled."""
+    raw = v.readings_n.select("entity", "ts", *[
+        F.when(F.col("signal") == s, fc.replace_sentinels("value", [-1.0])).alias(s) for s in SIGNALS])
+    grid = densify(hourly(raw, SIGNALS, "entity", stats=("mean", "count")), "1h", "entity", "hour")
+    return conservative_fill(grid, FILL, "entity", MAX_GAP, order="hour")
+
 
-def hourly_features(v):
-    raise NotImplementedError
+def hourly_features(v: Views) -> DataFrame:
+    """24 h windows every 6 h per entity: statistics, coverage and peak/off-peak cost."""
+    hours = attach_external(filled_hours(v), v.price, "hour")
+    use, cost = F.col("view_mean"), F.col("price")
+    peak = F.hour("hour").between(7, 22)
+    w = pane_windows(hours, "24h", "6h", "entity", [f"{s}_mean" for s in SIGNALS], extra={
+        "records": F.coalesce("total_records", F.lit(0)), "cost": use * cost, "peak_use": F.when(peak, use), "offpeak_use": F.when(~peak, use)})
+    named = [F.col(f"{s}_mean_{st}").alias(f"{s}_{st}") for s in SIGNALS for st in ("count", "mean", "std", "min", "max")]
+    covered = sum((F.col(f"{s}_mean_count") for s in SIGNALS[1:]), F.col(f"{SIGNALS[0]}_mean_count")) / (24 * len(SIGNALS))
+    return w.where(covered > 0).select(
+        "entity", "window_no", "window_start", "records", *named, covered.alias("coverage"), "cost",
+        F.when(F.col("offpeak_use") > 0, F.coalesce("peak_use", F.lit(0.0)) / F.col("offpeak_use")).alias("peak_ratio"))
