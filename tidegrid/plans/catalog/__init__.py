@@ -1,3 +1,3 @@
 """Registered queries by family; importing this package fills the registry."""
 
-from . import agg, clean, complexity, domain, flow, grid, join, models, rolling, scalar, segment  # noqa: F401
+from . import agg, clean, complexity, domain, flow, grid, join, models, rolling, scalar, segment, sources  # noqa: F401
