@@ -131,16 +131,20 @@ def is_plain(chunk) -> bool:
 
 @dataclass(frozen=True)
 class Scan:
-    """One ordered computation: chunk summary, carried value, value inside the chunk."""
+    """One ordered computation: chunk summary, carried value, value inside the chunk.
+
+    ``carry`` and ``local`` get a window; with ``back`` it runs against the order,
+    because a frame ending at ``unboundedFollowing`` costs Spark quadratic time.
+    """
 
     summary: Callable[[Column], Column]
     carry: Callable[[Column, WindowSpec], Column]
     local: Callable[[WindowSpec], Column]
     merge: Callable[[Column, Column], Column]
+    back: bool = False
 
 
 _BEFORE = (Window.unboundedPreceding, -1)
-_AFTER = (1, Window.unboundedFollowing)
 
 
 def _c(x: str | Column) -> Column:
@@ -174,11 +178,11 @@ def last_valid(x: str | Column, strict: bool = False) -> Scan:
 def next_valid(x: str | Column, strict: bool = False) -> Scan:
     """Earliest non-null value from this row on (``strict``: after it)."""
     v = _c(x)
-    start = 1 if strict else 0
+    end = -1 if strict else 0
     return Scan(lambda o: F.min_by(v, F.when(v.isNotNull(), o)),
-                lambda s, w: F.first(s, ignorenulls=True).over(w.rowsBetween(*_AFTER)),
-                lambda w: F.first(v, ignorenulls=True).over(w.rowsBetween(start, _AFTER[1])),
-                F.coalesce)
+                lambda s, w: F.last(s, ignorenulls=True).over(w.rowsBetween(*_BEFORE)),
+                lambda w: F.last(v, ignorenulls=True).over(w.rowsBetween(_BEFORE[0], end)),
+                F.coalesce, back=True)
 
 
 def _running(agg: Callable[[Column], Column], x: str | Column, merge) -> Scan:
@@ -225,8 +229,8 @@ def scan(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     """
     keys, order = cols(keys), cols(order)
     if "_chunk" not in df.columns and is_plain(chunk):
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({n: s.merge(s.local(w), F.lit(None)) for n, s in specs.items()})
+        w = _both_ways(keys, order)
+        return df.withColumns({n: s.merge(s.local(w[s.back]), F.lit(None)) for n, s in specs.items()})
     hot = chunk.test() if isinstance(chunk, Split) else F.lit(True)
     if "_chunk" in df.columns:
         rows = df
@@ -239,14 +243,20 @@ def scan(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     heads = rows.where(hot).groupBy(*keys, "_chunk").agg(
         *[s.summary(rank).alias(f"_s_{n}") for n, s in specs.items()])
-    across = Window.partitionBy(*keys).orderBy("_chunk")
+    across = _both_ways(keys, ["_chunk"])
     carried = heads.select(*keys, "_chunk", *[
-        s.carry(F.col(f"_s_{n}"), across).alias(f"_k_{n}") for n, s in specs.items()])
-    w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+        s.carry(F.col(f"_s_{n}"), across[s.back]).alias(f"_k_{n}") for n, s in specs.items()])
+    w = _both_ways([*keys, "_chunk"], order)
     out = rows.join(carried, [*keys, "_chunk"], "left")
     kept = [c for c in df.columns if c != "_chunk"] + (["_chunk"] if keep_chunk else [])
     return out.select(*kept, *[
-        s.merge(s.local(w), F.col(f"_k_{n}")).alias(n) for n, s in specs.items()])
+        s.merge(s.local(w[s.back]), F.col(f"_k_{n}")).alias(n) for n, s in specs.items()])
+
+
+def _both_ways(keys, order) -> tuple[WindowSpec, WindowSpec]:
+    """The window along the order and the one against it."""
+    w = Window.partitionBy(*keys)
+    return w.orderBy(*order), w.orderBy(*[F.desc(c) for c in order])
 
 
 # ------------------------------------------------------------------------- frames

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import (Split, bucket, bucket_no, cols, epoch, exact_quantiles, following, from_epoch, is_plain, last_valid, micros, next_valid,
@@ -128,7 +128,7 @@ def interpolate(df: DataFrame, columns, keys, order="ts", *, by: str = "time", l
     made = {}
     for c in names:
         a, b = F.col(f"_l_{c}"), F.col(f"_r_{c}")
-        line = a["v"] + (b["v"] - a["v"]) * ((place - a["p"]) / (b["p"] - a["p"]))
+        line = a["v"] + (b["v"] - a["v"]) * ((place - a["p"]) / F.nullif((b["p"] - a["p"]).cast("double"), F.lit(0.0)))
         edge = F.coalesce(line, a["v"], b["v"]) if area == "both" else line
         if limit is not None:
             near = F.coalesce(F.col("_pos") - a["i"] <= limit, F.lit(False))
@@ -179,34 +179,32 @@ def impute(df: DataFrame, rules: Mapping[str, Mapping], keys, order="ts", defaul
     return out
 
 
-def gap_length(col: str) -> dict:
-    """Scans giving the known neighbours of a NULL run (value and row position)."""
-    here = F.when(F.col(col).isNotNull(), F.struct(F.col(col).alias("v"), F.col("_pos").alias("p")))
-    return {"_l": last_valid(here), "_r": next_valid(here)}
+def neighbours(col: str, place: Column) -> dict:
+    """Scans giving value and place of the known neighbours on both sides."""
+    at = F.when(F.col(col).isNotNull(), place)
+    return {f"_lv_{col}": last_valid(col), f"_lp_{col}": last_valid(at), f"_rv_{col}": next_valid(col), f"_rp_{col}": next_valid(at)}
 
 
-def conservative_fill(df: DataFrame, rules: Mapping[str, tuple[float, float, float]], keys, max_gap: int,
+def conservative_fill(df: DataFrame, rules: Mapping[str, tuple[float, float, float]], keys, max_gap: int, step: str = "1h",
                       order="ts", chunk=None) -> DataFrame:
     """Fill only short gaps on a dense grid, and only while the line stays plausible.
 
     A gap longer than ``max_gap`` slots, a slope above the rule's change per slot
     or a value outside [low, high] leaves the gap (from that slot on) open.
     """
-    out = scan(df, keys, order, {"_pos": running_count()}, chunk=chunk)
-    specs = {}
+    t, specs, made = epoch(cols(order)[0]), {}, {}
     for c in rules:
-        g = gap_length(c)
-        specs[f"_l_{c}"], specs[f"_r_{c}"] = g["_l"], g["_r"]
-    out = scan(out, keys, order, specs, chunk=chunk)
-    made = {}
+        specs.update(neighbours(c, t))
+    out = scan(df, keys, order, specs, chunk=chunk)
+    slot = float(micros(step))
     for c, (low, high, change) in rules.items():
-        a, b, pos = F.col(f"_l_{c}"), F.col(f"_r_{c}"), F.col("_pos")
-        gap = b["p"] - a["p"] - 1
-        step = (b["v"] - a["v"]) / (gap + 1)
-        here, first = a["v"] + step * (pos - a["p"]), a["v"] + step
-        ok = (gap <= max_gap) & (F.abs(step) <= change) & first.between(low, high) & here.between(low, high)
-        made[c] = F.coalesce(F.col(c), F.when(ok, here))
-    return out.withColumns(made).drop("_pos", *specs)
+        left, right, a, b = (F.col(f"{n}_{c}") for n in ("_lv", "_rv", "_lp", "_rp"))
+        slots = F.nullif((b - a) / slot, F.lit(0.0))
+        rise = (right - left) / slots
+        here, first = left + rise * ((t - a) / slot), left + rise
+        ok = (slots <= max_gap + 1) & (F.abs(rise) <= change) & first.between(low, high) & here.between(low, high)
+        made[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(ok, here)
+    return out.withColumns(made).drop(*specs)
 
 
 def fill_report(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:

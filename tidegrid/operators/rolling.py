@@ -14,36 +14,59 @@ from ..frames import (attach_row, bucket_no, cols, epoch, exact_quantiles, floor
                       running_count, running_product, running_sum, scan, time_frames)
 
 
-def _pct(p):
-    return lambda c: F.percentile(c, p)
+# Frame aggregates a statistic is made of. Each is computed once per call, however
+# many statistics share it.
+PARTS = {
+    "n": F.count, "mean": F.avg, "std": F.stddev, "pop": F.stddev_pop, "min": F.min, "max": F.max, "var": F.variance, "sum": F.sum,
+    "skew": F.skewness, "kurt": F.kurtosis, "list": F.collect_list,
+    "logs": lambda x: F.avg(F.when(x > 0, F.ln(x))), "inverse": lambda x: F.sum(F.when(x != 0, 1 / F.nullif(x, F.lit(0.0)))),
+    "nonzero": lambda x: F.count(F.when(x != 0, x)),
+}
+
+
+def _rank(p: float):
+    """Interpolated quantile of the frame's sorted values."""
+    def pick(c, x):
+        a, at = F.sort_array(c["list"]), (F.size(c["list"]) - 1) * p
+        lo, hi = (F.try_element_at(a, f(at).cast("int") + 1) for f in (F.floor, F.ceil))
+        return lo + (hi - lo) * (at - F.floor(at))
+
+    return ("list",), pick
+
+
+def _plain(part: str):
+    return (part,), lambda c, x: c[part]
 
 
+def _mad(c, x):
+    seen = F.sort_array(c["list"])
+    return _array_median(F.sort_array(F.transform(seen, lambda e: F.abs(e - _array_median(seen)))))
+
+
+# statistic -> (parts, combination of the parts and the row's own value)
 STATS = {
-    "mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max, "median": _pct(0.5), "var": F.variance, "sum": F.sum,
-    "skew": F.skewness, "kurt": F.kurtosis, "count": F.count, "q10": _pct(0.1), "q25": _pct(0.25), "q50": _pct(0.5),
-    "q75": _pct(0.75), "q90": _pct(0.9), "std_pop": F.stddev_pop,
+    **{s: _plain(s) for s in ("mean", "std", "min", "max", "var", "sum", "skew", "kurt")},
+    "count": _plain("n"), "std_pop": _plain("pop"),
+    **{n: _rank(p) for n, p in (("median", 0.5), ("q10", 0.1), ("q25", 0.25), ("q50", 0.5), ("q75", 0.75), ("q90", 0.9))},
+    "range": (("min", "max"), lambda c, x: c["max"] - c["min"]),
+    "cv": (("pop", "mean"), lambda c, x: c["pop"] / F.nullif(F.abs(c["mean"]), F.lit(0.0))),
+    "iqr": (("list",), lambda c, x: _rank(0.75)[1](c, x) - _rank(0.25)[1](c, x)),
+    "z": (("pop", "mean"), lambda c, x: F.when(c["pop"] <= 1e-10, 0.0).otherwise((x - c["mean"]) / F.nullif(c["pop"], F.lit(0.0)))),
+    "gmean": (("logs",), lambda c, x: F.exp(c["logs"])),
+    "hmean": (("nonzero", "inverse"), lambda c, x: c["nonzero"] / F.nullif(c["inverse"], F.lit(0.0))),
+    "mad": (("list",), _mad),
 }
 
 
-def _over(stat: str, x: Column, frame: WindowSpec) -> Column:
-    if stat == "range":
-        return F.max(x).over(frame) - F.min(x).over(frame)
-    if stat == "cv":
-        return F.stddev_pop(x).over(frame) / F.nullif(F.abs(F.avg(x).over(frame)), F.lit(0.0))
-    if stat == "iqr":
-        return F.percentile(x, 0.75).over(frame) - F.percentile(x, 0.25).over(frame)
-    if stat == "z":
-        s = F.stddev_pop(x).over(frame)
-        return F.when(s <= 1e-10, 0.0).otherwise((x - F.avg(x).over(frame)) / F.nullif(s, F.lit(0.0)))
-    if stat == "gmean":
-        return F.exp(F.avg(F.when(x > 0, F.ln(x))).over(frame))
-    if stat == "hmean":
-        return F.count(F.when(x != 0, x)).over(frame) / F.sum(F.when(x != 0, 1 / F.nullif(x, F.lit(0.0)))).over(frame)
-    if stat == "mad":
-        # the frame is a bounded array; its median is the middle of the sorted deviations
-        seen = F.sort_array(F.collect_list(x).over(frame))
-        return _array_median(F.sort_array(F.transform(seen, lambda e: F.abs(e - _array_median(seen)))))
-    return STATS[stat](x).over(frame)
+def _parts(stats: Sequence[str], x: Column, frame: WindowSpec) -> dict[str, Column]:
+    needed = dict.fromkeys(["n", *[p for s in stats for p in STATS[s][0]]])
+    return {f"_w_{p}": PARTS[p](x).over(frame) for p in needed}
+
+
+def _combine(df: DataFrame, stats: Sequence[str], x: Column, name: str, min_n: int) -> DataFrame:
+    have = {c[3:]: F.col(c) for c in df.columns if c.startswith("_w_")}
+    made = {f"{name}_{s}": F.when(have["n"] >= min_n, STATS[s][1](have, x)) for s in stats}
+    return df.withColumns(made).drop(*[f"_w_{p}" for p in have])
 
 
 def _array_median(a: Column) -> Column:
@@ -55,27 +78,22 @@ def _array_median(a: Column) -> Column:
 def rolling(df: DataFrame, col: str, window: str, stats: Sequence[str], keys, *, closed: str = "left",
             min_n: int = 1, ts: str = "ts", prefix: str | None = None) -> DataFrame:
     """Time-range statistics. ``closed='left'`` covers [t - w, t), ``'right'`` covers (t - w, t]."""
-    w_us, name = micros(window), prefix or col
+    w_us = micros(window)
 
     def build(w):
-        frame = w.rangeBetween(-w_us, -1) if closed == "left" else w.rangeBetween(-w_us + 1, 0)
-        enough = F.count(F.col(col)).over(frame) >= min_n
-        return {f"{name}_{s}": F.when(enough, _over(s, F.col(col), frame)) for s in stats}
+        return _parts(stats, F.col(col), w.rangeBetween(-w_us, -1) if closed == "left" else w.rangeBetween(-w_us + 1, 0))
 
-    return time_frames(df, keys, ts, window, 0, build)
+    return _combine(time_frames(df, keys, ts, window, 0, build), stats, F.col(col), prefix or col, min_n)
 
 
 def rolling_rows(df: DataFrame, col: str, n: int, stats: Sequence[str], keys, order="ts", *, min_n: int = 1,
                  prefix: str | None = None, ahead: bool = False, chunk="1 day") -> DataFrame:
     """Statistics over this row and the ``n - 1`` before it (``ahead``: after it)."""
-    name = prefix or col
-
     def build(w):
-        frame = w.rowsBetween(0, n - 1) if ahead else w.rowsBetween(-n + 1, 0)
-        enough = F.count(F.col(col)).over(frame) >= min_n
-        return {f"{name}_{s}": F.when(enough, _over(s, F.col(col), frame)) for s in stats}
+        return _parts(stats, F.col(col), w.rowsBetween(0, n - 1) if ahead else w.rowsBetween(-n + 1, 0))
 
-    return row_frames(df, keys, order, *((0, n - 1) if ahead else (n - 1, 0)), build, chunk=chunk)
+    out = row_frames(df, keys, order, *((0, n - 1) if ahead else (n - 1, 0)), build, chunk=chunk)
+    return _combine(out, stats, F.col(col), prefix or col, min_n)
 
 
 def stride(df: DataFrame, every: int, keys, order="ts", chunk="1 day") -> DataFrame:

@@ -18,13 +18,16 @@ from .growth import at_least_zero
 def forward(df: DataFrame, n: int, keys, build: Callable[[WindowSpec], Mapping[str, Column]], order="ts", extra: int = 0,
             chunk="1 day") -> DataFrame:
     """Append measures over full forward windows of ``n`` rows."""
+    names: list[str] = []
 
     def full(w):
         frame = w.rowsBetween(0, n - 1)
-        enough = F.count(F.lit(1)).over(frame) == n
-        return {name: F.when(enough, c) for name, c in build(frame).items()}
+        made = dict(build(frame))
+        names.extend(c for c in made if c not in names)
+        return {"_full": F.count(F.lit(1)).over(frame), **made}
 
-    return row_frames(df, keys, order, 0, n - 1 + extra, full, chunk=chunk)
+    out = row_frames(df, keys, order, 0, n - 1 + extra, full, chunk=chunk)
+    return out.withColumns({c: F.when(F.col("_full") == n, F.col(c)) for c in names}).drop("_full")
 
 
 def hits(test: Column, frame: WindowSpec) -> Column:
