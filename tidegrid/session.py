@@ -19,6 +19,7 @@ def local_session(app: str = "tidegrid", cpus: str | None = None) -> SparkSessio
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # small local inputs grow on the grid: keep all cores busy after a shuffle
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()

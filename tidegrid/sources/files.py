@@ -132,8 +132,9 @@ def read_csv(spark: SparkSession, spec: FileSpec) -> Parsed:
     out = raw.withColumns({**_lineage(spec), "raw": line, "ts": _instant(spec, at),
                            **{c.target: _typed(at(c.source), c, spec.null_markers) for c in spec.columns}})
     if heads:
-        plain = [h.replace(spec.quote, "") if spec.quote else h for h in heads]
-        out = out.where(~F.col("raw").isin(plain))
+        # preamble lines are shorter than the data: compare without trailing separators
+        plain = [(h.replace(spec.quote, "") if spec.quote else h).rstrip(spec.delimiter) for h in heads]
+        out = out.where(~F.rtrim("raw", F.lit(spec.delimiter)).isin(plain))
     return _split(out, [c.target for c in spec.columns] + ["source_file", "source_system", "format_type", "lamp_group"])
 
 
