@@ -102,3 +102,17 @@ def test_no_unkeyed_window_on_rows(spark):
     plan = fr.exact_quantiles(df, (), "value", {"m": 0.5})._jdf.queryExecution().executedPlan().toString()
     windows = [line for line in plan.splitlines() if "Window [" in line]
     assert windows and all("_chunk" in w for w in windows)
+
+
+def test_checkpoint_cuts_lineage(spark):
+    from tidegrid.session import checkpoint
+
+    df = checkpoint(noisy(spark, 6).groupBy("k").count())
+    assert "Aggregate" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count() == 2
+
+
+def test_slow_smoothing_is_refused(spark):
+    from tidegrid.operators import rolling
+
+    with pytest.raises(ValueError):
+        rolling.ewma(noisy(spark), "value", 1e-5, "k")

@@ -91,11 +91,12 @@ def run_length_posterior(x: np.ndarray, lam: float) -> np.ndarray:
     """P(a new run starts at t | data up to t) under a Normal-Gamma(0, 1, 1, 1) prior and hazard 1 / lam."""
     mu, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, 1.0))
     mass, hazard, out = np.array([1.0]), 1.0 / lam, np.empty(len(x))
-    lgam = np.vectorize(math.lgamma)
+    # alpha grows by one half per reading, so its gamma ratio depends on the run length alone
+    ratio = np.array([math.lgamma(1.5 + r / 2) - math.lgamma(1 + r / 2) for r in range(len(x) + 1)])
     for t, v in enumerate(x):
         scale = beta * (kappa + 1) / (alpha * kappa)
         z = (v - mu) ** 2 / (2 * alpha * scale)
-        like = np.exp(lgam(alpha + 0.5) - lgam(alpha) - 0.5 * np.log(2 * np.pi * alpha * scale) - (alpha + 0.5) * np.log1p(z))
+        like = np.exp(ratio[:len(mass)] - 0.5 * np.log(2 * np.pi * alpha * scale) - (alpha + 0.5) * np.log1p(z))
         # index 0 holds the prior: v as first value of a new run
         new = mass * like * np.where(np.arange(len(mass)) == 0, 1.0, 1.0 - hazard) if t else mass * like
         new = new / new.sum()

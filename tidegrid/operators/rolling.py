@@ -117,7 +117,10 @@ def _memory(decay: float) -> int:
     """Rows after which a weight ``decay ** n`` is below double precision."""
     import math
 
-    return 1 if decay <= 0 else min(int(math.ceil(math.log(1e-18) / math.log(decay))) + 1, 1 << 16)
+    rows = 1 if decay <= 0 else int(math.ceil(math.log(1e-18) / math.log(decay))) + 1 if decay < 1 else 1 << 31
+    if rows > 1 << 16:
+        raise ValueError("smoothing too slow for a bounded frame: resample the series first")
+    return rows
 
 
 def ewma(df: DataFrame, col: str, alpha: float, keys, order="ts", name: str = "ewma", chunk="1 day") -> DataFrame:
@@ -142,13 +145,10 @@ def holt(df: DataFrame, col: str, alpha: float, beta: float, keys, order="ts", c
     The state transition contracts, so a bounded frame reproduces the recurrence
     once the start has faded; near the start the frame reaches the first row.
     """
-    import math
-
     import numpy as np
 
     a = np.array([[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]])
-    n = _memory(min(max(abs(np.linalg.eigvals(a))) + 1e-12, 1 - 1e-6)) + 64
-    n = int(math.ceil(n))
+    n = _memory(max(abs(np.linalg.eigvals(a))) + 1e-12) + 64
 
     def build(w):
         seen = F.collect_list(col).over(w.rowsBetween(-n + 1, 0))
@@ -240,7 +240,8 @@ def pane_windows(df: DataFrame, size: str, slide: str, keys, values: Sequence[st
         raise ValueError("size must be a multiple of slide")
     per, t = size_us // slide_us, epoch(ts)
     w = Window.partitionBy(*k)  # rows per key are bounded by the grid
-    d = df.withColumn("_a", F.min(t).over(w)).withColumn("_last", floor_div(F.max(t).over(w) - F.col("_a") - size_us, slide_us))
+    d = df.withColumns({"_a": F.min(t).over(w), "_b": F.max(t).over(w)})
+    d = d.withColumn("_last", floor_div(F.col("_b") - F.col("_a") - size_us, slide_us))
     parts = [F.count(F.lit(1)).alias("window_rows")]
     for c in values:
         parts += [F.count(c).alias(f"{c}_n"), F.sum(c).alias(f"{c}_s"), F.sum(F.col(c) * F.col(c)).alias(f"{c}_q"),

@@ -35,14 +35,14 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df, name: str | None = None):
+def checkpoint(df):
     """Cut lineage with a reliable checkpoint in the shared folder of the cluster.
 
     The folder comes from ``spark.checkpoint.dir``; only an unset one (tests)
     falls back to a temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
+                                            or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     return df.checkpoint(eager=True)
