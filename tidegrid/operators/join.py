@@ -12,8 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, bucket_no, cols, epoch, last_valid, micros, next_valid, row_frames, running_sum, scan
+from ..frames import attach_row, bucket_no, cols, epoch, last_valid, micros, next_valid, row_frames, running_sum, scan, value_scan
 from ..functions.stats import corr
+from ..sources.tables import stage
 
 
 def attach_external(df: DataFrame, ext: DataFrame, on: str | Sequence[str], suffix: str | None = None) -> DataFrame:
@@ -185,44 +186,41 @@ def lagged(df: DataFrame, col: str, lags: Sequence[int], keys, order="ts", chunk
 
 
 def knn_join(left: DataFrame, donors: DataFrame, features: Mapping[str, str], k: int, *, row_id: str,
-             donor_id: str, target: str) -> DataFrame:
+             donor_id: str, target: str, chunk="spread") -> DataFrame:
     """Mean target of the ``k`` nearest donors (Euclidean, ties by donor id) for every left row.
 
     Exact without pairing every row with every donor. Donors are numbered along
     the first feature. The nearest ``k`` on either side of a row bound its k-th
     distance; only donors whose first feature lies within that bound can matter,
-    and they form one range of donor numbers.
+    and they form one range of donor numbers. The numbering and the bounds feed
+    several later steps, so both are written once as tables rather than computed again.
     """
     lead = next(iter(features))
     d = donors.select(F.col(donor_id).alias("_id"), F.col(target).alias("_y"),
                       *[F.col(features[f]).cast("double").alias(f"_d_{f}") for f in features]).dropna()
     rows = left.select(row_id, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-    bounds = d.agg(F.percentile_approx(f"_d_{lead}", [i / 64 for i in range(1, 64)], 2000).alias("_bounds"),
-                   F.count(F.lit(1)).alias("_total"))  # one row of fixed size
 
-    def count_donors(*parts):
+    def count_donors(found: DataFrame, *parts: DataFrame) -> DataFrame:
         """Stack donors and places along the line; ``_no`` counts the donors met so far."""
-        both = d.select(F.col(f"_d_{lead}").alias("_x"), F.lit(0).alias("_side"), F.struct(*d.columns).alias("_d"))
+        both = found.select(F.col(f"_d_{lead}").alias("_x"), F.lit(0).alias("_side"), F.struct(*d.columns).alias("_d"))
         for p in parts:
             both = both.unionByName(p, allowMissingColumns=True)
-        placed = attach_row(both, bounds).withColumn(
-            "_chunk", F.size(F.filter("_bounds", lambda e: e < F.col("_x"))).cast("long")).drop("_bounds")
         one = F.when(F.col("_d").isNotNull(), 1).otherwise(0).cast("long")
-        return scan(placed, (), ["_x", "_side", "_d"], {"_no": running_sum(one)})
+        return value_scan(both, (), "_x", {"_no": running_sum(one)}, chunk=chunk, tie=["_side", "_d"])
 
-    def place(x, side):
-        return rows_now.select(x.alias("_x"), F.lit(side).alias("_side"), F.struct(*rows_now.columns).alias("_q"))
+    def place(of: DataFrame, x, side: int) -> DataFrame:
+        return of.select(x.alias("_x"), F.lit(side).alias("_side"), F.struct(*of.columns).alias("_q"))
 
-    rows_now = rows
-    numbered = count_donors(place(F.col(lead), 1))
+    numbered = stage(count_donors(d, place(rows, F.col(lead), 1)), "numbered")
     known = numbered.where(F.col("_d").isNotNull()).select("_no", "_d.*")
+    total = known.agg(F.count(F.lit(1)).alias("_total"))
     dist = F.sqrt(sum((F.pow(F.col(f) - F.col(f"_d_{f}"), 2) for f in features), F.lit(0.0)))
     seed = F.sequence(F.greatest(F.col("_no") - k + 1, F.lit(1).cast("long")), F.least(F.col("_no") + k, F.col("_total")))
-    seeds = numbered.where(F.col("_q").isNotNull()).select("_q.*", F.explode(seed).alias("_no"))
+    seeds = attach_row(numbered.where(F.col("_q").isNotNull()), total).select("_q.*", F.explode(seed).alias("_no"))
     near = seeds.join(known.drop("_id", "_y"), "_no").withColumn("_dist", dist)
     kth = F.try_element_at(F.sort_array(F.collect_list("_dist")), F.lit(k))  # at most 2k seeds per row
-    rows_now = near.groupBy(*rows.columns).agg((F.coalesce(kth, F.lit(float("inf"))) * (1 + 1e-12)).alias("_bound"))
-    ring = count_donors(place(F.col(lead) + F.col("_bound"), 1), place(F.col(lead) - F.col("_bound"), -1))
+    reach = stage(near.groupBy(*rows.columns).agg((F.coalesce(kth, F.lit(float("inf"))) * (1 + 1e-12)).alias("_bound")), "reach")
+    ring = count_donors(known, place(reach, F.col(lead) + F.col("_bound"), 1), place(reach, F.col(lead) - F.col("_bound"), -1))
     ends = ring.where(F.col("_q").isNotNull()).groupBy("_q").agg(F.min("_no").alias("_from"), F.max("_no").alias("_to"))
     pairs = (ends.where("_from < _to").select("_q.*", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_no"))
              .join(known, "_no").withColumn("_dist", dist))
@@ -232,16 +230,16 @@ def knn_join(left: DataFrame, donors: DataFrame, features: Mapping[str, str], k:
 
 
 def knn_lookup(df: DataFrame, literature: DataFrame, features: Mapping[str, str], *, row_id: str, donor_id: str,
-               target: str, k: int = 3) -> DataFrame:
+               target: str, k: int = 3, chunk="spread") -> DataFrame:
     """Predict a trait from the nearest literature rows; unknown features take the literature mean."""
     means = literature.agg(*[F.avg(c).alias(f"_m_{f}") for f, c in features.items()])
     filled = attach_row(df, means).withColumns(
         {f: F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) for f in features})
-    return knn_join(filled, literature, features, k, row_id=row_id, donor_id=donor_id, target=target)
+    return knn_join(filled, literature, features, k, row_id=row_id, donor_id=donor_id, target=target, chunk=chunk)
 
 
-def knn_impute(df: DataFrame, col: str, features: Sequence[str], k: int, row_id: str) -> DataFrame:
+def knn_impute(df: DataFrame, col: str, features: Sequence[str], k: int, row_id: str, chunk="spread") -> DataFrame:
     """Fill NULLs of ``col`` by the mean of the ``k`` rows nearest on the other columns."""
     found = knn_join(df.where(F.col(col).isNull()), df.where(F.col(col).isNotNull()), {f: f for f in features}, k,
-                     row_id=row_id, donor_id=row_id, target=col).withColumnRenamed(col, "_fill")
+                     row_id=row_id, donor_id=row_id, target=col, chunk=chunk).withColumnRenamed(col, "_fill")
     return df.join(found, row_id, "left").withColumn(col, F.coalesce(col, "_fill")).drop("_fill")

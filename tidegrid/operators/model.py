@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, epoch, row_frames, value_ranks
+from ..frames import HOUR, attach_row, cols, epoch, floor_div, is_plain, row_frames, value_ranks
 from ..functions.stats import corr
 from ..functions.tails import t_two_sided
 
@@ -52,7 +52,9 @@ def time_rank(df: DataFrame, ts: str = "ts", name: str = "time_rank", chunk="spr
     """Share of rows before each row's time, from merged timestamps: no global sort in one task."""
     t = df.withColumn("_t", epoch(ts))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    ranks = attach_row(value_ranks(t, (), "_t", chunk), total).select("_t", (F.col("below") / F.col("_total")).alias(name))
+    # instants are close together in relative size: bucket them by the hour
+    part = chunk if is_plain(chunk) else floor_div(F.col("_t"), HOUR)
+    ranks = attach_row(value_ranks(t, (), "_t", part), total).select("_t", (F.col("below") / F.col("_total")).alias(name))
     return t.join(ranks, "_t").drop("_t")
 
 

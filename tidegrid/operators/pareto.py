@@ -12,8 +12,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, following, is_plain, min_before, prev, running_count, value_ranks, value_scan
+from ..frames import attach_row, cols, following, is_plain, min_before, prev, running_count, value_chunk, value_ranks, value_scan
 from ..functions.tails import chi2_tail, normal_two_sided
+from ..sources.tables import stage
 from .join import asof_join
 
 
@@ -60,11 +61,12 @@ def maximum_spread(df: DataFrame, a: str, b: str, keys=(), ideal: tuple[float, f
 
 
 def _line(chunk, x: str) -> Column | None:
-    """Chunk number along a numeric axis, monotone in ``x``: even in log scale, so any range gives few chunks."""
-    if is_plain(chunk):
-        return None
-    c = F.col(x).cast("double")
-    return (F.signum(c) * F.floor(F.log1p(F.abs(c)) * 16)).cast("long")
+    return None if is_plain(chunk) else value_chunk(x)
+
+
+def _hold(df: DataFrame, name: str, chunk) -> DataFrame:
+    """Keep an intermediate that several scans read: as a written table, unless all is small."""
+    return df if is_plain(chunk) else stage(df, name)
 
 
 def epsilon_indicator(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(), chunk="spread") -> DataFrame:
@@ -77,7 +79,7 @@ def epsilon_indicator(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(
     f = front.select(*k, (F.col(a) - F.col(b)).alias("_x"), F.col(a).alias("_a"), F.col(b).alias("_b"))
     t = truth.select(*k, F.col(a).alias("ta"), F.col(b).alias("tb")).withColumn("_x", F.col("ta") - F.col("tb"))
     lo = asof_join(t, f, k, "_x", values=["_a", "_b"], chunk=_line(chunk, "_x")).withColumnsRenamed({"_a": "_la", "_b": "_lb"})
-    both = asof_join(lo, f, k, "_x", values=["_a", "_b"], direction="forward", chunk=_line(chunk, "_x"))
+    both = asof_join(_hold(lo, "low", chunk), f, k, "_x", values=["_a", "_b"], direction="forward", chunk=_line(chunk, "_x"))
     gap = lambda p, q: F.greatest(F.col(p) - F.col("ta"), F.col(q) - F.col("tb"))
     # greatest skips NULLs: guard the sides that found no partner
     left = F.when(F.col("_la").isNotNull(), gap("_la", "_lb"))
@@ -94,6 +96,7 @@ def igd_plus(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(), chunk=
     """
     k = cols(keys)
     f = value_scan(front.select(*k, F.col(a).alias("_x"), F.col(b).alias("_fb")), k, "_x", {"_no": running_count()}, chunk=chunk)
+    f = _hold(f, "front", chunk)
     t = truth.select(*k, F.col(a).alias("ta"), F.col(b).alias("tb"))
     at = _line(chunk, "_x")
     d = asof_join(t.withColumn("_x", F.col("ta")), f, k, "_x", values=["_fb", "_no"], chunk=at).withColumnsRenamed({"_fb": "_left", "_no": "_lo"}).drop("_x")
@@ -101,8 +104,9 @@ def igd_plus(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(), chunk=
     d = asof_join(d.withColumn("_y", F.col("tb")), g, k, "_y", values=["_fa"], chunk=_line(chunk, "_y")).drop("_y")
     by_b = F.when(F.col("_left").isNotNull(), F.greatest(F.col("_left") - F.col("tb"), F.lit(0.0)))
     by_a = F.when(F.col("_fa").isNotNull(), F.greatest(F.col("_fa") - F.col("ta"), F.lit(0.0)))
-    d = d.withColumn("_u", F.coalesce(F.least(by_b, by_a), F.lit(float("inf")))).drop("_left", "_fa")
+    d = _hold(d.withColumn("_u", F.coalesce(F.least(by_b, by_a), F.lit(float("inf")))).drop("_left", "_fa"), "bound", chunk)
     d = asof_join(d.withColumn("_x", F.col("ta") + F.col("_u")), f, k, "_x", values=["_no"], chunk=at).withColumnRenamed("_no", "_hi").drop("_x")
+    d = _hold(d, "range", chunk)
     between = F.sequence(F.coalesce("_lo", F.lit(0).cast("long")) + 1, F.coalesce("_hi", F.lit(0).cast("long")))
     many = F.coalesce("_hi", F.lit(0).cast("long")) > F.coalesce("_lo", F.lit(0).cast("long"))
     near = d.where(many & (F.col("_u") > 0)).withColumn("_no", F.explode(between)).join(f.select(*k, "_no", F.col("_x").alias("_fa"), "_fb"), [*k, "_no"])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...frames import bucket
 from ...operators import grid as og
+from ...operators.join import knn_impute
 from ..registry import query
 
 # hourly mean per signal on the complete grid of that signal (NULL where no reading)
@@ -169,10 +170,4 @@ def _(v):
 def _(v):
     d = v.climate.select(F.concat_ws("_", "entity", F.date_format("ts", "yyyyMMdd")).alias("id"),
                          F.when(F.col("co2") > 450, F.col("co2")).alias("co2"), "light", "rh")
-    return og_knn(d)
-
-
-def og_knn(d):
-    from ...operators.join import knn_impute
-
-    return knn_impute(d, "co2", ["light", "rh"], 3, "id")
+    return knn_impute(d, "co2", ["light", "rh"], 3, "id", chunk=v.split(of="climate"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...frames import bucket, from_epoch, epoch
+from ...frames import bucket, epoch, from_epoch, split_hot
 from ...operators import join as oj
 from ..registry import query
 from .segment import RUNS, runs
@@ -172,5 +172,5 @@ def _(v):
 def _(v):
     lit = v.table("supplier").withColumn("c_acctbal_y", F.col("s_suppkey") % 7 + F.col("s_acctbal") / 100)
     out = oj.knn_lookup(v.table("customer"), lit, {"c_acctbal": "s_acctbal", "c_nationkey": "s_nationkey"},
-                        row_id="c_custkey", donor_id="s_suppkey", target="c_acctbal_y")
+                        row_id="c_custkey", donor_id="s_suppkey", target="c_acctbal_y", chunk=split_hot(v.table("customer"), ()))
     return out.withColumnRenamed("c_acctbal_y", "c_acctbal")
