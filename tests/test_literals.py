@@ -305,3 +305,15 @@ def test_tails(spark):
     r = spark.createDataFrame([(1.959964, 3.841459, 1.0, 2.228139, 10.0)], "z double, c double, d double, t double, n double").select(
         normal_two_sided("z").alias("z"), chi2_tail("c", "d").alias("c"), t_two_sided("t", "n").alias("t")).collect()[0]
     close([r.z, r.c, r.t], [0.05, 0.05, 0.05], 1e-5)
+
+
+def test_coherence_of_a_series_with_itself(one):
+    df = one([(math.sin(i / 2) + i % 3, math.sin(i / 2) + i % 3) for i in range(60)], 1, "x double, y double")
+    got = values(spectral.coherence(df, "x", "y", [2.0], 3, "k", chunk=None), "coherence_0")
+    close(got, [1.0] * 60, 1e-9)
+
+
+def test_threshold_shrinks_details(one):
+    df = complexity.blocks(one([float(i % 2) for i in range(16)]), "value", "k", F.lit(0).alias("b"), size=16)
+    flat = spectral.denoise(df, 16, 1, 10.0).collect()[0].denoised
+    close(flat, [0.5] * 16, 1e-9)
