@@ -35,14 +35,29 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpoint(df):
-    """Cut lineage with a reliable checkpoint in the shared folder of the cluster.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    The folder comes from ``spark.checkpoint.dir``; only an unset one (tests)
-    falls back to a temporary folder.
+    Only a local session without that setting gets a temporary folder; on a
+    cluster a folder of one machine would lose what other machines write.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    global _local_dir
+    if _local_dir is None:
+        _local_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _local_dir
+
+
+_local_dir: str | None = None
+
+
+def checkpoint(df):
+    """Cut lineage with a reliable checkpoint in the shared folder of the cluster."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                                            or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)

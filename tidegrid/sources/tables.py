@@ -13,16 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import cols
+from ..session import shared_dir
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place the cluster names; a temporary one only where none is named (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    """A new folder in the shared place the cluster names."""
+    return f"{shared_dir(spark)}/tidegrid-{uuid.uuid4().hex}"
 
 
 def with_date(df: DataFrame, ts: str = "ts") -> DataFrame:
