@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,9 +34,29 @@ def ready(spark: SparkSession) -> SparkSession:
     """Pin the zone: series arithmetic is defined on UTC instants only."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, as ``--py-files`` would."""
+    global _shipped
+    context = spark.sparkContext
+    if _shipped == context.applicationId:
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.is_dir():  # not when run from a zip that is itself shipped
+        to = Path(tempfile.mkdtemp(prefix="run-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        context.addPyFile(str(to))
+    _shipped = context.applicationId
+
+
+_shipped: str | None = None
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
