@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,16 +208,14 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded
 
     @F.arrow_udf("string")
     def back(lists):
-        import pyarrow as pa
-
         c = codec(source.value)
         return pa.array([None if x is None else c.decode(x) for x in lists.to_pylist()], pa.string())
 
     return encoded.withColumn(text, back(F.col(ids)))
 
 
-def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Append ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas) and ``decoded_sha256`` without moving the ids to the JVM."""
+def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Append ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by commas), ``decoded_sha256`` and, if asked for, ``ids``."""
     source = _shared(docs, path)
 
     def make():
@@ -225,13 +224,17 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         c = codec(source.value)
 
         def each(texts):
-            counts, of_ids, of_text = [], [], []
+            counts, of_ids, of_text, kept = [], [], [], []
             for t in texts.to_pylist():
                 ids = c.encode(t)
+                if with_ids:
+                    kept.append(pa.array(ids, pa.int32()))
                 counts.append(len(ids))
                 of_ids.append(sha256(",".join(map(str, ids)).encode()).hexdigest())
                 of_text.append(sha256(c.decode(ids).encode()).hexdigest())
-            return counts, of_ids, of_text
+            lists = not with_ids or [pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(counts))).astype(np.int32), pa.concat_arrays(kept) if kept else pa.array([], pa.int32()))]
+            return counts, of_ids, of_text, *(lists if with_ids else [])
         return each
 
-    return map_texts(docs, text, "n_tokens long, ids_sha256 string, decoded_sha256 string", make)
+    fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return map_texts(docs, text, fields, make, drop=[text])

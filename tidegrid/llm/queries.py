@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import ready
-from . import bpe, decontaminate, secrets, shards, token_counts, topk, warc
+from . import bpe, decontaminate, neardup, quality, secrets, shards, token_counts, topk, toxicity, warc
 from .common import table
 
 QUERIES: dict = {}
@@ -52,6 +52,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "shard", "depth", "shard_bytes", "fits")
 
 
+@register("op3_quality_discriminant")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op4_weighted_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
 @register("op5_benchmark_decontamination", r"""
 WITH dw AS (SELECT row_number() OVER () AS rid, doc_id,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -87,6 +97,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@register("op8_toxic_sentences")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), locate=toxicity.THRESHOLD)
+
+
 @register("op9_bpe_round_trip")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -97,3 +112,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.find(docs))
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -115,7 +115,11 @@ def library_tables() -> tuple[bytes, dict[int, str]]:
         table[[ord(c) for c in letters]] = number
     table[ord("\n")] = BREAK  # normalised texts hold no line ends: it separates texts in a stream
     lower = normalizers.Lowercase()
-    odd = {ord(c): s for c in everything if c.lower() != (s := lower.normalize_str(c))}
+    odd = {}
+    for at in range(0, len(everything), 256):
+        some = everything[at:at + 256]
+        if lower.normalize_str(some) != "".join(map(str.lower, some)):
+            odd |= {ord(c): s for c in some if c.lower() != (s := lower.normalize_str(c))}
     return table.tobytes(), odd | {ord("Σ"): "σ"}  # the library has no final form
 
 
@@ -201,4 +205,4 @@ def count(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) ->
             return [len(t.encode()) if t else 0 for t in found], n, [x > limit for x in n]
         return each
 
-    return map_texts(docs, text, "n_bytes long, n_tokens long, over_limit boolean", make, limit=1 << 20)
+    return map_texts(docs, text, "n_bytes long, n_tokens long, over_limit boolean", make, drop=[text], limit=1 << 20)

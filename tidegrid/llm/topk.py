@@ -145,7 +145,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
 
     met = pairs.select("part", "c", "q").mapInArrow(run, "query_id long, vec_id long, score long")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (met.groupBy("query_id", "vec_id", "score").agg().withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
+    return (met.distinct().withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
