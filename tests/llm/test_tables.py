@@ -16,7 +16,7 @@ def brute_topk(rows, k):
     clean = {(i, tuple(math.floor(256 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = set()
     for q in {i for i, _ in clean if i % 50 == 0}:
-        met = {(y, sum(a * b for a, b in zip(x, w))) for p, x in clean if p == q for y, w in clean if y != q}
+        met = {(y, max(-1 << 63, min((1 << 63) - 1, sum(a * b for a, b in zip(x, w))))) for p, x in clean if p == q for y, w in clean if y != q}
         for rank, (y, s) in enumerate(sorted(met, key=lambda m: (-m[1], m[0]))[:k], 1):
             out.add((q, rank, y, s))
     return out
@@ -184,7 +184,7 @@ def test_normalised_files(spark, pages, tmp_path):
     assert sum(r.records for r in made) == pages.count()
     for r in made:
         raw = open(r.path, "rb").read()
-        entries = [json.loads(x) for x in open(r.index)]
+        entries = [json.loads(x) for x in open(r['index'])]
         assert [e["offset"] for e in entries] == [sum(e["length"] for e in entries[:i]) for i in range(len(entries))] and len(entries) == r.records
         for e in entries:
             assert gzip.decompress(raw[e["offset"]:e["offset"] + e["length"]]).startswith(b"WARC/1.1\r\n")

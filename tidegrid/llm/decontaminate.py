@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
-from .common import map_texts
+from .common import map_texts, quoted
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # on UTF-8 bytes: digits, letters after lower-casing A-Z, all beyond ASCII
 SIZE = 10
@@ -170,24 +170,29 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, text: str = "t
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Cut every hit word range out of the text, from its first to its last word; what stood around it stays."""
-    text = options.get("text", "text")
-    found = scan(docs, benchmark, **options)
-    schema = docs.schema
+    found, schema = _packed(docs, benchmark, options), docs.schema
+    at = schema.names.index(options.get("text", "text"))
 
     def run(batches):
         for batch in batches:
-            rows = zip(batch.column(text).to_pylist(), batch.column("hits").to_pylist())
-            columns = [batch.column(f.name) for f in schema]
-            at = schema.names.index(text)
+            columns = batch.column("row").flatten()
+            rows = zip(columns[at].to_pylist(), batch.column("hits").to_pylist())
             columns[at] = pa.array([cut(t, h) if h else t for t, h in rows], columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return found.mapInArrow(run, schema)
+    return found.select("row", "hits").mapInArrow(run, schema)
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Drop every document with a hit."""
-    return scan(docs, benchmark, **options).where(F.size("hits") == 0).select(*[f.name for f in docs.schema])
+    return _packed(docs, benchmark, options).where(F.size("hits") == 0).select("row.*")
+
+
+def _packed(docs: DataFrame, benchmark: DataFrame, options: dict) -> DataFrame:
+    """Scanned rows whose own columns, whatever their names, are one struct."""
+    text = options.get("text", "text")
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), F.col(quoted(text)).alias("__scanned"))
+    return scan(rows, benchmark, **(options | {"text": "__scanned"}))
 
 
 def cut(text: str, hits) -> str:

@@ -4,8 +4,9 @@ A document is a bag of sentences. A sentence's score is a logistic function of
 its word features; the document's score is their noisy-or, 1 - prod(1 - p). Labels
 exist for documents only: the gradient of the document's likelihood shares its
 error among the sentences by what each contributes, so that the sentences that
-explain a label learn it. Features are hashed words and word beginnings; an L1
-penalty leaves ordinary words without weight.
+explain a label learn it. Features are hashed words and word beginnings. Weights
+are not negative, as no word excuses another; an L1 penalty leaves ordinary words
+without weight.
 
 The model is fitted on a bounded sample of labelled documents (``most`` per class,
 those with the smallest hash of the id, weighted back to all labelled ones);
@@ -32,7 +33,9 @@ from .common import held_out, map_texts
 
 BUCKETS = 1 << 18
 MOST = {0: 8_000, 1: 4_000}
-ROUNDS, RATE, PENALTY, START = 150, 0.3, 2e-5, -5.0
+ROUNDS, RATE, START = 150, 0.3, -5.0
+PENALTY = 0.2  # documents that a unit of weight must explain; chosen, like LEAST, by cross-validation in the rows not held out
+LEAST = 3  # documents a feature must occur in
 THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
@@ -124,11 +127,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: st
 
 
 def fit_bags(label: np.ndarray, weight: np.ndarray, doc_of: np.ndarray, sentence_of: np.ndarray, feature: np.ndarray,
-             rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY) -> tuple[np.ndarray, float]:
-    """Weights and bias: full gradients with per-weight step sizes, and a proximal step for the L1 penalty.
+             rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY, least: int = LEAST) -> tuple[np.ndarray, float]:
+    """Weights and bias: full gradients with per-weight step sizes, and a proximal step for the penalty and the sign.
 
     ``doc_of`` gives the document of each sentence; ``sentence_of`` and ``feature`` list what sentences hold.
     """
+    # a feature of few documents can only be learned by heart
+    met = np.unique(doc_of[sentence_of] * BUCKETS + feature) % BUCKETS
+    common = np.bincount(met, minlength=BUCKETS) >= least
+    sentence_of, feature = sentence_of[common[feature]], feature[common[feature]]
     used, feature = np.unique(feature, return_inverse=True)
     w, b = np.zeros(len(used)), START
     seen_w, seen_b = np.full(len(used), 1e-12), 1e-12
@@ -143,7 +150,7 @@ def fit_bags(label: np.ndarray, weight: np.ndarray, doc_of: np.ndarray, sentence
         seen_w, seen_b = 0.9 * seen_w + 0.1 * gw * gw, 0.9 * seen_b + 0.1 * gb * gb
         step = rate / (np.sqrt(seen_w) + 1e-4)
         w -= step * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0.0)
+        w = np.maximum(w - step * penalty / docs, 0.0)
         b -= 0.1 * gb / (np.sqrt(seen_b) + 1e-6)
         rate *= 0.985
     out = np.zeros(BUCKETS)
@@ -157,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     table, weights = sample(docs, labels, label, doc_id, text, ~held_out(doc_id) if learn is None else learn, most or MOST)
     label_of = table.column("__label").to_numpy()
     if len(set(label_of.tolist())) < 2:
-        return np.zeros(BUCKETS), -500.0
+        return np.zeros(BUCKETS), -1000.0
     sizes, found = table.column("sizes").combine_chunks(), table.column("found").combine_chunks()
     doc_of = np.repeat(np.arange(len(label_of)), np.array(sizes.value_lengths()))
     size = np.array(sizes.flatten())
