@@ -89,41 +89,50 @@ def cols(names: str | Iterable[str]) -> list[str]:
 
 @dataclass(frozen=True)
 class Split:
-    """Which keys are too large for one task. ``hot=None`` means: treat every key so."""
+    """Which keys are too large for one task: those listed in ``hot``, or every key if that is None.
+
+    ``hot`` is a table of keys (or a few tuples); rows are marked by a null-safe join
+    with it, so its length does not matter. ``found`` says whether any key is too large.
+    The split and the plain computation give the same rows.
+    """
 
     keys: tuple[str, ...]
-    hot: tuple[tuple, ...] | None
+    hot: DataFrame | Sequence[tuple] | None
     chunk: str | int = "1 day"
+    found: bool = True
+
+    def mark(self, df: DataFrame, name: str = "_hot") -> DataFrame:
+        """Append whether a row belongs to a key that is split."""
+        if self.hot is None or not self.keys:
+            return df.withColumn(name, F.lit(self.found))
+        hot = self.hot if isinstance(self.hot, DataFrame) else df.sparkSession.createDataFrame(list(self.hot), df.select(*self.keys).schema)
+        listed = hot.select(*self.keys, F.lit(True).alias(name))
+        return match(df, listed, self.keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
-    def test(self) -> Column:
-        """True on rows of a hot key."""
-        if self.hot is None:
-            return F.lit(True)
-        if not self.keys:
-            return F.lit(bool(self.hot))
-        if len(self.keys) == 1:
-            known = [k[0] for k in self.hot if k[0] is not None]
-            none = F.col(self.keys[0]).isNull() if len(known) < len(self.hot) else F.lit(False)
-            return F.coalesce(F.col(self.keys[0]).isin(known), F.lit(False)) | none
-        tests = [all_of(F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(self.keys, k)) for k in self.hot]
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def split_hot(df: DataFrame, keys, limit: int = 2_000_000, chunk: str | int = "1 day", most: int = 10_000) -> Split:
-    """Measure which keys hold more than ``limit`` rows.
-
-    One map-side combined count whose hot rows alone reach the driver; should
-    there be more than ``most`` of them, every key is split and no list is kept.
+
+def split_hot(df: DataFrame, keys, limit: int = 2_000_000, chunk: str | int = "1 day") -> Split:
+    """Find the keys that hold more than ``limit`` rows: one map-side combined count.
+
+    The driver only learns whether there are any.
     """
     k = cols(keys)
-    found = (df.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-             .select(*(k or [F.lit(1).alias("_all")])).limit(most + 1).collect())
-    return Split(tuple(k), None if len(found) > most else tuple(tuple(r) for r in found), chunk)
+    hot = df.groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    return Split(tuple(k), hot.select(*k) if k else None, chunk, not hot.isEmpty())
 
 
 def is_plain(chunk) -> bool:
     """Whether no series has to be split."""
-    return chunk is None or (isinstance(chunk, Split) and chunk.hot == ())
+    return chunk is None or (isinstance(chunk, Split) and not chunk.found)
+
+
+def match(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys equal each other, as they do in a grouping. Keys come from the left side."""
+    keys = cols(keys)
+    if not keys:
+        return attach_row(left, right)
+    other = right.select(*[F.col(k).alias(f"_match_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = all_of(F.col(k).eqNullSafe(F.col(f"_match_{k}")) for k in keys)
+    return left.join(other, same, how).drop(*[f"_match_{k}" for k in keys])
 
 
 # --------------------------------------------------------------------------- scan
@@ -231,23 +240,19 @@ def scan(df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str],
     if "_chunk" not in df.columns and is_plain(chunk):
         w = _both_ways(keys, order)
         return df.withColumns({n: s.merge(s.local(w[s.back]), F.lit(None)) for n, s in specs.items()})
-    hot = chunk.test() if isinstance(chunk, Split) else F.lit(True)
-    if "_chunk" in df.columns:
-        rows = df
-    elif isinstance(chunk, Column):
-        rows = df.withColumn("_chunk", chunk)
-    elif isinstance(chunk, Split):
-        rows = df.withColumn("_chunk", F.when(hot, bucket_no(order[0], chunk.chunk)).otherwise(F.lit(0).cast("long")))
-    else:
-        rows = df.withColumn("_chunk", bucket_no(order[0], chunk))
-    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    heads = rows.where(hot).groupBy(*keys, "_chunk").agg(
+    given = "_chunk" in df.columns
+    rows = chunk.mark(df) if isinstance(chunk, Split) else df.withColumn("_hot", F.lit(True))
+    if not given:
+        no = chunk if isinstance(chunk, Column) else bucket_no(order[0], chunk.chunk if isinstance(chunk, Split) else chunk)
+        rows = rows.withColumn("_chunk", F.when(F.col("_hot"), no).otherwise(F.lit(0).cast("long")))
+    rank = F.struct(*order)  # never NULL, even where the time is
+    heads = rows.where("_hot").groupBy(*keys, "_chunk").agg(
         *[s.summary(rank).alias(f"_s_{n}") for n, s in specs.items()])
     across = _both_ways(keys, ["_chunk"])
     carried = heads.select(*keys, "_chunk", *[
         s.carry(F.col(f"_s_{n}"), across[s.back]).alias(f"_k_{n}") for n, s in specs.items()])
     w = _both_ways([*keys, "_chunk"], order)
-    out = rows.join(carried, [*keys, "_chunk"], "left")
+    out = match(rows, carried, [*keys, "_chunk"], "left")
     kept = [c for c in df.columns if c != "_chunk"] + (["_chunk"] if keep_chunk else [])
     return out.select(*kept, *[
         s.merge(s.local(w[s.back]), F.col(f"_k_{n}")).alias(n) for n, s in specs.items()])
@@ -273,9 +278,10 @@ def row_frames(df: DataFrame, keys, order, before: int, after: int,
     no, zero = F.col("_no") - 1, F.lit(0).cast("long")
     copies = F.sequence(F.greatest(floor_div(no - after, size), zero), floor_div(no + before, size))
     home = floor_div(no, size)
-    if isinstance(chunk, Split):
-        copies, home = F.when(chunk.test(), copies).otherwise(F.array(zero)), F.when(chunk.test(), home).otherwise(zero)
     numbered = scan(df, keys, order, {"_no": running_count()}, chunk=chunk)
+    if isinstance(chunk, Split):
+        numbered, hot = chunk.mark(numbered), F.col("_hot")
+        copies, home = F.when(hot, copies).otherwise(F.array(zero)), F.when(hot, home).otherwise(zero)
     spread = numbered.withColumn("_home", home).withColumn("_block", F.explode(copies))
     w = Window.partitionBy(*keys, "_block").orderBy(*order)
     made = dict(build(w))
@@ -283,6 +289,51 @@ def row_frames(df: DataFrame, keys, order, before: int, after: int,
             .where("_home = _block").select(*df.columns, *made))
 
 
+def linear_scan(df: DataFrame, keys, order, given: Column, term: Column, step: Sequence[Sequence[float]], name: str, *, chunk="1 day", block: int = 128,
+                levels: int = 2) -> DataFrame:
+    """Append the state of the recurrence s' = step s + term, an array of doubles, started at zero.
+
+    ``term`` is an array that may use ``_n``, the number (from 0) of the rows so far for
+    which ``given`` holds; the others keep the state. Exact and linear in the rows for
+    any step matrix: states inside blocks of ``block`` terms are folded from zero, the
+    last state of each full block is one term of the same recurrence with the matrix
+    raised to ``block``, and what that gives is added back. After ``levels`` such steps
+    the few blocks left of a series are folded at once.
+    """
+    import numpy as np
+
+    keys, order, a = cols(keys), cols(order), np.asarray(step, float)
+    d = df.withColumn("_some", F.when(given, F.lit(1).cast("long")))
+    d = scan(d, keys, order, {"_n": running_sum("_some")}, chunk=chunk).withColumn("_n", F.coalesce("_n", F.lit(0).cast("long")) - 1)
+    out = _linear(d.withColumn("_term", F.when(given, term)), keys, order, a, name, block, levels)
+    return out.withColumn(name, F.when(F.col("_n") >= 0, F.col(name))).select(*df.columns, name)
+
+
+def _linear(d: DataFrame, keys, order, a, name: str, block: int, levels: int) -> DataFrame:
+    import numpy as np
+
+    size = len(a)
+
+    def times(m, s):
+        return F.array(*[sum((F.lit(float(m[i][j])) * s[j] for j in range(1, size)), F.lit(float(m[i][0])) * s[0]) for i in range(size)])
+
+    zero = F.array(*[F.lit(0.0)] * size)
+    fold = lambda terms: F.aggregate(terms, zero, lambda s, x: F.zip_with(times(a, s), x, lambda p, q: p + q))
+    if not levels:
+        return d.withColumn(name, fold(F.collect_list("_term").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*(_BEFORE[0], 0)))))
+    d = d.withColumns({"_b": floor_div(F.col("_n"), block), "_i": F.pmod("_n", F.lit(block))})
+    w = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(_BEFORE[0], 0)
+    d = d.withColumn("_local", fold(F.collect_list("_term").over(w)))
+    ends = d.where((F.col("_i") == block - 1) & F.col("_term").isNotNull()).select(*keys, F.col("_b").alias("_n"), F.col("_local").alias("_term"))
+    carried = _linear(ends, keys, ["_n"], np.linalg.matrix_power(a, block), "_state", block, levels - 1)
+    both = match(d, carried.select(*keys, (F.col("_n") + 1).alias("_b"), F.col("_state").alias("_carry")), [*keys, "_b"], "left")
+    powers = F.array(*[F.array(*[F.lit(float(x)) for x in np.linalg.matrix_power(a, i + 1).ravel()]) for i in range(block)])
+    m = F.element_at(powers, F.col("_i").cast("int") + 1)
+    moved = F.array(*[sum((m[i * size + j] * F.col("_carry")[j] for j in range(1, size)), m[i * size] * F.col("_carry")[0]) for i in range(size)])
+    state = F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(F.zip_with("_local", moved, lambda p, q: p + q))
+    return both.withColumn(name, state).drop("_b", "_i", "_local", "_carry")
+
+
 def time_frames(df: DataFrame, keys, ts: str, before: str | int, after: str | int,
                 build: Callable[[WindowSpec], Mapping[str, Column]], *,
                 chunk: str | int | None = None) -> DataFrame:
@@ -296,12 +347,13 @@ def time_frames(df: DataFrame, keys, ts: str, before: str | int, after: str | in
     t = F.col("_us")
     spread = (df.withColumn("_us", epoch(ts))
               .withColumn("_home", floor_div(t, width))
-              .withColumn("_block", F.explode(F.sequence(
+              # a row without a time is in the frame of no other, but stays
+              .withColumn("_block", F.explode_outer(F.sequence(
                   floor_div(t - ahead, width),
                   floor_div(t + back, width)))))
     made = dict(build(Window.partitionBy(*keys, "_block").orderBy("_us")))
     return (spread.select(*df.columns, "_home", "_block", *[c.alias(n) for n, c in made.items()])
-            .where("_home = _block").select(*df.columns, *made))
+            .where("_home <=> _block").select(*df.columns, *made))
 
 
 # ---------------------------------------------------------------------- quantiles
@@ -345,8 +397,8 @@ def exact_quantiles(df: DataFrame, keys, col: str, probs: Mapping[str, float], *
     if is_plain(chunk):
         return _built_in(df, keys, col, probs)
     if isinstance(chunk, Split) and chunk.hot is not None:
-        hot = chunk.test()
-        return _built_in(df.where(~hot), keys, col, probs).unionByName(_by_rank(df.where(hot), keys, col, probs)).where(
+        d = chunk.mark(df)
+        return _built_in(d.where("NOT _hot"), keys, col, probs).unionByName(_by_rank(d.where("_hot"), keys, col, probs)).where(
             F.col(next(iter(probs))).isNotNull() if not keys else F.lit(True))
     return _by_rank(df, keys, col, probs)
 
@@ -360,7 +412,7 @@ def _built_in(df, keys, col, probs):
 def _by_rank(df, keys, col, probs):
     ranked = value_ranks(df, keys, col)
     total = df.where(F.col(col).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
-    placed = ranked.join(total, keys) if keys else attach_row(ranked, total)
+    placed = match(ranked, total, keys) if keys else attach_row(ranked, total)
     wanted = F.array(*[F.struct(F.lit(n).alias("name"),
                                 (F.lit(float(p)) * (F.col("_total") - 1)).alias("pos"))
                        for n, p in probs.items()])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # that stand for a missing value unless a source lists its own.
 TRUE_WORDS = ("true", "1", "yes", "t", "y", "on")
 FALSE_WORDS = ("false", "0", "no", "f", "n", "off", "-", "–")
-NULL_MARKERS = ("", "NaN", "NULL", "N/A", "-1", "-999")
+NULL_MARKERS = ("", "NaN", "NULL", "N/A")  # numeric markers such as -1 are named by the spec of the files that use them
 
 
 def col(c: str | Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, bucket, cols, epoch, exact_quantiles, from_epoch, scan, prev
+from ..frames import attach_row, bucket, cols, epoch, exact_quantiles, from_epoch, match, prev, scan
 from ..functions.calendar import trunc
 from ..functions.stats import corr
 
@@ -94,7 +94,7 @@ def histogram_entropy(df: DataFrame, value: str, keys, bins: int, base: float |
     ends = df.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
     at = F.least(F.floor((F.col(value) - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins),
                  F.lit(bins - 1).cast("long"))
-    counts = (df.where(F.col(value).isNotNull()).join(ends, keys).withColumn("_bin", F.coalesce(at, F.lit(0).cast("long")))
+    counts = (df.where(F.col(value).isNotNull()).transform(match, ends, keys).withColumn("_bin", F.coalesce(at, F.lit(0).cast("long")))
               .groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_c"), F.max("_n").alias("_n")))
     p = F.col("_c") / F.col("_n")
     log = F.ln(p) if base is None else F.log(base, p)
@@ -106,10 +106,10 @@ def ext_stats(df: DataFrame, value: str, keys, bins: int = 50, chunk="spread") -
     keys = cols(keys)
     x = df.select(*keys, value).where(F.col(value).isNotNull())
     q = exact_quantiles(x, keys, value, QUANTILES, chunk=chunk)
-    dev = x.join(q.select(*keys, "p50"), keys).withColumn("_d", F.abs(F.col(value) - F.col("p50")))
+    dev = x.transform(match, q.select(*keys, "p50"), keys).withColumn("_d", F.abs(F.col(value) - F.col("p50")))
     mad = exact_quantiles(dev, keys, "_d", {"mad": 0.5}, chunk=chunk)
     out = x.groupBy(*keys).agg(*[c.alias(n) for n, c in moments(value).items()])
-    return (out.join(q, keys).join(mad, keys).join(histogram_entropy(x, value, keys, bins, None), keys)
+    return (out.transform(match, q, keys).transform(match, mad, keys).transform(match, histogram_entropy(x, value, keys, bins, None), keys)
             .withColumn("iqr", F.col("p75") - F.col("p25")))
 
 
@@ -187,7 +187,7 @@ def map_profile(df: DataFrame, json: str, keys) -> DataFrame:
     names = df.select(*keys, F.explode(F.json_object_keys(F.col(json))).alias("name"))
     per = names.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("readings"))
     total = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("sensors"), F.sum("readings").alias("readings")).join(
+    return per.groupBy(*keys).agg(F.count(F.lit(1)).alias("sensors"), F.sum("readings").alias("readings")).transform(match, 
         total, keys).withColumn("suitability", F.col("readings") / (F.col("rows") * F.col("sensors")))
 
 
@@ -223,7 +223,7 @@ def hour_profile(df: DataFrame, value: str, keys, ts: str = "ts") -> DataFrame:
 def by_state(df: DataFrame, sensor: str, keys, chunk="spread") -> DataFrame:
     """Quartiles, mean and count of a sensor per group and state."""
     q = exact_quantiles(df, keys, sensor, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, chunk=chunk)
-    return q.join(df.groupBy(*cols(keys)).agg(F.avg(sensor).alias("mean"), F.count(sensor).alias("n")), cols(keys))
+    return q.transform(match, df.groupBy(*cols(keys)).agg(F.avg(sensor).alias("mean"), F.count(sensor).alias("n")), cols(keys))
 
 
 # ---------------------------------------------------------------------- correlation
@@ -257,7 +257,7 @@ def summarize_runs(df: DataFrame, value: str, keys, chunk="spread") -> DataFrame
     q = exact_quantiles(df, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, chunk=chunk)
     s = df.groupBy(*cols(keys)).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"),
                                     F.max(value).alias("max"), F.count(value).alias("n"))
-    return s.join(q, cols(keys)).withColumn("iqr", F.col("q3") - F.col("q1")).drop("q1", "q3")
+    return s.transform(match, q, cols(keys)).withColumn("iqr", F.col("q3") - F.col("q1")).drop("q1", "q3")
 
 
 def aggregate_runs(df: DataFrame, values: Sequence[str], keys) -> DataFrame:
@@ -268,7 +268,7 @@ def aggregate_runs(df: DataFrame, values: Sequence[str], keys) -> DataFrame:
 def partition_count(df: DataFrame, keys, name: str = "partition_rows") -> DataFrame:
     """Rows of the partition beside each row: pre-aggregated and joined back, so a hot key is never sorted."""
     counts = df.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, cols(keys))
+    return df.transform(match, counts, cols(keys))
 
 
 def change_stats(df: DataFrame, value: str, keys, order="ts", chunk="1 day") -> DataFrame:
@@ -299,7 +299,7 @@ def fit_minmax(df: DataFrame, columns: Sequence[str], keys=()) -> DataFrame:
 def apply_minmax(df: DataFrame, fitted: DataFrame, columns: Sequence[str], keys=()) -> DataFrame:
     """Scale to [-1, 1] with stored ranges; boolean columns are left alone."""
     keys = cols(keys)
-    both = df.join(fitted, keys, "left") if keys else attach_row(df, fitted)
+    both = df.transform(match, fitted, keys, "left") if keys else attach_row(df, fitted)
     use = [c for c in columns if f"{c}_lo" in fitted.columns]
     made = {c: 2 * (F.col(c) - F.col(f"{c}_lo")) / F.nullif(F.col(f"{c}_hi") - F.col(f"{c}_lo"), F.lit(0.0)) - 1 for c in use}
     return both.withColumns(made).select(*df.columns)
@@ -314,7 +314,7 @@ def cheapest_quartile(df: DataFrame, price: str, keys=(), chunk="spread") -> Dat
     """Rows priced at or below the first quartile of their key."""
     keys = cols(keys)
     q = exact_quantiles(df, keys, price, {"_q": 0.25}, chunk=chunk)
-    both = df.join(q, keys) if keys else attach_row(df, q)
+    both = df.transform(match, q, keys) if keys else attach_row(df, q)
     return both.where(F.col(price) <= F.col("_q")).drop("_q")
 
 
@@ -322,7 +322,7 @@ def daily_total(df: DataFrame, value: str, keys, ts: str = "ts", name: str = "da
     """Whole-day total beside each row."""
     day = trunc("day", ts)
     total = df.groupBy(*cols(keys), day.alias("_day")).agg(F.sum(value).alias(name))
-    return df.withColumn("_day", day).join(total, [*cols(keys), "_day"]).drop("_day")
+    return df.withColumn("_day", day).transform(match, total, [*cols(keys), "_day"]).drop("_day")
 
 
 def span_grid(df: DataFrame, every: str, ts: str = "ts") -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, bucket, cols, epoch, exact_quantiles, prev, scan, time_frames
+from ..frames import attach_row, bucket, cols, epoch, exact_quantiles, match, prev, scan, time_frames
 from ..functions import clean as fc
 
 
@@ -56,7 +56,7 @@ def iqr_bounds(df: DataFrame, col: str, keys=(), factor: float = 1.5, chunk="spr
 
 def iqr_outliers(df: DataFrame, col: str, keys, factor: float = 1.5, strategy: str = "null", chunk="spread") -> DataFrame:
     """Outliers beyond the quartiles by ``factor`` x IQR to NULL, or clipped to the bounds."""
-    joined = df.join(iqr_bounds(df, col, keys, factor, chunk), cols(keys), "left")
+    joined = df.transform(match, iqr_bounds(df, col, keys, factor, chunk), cols(keys), "left")
     x = F.col(col)
     if strategy == "clip":
         new = F.when(x.isNotNull(), F.least(F.greatest(x, F.col("low")), F.col("high")))
@@ -97,10 +97,10 @@ class OutlierRule:
 def mad_bounds(df: DataFrame, col: str, keys, factor: float = 3.0, chunk="spread") -> DataFrame:
     """median ± factor x 1.4826 x MAD per key."""
     med = exact_quantiles(df, keys, col, {"med": 0.5}, chunk=chunk)
-    dev = df.join(med, cols(keys)).withColumn("_dev", F.abs(F.col(col) - F.col("med")))
+    dev = df.transform(match, med, cols(keys)).withColumn("_dev", F.abs(F.col(col) - F.col("med")))
     spread = exact_quantiles(dev, keys, "_dev", {"mad": 0.5}, chunk=chunk)
     half = factor * 1.4826 * F.col("mad")
-    return med.join(spread, cols(keys)).select(*cols(keys), (F.col("med") - half).alias("low"),
+    return med.transform(match, spread, cols(keys)).select(*cols(keys), (F.col("med") - half).alias("low"),
                                                (F.col("med") + half).alias("high"))
 
 
@@ -121,7 +121,7 @@ def apply_outlier_rules(df: DataFrame, rules: Sequence[OutlierRule], keys, chunk
             else:
                 raise ValueError(f"unknown outlier method {r.method}")
             lo, hi = F.col(f"_lo{n}"), F.col(f"_hi{n}")
-            out = out.join(b.withColumnsRenamed({"low": f"_lo{n}", "high": f"_hi{n}"}), keys, "left")
+            out = out.transform(match, b.withColumnsRenamed({"low": f"_lo{n}", "high": f"_hi{n}"}), keys, "left")
             extra += [f"_lo{n}", f"_hi{n}"]
         x = made.get(r.column, F.col(r.column))
         inside = F.coalesce(x >= lo, F.lit(True)) & F.coalesce(x <= hi, F.lit(True))
@@ -235,7 +235,7 @@ def decimate(df: DataFrame, span: str = "7 days", step: str = "5 minutes", keys=
     """Keep only rows on ``step`` epochs in series at least ``span`` long."""
     keys = cols(keys)
     ends = df.groupBy(*keys).agg((F.max(epoch(ts)) - F.min(epoch(ts))).alias("_span"))
-    both = df.join(ends, keys) if keys else attach_row(df, ends)
+    both = df.transform(match, ends, keys) if keys else attach_row(df, ends)
     whole_seconds = F.floor(epoch(ts) / 1_000_000).cast("long")
     keep = (F.col("_span") < _us(span)) | (F.pmod(whole_seconds, F.lit(_us(step) // 1_000_000)) == 0)
     return both.where(keep).drop("_span")

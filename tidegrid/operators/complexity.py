@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cols, row_frames, running_count, scan
+from ..frames import cols, match, row_frames, running_count, scan
 
 
 def _cov_about(x: Column, y: Column, mx: Column, my: Column) -> Column:
@@ -72,10 +72,10 @@ def delayed_mutual_info(df: DataFrame, x: str, y: str, delay: int, bins: int, ke
         F.col("_y").isNotNull() & F.col(x).isNotNull())
     ends = d.groupBy(*k).agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1"), F.count(F.lit(1)).alias("_n"))
     cell = lambda c, lo, hi: F.floor((c - lo) / (hi - lo + 1e-10) * (bins - 1))
-    joint = (d.join(ends, k).groupBy(*k, cell(F.col(x), F.col("_x0"), F.col("_x1")).alias("_i"), cell(F.col("_y"), F.col("_y0"), F.col("_y1")).alias("_j"))
+    joint = (d.transform(match, ends, k).groupBy(*k, cell(F.col(x), F.col("_x0"), F.col("_x1")).alias("_i"), cell(F.col("_y"), F.col("_y0"), F.col("_y1")).alias("_j"))
              .agg((F.count(F.lit(1)) / F.max("_n")).alias("_p")))
     px, py = (joint.groupBy(*k, c).agg(F.sum("_p").alias(n)) for c, n in (("_i", "_px"), ("_j", "_py")))
-    return (joint.join(px, [*k, "_i"]).join(py, [*k, "_j"]).groupBy(*k)
+    return (joint.transform(match, px, [*k, "_i"]).transform(match, py, [*k, "_j"]).groupBy(*k)
             .agg(F.sum(F.col("_p") * F.log2(F.col("_p") / (F.col("_px") * F.col("_py")))).alias("mutual_info")))
 
 
@@ -91,7 +91,7 @@ def permutation_entropy(df: DataFrame, value: str, order_n: int, keys, order="ts
     counts = d.where(known).groupBy(*k, F.concat_ws(",", *[r.cast("string") for r in ranks]).alias("_pat")).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.groupBy(*k).agg(F.sum("_c").alias("_n"))
     p = F.col("_c") / F.col("_n")
-    return counts.join(total, k).groupBy(*k).agg((-F.sum(p * F.log2(p)) / math.log2(math.factorial(order_n))).alias("permutation_entropy"))
+    return counts.transform(match, total, k).groupBy(*k).agg((-F.sum(p * F.log2(p)) / math.log2(math.factorial(order_n))).alias("permutation_entropy"))
 
 
 def higuchi(df: DataFrame, value: str, k_max: int, keys, order="ts", chunk="1 day") -> DataFrame:
@@ -104,7 +104,7 @@ def higuchi(df: DataFrame, value: str, k_max: int, keys, order="ts", chunk="1 da
     long = d.select(*key, "_i", F.explode(steps).alias("_s")).where(F.col("_s.d").isNotNull())
     k = F.col("k")
     curve = long.groupBy(*key, F.col("_s.k").alias("k"), F.pmod(F.col("_i") - 1, F.col("_s.k")).alias("_m")).agg(F.sum("_s.d").alias("_sum"), F.count(F.lit(1)).alias("_c"))
-    length = curve.join(n, key).withColumn("_l", F.col("_sum") * (F.col("_n") - 1) / (F.col("_c") * k * k)).groupBy(*key, "k").agg(F.avg("_l").alias("_l"))
+    length = curve.transform(match, n, key).withColumn("_l", F.col("_sum") * (F.col("_n") - 1) / (F.col("_c") * k * k)).groupBy(*key, "k").agg(F.avg("_l").alias("_l"))
     use = length.where(F.col("_l") > 0)
     return use.groupBy(*key).agg(F.regr_slope(F.ln("_l"), F.ln(1 / F.col("k"))).alias("fractal_dimension"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import Split, attach_row, cols, exact_quantiles, is_plain
+from ..frames import Split, attach_row, cols, exact_quantiles, is_plain, match
 from .stress import forward
 
 
@@ -22,7 +22,7 @@ def mark_peaks(df: DataFrame, price: str, keys, rule: str = "p75", hours: tuple[
         limit = df.groupBy(*k).agg(F.avg(price).alias("_limit"))
     else:
         raise ValueError(f"unknown peak rule {rule}")
-    both = df.join(limit, k) if k else attach_row(df, limit)
+    both = df.transform(match, limit, k) if k else attach_row(df, limit)
     return both.withColumn(name, F.col(price) > F.col("_limit")).drop("_limit")
 
 
@@ -50,7 +50,7 @@ def load_shift(df: DataFrame, power: str, price: str, keys, chunk="spread") -> D
     """Saving from moving mean load into the cheapest quarter of the prices."""
     k = cols(keys)
     q = exact_quantiles(df, k, price, {"_q": 0.25}, chunk=chunk)
-    stats = df.join(q, k).groupBy(*k).agg(
+    stats = df.transform(match, q, k).groupBy(*k).agg(
         F.avg(price).alias("_p"), F.avg(F.when(F.col(price) <= F.col("_q"), F.col(price))).alias("_c"), F.avg(power).alias("_w"))
     return stats.select(*k, ((F.col("_p") - F.col("_c")) * F.col("_w")).alias("shift_saving"))
 
@@ -61,7 +61,7 @@ def hours_until_cheap(df: DataFrame, price: str, keys, ts: str = "hour", chunk="
 
     k = cols(keys)
     q = exact_quantiles(df, k, price, {"_q": 0.25}, chunk=chunk if is_plain(chunk) or isinstance(chunk, Split) else "spread")
-    d = df.join(q, k) if k else attach_row(df, q)
+    d = df.transform(match, q, k) if k else attach_row(df, q)
     cheap = F.when(F.col(price) < F.col("_q"), epoch(ts))
     d = scan(d, k, ts, {"_t": next_valid(cheap)}, chunk=chunk)
     wait = F.when(F.col(price) <= F.col("_q"), 0.0).otherwise((F.col("_t") - epoch(ts)) / 3600e6)

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, exact_quantiles, row_frames, running_count, running_sum, scan
+from ..frames import attach_row, cols, exact_quantiles, match, row_frames, running_count, running_sum, scan
 
 V, P, N1, P2 = F.col, "_p1", "_n1", "_p2"
 
@@ -63,11 +63,11 @@ def prepare(df: DataFrame, value: str, keys, order="ts", chunk="1 day") -> DataF
     d = scan(d, k, order, {"_i": running_count()}, chunk=chunk)
     d = row_frames(d, k, order, 2, 1, lambda w: {P: F.lag("v").over(w), P2: F.lag("v", 2).over(w), N1: F.lead("v").over(w)}, chunk=chunk)
     side = F.signum(F.col("v") - F.col("mean"))
-    d = d.join(stats, k).withColumn("_side", side)
+    d = d.transform(match, stats, k).withColumn("_side", side)
     starts = F.coalesce((side != F.signum(F.col(P) - F.col("mean"))), F.lit(True)).cast("long")
     d = scan(d.withColumn("_start", starts), k, order, {"_no": running_sum("_start")}, chunk=chunk)
     runs = d.groupBy(*k, "_no").agg(F.count(F.lit(1)).alias("_run"))
-    return d.join(runs, [*k, "_no"])
+    return d.transform(match, runs, [*k, "_no"])
 
 
 def extract(df: DataFrame, value: str, keys, profile: Mapping[str, Callable[[], Column]], order="ts", chunk="1 day") -> DataFrame:
@@ -80,7 +80,7 @@ def minimal(df: DataFrame, value: str, keys, chunk="spread") -> DataFrame:
     k = cols(keys)
     d = df.where(F.col(value).isNotNull()).select(*k, F.col(value).cast("double").alias("v"))
     out = d.groupBy(*k).agg(*[f().alias(n) for n, f in MINIMAL.items()])
-    return out.join(exact_quantiles(d, k, "v", {"median": 0.5}, chunk=chunk), k)
+    return out.transform(match, exact_quantiles(d, k, "v", {"median": 0.5}, chunk=chunk), k)
 
 
 def duplicate_features(df: DataFrame, value: str, keys) -> DataFrame:
@@ -99,7 +99,7 @@ def energy_chunks(df: DataFrame, value: str, keys, parts: int, order="ts", chunk
     """Share of the energy in each of ``parts`` equal stretches of the series."""
     k = cols(keys)
     n = df.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(value) * F.col(value)).alias("_e"))
-    d = scan(df, k, order, {"_i": running_count()}, chunk=chunk).join(n, k)
+    d = scan(df, k, order, {"_i": running_count()}, chunk=chunk).transform(match, n, k)
     part = F.floor((F.col("_i") - 1) * parts / F.col("_n")).cast("int")
     return d.groupBy(*k, part.alias("part")).agg((F.sum(F.col(value) * F.col(value)) / F.nullif(F.max("_e"), F.lit(0.0))).alias("energy_share"))
 

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import (Split, bucket, bucket_no, cols, epoch, exact_quantiles, following, from_epoch, is_plain, last_valid, micros, next_valid,
+from ..frames import (Split, bucket, bucket_no, cols, epoch, exact_quantiles, following, from_epoch, is_plain, last_valid, match, micros, next_valid,
                       prev, row_frames, running_count, scan)
 
 
@@ -42,7 +42,7 @@ def densify(df: DataFrame, step: str, keys, ts: str = "ts", chunk=None) -> DataF
 def asfreq(df: DataFrame, step: str, keys, ts: str = "ts") -> DataFrame:
     """Only readings exactly on the grid survive; no aggregation."""
     on_grid = df.where(F.pmod(epoch(ts), F.lit(micros(step))) == 0)
-    return grid_points(df, step, keys, ts).join(on_grid, [*cols(keys), ts], "left")
+    return grid_points(df, step, keys, ts).transform(match, on_grid, [*cols(keys), ts], "left")
 
 
 def resample_mean(df: DataFrame, every: str, keys, values: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -151,7 +151,7 @@ def fill_stat(df: DataFrame, col: str, how: str, keys, chunk="spread") -> DataFr
         stat = counts.groupBy(*keys).agg(F.max_by(col, F.struct("_n", -F.col(col))).alias("_s"))
     else:
         raise ValueError(f"unknown fill {how}")
-    return df.join(stat, keys, "left").withColumn(col, F.coalesce(col, "_s")).drop("_s")
+    return df.transform(match, stat, keys, "left").withColumn(col, F.coalesce(col, "_s")).drop("_s")
 
 
 def impute(df: DataFrame, rules: Mapping[str, Mapping], keys, order="ts", default: Mapping | None = None,

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cols, epoch, following, prev, running_sum, scan
+from ..frames import cols, epoch, following, match, prev, running_sum, scan
 from ..functions.calendar import trunc
 
 
@@ -157,7 +157,7 @@ def scaled_par(df: DataFrame, clear_par: str, keys, *, dli: str | None = None, r
         day = df.groupBy(*k, trunc("day", ts).alias("_day")).agg((F.sum(par) * step_s / 1e6).alias("_syn"), F.max(dli).alias("_obs"))
         ratio = F.least(F.greatest(F.col("_obs") / F.nullif(F.col("_syn"), F.lit(0.0)), F.lit(low)), F.lit(high))
         scale = day.select(*k, "_day", F.when(F.col("_obs").isNull(), 1.0).otherwise(F.coalesce(ratio, F.lit(1.0))).alias("_scale"))
-        out = out.withColumn("_day", trunc("day", ts)).join(scale, [*k, "_day"], "left").drop("_day")
+        out = out.withColumn("_day", trunc("day", ts)).transform(match, scale, [*k, "_day"], "left").drop("_day")
         par = par * F.col("_scale")
     if radiation:
         kt = clamp01(F.col(radiation) / F.nullif(F.col(clear_ghi), F.lit(0.0)))

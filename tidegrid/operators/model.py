@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import HOUR, attach_row, cols, epoch, floor_div, is_plain, row_frames, value_ranks
+from ..frames import HOUR, attach_row, cols, epoch, floor_div, is_plain, match, row_frames, value_ranks
 from ..functions.stats import corr
 from ..functions.tails import t_two_sided
 
@@ -55,7 +55,7 @@ def time_rank(df: DataFrame, ts: str = "ts", name: str = "time_rank", chunk="spr
     # instants are close together in relative size: bucket them by the hour
     part = chunk if is_plain(chunk) else floor_div(F.col("_t"), HOUR)
     ranks = attach_row(value_ranks(t, (), "_t", part), total).select("_t", (F.col("below") / F.col("_total")).alias(name))
-    return t.join(ranks, "_t").drop("_t")
+    return t.transform(match, ranks, "_t").drop("_t")
 
 
 def time_split(df: DataFrame, ts: str = "ts", train: float = 0.7, valid: float = 0.15, chunk="spread") -> DataFrame:

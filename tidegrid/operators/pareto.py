@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, following, is_plain, min_before, prev, running_count, value_chunk, value_ranks, value_scan
+from ..frames import attach_row, cols, following, is_plain, match, min_before, prev, running_count, value_chunk, value_ranks, value_scan
 from ..functions.tails import chi2_tail, normal_two_sided
 from ..sources.tables import stage
 from .join import asof_join
@@ -33,7 +33,7 @@ def front_points(df: DataFrame, a: str, b: str, keys=(), chunk="spread") -> Data
 
 def non_dominated(df: DataFrame, a: str, b: str, keys=(), chunk="spread") -> DataFrame:
     """Rows no other row dominates (equal rows do not dominate each other)."""
-    return df.join(front_points(df, a, b, keys, chunk), [*cols(keys), a, b], "left_semi")
+    return df.transform(match, front_points(df, a, b, keys, chunk), [*cols(keys), a, b], "left_semi")
 
 
 def hypervolume(df: DataFrame, a: str, b: str, ref: tuple[float, float], keys=(), chunk="spread") -> DataFrame:
@@ -109,10 +109,10 @@ def igd_plus(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(), chunk=
     d = _hold(d, "range", chunk)
     between = F.sequence(F.coalesce("_lo", F.lit(0).cast("long")) + 1, F.coalesce("_hi", F.lit(0).cast("long")))
     many = F.coalesce("_hi", F.lit(0).cast("long")) > F.coalesce("_lo", F.lit(0).cast("long"))
-    near = d.where(many & (F.col("_u") > 0)).withColumn("_no", F.explode(between)).join(f.select(*k, "_no", F.col("_x").alias("_fa"), "_fb"), [*k, "_no"])
+    near = d.where(many & (F.col("_u") > 0)).withColumn("_no", F.explode(between)).transform(match, f.select(*k, "_no", F.col("_x").alias("_fa"), "_fb"), [*k, "_no"])
     dist = F.hypot(F.greatest(F.col("_fa") - F.col("ta"), F.lit(0.0)), F.greatest(F.col("_fb") - F.col("tb"), F.lit(0.0)))
     closer = near.groupBy(*k, "ta", "tb").agg(F.min(dist).alias("_m"))
-    out = d.join(closer, [*k, "ta", "tb"], "left")
+    out = d.transform(match, closer, [*k, "ta", "tb"], "left")
     return out.groupBy(*k).agg(F.avg(F.least("_u", "_m")).alias("igd_plus"))
 
 
@@ -135,7 +135,7 @@ def average_ranks(df: DataFrame, value: str, keys=(), chunk="spread") -> DataFra
     """Attach the average rank of each row's value and the tie size."""
     k = cols(keys)
     r = value_ranks(df, k, value, chunk).select(*k, value, (F.col("below") + (F.col("n") + 1) / 2).alias("rank"), F.col("n").alias("ties"))
-    return df.join(r, [*k, value])
+    return df.transform(match, r, [*k, value])
 
 
 def wilcoxon(df: DataFrame, x: str, y: str, keys=(), chunk="spread") -> DataFrame:
@@ -143,7 +143,7 @@ def wilcoxon(df: DataFrame, x: str, y: str, keys=(), chunk="spread") -> DataFram
     k = cols(keys)
     d = df.select(*k, (F.col(x) - F.col(y)).alias("_d")).where(F.col("_d") != 0).withColumn("_a", F.abs("_d"))
     ranks = value_ranks(d, k, "_a", chunk).select(*k, "_a", (F.col("below") + (F.col("n") + 1) / 2).alias("_r"), F.col("n").alias("_t"))
-    g = d.join(ranks, [*k, "_a"]).groupBy(*k).agg(
+    g = d.transform(match, ranks, [*k, "_a"]).groupBy(*k).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_wp"),
         F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("_wm"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
     n = F.col("n_pairs")

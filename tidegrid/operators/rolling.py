@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..frames import (attach_row, bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, micros, prev, row_frames,
+from ..frames import (attach_row, bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, linear_scan, match, micros, prev, row_frames,
                       running_count, running_product, running_sum, scan, time_frames)
 
 
@@ -113,55 +113,21 @@ def rolling_abs_diff(df: DataFrame, col: str, n: int, keys, order="ts", name: st
     return row_frames(steps, keys, order, max(n - 2, 0), 0, build, chunk=chunk).drop("_step")
 
 
-def _memory(decay: float) -> int:
-    """Rows after which a weight ``decay ** n`` is below double precision."""
-    import math
-
-    rows = 1 if decay <= 0 else int(math.ceil(math.log(1e-18) / math.log(decay))) + 1 if decay < 1 else 1 << 31
-    if rows > 1 << 16:
-        raise ValueError("smoothing too slow for a bounded frame: resample the series first")
-    return rows
-
-
 def ewma(df: DataFrame, col: str, alpha: float, keys, order="ts", name: str = "ewma", chunk="1 day") -> DataFrame:
-    """y = (1 - a) y' + a x from the first value on.
-
-    Weights fall geometrically, so folding a bounded frame gives every row the
-    value of the full recurrence to double precision.
-    """
-    n = _memory(1 - alpha)
-
-    def build(w):
-        seen = F.collect_list(col).over(w.rowsBetween(-n + 1, 0))
-        return {name: F.aggregate(F.slice(seen, 2, n), F.try_element_at(seen, F.lit(1)),
-                                  lambda y, x: y * (1 - alpha) + x * alpha)}
-
-    return row_frames(df, keys, order, n - 1, 0, build, chunk=chunk)
+    """y = (1 - a) y' + a x from the first value on, over the whole history; a NULL keeps y."""
+    x = F.col(col).cast("double")
+    term = F.array(F.when(F.col("_n") == 0, x).otherwise(x * alpha))
+    out = linear_scan(df, keys, order, x.isNotNull(), term, [[1 - alpha]], "_s", chunk=chunk)
+    return out.withColumn(name, F.col("_s")[0]).drop("_s")
 
 
 def holt(df: DataFrame, col: str, alpha: float, beta: float, keys, order="ts", chunk="1 day") -> DataFrame:
-    """Double exponential smoothing: level and trend, started at the first value with no trend.
-
-    The state transition contracts, so a bounded frame reproduces the recurrence
-    once the start has faded; near the start the frame reaches the first row.
-    """
-    import numpy as np
-
-    a = np.array([[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]])
-    n = _memory(max(abs(np.linalg.eigvals(a))) + 1e-12) + 64
-
-    def build(w):
-        seen = F.collect_list(col).over(w.rowsBetween(-n + 1, 0))
-        start = F.struct(F.try_element_at(seen, F.lit(1)).alias("level"), F.lit(0.0).alias("trend"))
-
-        def step(s, x):
-            level = alpha * x + (1 - alpha) * (s["level"] + s["trend"])
-            return F.struct(level.alias("level"), (beta * (level - s["level"]) + (1 - beta) * s["trend"]).alias("trend"))
-
-        return {"_h": F.aggregate(F.slice(seen, 2, n), start, step)}
-
-    out = row_frames(df, keys, order, n - 1, 0, build, chunk=chunk)
-    return out.withColumns({"level": F.col("_h.level"), "trend": F.col("_h.trend")}).drop("_h")
+    """Double exponential smoothing over the whole history: level and trend, started at the first value with no trend."""
+    x = F.col(col).cast("double")
+    term = F.when(F.col("_n") == 0, F.array(x, F.lit(0.0))).otherwise(F.array(x * alpha, x * (alpha * beta)))
+    step = [[1 - alpha, 1 - alpha], [-alpha * beta, 1 - alpha * beta]]
+    out = linear_scan(df, keys, order, x.isNotNull(), term, step, "_s", chunk=chunk)
+    return out.withColumns({"level": F.col("_s")[0], "trend": F.col("_s")[1]}).drop("_s")
 
 
 def cumulative(df: DataFrame, exprs: Mapping[str, tuple[str, Column | str]], keys, order="ts", chunk="1 day") -> DataFrame:
@@ -190,7 +156,7 @@ def lag_time(df: DataFrame, col: str, duration: str, keys, ts: str = "ts", name:
     """Value exactly ``duration`` earlier, by an equi-join on the shifted time."""
     k = [*cols(keys), ts]
     shifted = df.select(*cols(keys), from_epoch(epoch(ts) + micros(duration)).alias(ts), F.col(col).alias(name or f"{col}_lag_{duration}"))
-    return df.join(shifted, k, "left")
+    return df.transform(match, shifted, k, "left")
 
 
 # ------------------------------------------------------------------ sliding windows
@@ -207,7 +173,7 @@ def sliding_windows(df: DataFrame, size: str, slide: str, keys, ts: str = "hour"
     k, size_us, slide_us = cols(keys), micros(size), micros(slide)
     t = epoch(ts)
     ends = df.groupBy(*k).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
-    both = df.join(ends, k) if k else attach_row(df, ends)
+    both = df.transform(match, ends, k) if k else attach_row(df, ends)
     off, last = t - F.col("_a"), floor_div(F.col("_b") - F.col("_a") - size_us, slide_us)
     hi = floor_div(off, slide_us)
     hi = F.least(hi, last) if full_only else hi
@@ -273,7 +239,7 @@ def sliding_rows(df: DataFrame, size: int, slide: int, keys, order="ts", chunk="
     lo = F.greatest(floor_div(i - size, slide) + 1, F.lit(0).cast("long"))
     out = pos.withColumn("window_no", F.explode(F.sequence(lo, floor_div(i, slide)))).drop("_n")
     fill = out.groupBy(*cols(keys), "window_no").agg(F.count(F.lit(1)).alias("window_rows")).where(F.col("window_rows") >= size / 2)
-    return out.join(fill, [*cols(keys), "window_no"])
+    return out.transform(match, fill, [*cols(keys), "window_no"])
 
 
 def volatility(df: DataFrame, col: str, rows: Mapping[str, int], keys, order="ts", sample: bool = True, chunk="1 day") -> DataFrame:
@@ -304,9 +270,9 @@ def price_features(df: DataFrame, price: str, keys=(), ts: str = "hour", chunk="
     month = df.groupBy(*k, trunc("month", ts).alias("_m")).agg(F.avg(price).alias("_mean"))
     day = df.groupBy(*k, from_epoch(epoch(trunc("day", ts)) + micros("1 day")).alias("_d")).agg(F.avg(price).alias("price_yesterday"))
     out = lag_time(lag_time(df, price, "1h", k, ts, "price_lag_1h"), price, "24h", k, ts, "price_lag_24h")
-    out = out.withColumns({"_m": trunc("month", ts), "_d": trunc("day", ts)}).join(month, [*k, "_m"], "left").join(day, [*k, "_d"], "left")
+    out = out.withColumns({"_m": trunc("month", ts), "_d": trunc("day", ts)}).transform(match, month, [*k, "_m"], "left").transform(match, day, [*k, "_d"], "left")
     q = exact_quantiles(df, k, price, {"_p75": 0.75}, chunk=chunk)
-    out = out.join(q, k) if k else attach_row(out, q)
+    out = out.transform(match, q, k) if k else attach_row(out, q)
     return out.withColumns({"deviation": F.col(price) - F.col("_mean"), "is_winter": winter(ts),
                             "is_peak": F.col(price) > F.col("_p75")}).drop("_m", "_d", "_mean", "_p75")
 
@@ -332,8 +298,8 @@ def decompose(df: DataFrame, col: str, period: int, keys, order="ts", model: str
     k = cols(keys)
     phase = out.groupBy(*k, "_phase").agg(F.avg("_bare").alias("_s"))
     centre = phase.groupBy(*k).agg(F.avg("_s").alias("_c"))
-    phase = phase.join(centre, k) if k else attach_row(phase, centre)
+    phase = phase.transform(match, centre, k) if k else attach_row(phase, centre)
     additive = model == "additive"
     phase = phase.select(*k, "_phase", (F.col("_s") - F.col("_c") if additive else F.col("_s") / F.col("_c")).alias("seasonal"))
     resid = F.col("_bare") - F.col("seasonal") if additive else F.col("_bare") / F.col("seasonal")
-    return out.join(phase, [*k, "_phase"]).withColumn("resid", resid).drop("_pos", "_bare", "_phase")
+    return out.transform(match, phase, [*k, "_phase"]).withColumn("resid", resid).drop("_pos", "_bare", "_phase")

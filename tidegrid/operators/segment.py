@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cols, epoch, following, micros, prev, row_frames, running_count, running_sum, scan
+from ..frames import cols, epoch, following, match, micros, prev, row_frames, running_count, running_sum, scan
 from ..functions.calendar import trunc
 from .grid import densify
 from .join import interval_join
@@ -49,7 +49,7 @@ def island_stats(df: DataFrame, keys, gap: str | None = None, ts: str = "ts", se
 def filter_segments(df: DataFrame, stats: DataFrame, keys, min_hours: float = 1.0, min_rows: int = 10,
                     segment: str = "segment_id") -> DataFrame:
     good = stats.where((F.col("minutes") >= min_hours * 60) & (F.col("rows") >= min_rows))
-    return df.join(good.select(*cols(keys), segment), [*cols(keys), segment], "left_semi")
+    return df.transform(match, good.select(*cols(keys), segment), [*cols(keys), segment], "left_semi")
 
 
 def merge_small_gaps(df: DataFrame, gap: str, keys, order="ts", segment: str = "segment_id", chunk="1 day") -> DataFrame:
@@ -67,7 +67,7 @@ def quantize(df: DataFrame, col: str, levels: int, keys, name: str = "symbol") -
     ends = df.groupBy(*keys).agg(F.min(col).alias("_lo"), F.max(col).alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     scaled = F.round((F.col(col) - F.col("_lo")) / F.nullif(span, F.lit(0.0)) * levels).cast("int")
-    return (df.join(ends, keys, "left")
+    return (df.transform(match, ends, keys, "left")
             .withColumn(name, F.when(F.col(col).isNull(), None).when(span < 1e-9, 0).otherwise(scaled))
             .drop("_lo", "_hi"))
 

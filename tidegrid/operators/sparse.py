@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cols, epoch, exact_quantiles, last_valid, micros, prev, running_count, running_sum, scan
+from ..frames import cols, epoch, exact_quantiles, last_valid, match, micros, prev, running_count, running_sum, scan
 from ..functions.calendar import weekend
 
 
@@ -21,7 +21,7 @@ def coverage_gaps(df: DataFrame, value: str, keys, ts: str = "ts", chunk="1 day"
     g = gaps.groupBy(*cols(keys)).agg(F.coalesce(F.max(some), F.lit(0.0)).alias("longest_gap_hours"),
                                       F.coalesce(F.avg(some), F.lit(0.0)).alias("mean_gap_hours"))
     n = df.groupBy(*cols(keys)).agg(F.count(value).alias("points"), (F.count(value) / F.count(F.lit(1))).alias("coverage"))
-    return n.join(g, cols(keys), "left").fillna({"longest_gap_hours": 0.0, "mean_gap_hours": 0.0})
+    return n.transform(match, g, cols(keys), "left").fillna({"longest_gap_hours": 0.0, "mean_gap_hours": 0.0})
 
 
 def null_runs(df: DataFrame, value: str, keys, ts: str = "ts", step: str = "1h", chunk=None) -> DataFrame:
@@ -33,7 +33,7 @@ def null_runs(df: DataFrame, value: str, keys, ts: str = "ts", step: str = "1h",
     per = runs.where(here).groupBy(*cols(keys), "_run").agg((F.count(F.lit(1)) * (micros(step) / 60e6)).alias("_m"))
     every = df.select(*cols(keys)).distinct()
     out = per.groupBy(*cols(keys)).agg(F.count(F.lit(1)).alias("gaps"), F.max("_m").alias("longest_gap_min"), F.avg("_m").alias("mean_gap_min"))
-    return every.join(out, cols(keys), "left").fillna({"gaps": 0, "longest_gap_min": 0.0, "mean_gap_min": 0.0})
+    return every.transform(match, out, cols(keys), "left").fillna({"gaps": 0, "longest_gap_min": 0.0, "mean_gap_min": 0.0})
 
 
 def sparse_stats(df: DataFrame, value: str, keys) -> DataFrame:
@@ -48,12 +48,12 @@ def change_counts(df: DataFrame, value: str, keys, ts: str = "ts", chunk="1 day"
     points = df.where(x.isNotNull()).select(*k, ts, value)
     stats = points.groupBy(*k).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     p = F.col("_p")
-    d = scan(points, k, ts, {"_p": prev(x)}, chunk=chunk).join(stats, k).where(p.isNotNull())
+    d = scan(points, k, ts, {"_p": prev(x)}, chunk=chunk).transform(match, stats, k).where(p.isNotNull())
     sign = lambda c: F.when(c < 0, -1).otherwise(1)  # noqa: E731  zero counts as positive
     found = d.groupBy(*k).agg(
         F.count_if(x != p).alias("changes"), F.count_if(F.abs(x - p) > 2 * F.col("_s")).alias("large_changes"),
         F.count_if((p - F.col("_m")) * (x - F.col("_m")) < 0).alias("mean_crossings"), F.count_if(sign(x) != sign(p)).alias("sign_changes"))
-    return stats.select(*k).join(found, k, "left").fillna(0)
+    return stats.select(*k).transform(match, found, k, "left").fillna(0)
 
 
 def extremes(df: DataFrame, value: str, keys, ts: str = "ts", min_points: int = 10, chunk="spread") -> DataFrame:
@@ -62,11 +62,11 @@ def extremes(df: DataFrame, value: str, keys, ts: str = "ts", min_points: int =
     size = df.groupBy(*k).agg(F.count(value).alias("_n"), F.count(F.lit(1)).alias("_slots"),
                               F.floor((F.max(t) - F.min(t)) / 3600e6).alias("_h"))
     q = exact_quantiles(df, k, value, {"_p5": 0.05, "_p95": 0.95}, chunk=chunk)
-    d = df.join(q, k)
+    d = df.transform(match, q, k)
     hits = d.groupBy(*k).agg(F.count_if(x > F.col("_p95")).alias("_hi"), F.count_if(x < F.col("_p5")).alias("_lo"))
     many = F.col("_n") > min_points
     share = (F.col("_hi") + F.col("_lo")) / F.col("_n")
-    return size.join(hits, k, "left").select(
+    return size.transform(match, hits, k, "left").select(
         *k, F.when(many, F.col("_hi")).otherwise(0).alias("extreme_high"), F.when(many, F.col("_lo")).otherwise(0).alias("extreme_low"),
         F.when(many, F.col("_h") * share * F.col("_n") / F.col("_slots")).otherwise(0.0).alias("extreme_hours"))
 
@@ -150,7 +150,7 @@ def adaptive_windows(df: DataFrame, sensors: Sequence[str], keys, ts: str = "hou
     plan = plan if plan is not None else window_plan(quality(df, sensors, k, ts))
     t = epoch(ts)
     ends = df.groupBy(*k).agg(F.min(t).alias("_a"), F.max(t).alias("_b"))
-    d = df.join(plan.select(*k, "window_hours", "overlap", "quality_threshold"), k).join(ends, k)
+    d = df.transform(match, plan.select(*k, "window_hours", "overlap", "quality_threshold"), k).transform(match, ends, k)
     size = (F.col("window_hours") * hour).cast("long")
     slide = F.greatest(F.floor(F.col("window_hours") * (1 - F.col("overlap"))), F.lit(1)) * hour
     div = lambda a, b: F.floor(a / b).cast("long")
@@ -170,7 +170,7 @@ def suggest_window(df: DataFrame, sensors: Sequence[str], keys, ts: str = "ts",
     k = cols(keys)
     pos = scan(df, k, ts, {"_i": running_count()}, chunk=None).withColumn("_i", F.col("_i") - 1)
     total = df.groupBy(*k).agg(F.count(F.lit(1)).alias("_n"))
-    d = pos.join(total, k).withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
+    d = pos.transform(match, total, k).withColumn("size", F.explode(F.array(*[F.lit(s) for s in sizes])))
     step = F.floor(F.col("size") / 2)
     hi = F.least(F.floor(F.col("_i") / step), F.floor((F.col("_n") - F.col("size")) / step))
     lo = F.greatest(F.floor((F.col("_i") - F.col("size")) / step) + 1, F.lit(0))
@@ -178,5 +178,5 @@ def suggest_window(df: DataFrame, sensors: Sequence[str], keys, ts: str = "ts",
     q = quality(d.drop("_i"), sensors, [*k, "size", "_w"], ts).where(F.col("score") >= 0.1)
     by = q.groupBy(*k, "size").agg((F.avg("score") * (1 - F.col("size") / max(sizes) * 0.1)).alias("adjusted"), F.count(F.lit(1)).alias("windows"))
     best = by.groupBy(*k).agg(F.max_by("size", F.struct("adjusted", -F.col("size"))).alias("window_size"), F.max("adjusted").alias("adjusted"))
-    return df.select(*k).distinct().join(best, k, "left").fillna({"window_size": default})
+    return df.select(*k).distinct().transform(match, best, k, "left").fillna({"window_size": default})
 

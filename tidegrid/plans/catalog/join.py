@@ -172,5 +172,5 @@ def _(v):
 def _(v):
     lit = v.table("supplier").withColumn("c_acctbal_y", F.col("s_suppkey") % 7 + F.col("s_acctbal") / 100)
     out = oj.knn_lookup(v.table("customer"), lit, {"c_acctbal": "s_acctbal", "c_nationkey": "s_nationkey"},
-                        row_id="c_custkey", donor_id="s_suppkey", target="c_acctbal_y", chunk=split_hot(v.table("customer"), ()))
+                        row_id="c_custkey", donor_id="s_suppkey", target="c_acctbal_y", chunk=split_hot(v.table("customer"), (), v.limit))
     return out.withColumnRenamed("c_acctbal_y", "c_acctbal")

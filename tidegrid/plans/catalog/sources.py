@@ -89,6 +89,39 @@ def _(v):
     return v.spark.read.parquet(path).select("event_id", "entity", "value")
 
 
+@query("A-01,A-05", "source_csv_mixed_headers", views="readings", r="value", i="entity",
+       sql="SELECT event_id, entity, date_trunc('second', ts)::TIMESTAMP AS ts, value FROM readings")
+def _(v):
+    path = st.scratch(v.spark) + "/mixed"
+    d = v.readings.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("t"), "event_id", "entity", "value", "signal")
+    for n, order in enumerate((["t", "event_id", "entity", "value"], ["value", "entity", "t", "event_id"], ["event_id", "value", "entity", "t"])):
+        st.save_csv(d.where(F.col("event_id") % 3 == n).select(*order), f"{path}/{n}", sep=";")
+    spec = sf.FileSpec([f"{path}/{n}" for n in range(3)], delimiter=";", datetime="t",
+                       columns=(sf.ColumnSpec("event_id", "event_id", "int"), sf.ColumnSpec("entity", "entity", "int"), sf.ColumnSpec("value", "value")))
+    return sf.read_csv(v.spark, spec).rows.select("event_id", "entity", "ts", "value")
+
+
+@query("A-12", "source_upsert_moved", views="readings", r="value", i="entity",
+       sql="""SELECT event_id, entity, CASE WHEN value > 30 OR event_id % 10 = 0 THEN 0 ELSE value END AS value,
+       CASE WHEN value > 30 OR event_id % 10 = 0 THEN DATE '2030-01-01' ELSE CAST(ts AS DATE) END AS date FROM readings""")
+def _(v):
+    d = st.with_date(v.readings).select(F.when(F.col("event_id") == 0, None).otherwise(F.col("event_id")).alias("event_id"), "entity", "value", "date")
+    path = st.save(d, st.scratch(v.spark) + "/t", ["date"])
+    moved = d.where("value > 30 OR coalesce(event_id, 0) % 10 = 0").withColumns({"value": F.lit(0.0), "date": F.lit("2030-01-01").cast("date")})
+    st.upsert(v.spark, path, moved, ["event_id"], ["date"])
+    return v.spark.read.parquet(path).select(F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"), "entity", "value", "date")
+
+
+@query("A-14", "source_insert_ignore_repeats", views="readings", r="value",
+       sql="SELECT event_id, CASE WHEN value < 20 THEN value ELSE -value END AS value FROM readings")
+def _(v):
+    d = v.readings.select(F.when(F.col("event_id") == 0, None).otherwise(F.col("event_id")).alias("event_id"), "value")
+    path = st.save(d.where("value < 20"), st.scratch(v.spark) + "/t")
+    again = d.withColumn("value", -F.col("value"))
+    st.insert_ignore(v.spark, path, again.unionAll(again).unionAll(again.withColumn("value", F.col("value") + 1)), ["event_id"])
+    return v.spark.read.parquet(path).select(F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"), "value")
+
+
 @query("A-13", "source_replace_slice", views="readings", r="value",
        sql="SELECT event_id, signal, CASE WHEN signal = 'click' THEN value * 2 ELSE value END AS value FROM readings")
 def _(v):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -22,6 +23,7 @@ class Query:
     sql: str | None
     rounded: tuple[str, ...]
     whole: tuple[str, ...]
+    splits: bool  # whether it asks which keys are too large for one task
 
 
 REGISTRY: dict[str, Query] = {}
@@ -49,7 +51,8 @@ def query(ids: str, name: str, *, views: str = "", sql: str | None = None,
 
         if name in REGISTRY:
             raise ValueError(f"query {name} registered twice")
-        REGISTRY[name] = Query(ids, name, tidy, _oracle(sql, views, rounded, whole, digits), rounded, whole)
+        source = inspect.getsource(build)
+        REGISTRY[name] = Query(ids, name, tidy, _oracle(sql, views, rounded, whole, digits), rounded, whole, "v.split(" in source or "v.spread(" in source)
         return build
 
     return register
@@ -80,11 +83,14 @@ def load() -> dict[str, Query]:
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    def bind(q: Query):
-        return lambda spark, sf_dir: q.build(Views(ready(spark), sf_dir))
+    """All queries; those that can split large keys a second time, as ``<name>_split``, with every key split."""
+    def bind(q: Query, **options):
+        return lambda spark, sf_dir: q.build(Views(ready(spark), sf_dir, **options))
 
-    return {n: bind(q) for n, q in load().items()}
+    out = {n: bind(q) for n, q in load().items()}
+    return out | {f"{n}_split": bind(q, limit=0) for n, q in load().items() if q.sql and q.splits}
 
 
 def oracles() -> dict[str, str]:
-    return {n: q.sql for n, q in load().items() if q.sql}
+    out = {n: q.sql for n, q in load().items() if q.sql}
+    return out | {f"{n}_split": out[n] for n, q in load().items() if q.sql and q.splits}

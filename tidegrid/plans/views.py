@@ -16,22 +16,25 @@ SIGNALS = ("click", "error", "purchase", "signup", "view")
 
 
 class Views:
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, limit: int = 2_000_000):
+        """``limit``: rows from which a key is split; 0 splits every key."""
+        self.spark, self.dir, self.limit = spark, sf_dir, limit
+        self.asked = False  # whether a query has asked for a split
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def split(self, *keys: str, of: str = "readings") -> Split:
         """Keys of a view too large for one task, measured once per query."""
+        self.asked = True
         made = self.__dict__.setdefault("_splits", {})
         if (of, keys) not in made:
-            made[of, keys] = split_hot(getattr(self, of), cols(keys))
+            made[of, keys] = split_hot(getattr(self, of), cols(keys), self.limit)
         return made[of, keys]
 
     def spread(self, of: str):
         """For quantiles over a whole view: spread them unless it is small."""
-        return None if self.split(of=of).hot == () else "spread"
+        return None if not self.split(of=of).found else "spread"
 
     @cached_property
     def readings(self) -> DataFrame:

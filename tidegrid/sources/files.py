@@ -7,9 +7,11 @@ rows without a valid timestamp into a rejects frame instead of failing.
 
 from __future__ import annotations
 
+import csv
 import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,17 +105,39 @@ def _split(df: DataFrame, keep: Sequence[str]) -> Parsed:
     return Parsed(df.where(ok).select("ts", *keep), df.where(~ok).select("source_file", "raw", F.lit("invalid timestamp").alias("reason")))
 
 
+def headers(spark: SparkSession, path: str | Sequence[str], rows: int) -> dict[tuple[str, ...], list[str]]:
+    """Files by their first ``rows`` lines: one entry for each different header."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.where("start = 0")
+    begin = first.groupBy("file").agg(F.min("id").alias("a"))  # lines of a file's first block are numbered in order
+    found = first.join(begin, "file").where(F.col("id") < F.col("a") + rows).groupBy("file").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("id", "value"))), lambda x: x["value"]).alias("head"))
+    out: dict[tuple[str, ...], list[str]] = {}
+    for r in found.collect():  # a line or two per file
+        out.setdefault(tuple(r.head), []).append(r.file)
+    return dict(sorted(out.items()))
+
+
 def read_csv(spark: SparkSession, spec: FileSpec) -> Parsed:
     """Delimited files by header names or positions.
 
-    Only the header lines of one file are read while planning. All columns are
-    read as text and parsed leniently, so a bad cell is NULL and a bad time a reject.
+    Every file is read by its own header: files are grouped by their first lines
+    while planning, and each group has its own column positions. All columns are read
+    as text and parsed leniently, so a bad cell is NULL and a bad time a reject.
     """
-    heads: list[str] = []
-    if spec.header_rows:
-        first = spec.path if isinstance(spec.path, str) else spec.path[0]
-        heads = [r.value for r in spark.read.text(first).limit(spec.header_rows).collect()]
-    names = [n.strip().strip(spec.quote or "") for n in heads[-1].split(spec.delimiter)] if heads else []
+    if not spec.header_rows:
+        return _read_csv(spark, spec, spec.path, ())
+    groups = headers(spark, spec.path, spec.header_rows)
+    if not groups:
+        raise ValueError(f"no header in {spec.path}")
+    parts = [_read_csv(spark, spec, files, head) for head, files in groups.items()]
+    return Parsed(*(reduce(DataFrame.unionByName, (getattr(p, side) for p in parts)) for side in ("rows", "rejects")))
+
+
+def _read_csv(spark: SparkSession, spec: FileSpec, path, heads: Sequence[str]) -> Parsed:
+    names = [n.strip() for n in next(csv.reader([heads[-1]], delimiter=spec.delimiter, quotechar=spec.quote or None,
+                                                quoting=csv.QUOTE_MINIMAL if spec.quote else csv.QUOTE_NONE), [])] if heads else []
     refs = [c.source for c in spec.columns] + [r for r in (spec.datetime, spec.date, spec.time, spec.unix_ms) if r is not None]
 
     def position(ref) -> int:
@@ -126,15 +150,15 @@ def read_csv(spark: SparkSession, spec: FileSpec) -> Parsed:
     width = max([len(names), *[position(r) + 1 for r in refs]])
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
     raw = (spark.read.schema(schema).option("sep", spec.delimiter).option("quote", spec.quote or "").option("header", False)
-           .option("mode", "PERMISSIVE").csv(spec.path))
+           .option("mode", "PERMISSIVE").csv(path))
     at = lambda ref: F.col(f"_c{position(ref)}")
     line = F.concat_ws(spec.delimiter, *[F.coalesce(F.col(f"_c{i}"), F.lit("")) for i in range(width)])
     out = raw.withColumns({**_lineage(spec), "raw": line, "ts": _instant(spec, at),
                            **{c.target: _typed(at(c.source), c, spec.null_markers) for c in spec.columns}})
     if heads:
-        # preamble lines are shorter than the data: compare without trailing separators
+        # preamble lines are shorter than the data: compare without trailing separators, at the beginning of files only
         plain = [(h.replace(spec.quote, "") if spec.quote else h).rstrip(spec.delimiter) for h in heads]
-        out = out.where(~F.rtrim("raw", F.lit(spec.delimiter)).isin(plain))
+        out = out.where(~(F.rtrim("raw", F.lit(spec.delimiter)).isin(plain) & F.col("ts").isNull() & (F.col("_metadata.file_block_start") == 0)))
     return _split(out, [c.target for c in spec.columns] + ["source_file", "source_system", "format_type", "lamp_group"])
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import cols
+from ..frames import cols, match
 from ..session import shared_dir
 
 
@@ -52,14 +52,23 @@ def scan_range(spark: SparkSession, path: str, start: str, end: str, columns: Se
 
 
 def merged(target: DataFrame, new: DataFrame, keys) -> DataFrame:
-    """Target rows without a newer version, plus the new rows."""
-    return target.join(new.select(*cols(keys)), cols(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+    """Target rows without a newer version, plus the new rows. NULL keys equal each other."""
+    return match(target, new.select(*cols(keys)).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys, partition: Sequence[str]) -> None:
-    """Insert or replace by key, rewriting only the partitions the new rows touch."""
-    touched = spark.read.parquet(path).join(new.select(*partition).distinct(), list(partition), "left_semi")
-    _overwrite(merged(touched, new, keys), path, partition)
+    """Insert or replace by key, rewriting only the partitions the new rows touch or leave."""
+    parts, old = list(partition), spark.read.parquet(path)
+    left = match(old, new.select(*cols(keys)).distinct(), keys, "left_semi").select(*parts).distinct()
+    fresh = new.select(*parts).distinct()
+    kept = merged(match(old, left.union(fresh).distinct(), parts, "left_semi"), new, keys)
+    # a partition whose last row moved elsewhere has no row to overwrite it with: the few of them are emptied by name
+    gone = match(left, kept.select(*parts).distinct(), parts, "left_anti").select(
+        F.concat_ws("/", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))) for c in parts]).alias("p")).collect()
+    _overwrite(kept, path, partition)
+    empty = old.drop(*parts).limit(0)
+    for r in gone:
+        empty.write.mode("overwrite").parquet(f"{path}/{r.p}")
 
 
 def replace_slice(df: DataFrame, path: str, partition: Sequence[str] = ("signal", "level", "stage")) -> None:
@@ -71,10 +80,11 @@ def _overwrite(df: DataFrame, path: str, partition: Sequence[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
-def insert_ignore(spark: SparkSession, path: str, new: DataFrame, keys, partition: Sequence[str] = ()) -> None:
-    """Append only rows whose key is not there yet."""
-    fresh = new.join(spark.read.parquet(path).select(*cols(keys)), cols(keys), "left_anti")
-    save(fresh, path, partition, mode="append")
+def insert_ignore(spark: SparkSession, path: str, new: DataFrame, keys, partition: Sequence[str] = (), order: Sequence[str] = ()) -> None:
+    """Append only rows whose key is not there yet. Of new rows with one key, the first along ``order`` (default: all columns) is taken."""
+    k = cols(keys)
+    one = new.groupBy(*k).agg(F.min_by(F.struct(*new.columns), F.struct(*(order or new.columns))).alias("_row")).select("_row.*")
+    save(match(one, spark.read.parquet(path).select(*k).distinct(), k, "left_anti"), path, partition, mode="append")
 
 
 def stage(df: DataFrame, name: str, root: str | None = None) -> DataFrame:
