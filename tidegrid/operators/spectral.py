@@ -126,10 +126,14 @@ def denoise(blocked: DataFrame, n: int, levels: int, threshold: float, x: str =
     return out.withColumn(name, F.col("a")).drop("a", *[f"d{i}" for i in range(1, levels + 1)])
 
 
-def cwt(df: DataFrame, value: str, scales: Sequence[float], keys, order="ts", omega: float = 6.0, chunk="1 day") -> DataFrame:
-    """Morlet transform per row and scale (``re_i``, ``im_i``, ``cwt_i``); the envelope is cut at four scales."""
+def cwt(df: DataFrame, value: str, scales: Sequence[float], keys, order="ts", omega: float = 6.0, chunk="1 day",
+        envelope: float = 9.0) -> DataFrame:
+    """Morlet transform per row and scale (``re_i``, ``im_i``, ``cwt_i``).
+
+    Beyond ``envelope`` scales a weight is below exp(-envelope ** 2 / 2): with the default under rounding.
+    """
     numbered = scan(df, keys, order, {"_pos": running_count()}, chunk=chunk)
-    reach = [int(math.ceil(4 * s)) for s in scales]
+    reach = [int(math.ceil(envelope * s)) for s in scales]
 
     def build(w):
         out = {}

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ...frames import epoch, from_epoch, last_valid, next_valid, scan
 from ...functions import calendar as cal
 from ...operators import agg as oa
 from ...operators import changepoint as ch
@@ -57,8 +58,10 @@ def _(v):
     return oa.histogram_entropy(v.readings, "value", "entity", 10)
 
 
-# complete days of the hourly series of all readings: 24 values per block
-DAYS = """h AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS v FROM readings GROUP BY 1),
+# days of the hourly series of all readings: 24 values per block, hours without a reading filled from before or else from after
+DAYS = """h0 AS (SELECT date_trunc('hour', ts)::TIMESTAMP AS ts, avg(value) AS v FROM readings GROUP BY 1),
+g AS (SELECT unnest(generate_series(date_trunc('day', min(ts))::TIMESTAMP, date_trunc('day', max(ts))::TIMESTAMP + INTERVAL 23 HOUR, INTERVAL 1 HOUR)) AS ts FROM h0),
+h AS (SELECT ts, coalesce(last_value(v IGNORE NULLS) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM g LEFT JOIN h0 USING (ts)),
 d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, list(v ORDER BY ts) AS x FROM h GROUP BY 1 HAVING count(*) = 24),
 s AS (SELECT day, x, sqrt(list_var_pop(x)) AS sd FROM d),
 p AS (SELECT day, sd, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM s)"""
@@ -66,7 +69,10 @@ p AS (SELECT day, sd, unnest(x) AS v, generate_subscripts(x, 1) - 1 AS i FROM s)
 
 def days(v):
     h = v.readings.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("v"))
-    return cx.blocks(h, "v", (), cal.trunc("day", "ts").alias("day"), size=24)
+    ends = h.agg(F.min(epoch(cal.trunc("day", "ts"))).alias("a"), F.max(epoch(cal.trunc("day", "ts"))).alias("b"))
+    points = ends.select(F.explode(F.expr("sequence(a, b + 82800000000, 3600000000)")).alias("us")).select(from_epoch(F.col("us")).alias("ts"))
+    grid = scan(points.join(h, "ts", "left"), (), "ts", {"_p": last_valid("v"), "_n": next_valid("v")}, chunk=None)
+    return cx.blocks(grid.select("ts", F.coalesce("_p", "_n").alias("v")), "v", (), cal.trunc("day", "ts").alias("day"), size=24)
 
 
 def _pairs(m, own):
@@ -174,7 +180,7 @@ def _(v):
 @query("X-14", "wavelet_cwt", views="climate", r="cwt_0", digits=4,
        sql=f"""WITH o AS (SELECT entity, ts, temp, row_number() OVER ({WIN}) AS i FROM climate)
        SELECT a.entity, a.ts, sqrt(pow(sum(b.temp * exp(-0.5 * pow((a.i - b.i) / 2.0, 2)) / sqrt(2) * cos(6 * (a.i - b.i) / 2.0)), 2) + pow(sum(b.temp * exp(-0.5 * pow((a.i - b.i) / 2.0, 2)) / sqrt(2) * sin(6 * (a.i - b.i) / 2.0)), 2)) AS cwt_0
-       FROM o a JOIN o b ON a.entity = b.entity AND b.i BETWEEN a.i - 8 AND a.i + 8 GROUP BY a.entity, a.ts""")
+       FROM o a JOIN o b ON a.entity = b.entity GROUP BY a.entity, a.ts""")
 def _(v):
     return spx.cwt(v.climate, "temp", [2.0], "entity", chunk=HALF).select("entity", "ts", "cwt_0")
 

@@ -31,7 +31,7 @@ _STATS = ", ".join(f"count({s}_mean) AS {s}_count, avg({s}_mean) AS {s}_mean, st
        sql=f"""WITH {FLOW}, p AS (SELECT f.*, price FROM f LEFT JOIN price USING (hour)),
        wn AS (SELECT entity, a, unnest(generate_series(0, (epoch(b) - epoch(a) - 86400)::BIGINT // 21600)) AS window_no FROM e WHERE epoch(b) - epoch(a) >= 86400),
        x AS (SELECT wn.window_no, wn.a + wn.window_no * INTERVAL 6 HOUR AS window_start, p.* FROM wn JOIN p ON p.entity = wn.entity AND p.hour >= wn.a + wn.window_no * INTERVAL 6 HOUR AND p.hour < wn.a + wn.window_no * INTERVAL 6 HOUR + INTERVAL 24 HOUR)
-       SELECT entity, window_no, window_start, coalesce(sum(total_records), 0) AS records, {_STATS}, ({' + '.join(f'count({s}_mean)' for s in SIGNALS)}) / 72 AS coverage, sum(view_mean * price) AS cost,
+       SELECT entity, window_no, window_start, coalesce(sum(total_records), 0) AS records, {_STATS}, ({' + '.join(f'count({s}_mean)' for s in SIGNALS)}) / {24 * len(SIGNALS)} AS coverage, sum(view_mean * price) AS cost,
        CASE WHEN sum(CASE WHEN hour(hour) NOT BETWEEN 7 AND 22 THEN view_mean END) > 0 THEN coalesce(sum(CASE WHEN hour(hour) BETWEEN 7 AND 22 THEN view_mean END), 0) / sum(CASE WHEN hour(hour) NOT BETWEEN 7 AND 22 THEN view_mean END) END AS peak_ratio
        FROM x GROUP BY entity, window_no, window_start HAVING ({' + '.join(f'count({s}_mean)' for s in SIGNALS)}) > 0""")
 def _(v):
