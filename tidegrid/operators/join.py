@@ -84,10 +84,17 @@ def range_join(points: DataFrame, spans: DataFrame, ts: str, start: str, end: st
 
 
 def interval_join(df: DataFrame, spans: DataFrame, ts: str, start: str, end: str, *, keys=(), row_id,
-                  first_by: Sequence[str], width: str = "1 day") -> DataFrame:
-    """Left join of each row to the first span containing it."""
+                  first_by: Sequence[str], width: str = "1 day", disjoint: bool = False, chunk=None) -> DataFrame:
+    """Left join of each row to the first span containing it.
+
+    ``disjoint`` spans of a key do not overlap: one scan then finds the last span begun, and no pairs are made.
+    """
     row_id = cols(row_id)
     names = [c for c in spans.columns if c not in cols(keys)]
+    if disjoint:
+        begun = spans.select(*cols(keys), F.col(start).alias(ts), F.struct(*names).alias("_s"))
+        out = asof_join(df, begun, keys, ts, values=["_s"], chunk=chunk)
+        return out.select(*df.columns, *[F.when(F.col(ts) <= F.col("_s")[end], F.col("_s")[c]).alias(c) for c in names])
     pairs = range_join(df.select(*cols(keys), *[c for c in row_id if c not in cols(keys)],
                                  *([ts] if ts not in row_id and ts not in cols(keys) else [])),
                        spans, ts, start, end, keys, width)

@@ -27,7 +27,7 @@ PARTS = {
 def _rank(p: float):
     """Interpolated quantile of the frame's sorted values."""
     def pick(c, x):
-        a, at = F.sort_array(c["list"]), (F.size(c["list"]) - 1) * p
+        a, at = c["list"], (F.size(c["list"]) - 1) * p
         lo, hi = (F.try_element_at(a, f(at).cast("int") + 1) for f in (F.floor, F.ceil))
         return lo + (hi - lo) * (at - F.floor(at))
 
@@ -39,7 +39,7 @@ def _plain(part: str):
 
 
 def _mad(c, x):
-    seen = F.sort_array(c["list"])
+    seen = c["list"]
     return _array_median(F.sort_array(F.transform(seen, lambda e: F.abs(e - _array_median(seen)))))
 
 
@@ -60,7 +60,9 @@ STATS = {
 
 def _parts(stats: Sequence[str], x: Column, frame: WindowSpec) -> dict[str, Column]:
     needed = dict.fromkeys(["n", *[p for s in stats for p in STATS[s][0]]])
-    return {f"_w_{p}": PARTS[p](x).over(frame) for p in needed}
+    made = {f"_w_{p}": PARTS[p](x).over(frame) for p in needed}
+    # sorted once per row, whatever the number of order statistics
+    return made | ({"_w_list": F.sort_array(made["_w_list"])} if "_w_list" in made else {})
 
 
 def _combine(df: DataFrame, stats: Sequence[str], x: Column, name: str, min_n: int) -> DataFrame:

@@ -77,7 +77,7 @@ def _(v):
 def _(v):
     eras = runs(v).where("label = 1").select("entity", "run", "start_time", "end_time")
     d = oj.interval_join(v.readings.select("event_id", "entity", "ts"), eras, "ts", "start_time", "end_time", keys="entity",
-                         row_id="event_id", first_by=["start_time", "run"])
+                         row_id="event_id", first_by=["start_time", "run"], disjoint=True, chunk=v.split("entity"))
     return d.select("event_id", "run", oj.era_progress("ts", "start_time", "end_time").alias("progress"))
 
 
