@@ -115,6 +115,18 @@ def score(model, df: DataFrame) -> DataFrame:
     return model.transform(df)
 
 
+def save(model, path: str) -> str:
+    """Write a fitted pipeline where ``load`` finds it; an earlier one is replaced."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
 def metrics(df: DataFrame, actual: str, predicted: str, keys=()) -> DataFrame:
     """RMSE, MAE, R², MAPE, Pearson r and its two-sided p-value."""
     y, p = F.col(actual), F.col(predicted)

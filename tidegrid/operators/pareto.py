@@ -1,6 +1,7 @@
 """Solution tables: fronts, indicators, rank tests.
 
-Two objectives, both to be minimised (flip a maximised one with ``minimised``).
+Objectives are minimised (flip a maximised one with ``minimised``). ``front_many`` takes any
+number of them; the others are for two.
 Fronts and indicators use ordered scans and as-of lookups; no solution is ever
 compared with all others.
 """
@@ -12,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, following, is_plain, match, min_before, prev, running_count, value_chunk, value_ranks, value_scan
+from ..frames import all_of, attach_row, cols, following, is_plain, match, min_before, prev, running_count, value_chunk, value_ranks, value_scan
 from ..functions.tails import chi2_tail, normal_two_sided
 from ..sources.tables import stage
 from .join import asof_join
@@ -36,6 +37,40 @@ def non_dominated(df: DataFrame, a: str, b: str, keys=(), chunk="spread") -> Dat
     return df.transform(match, front_points(df, a, b, keys, chunk), [*cols(keys), a, b], "left_semi")
 
 
+def front_many(df: DataFrame, objectives, keys=(), rows: int = 50_000, chunk_step: int = 8) -> DataFrame:
+    """Rows that no other row dominates, for any number of objectives, all minimised.
+
+    A row on the whole front is on the front of any part. Rows are dealt into parts of
+    about ``rows`` by a hash of the objectives, each part is reduced to its front, and
+    the survivors are dealt into ever fewer parts until one per key is left. Rows with
+    a NULL or NaN objective are on no front; equal rows do not dominate each other.
+    """
+    import numpy as np
+    import pandas as pd
+
+    k, names = cols(keys), list(objectives)
+    d = df.where(all_of(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in names))
+    parts = max(1, -(-d.count() // rows))
+
+    def local(rows_of: pd.DataFrame) -> pd.DataFrame:
+        x = rows_of[names].to_numpy(dtype=float)
+        order = np.lexsort(x.T[::-1])
+        front: list[int] = []
+        best = np.empty((0, len(names)))
+        for i in order:  # a row can only be dominated by one before it
+            if not (np.all(best <= x[i], axis=1) & np.any(best < x[i], axis=1)).any():
+                front.append(i)
+                best = np.vstack([best, x[i]])
+        return rows_of.iloc[sorted(front)].drop(columns="_part")
+
+    while True:
+        spread = d.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)))
+        d = spread.groupBy(*k, "_part").applyInPandas(local, df.schema)
+        if parts == 1:
+            return d
+        parts = max(1, parts // chunk_step)
+
+
 def hypervolume(df: DataFrame, a: str, b: str, ref: tuple[float, float], keys=(), chunk="spread") -> DataFrame:
     """Area dominated by the front up to the reference point."""
     k = cols(keys)

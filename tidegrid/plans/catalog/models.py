@@ -6,6 +6,7 @@ from ...operators import model as om
 from ...operators import pareto as op
 from ...operators import quality as oq
 from ...operators import select as osl
+from ...sources.tables import scratch
 from ..registry import query
 
 CL = ("temp", "out_temp", "rh", "light", "co2", "power")
@@ -108,6 +109,16 @@ def _(v):
     return om.metrics(om.score(m, d.where("part = 'test'")), "power", "prediction")
 
 
+@query("M-15", "model_saved", views="climate", i="rows different",
+       sql="SELECT count(*) AS rows, 0 AS different FROM climate WHERE temp IS NOT NULL AND rh IS NOT NULL AND light IS NOT NULL AND n IS NOT NULL AND power IS NOT NULL")
+def _(v):
+    cols = ["temp", "rh", "light", "n"]
+    made = om.train_regressor(v.climate, cols, "power", kind="forest", rounds=5, scale="robust")
+    again = om.load(om.save(made, scratch(v.spark) + "/model"))
+    d = om.score(made, om.complete_rows(v.climate, [*cols, "power"])).withColumnRenamed("prediction", "first").drop("raw", "features")
+    return om.score(again, d).agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("first").eqNullSafe(F.col("prediction"))).alias("different"))
+
+
 # ----------------------------------------------------------------------- solutions
 
 
@@ -125,6 +136,13 @@ def _(v):
     return op.non_dominated(mins(v), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")).select("algorithm", "sol", "a", "b")
 
 
+@query("P-01,J-16", "pareto_front_three", views="solutions", r="a b c",
+       sql="""WITH m AS (SELECT algorithm, sol, f1 AS a, -f2 AS b, (sol % 101)::DOUBLE AS c FROM solutions) SELECT * FROM m x WHERE NOT EXISTS (SELECT 1 FROM m y WHERE y.algorithm = x.algorithm AND y.a <= x.a AND y.b <= x.b AND y.c <= x.c AND (y.a < x.a OR y.b < x.b OR y.c < x.c))""")
+def _(v):
+    d = mins(v).select("algorithm", "sol", "a", "b", (F.col("sol") % 101).cast("double").alias("c"))
+    return op.front_many(d, ["a", "b", "c"], "algorithm", rows=500)
+
+
 @query("P-02", "pareto_hypervolume", views="solutions", r="hypervolume", i="points", digits=3,
        sql=f"""WITH {FRONT} SELECT algorithm, sum((1000 - a) * (coalesce(p, 0) - b)) AS hypervolume, count(*) AS points FROM (SELECT *, lag(b) OVER (PARTITION BY algorithm ORDER BY a) AS p FROM front WHERE a < 1000 AND b < 0) GROUP BY algorithm""")
 def _(v):
