@@ -129,17 +129,23 @@ def era_hierarchy(signals: Sequence[str], hours_a: str, hours_c: str) -> dict:
             "time_scale_ratio": F.col(hours_a) / (F.col(hours_c) + 1e-6)}
 
 
+# How eras change decision bounds, and the weights of the objectives by stability.
+ERA_HALF_WIDTH = 0.4  # of the range of a set point under fine control
+ERA_LIGHT_FLOOR = 1.2
+ERA_WEIGHTS = {"energy_consumption": ("high", 1.2), "plant_growth": ("mixed", 1.3), "water_usage": ("high", 1.1), "crop_quality": ("mixed", 1.2)}
+
+
 def era_bounds(bounds: Mapping[str, tuple[float, float]], fine: str, light_critical: str) -> dict:
     """Decision bounds by era: fine control shrinks set-point ranges by a fifth around their
     centre, light-critical eras raise the lower light bound by a fifth."""
     out = {}
     for name, (low, high) in bounds.items():
-        mid, half = (low + high) / 2, (high - low) * 0.4
+        mid, half = (low + high) / 2, (high - low) * ERA_HALF_WIDTH
         lo, hi = F.lit(float(low)), F.lit(float(high))
         if name in ("temperature_setpoint", "humidity_setpoint"):
             lo, hi = (F.when(F.col(fine), mid - half).otherwise(lo), F.when(F.col(fine), mid + half).otherwise(hi))
         if name == "light_intensity":
-            lo = F.when(F.col(light_critical), low * 1.2).otherwise(lo)
+            lo = F.when(F.col(light_critical), low * ERA_LIGHT_FLOOR).otherwise(lo)
         out[f"{name}_low"], out[f"{name}_high"] = lo, hi
     return out
 
@@ -147,10 +153,7 @@ def era_bounds(bounds: Mapping[str, tuple[float, float]], fine: str, light_criti
 def era_weights(stability: str) -> dict:
     """Normalised objective weights: stable eras stress efficiency, mixed ones growth and quality."""
     s = F.col(stability)
-    raw = {"energy_consumption": F.when(s == "high", 1.2).otherwise(1.0),
-           "plant_growth": F.when(s == "mixed", 1.3).otherwise(1.0),
-           "water_usage": F.when(s == "high", 1.1).otherwise(1.0),
-           "crop_quality": F.when(s == "mixed", 1.2).otherwise(1.0)}
+    raw = {n: F.when(s == when, w).otherwise(1.0) for n, (when, w) in ERA_WEIGHTS.items()}
     total = sum(list(raw.values())[1:], list(raw.values())[0])
     return {n: w / total for n, w in raw.items()}
 

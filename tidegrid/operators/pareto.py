@@ -209,11 +209,18 @@ def mann_whitney(df: DataFrame, value: str, group: str, x: str, y: str, keys=(),
     return out.withColumns({"p_value": normal_two_sided("z"), "band": a12_band("a12")})
 
 
+# Lower ends of the bands of the effect size, and the ranges of a feasible solution.
+A12_BANDS = ((0.71, "large"), (0.64, "medium"), (0.56, "small"), (0.44, "negligible"), (0.36, "small (reversed)"), (0.29, "medium (reversed)"))
+FEASIBLE = {"temp": (15, 30), "rh": (40, 90), "co2": (400, 1200)}
+HISTORY_SPAN = {"temp": 15, "rh": 50}
+
+
 def a12_band(a12: str) -> Column:
-    """Fixed bands of the effect size."""
-    v = F.col(a12)
-    return (F.when(v >= 0.71, "large").when(v >= 0.64, "medium").when(v >= 0.56, "small").when(v >= 0.44, "negligible")
-            .when(v >= 0.36, "small (reversed)").when(v >= 0.29, "medium (reversed)").otherwise("large (reversed)"))
+    """Band of the effect size."""
+    out = F.lit("large (reversed)")
+    for low, name in reversed(A12_BANDS):
+        out = F.when(F.col(a12) >= low, name).otherwise(out)
+    return out
 
 
 def _rank_sums(df: DataFrame, value: str, group: str, chunk) -> tuple[DataFrame, DataFrame]:
@@ -268,8 +275,8 @@ def dunn(df: DataFrame, value: str, group: str, chunk="spread") -> DataFrame:
 def solution_quality(df: DataFrame, energy: str, growth: str, temp: str, rh: str, co2: str, hist_temp: float | Column, hist_rh: float | Column) -> DataFrame:
     """Efficiency, effectiveness, feasibility, stability against history, and their mean."""
     t, h = F.col(temp), F.col(rh)
-    ok = t.between(15, 30).cast("int") + h.between(40, 90).cast("int") + F.col(co2).between(400, 1200).cast("int")
-    stable = ((1 - F.abs(t - hist_temp) / 15) + (1 - F.abs(h - hist_rh) / 50)) / 2
+    ok = sum(x.between(*FEASIBLE[n]).cast("int") for n, x in (("rh", h), ("co2", F.col(co2)))) + t.between(*FEASIBLE["temp"]).cast("int")
+    stable = ((1 - F.abs(t - hist_temp) / HISTORY_SPAN["temp"]) + (1 - F.abs(h - hist_rh) / HISTORY_SPAN["rh"])) / 2
     out = df.withColumns({"energy_efficiency": 1 / (F.col(energy) + 1e-6), "growth_effectiveness": F.col(growth),
                           "feasibility": ok / 3, "stability": F.greatest(stable, F.lit(0.0))})
     return out.withColumn("overall_quality", (F.col("energy_efficiency") + F.col("growth_effectiveness") + F.col("feasibility") + F.col("stability")) / 4)
