@@ -172,7 +172,19 @@ def _(v):
     return spx.explode_block(spx.denoise(days(v), 24, 2, 0.0), "day", "denoised")
 
 
-@query("X-13", "wavelet_denoise", views="readings")
+def _idwt_sql(approx, detail, dst, half):
+    """SQL for one synthesis step from approximations (day, i, v) and details (day, i, d)."""
+    part = lambda s: f"({spx.LOW[s]!r}) * a.v + ({spx.HIGH[s]!r}) * d.d + ({spx.LOW[s + 2]!r}) * b.v + ({spx.HIGH[s + 2]!r}) * e.d"
+    return (f"{dst} AS (SELECT a.day, 2 * a.i + o AS i, CASE o WHEN 0 THEN {part(0)} ELSE {part(1)} END AS v FROM {approx} a JOIN {approx} b ON b.day = a.day AND b.i = (a.i + {half - 1}) % {half} "
+            f"JOIN {detail} d ON d.day = a.day AND d.i = a.i JOIN {detail} e ON e.day = a.day AND e.i = b.i, (SELECT unnest([0, 1]) AS o))")
+
+
+_SOFT = "(SELECT day, i, sign(d) * greatest(abs(d) - 1.0, 0) AS d FROM {})"
+
+
+@query("X-13", "wavelet_denoise", views="readings", r="denoised", i="pos",
+       sql=f"""WITH {DAYS}, {_dwt_sql('p', 'l1', 24)}, {_dwt_sql('l1', 'l2', 12)}, s1 AS {_SOFT.format('l1')}, s2 AS {_SOFT.format('l2')},
+       {_idwt_sql('l2', 's2', 'r1', 6)}, {_idwt_sql('r1', 's1', 'r0', 12)} SELECT day, i AS pos, v AS denoised FROM r0""")
 def _(v):
     return spx.explode_block(spx.denoise(days(v), 24, 2, 1.0), "day", "denoised")
 
