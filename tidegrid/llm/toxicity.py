@@ -130,23 +130,35 @@ def fit_bags(label: np.ndarray, weight: np.ndarray, doc_of: np.ndarray, sentence
              rounds: int = ROUNDS, rate: float = RATE, penalty: float = PENALTY, least: int = LEAST) -> tuple[np.ndarray, float]:
     """Weights and bias: full gradients with per-weight step sizes, and a proximal step for the penalty and the sign.
 
-    ``doc_of`` gives the document of each sentence; ``sentence_of`` and ``feature`` list what sentences hold.
+    ``doc_of`` gives the document of each sentence; ``sentence_of`` and ``feature`` list
+    what sentences hold, both in order. Gradients add up over pieces of whole documents, so
+    that beside the input only a piece is held.
     """
+    docs, total = len(label), weight.sum()
     # a feature of few documents can only be learned by heart
-    met = np.unique(doc_of[sentence_of] * BUCKETS + feature) % BUCKETS
-    common = np.bincount(met, minlength=BUCKETS) >= least
-    sentence_of, feature = sentence_of[common[feature]], feature[common[feature]]
-    used, feature = np.unique(feature, return_inverse=True)
+    seen_in = np.zeros(BUCKETS, np.int32)
+    for d, s, f in pieces(docs, doc_of, sentence_of):
+        met = np.unique(doc_of[sentence_of[f]].astype(np.int64) * BUCKETS + feature[f])
+        seen_in += np.bincount(met % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    used = np.flatnonzero(seen_in >= least)
+    number = np.full(BUCKETS, -1, np.int32)
+    number[used] = np.arange(len(used))
+    kept = number[feature] >= 0
+    sentence_of, feature = sentence_of[kept], number[feature[kept]]
+    parts = list(pieces(docs, doc_of, sentence_of))
     w, b = np.zeros(len(used)), START
     seen_w, seen_b = np.full(len(used), 1e-12), 1e-12
-    docs, total = len(label), weight.sum()
     for _ in range(rounds):
-        z = b + np.bincount(sentence_of, w[feature], minlength=len(doc_of))
-        p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
-        rest = np.bincount(doc_of, np.logaddexp(0.0, z), minlength=docs)  # -log of the chance that no sentence is toxic
-        pull = np.where(label == 1, -np.exp(-rest) / np.maximum(-np.expm1(-rest), 1e-9), 1.0) * weight / total
-        g = pull[doc_of] * p
-        gw, gb = np.bincount(feature, g[sentence_of], minlength=len(used)), g.sum()
+        gw, gb = np.zeros(len(used)), 0.0
+        for d, s, f in parts:
+            doc, sentence, what = doc_of[s] - d.start, sentence_of[f] - s.start, feature[f]
+            z = b + np.bincount(sentence, w[what], minlength=s.stop - s.start)
+            p = 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
+            rest = np.bincount(doc, np.logaddexp(0.0, z), minlength=d.stop - d.start)  # -log of the chance that no sentence is toxic
+            pull = np.where(label[d] == 1, -np.exp(-rest) / np.maximum(-np.expm1(-rest), 1e-9), 1.0) * weight[d] / total
+            g = pull[doc] * p
+            gw += np.bincount(what, g[sentence], minlength=len(used))
+            gb += g.sum()
         seen_w, seen_b = 0.9 * seen_w + 0.1 * gw * gw, 0.9 * seen_b + 0.1 * gb * gb
         step = rate / (np.sqrt(seen_w) + 1e-4)
         w -= step * gw
@@ -158,6 +170,18 @@ def fit_bags(label: np.ndarray, weight: np.ndarray, doc_of: np.ndarray, sentence
     return out, b
 
 
+def pieces(docs: int, doc_of: np.ndarray, sentence_of: np.ndarray, size: int = 1 << 19):
+    """Slices (documents, sentences, features) of whole documents with about ``size`` features each."""
+    first = np.searchsorted(doc_of, np.arange(docs + 1))  # of each document's sentences
+    begin = np.searchsorted(sentence_of, first)
+    a = 0
+    while a < docs:
+        b = max(a + 1, int(np.searchsorted(begin, begin[a] + size, side="right")) - 1)
+        b = min(b, docs)
+        yield slice(a, b), slice(int(first[a]), int(first[b])), slice(int(begin[a]), int(begin[b]))
+        a = b
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", learn=None,
         most: dict[int, int] | None = None) -> tuple[np.ndarray, float]:
     """Fit on the labelled rows for which ``learn`` holds (default: those not held out), at most ``most`` of each class."""
@@ -166,10 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     if len(set(label_of.tolist())) < 2:
         return np.zeros(BUCKETS), -1000.0
     sizes, found = table.column("sizes").combine_chunks(), table.column("found").combine_chunks()
-    doc_of = np.repeat(np.arange(len(label_of)), np.array(sizes.value_lengths()))
-    size = np.array(sizes.flatten())
-    sentence_of = np.repeat(np.arange(len(size)), size)
-    return fit_bags(label_of, np.array([weights[k] for k in label_of.tolist()]), doc_of, sentence_of, np.array(found.flatten()))
+    doc_of = np.repeat(np.arange(len(label_of), dtype=np.int32), sizes.value_lengths().to_numpy())
+    size, feature = sizes.flatten().to_numpy(), found.flatten().to_numpy()
+    sentence_of = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    return fit_bags(label_of, np.array([weights[k] for k in label_of.tolist()]), doc_of, sentence_of, feature)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", locate: float | None = None) -> DataFrame:
@@ -185,10 +209,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text",
 
         def each(texts):
             found = texts.to_pylist()
-            scores = pa.array([scorer.score(t) for t in found], pa.float64())
+            scores = [scorer.score(t) for t in found]
             if locate is None:
-                return [scores]
-            return scores, [[{"start": a, "stop": b, "score": float(p)} for a, b, p in scorer.sentence_scores(t) if p >= locate] for t in found]
+                return [pa.array(scores, pa.float64())]
+            # no sentence scores more than its document
+            return pa.array(scores, pa.float64()), [
+                [{"start": a, "stop": b, "score": float(p)} for a, b, p in scorer.sentence_scores(t) if p >= locate] if whole >= locate else []
+                for t, whole in zip(found, scores)]
         return each
 
     fields = "score double" + (", offending array<struct<start:int,stop:int,score:double>>" if locate is not None else "")
