@@ -53,7 +53,7 @@ def test_multiline_json_and_specs(spark, tmp_path):
     (tmp_path / "w.csv").write_text("timestamp;temperature\n1390518000000;-4.250\nbad;1\n1390518060000;-999\n")
     specs = sf.load_specs(json.dumps([
         {"path": str(tmp_path / "s.json"), "format": "stream_json", "streams": {"u1": "temp"}},
-        {"path": str(tmp_path / "w.csv"), "delimiter": ";", "unix_ms": "timestamp", "columns": [{"source": "temperature", "target": "temp"}]}]))
+        {"path": str(tmp_path / "w.csv"), "delimiter": ";", "unix_ms": "timestamp", "null_markers": ["", "-999"], "columns": [{"source": "temperature", "target": "temp"}]}]))
     got = sf.ingest(spark, specs)
     assert not got.failed
     found = sorted(((str(r.ts), r.temp) for r in got.rows.collect()), key=str)

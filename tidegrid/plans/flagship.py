@@ -37,6 +37,7 @@ def present_hours(v: Views) -> DataFrame:
     step = 3_600_000_000
     base = v.readings_n.groupBy("entity", "signal", bucket("ts", "1h").alias("hour")).agg(
         F.avg(fc.replace_sentinels("value", [-1.0])).alias("mean"), F.count(F.lit(1)).alias("records"))
+    base = base.repartition("entity")  # serves every later window and aggregation
     # the next valid hour of the signal, by a window against the time
     w = Window.partitionBy("entity", "signal").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, -1)
     later = F.last(F.when(F.col("mean").isNotNull(), F.struct(epoch("hour").alias("t"), F.col("mean").alias("v"))), ignorenulls=True).over(w)
