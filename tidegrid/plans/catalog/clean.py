@@ -21,9 +21,10 @@ def _text(v):
        count(*) FILTER (raw IN ('', 'NaN', 'NULL', 'N/A', '-1', '-999')) AS n_false
        FROM (SELECT *, {TEXT} AS raw FROM readings) GROUP BY signal""")
 def _(v):
+    markers = (*fc.NULL_MARKERS, "-1", "-999")  # a file's own list
     return _text(v).groupBy("signal").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(fc.null_markers("raw").isNull()).alias("n_null"),
-        F.count_if(fc.null_markers("raw", boolean=True) == "false").alias("n_false"))
+        F.count(F.lit(1)).alias("n"), F.count_if(fc.null_markers("raw", markers).isNull()).alias("n_null"),
+        F.count_if(fc.null_markers("raw", markers, boolean=True) == "false").alias("n_false"))
 
 
 @query("C-03,C-04,C-05", "clean_parse", views="readings", r="number",
