@@ -31,9 +31,11 @@ def local_session(app: str = "tidegrid", cpus: str | None = None) -> SparkSessio
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Pin the zone: series arithmetic is defined on UTC instants only."""
+    """Pin the zone, as series arithmetic is defined on UTC instants only; bound Arrow batches, as texts may be long."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     ship(spark)
     return spark
 
