@@ -59,9 +59,18 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         # the bytes of every prefix of every cell, from the shortest that is still open
         each = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(depth))).alias("depth"))
         each = each.withColumn("prefix", F.expr(f"shiftright(cell, {depth} - depth)"))
-        sums = each.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes"))
-        fit = each.join(sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS)), ["depth", "prefix"])
-        leaf = fit.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "shard_bytes")).alias("s"))
+        sums = checkpoint(each.groupBy("depth", "prefix").agg(F.sum("bytes").alias("shard_bytes")))
+        fit = sums.where((F.col("shard_bytes") <= limit) | (F.col("depth") == BITS))
+        over = sums.where((F.col("shard_bytes") > limit) & (F.col("depth") < BITS)).select(
+            (F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix"))
+        # a shard fits, and the prefix one bit shorter does not
+        leaves = checkpoint(fit.join(over, ["depth", "prefix"], "left_semi").unionByName(fit.where(F.col("depth") == low)))
+        # cells look for their shard only at depths that shards have, so no prefix holds more than a few cells
+        depths = [r.depth for r in leaves.select("depth").distinct().collect()]
+        look = cells.select("cell", F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.expr(f"shiftright(cell, {depth - d})").alias("prefix")) for d in depths])).alias("x"))
+        leaf = look.select("cell", "x.depth", "x.prefix").join(leaves, ["depth", "prefix"]) if depths else cells.limit(0).select(
+            "cell", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("prefix"), F.col("bytes").alias("shard_bytes"))
+        leaf = leaf.select("cell", F.struct("depth", "prefix", "shard_bytes").alias("s"))
         done.append(leaf.select(F.lit(depth).alias("cell_depth"), "cell", "s.depth",
                                 bit_text(F.col("s.prefix"), F.col("s.depth")).alias("shard"), "s.shard_bytes",
                                 (F.col("s.shard_bytes") <= limit).alias("fits")))
