@@ -63,6 +63,10 @@ def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def system_of(uri: str) -> fs.FileSystem:
+    return opened(uri)[0]
+
+
 class Archive:
     """A file written under a name of the attempt, renamed when complete."""
 
@@ -156,10 +160,12 @@ def header(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
 
 
-def normalise(archives: DataFrame, folder: str) -> DataFrame:
+def normalise(archives: DataFrame, folder: str, keep: bool = True) -> DataFrame:
     """Rewrite every archive (column ``path``) with one gzip member per record and a sidecar index of JSON lines.
 
-    Gives (path, index, records) of the new files.
+    Gives (path, index, records) of the new files. Without ``keep`` an archive goes as
+    soon as its successor and the index are complete; a task that is repeated finds those
+    and does nothing twice.
     """
     system, root = opened(folder)
     system.create_dir(root, recursive=True)
@@ -167,8 +173,13 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                source, _ = opened(folder)
-                name = path.rsplit("/", 1)[1]
+                source, name = system_of(folder), path.rsplit("/", 1)[1]
+                done, listed = (f"{root}/{name}{end}" for end in ("", ".idx"))
+                if all(x.type == fs.FileType.File for x in source.get_file_info([done, listed])):
+                    with source.open_input_stream(listed, compression=None) as lines:
+                        found = lines.read().count(b"\n")
+                    yield pa.RecordBatch.from_pydict({"path": [done], "index": [listed], "records": pa.array([found], pa.int64())})
+                    continue
                 archive, index, count = Archive(folder, name), Archive(folder, name + ".idx"), 0
                 for data in records(inflated(source, path)):
                     head = header(data[:data.index(b"\r\n\r\n")])
@@ -178,7 +189,10 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     archive.write(member)
                     index.write(json.dumps(line).encode() + b"\n")
                     count += 1
-                yield pa.RecordBatch.from_pydict({"path": [archive.close()], "index": [index.close()], "records": pa.array([count], pa.int64())})
+                made = {"index": [index.close()], "path": [archive.close()], "records": pa.array([count], pa.int64())}
+                if not keep:
+                    source.delete_file(path)
+                yield pa.RecordBatch.from_pydict({c: made[c] for c in ("path", "index", "records")})
 
     return archives.select("path").mapInArrow(run, "path string, index string, records long")
 
@@ -220,7 +234,7 @@ def entry(source, at: dict) -> dict:
             "record_type": kind, "refers_to": int(refers) if refers else None, "url": head["warc-target-uri"]}
 
 
-def archive_pages(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, folder: str | None = None, archive_bytes: int = ARCHIVE_BYTES, keep: bool = True) -> DataFrame:
     """Write pages as monolithic archives, normalise them, and give (path, index, records) of the result.
 
     The lists of files are written as tables, so that a lost executor does not make a later step see other files.
@@ -230,11 +244,11 @@ def archive_pages(pages: DataFrame, folder: str | None = None, archive_bytes: in
     write_monolithic(marked(pages), f"{folder}/whole", archive_bytes).write.parquet(f"{folder}/whole-list")
     whole = spark.read.parquet(f"{folder}/whole-list")
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    normalise(whole.repartition(tasks), f"{folder}/members").write.parquet(f"{folder}/members-list")
+    normalise(whole.repartition(tasks), f"{folder}/members", keep).write.parquet(f"{folder}/members-list")
     return spark.read.parquet(f"{folder}/members-list").repartition(tasks)
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Every page as its archives give it back."""
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
-    return read(archive_pages(pages, folder, archive_bytes), f"{folder}/members")
+    return read(archive_pages(pages, folder, archive_bytes, keep=False), f"{folder}/members")
