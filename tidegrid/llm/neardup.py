@@ -8,9 +8,8 @@
    two documents agree in a sample with the probability of their weighted Jaccard
    similarity. Equal word sequences are one content from here on.
 3. Each band of a signature is a bucket. Members of a bucket are compared with its
-   smallest member, one comparison per document and round, and only between
-   documents not connected yet, so that a bucket of any size costs a comparison
-   per member. What differs from its leader is then compared among itself: all
+   smallest member, so that a bucket of any size costs a comparison per member,
+   and a document has at most as many as there are bands. What differs from its leader is then compared among itself: all
    pairs of the components left in a bucket while they are few; a bucket with more
    is split on further samples first.
 4. Every compared pair is verified by the exact weighted Jaccard similarity of the
@@ -27,6 +26,7 @@ words) always share a class; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from functools import cache
 
 import numpy as np
@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from ..sources.tables import stage
 from .common import slices
 
 SHINGLE = 5
@@ -160,13 +161,13 @@ def sketch(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
 
 
 def pack(counts: np.ndarray) -> bytes:
-    """Counts in the smallest width that holds them; the first byte names it."""
+    """Counts in the smallest width that holds them, which the first byte names, compressed: most cells of one task's sketch are zero."""
     size = next(s for s in (1, 2, 4, 8) if counts.max(initial=0) < 1 << (8 * s))
-    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+    return bytes([size]) + zlib.compress(counts.astype(f"<u{size}").tobytes(), 1)
 
 
 def unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
+    return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.uint64)
 
 
 class Weights:
@@ -227,7 +228,10 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, content, sig) for every document with words. ``sig`` is given once per content and task."""
+    """Rows (id, content, sig, few) for every document with words; ``few`` is the lowest byte of each sample.
+
+    Signatures are given once per content and task.
+    """
     def run(batches):
         w, seen = weights.value, set()
         for batch in batches:
@@ -241,20 +245,20 @@ def signed(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "text")
                             if len(seen) >= 1 << 17:
                                 seen.clear()
                             seen.add(content)
-                        out.append((i, content, signature(hashes, w.of(hashes, counts)).tobytes() if fresh else None))
+                        sig = signature(hashes, w.of(hashes, counts)) if fresh else None
+                        out.append((i, content, sig.tobytes() if fresh else None, sig.astype(np.uint8).tobytes() if fresh else None))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))],
-                                                     names=["id", "content", "sig"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate((pa.int64(), *[pa.binary()] * 3))],
+                                                     names=["id", "content", "sig", "few"])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, content binary, sig binary")
+    return rows.mapInArrow(run, "id long, content binary, sig binary, few binary")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, weights, doc_id: str, text: str, similar: float = SIMILAR) -> DataFrame:
-    """The pairs (u, v) whose texts are similar enough, each compared once."""
-    texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("__i"), F.col(text).cast("string").alias("__t"))
-    left = pairs.join(texts.select(F.col("__i").alias("u"), F.col("__t").alias("a")), "u")
-    both = left.join(texts.select(F.col("__i").alias("v"), F.col("__t").alias("b")), "v")
+def verified(pairs: DataFrame, texts: DataFrame, weights, similar: float = SIMILAR) -> DataFrame:
+    """The pairs (u, v) whose texts, given as (id, text), are similar enough, each compared once."""
+    left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    both = left.join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches):
         w, last = weights.value, (None, None)
@@ -282,13 +286,15 @@ def components(edges: DataFrame) -> DataFrame:
     minimum; no list of neighbours is gathered.
     """
     e = checkpoint(edges.select("u", "v").where("u <> v"))
+    few = max(1, e.count() >> 18)  # partitions: a step's tables are never larger than the edges, and mostly small
     while True:
+        e = e.coalesce(few)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(few).distinct().coalesce(few)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        new = checkpoint(small.select("x.u", "x.v").where("u <> v").distinct())
+        new = checkpoint(small.select("x.u", "x.v").where("u <> v").coalesce(few).distinct()).coalesce(few)
         # done when every end has one edge, to one that has none
         if new.join(new.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and new.groupBy("u").count().where("count > 1").isEmpty():
             return new.select(F.col("u").alias("id"), F.col("v").alias("comp"))
@@ -308,29 +314,23 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
     signs = checkpoint(signed(docs, weights, doc_id, text))
     # one document stands for all with the same words
     first = checkpoint(signs.groupBy("content").agg(F.min("id").alias("rep")))
-    sigs = checkpoint(signs.where(F.col("sig").isNotNull()).join(first, "content").groupBy("rep").agg(F.first("sig").alias("sig")))
+    sigs = checkpoint(signs.where(F.col("sig").isNotNull()).join(first, "content").groupBy("rep").agg(F.first("sig").alias("sig"), F.first("few").alias("few")))
     bands = sigs.select("rep", F.posexplode(F.array(*[
         F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)])).alias("band", "key"))
     leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("__max")).where("leader <> __max").select("key", "leader")
     buckets = checkpoint(bands.join(leaders, "key").select("key", "band", "rep", "leader"))  # buckets of two or more
 
-    links = spark.createDataFrame([], "u long, v long")
-    comp = spark.createDataFrame([], "id long, comp long")
-    tried = spark.createDataFrame([], "u long, v long")
-    open_pairs = checkpoint(likely(buckets.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct(), sigs, similar))
-    rounds = 0
-    while not open_pairs.isEmpty():
-        # first the smallest leader of each document, twice; the others only if they are not connected by then
-        now = open_pairs.groupBy("u").agg(F.min("v").alias("v")) if (rounds := rounds + 1) <= 2 else open_pairs
-        links = checkpoint(links.unionByName(verified(now, docs, weights, doc_id, text, similar)))
-        comp = components(links)
-        tried = checkpoint(tried.unionByName(now))
-        rest = with_comp(with_comp(open_pairs.join(now, ["u", "v"], "left_anti"), comp, "u", "cu"), comp, "v", "cv")
-        open_pairs = checkpoint(rest.where("cu <> cv").select("u", "v"))
+    # only texts that share a bucket with another one are ever compared
+    met = buckets.select(F.explode(F.array("rep", "leader")).alias("id")).distinct()
+    texts = stage(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+                  .join(met, "id", "left_semi"), "texts")
+
+    tried = checkpoint(likely(buckets.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct(), sigs, similar))
+    links = checkpoint(verified(tried, texts, weights, similar))
+    comp = components(links)
     more = checkpoint(across(buckets, comp, sigs, similar).join(tried, ["u", "v"], "left_anti"))
     if not more.isEmpty():
-        links = checkpoint(links.unionByName(verified(more, docs, weights, doc_id, text, similar)))
-        comp = components(links)
+        comp = components(links.unionByName(verified(more, texts, weights, similar)))
     reps = with_comp(first, comp, "rep", "class_id").select("content", "class_id")
     # ids of several rows with different texts take the smallest class
     found = signs.join(reps, "content").groupBy("id").agg(F.min("class_id").alias("class_id"))
@@ -340,12 +340,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar
 
 def likely(pairs: DataFrame, sigs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Pairs whose signatures agree in a share of samples that a pair at the threshold does not fall short of."""
-    both = (pairs.join(sigs.select(F.col("rep").alias("u"), F.col("sig").alias("a")), "u")
-            .join(sigs.select(F.col("rep").alias("v"), F.col("sig").alias("b")), "v"))
+    both = (pairs.join(sigs.select(F.col("rep").alias("u"), F.col("few").alias("a")), "u")
+            .join(sigs.select(F.col("rep").alias("v"), F.col("few").alias("b")), "v"))
 
     def run(batches):
         for batch in batches:
-            a, b = (np.array([np.frombuffer(x, np.uint32) for x in batch.column(c).to_pylist()]).reshape(-1, SAMPLES) for c in "ab")
+            a, b = (np.array([np.frombuffer(x, np.uint8) for x in batch.column(c).to_pylist()]).reshape(-1, SAMPLES) for c in "ab")
             yield batch.select(["u", "v"]).filter(pa.array((a == b).mean(axis=1) >= similar - MARGIN))
 
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
@@ -369,8 +369,10 @@ def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, similar: float)
         here = here.where(F.col("n") > FEW).drop("n")
         if here.isEmpty():
             break
+        if not level:  # signatures of the members of large buckets alone
+            held = checkpoint(sigs.select("rep", "sig").join(here.select("rep").distinct(), "rep", "left_semi"))
         at = F.pmod(F.col("band") + F.lit(level + 1), F.lit(BANDS)) * (4 * ROWS) + 1
-        here = here.join(sigs, "rep").select(F.xxhash64("key", F.substring("sig", at, F.lit(8))).alias("key"), "band", "comp", "rep")
+        here = here.join(held, "rep").select(F.xxhash64("key", F.substring("sig", at, F.lit(8))).alias("key"), "band", "comp", "rep")
     out = pairs[0]
     for p in pairs[1:]:
         out = out.unionByName(p)
