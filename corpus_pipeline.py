@@ -11,6 +11,7 @@ further columns are carried along unchanged.
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -21,26 +22,40 @@ from tidegrid.llm.common import table
 from tidegrid.session import ready, shared_dir
 
 
+def prepared(stage):
+    """A stage that may also be called by itself: session settings first."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ready(spark), docs, sf_dir)
+
+    return run_stage
+
+
+@prepared
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@prepared
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
     return neardup.keep_one(docs)
 
 
+@prepared
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of the benchmark are cut out."""
     return recounted(decontaminate.remove_spans(docs, table(spark, sf_dir, "benchmark")))
 
 
+@prepared
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
     return recounted(secrets.redact(docs))
 
 
+@prepared
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the text they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -17,7 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 from collections.abc import Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import map_texts
 
-MOST_WORDS = 1 << 19  # words whose ids a task keeps; the table is emptied when full
+MOST_WORDS = 1 << 18  # words whose ids a task keeps; when full, and after a task, the table goes back to its first words
+FIRST_WORDS = 1 << 16  # those met first are the frequent ones
 LONGEST_WORD = 64  # longer words are not kept
 
 
@@ -119,10 +120,15 @@ class Codec:
             ids = self.merges.encode(word.encode())
             if len(word) <= LONGEST_WORD:
                 if len(self.kept) >= MOST_WORDS:
-                    self.kept.clear()
+                    self.trim()
                 self.kept[word] = ids
         return ids
 
+    def trim(self) -> None:
+        """Keep the words met first, so that a worker does not hold the table of an earlier job."""
+        if len(self.kept) > FIRST_WORDS:
+            self.kept = dict(islice(self.kept.items(), FIRST_WORDS))
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -186,6 +192,11 @@ def codec(source: str) -> Codec:
     return _codecs[key]
 
 
+def trim() -> None:
+    for c in _codecs.values():
+        c.trim()
+
+
 def _shared(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:  # the tokenizer file lies with the program, not with the data
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -199,7 +210,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
         c = codec(source.value)
         return lambda texts: [list(map(c.encode, texts.to_pylist()))]
 
-    return map_texts(docs, text, f"`{ids}` array<int>", make)
+    return map_texts(docs, text, f"`{ids}` array<int>", make, done=trim)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -237,4 +248,4 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", with_ids: bool =
         return each
 
     fields = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return map_texts(docs, text, fields, make, drop=[text])
+    return map_texts(docs, text, fields, make, drop=[text], done=trim)

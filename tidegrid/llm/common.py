@@ -30,11 +30,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable[[pa.Array], Sequence]],
-              drop: Sequence[str] = (), limit: int = SLICE_BYTES) -> DataFrame:
+              drop: Sequence[str] = (), limit: int = SLICE_BYTES, done: Callable[[], None] | None = None) -> DataFrame:
     """Append the columns ``fields`` (a DDL string) that Python computes from a text column.
 
     ``make()`` runs once per task and returns the function that gets the texts of
     a bounded piece as an Arrow array and returns one array or list per field.
+    ``done()`` runs when a task has ended.
     Input columns named like a result (in any case) or in ``drop`` are left out.
     """
     added = StructType.fromDDL(fields)
@@ -56,6 +57,8 @@ def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable
                 columns += [m if isinstance(m, pa.Array) else pa.array(m, out.field(len(names) + i).type)
                             for i, m in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([c.cast(out.field(i).type) for i, c in enumerate(columns)], schema=out)
+        if done:
+            done()
 
     return inputs.mapInArrow(run, schema)
 

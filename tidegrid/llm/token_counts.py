@@ -21,6 +21,7 @@ import json
 import re
 import unicodedata
 from functools import cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,7 +31,8 @@ from .common import map_texts
 
 CHUNK = 256
 SEGMENT = 1 << 20  # characters whose state maps are held at once
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 19  # transitions a task keeps; when full, and after a task, the table goes back to its first ones
+FIRST_WORDS = 1 << 16
 LIMIT = 2048
 
 # Character classes. The letters that contractions are made of have their own.
@@ -151,10 +153,15 @@ class Counter:
         n = len(self.merges.encode(word.encode()))
         if len(word) <= 64:
             if len(self.closing) >= MOST_WORDS:
-                self.closing.clear()
+                self.trim()
             self.closing[word] = n
         return n
 
+    def trim(self) -> None:
+        """Keep the transitions compiled first, which are the frequent ones."""
+        if len(self.closing) > FIRST_WORDS:
+            self.closing = dict(islice(self.closing.items(), FIRST_WORDS))
+
     def counts(self, texts: list[str | None]) -> list[int]:
         parts, totals = [], []
         for t in texts:
@@ -173,8 +180,7 @@ class Counter:
         which = np.flatnonzero(starts[bounds])
         begin, end = bounds[which], bounds[which + 1]  # the stream ends in a break
         words = [stream[a:b] for a, b in zip(begin.tolist(), end.tolist())]
-        known = self.closing.get
-        each = np.fromiter((known(w) or self.tokens(w) for w in words), np.int64, len(words))
+        each = np.fromiter((self.closing.get(w) or self.tokens(w) for w in words), np.int64, len(words))
         run = np.concatenate(([0], np.cumsum(each)))
         cuts = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
         at = np.searchsorted(begin, cuts)
@@ -205,4 +211,5 @@ def count(docs: DataFrame, path: str, text: str = "text", limit: int = LIMIT) ->
             return [len(t.encode()) if t else 0 for t in found], n, [x > limit for x in n]
         return each
 
-    return map_texts(docs, text, "n_bytes long, n_tokens long, over_limit boolean", make, drop=[text], limit=1 << 20)
+    return map_texts(docs, text, "n_bytes long, n_tokens long, over_limit boolean", make, drop=[text], limit=1 << 20,
+                     done=lambda: [c.trim() for c in _counters.values()])
