@@ -19,8 +19,9 @@
 
 Defined results: texts with fewer words than a shingle are one shingle; null,
 empty and wordless texts are duplicates of nothing; rows that share an id are one
-document; rows without an id get no class and are kept; exact copies (equal lower-case
-words) always share a class; an empty table gives no rows.
+document in ``classes``, which joins the classes of its texts, while ``keep_one`` takes
+each of its texts for itself; rows without an id get no class and are kept; exact copies
+(equal lower-case words) always share a class; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -228,9 +229,9 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, content, sig, few) for every document with words; ``few`` is the lowest byte of each sample.
+    """Rows (id, content, sig, few) for every row with an id; ``few`` is the lowest byte of each sample.
 
-    Signatures are given once per content and task.
+    The content of a text without words is empty. Signatures are given once per content and task.
     """
     def run(batches):
         w, seen = weights.value, set()
@@ -239,14 +240,13 @@ def signed(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "text")
                 out = []
                 for i, t in zip(piece.column("id").to_pylist(), piece.column("text").to_pylist()):
                     hashes, counts, content = shingles(t)
-                    if content:
-                        fresh = content not in seen
-                        if fresh:
-                            if len(seen) >= 1 << 17:
-                                seen.clear()
-                            seen.add(content)
-                        sig = signature(hashes, w.of(hashes, counts)) if fresh else None
-                        out.append((i, content, sig.tobytes() if fresh else None, sig.astype(np.uint8).tobytes() if fresh else None))
+                    fresh = bool(content) and content not in seen
+                    if fresh:
+                        if len(seen) >= 1 << 17:
+                            seen.clear()
+                        seen.add(content)
+                    sig = signature(hashes, w.of(hashes, counts)) if fresh else None
+                    out.append((i, content, sig.tobytes() if fresh else None, sig.astype(np.uint8).tobytes() if fresh else None))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate((pa.int64(), *[pa.binary()] * 3))],
                                                      names=["id", "content", "sig", "few"])
@@ -255,6 +255,11 @@ def signed(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "text")
     return rows.mapInArrow(run, "id long, content binary, sig binary, few binary")
 
 
+def digested(docs: DataFrame, text: str) -> DataFrame:
+    """Append the digest of the words as ``__content``."""
+    return docs.withColumn("__content", F.udf(lambda t: shingles(t)[2], "binary")(F.col(text).cast("string")))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, weights, similar: float = SIMILAR) -> DataFrame:
     """The pairs (u, v) whose texts, given as (id, text), are similar enough, each compared once."""
     left = pairs.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
@@ -307,35 +312,52 @@ def with_comp(rows: DataFrame, comp: DataFrame, column: str, name: str) -> DataF
     return rows.join(found, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """Rows (id, class_id) for every id: the smallest id of the texts that are linked with it."""
+def searched(docs: DataFrame, doc_id: str, text: str, similar: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``signed`` gives; contents (content, id, rep) with their smallest id and a number of their own;
+    verified links (u, v) between those numbers; ids of several rows, with ``mixed`` where their contents differ."""
     spark = docs.sparkSession
     weights = spark.sparkContext.broadcast(Weights(*sketch(docs, text)))
     signs = checkpoint(signed(docs, weights, doc_id, text))
-    # one document stands for all with the same words
-    first = checkpoint(signs.groupBy("content").agg(F.min("id").alias("rep")))
-    sigs = checkpoint(signs.where(F.col("sig").isNotNull()).join(first, "content").groupBy("rep").agg(F.first("sig").alias("sig"), F.first("few").alias("few")))
+    # one number stands for all with the same words; an id would not do, as it can have several texts
+    first = checkpoint(signs.where("length(content) > 0").groupBy("content").agg(F.min("id").alias("id")).withColumn("rep", F.monotonically_increasing_id()))
+    repeated = checkpoint(signs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
+                          .where("n > 1").select("id", F.expr("lo <> hi").alias("mixed")))
+    sigs = checkpoint(signs.where(F.col("sig").isNotNull()).join(first.select("content", "rep"), "content")
+                      .groupBy("rep").agg(F.first("sig").alias("sig"), F.first("few").alias("few")))
     bands = sigs.select("rep", F.posexplode(F.array(*[
         F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)])).alias("band", "key"))
     leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("__max")).where("leader <> __max").select("key", "leader")
     buckets = checkpoint(bands.join(leaders, "key").select("key", "band", "rep", "leader"))  # buckets of two or more
 
-    # only texts that share a bucket with another one are ever compared
-    met = buckets.select(F.explode(F.array("rep", "leader")).alias("id")).distinct()
-    texts = stage(docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-                  .join(met, "id", "left_semi"), "texts")
+    # only texts that share a bucket with another one are ever compared, each read from one row
+    met = buckets.select(F.explode(F.array("rep", "leader")).alias("rep")).distinct().join(first, "rep").select("rep", "id", "content")
+    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    found = named.join(met.join(repeated, "id", "left_anti").select("id", "rep"), "id").select(F.col("rep").alias("id"), "text")
+    if not repeated.isEmpty():
+        rows = digested(named.join(repeated, "id", "left_semi"), "text").withColumnRenamed("__content", "content").dropDuplicates(["id", "content"])
+        found = found.unionByName(rows.join(met, ["id", "content"]).select(F.col("rep").alias("id"), "text"))
+    texts = stage(found, "texts")
 
     tried = checkpoint(likely(buckets.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct(), sigs, similar))
     links = checkpoint(verified(tried, texts, weights, similar))
     comp = components(links)
     more = checkpoint(across(buckets, comp, sigs, similar).join(tried, ["u", "v"], "left_anti"))
     if not more.isEmpty():
-        comp = components(links.unionByName(verified(more, texts, weights, similar)))
-    reps = with_comp(first, comp, "rep", "class_id").select("content", "class_id")
-    # ids of several rows with different texts take the smallest class
-    found = signs.join(reps, "content").groupBy("id").agg(F.min("class_id").alias("class_id"))
-    every = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id")).distinct()
-    return every.join(found, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+        links = checkpoint(links.unionByName(verified(more, texts, weights, similar)))
+    return signs, first, links, repeated
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """Rows (id, class_id) for every id: the smallest id of the texts that are linked with it."""
+    signs, first, links, repeated = searched(docs, doc_id, text, similar)
+    several = repeated.where("mixed")
+    if not several.isEmpty():  # the texts of an id belong together
+        own = signs.join(several, "id").select("id", "content").distinct().join(first.select("content", "rep"), "content")
+        links = links.unionByName(own.join(own.groupBy("id").agg(F.min("rep").alias("v")), "id").select(F.col("rep").alias("u"), "v"))
+    reps = with_comp(first, components(links), "rep", "comp")
+    names = reps.groupBy("comp").agg(F.min("id").alias("class_id"))
+    found = signs.join(reps.join(names, "comp").select("content", "class_id"), "content").groupBy("id").agg(F.min("class_id").alias("class_id"))
+    return signs.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
 def likely(pairs: DataFrame, sigs: DataFrame, similar: float = SIMILAR) -> DataFrame:
@@ -380,7 +402,17 @@ def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, similar: float)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
-    """One document of each class: rows whose id names their class, and rows without an id."""
-    names = classes(docs, doc_id, text, similar).where("id = class_id").select(F.col("id").alias("__keep"))
-    named = docs.join(names, F.col(doc_id).cast("long") == F.col("__keep"), "left_semi")
-    return named.unionByName(docs.where(F.col(doc_id).isNull()))
+    """Of every group of linked texts the one with the smallest id, all texts without words, and rows without an id.
+
+    Rows count here, not ids: an id with different texts loses only those that another kept row stands for.
+    """
+    signs, first, links, repeated = searched(docs, doc_id, text, similar)
+    best = with_comp(first, components(links), "rep", "comp").groupBy("comp").agg(F.min(F.struct("id", "content")).alias("x")).select("x.id", "x.content")
+    keep = checkpoint(best.unionByName(signs.where("length(content) = 0").select("id", "content").distinct()).toDF("__keep", "__words"))
+    twice = repeated.select(F.col("id").alias("__twice"))
+    who = F.col(doc_id).cast("long")
+    out = docs.join(keep.join(twice, F.col("__keep") == F.col("__twice"), "left_anti"), who == F.col("__keep"), "left_semi")
+    if not repeated.isEmpty():
+        rows = digested(docs.join(twice, who == F.col("__twice"), "left_semi"), text)
+        out = out.unionByName(rows.join(keep, (who == F.col("__keep")) & (F.col("__content") == F.col("__words")), "left_semi").drop("__content"))
+    return out.unionByName(docs.where(F.col(doc_id).isNull()))
