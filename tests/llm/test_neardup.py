@@ -23,3 +23,24 @@ def test_ids_of_several_texts(spark):
     assert got == {0: 0, 1: 0, 5: 0, 6: 6, 7: 7} | {100 + i: 7 for i in range(40)}
     kept = sorted(((x.doc_id, x.text or "") for x in neardup.keep_one(docs).collect()))
     assert kept == sorted([(0, a), (1, b), (1, ""), (6, "")] + [(7, " ".join(m)) for m in many])
+
+
+def bucket(spark, members, comps=()):
+    """One bucket of signatures given as rows of bytes, as ``across`` takes it, with (id, comp) of linked members."""
+    buckets = spark.createDataFrame([(5, 3, i) for i in range(len(members))], "key long, band int, rep long")
+    sigs = spark.createDataFrame([(i, bytearray(m.astype("<u4").tobytes()), bytearray(m.astype(np.uint8).tobytes())) for i, m in enumerate(members)], "rep long, sig binary, few binary")
+    return buckets, spark.createDataFrame(list(comps), "id long, comp long"), sigs
+
+
+def test_all_pairs_of_a_large_bucket(spark, monkeypatch):
+    """500 unlinked members with 60 planted pairs that agree in four of five samples, in one and in several blocks."""
+    r = np.random.default_rng(4)
+    members = r.integers(0, 1 << 32, (500, neardup.SAMPLES), dtype=np.uint64)
+    for i in range(60):
+        members[440 + i] = np.where(r.random(neardup.SAMPLES) < 0.8, members[i], members[440 + i])
+    few = members.astype(np.uint8)
+    want = {(int(u), int(v)) for v in range(500) for u in np.flatnonzero((few == few[v]).mean(axis=1) >= neardup.SIMILAR - neardup.MARGIN) if u > v}
+    assert len(want) >= 59
+    for size in (neardup.MEMBERS, 90):
+        monkeypatch.setattr(neardup, "MEMBERS", size)
+        assert {(x.u, x.v) for x in neardup.across(*bucket(spark, members), neardup.SIMILAR).collect()} == want

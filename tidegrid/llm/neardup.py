@@ -9,9 +9,9 @@
    similarity. Equal word sequences are one content from here on.
 3. Each band of a signature is a bucket. Members of a bucket are compared with its
    smallest member, so that a bucket of any size costs a comparison per member,
-   and a document has at most as many as there are bands. What differs from its leader is then compared among itself: all
-   pairs of the components left in a bucket while they are few; a bucket with more
-   is split on further samples first.
+   and a document has at most as many as there are bands. What differs from its leader
+   is then compared among itself: all pairs of the components left in a bucket, in
+   blocks of members, however many they are.
 4. Every compared pair is verified by the exact weighted Jaccard similarity of the
    whole texts (pairs whose signatures agree in far fewer samples than the
    threshold asks for are not read). Connected components of the verified pairs
@@ -46,7 +46,8 @@ SAMPLES = BANDS * ROWS
 MARGIN = 0.2  # estimated similarity below SIMILAR - MARGIN: five deviations off, not read
 WIDTH, DEPTH = 1 << 20, 2  # cells and rows of the document frequency sketch
 SKETCH_BLOCKS = 64
-FEW = 32  # components of a bucket that are compared pair by pair
+MEMBERS = 2048  # members of a bucket in a block
+COMPARED = 1 << 18  # pairs of signatures that are compared at once
 SPREAD = 16  # partial sums of a sketch block
 
 U = np.uint64
@@ -374,31 +375,61 @@ def likely(pairs: DataFrame, sigs: DataFrame, similar: float = SIMILAR) -> DataF
 
 
 def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, similar: float) -> DataFrame:
-    """Likely pairs between different components that still share a bucket, u > v.
+    """Likely pairs (u, v) between different components that still share a bucket, u > v.
 
-    One member stands for a component in a bucket. Buckets with more than ``FEW`` components are split on
-    two samples of the next band until they are small or spell the same samples throughout.
+    One member stands for a component in a bucket. Members are dealt into blocks, and every pair of blocks
+    of a bucket is compared in one task, which gives away only pairs whose signatures are alike enough.
     """
-    pairs = []
     here = with_comp(buckets.select("key", "band", "rep"), comp, "rep", "comp")
     here = here.groupBy("key", "band", "comp").agg(F.min("rep").alias("rep"))
-    for level in range(BANDS):
-        sizes = here.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        here = checkpoint(here.join(sizes, "key"))
-        few = here.where(F.col("n") <= FEW).groupBy("key").agg(F.array_sort(F.collect_list("rep")).alias("m"))
-        ranked = few.select("m", F.posexplode("m").alias("i", "v"))
-        pairs.append(ranked.select("v", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("u")))
-        here = here.where(F.col("n") > FEW).drop("n")
-        if here.isEmpty():
-            break
-        if not level:  # signatures of the members of large buckets alone
-            held = checkpoint(sigs.select("rep", "sig").join(here.select("rep").distinct(), "rep", "left_semi"))
-        at = F.pmod(F.col("band") + F.lit(level + 1), F.lit(BANDS)) * (4 * ROWS) + 1
-        here = here.join(held, "rep").select(F.xxhash64("key", F.substring("sig", at, F.lit(8))).alias("key"), "band", "comp", "rep")
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return likely(out.select("u", "v").distinct(), sigs, similar)
+    sizes = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    here = (here.join(sizes.select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts")), "key").select("key", "comp", "rep", "parts")
+            .join(sigs.select("rep", "few"), "rep")
+            .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "rep", "block", "few"))
+    parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches):
+        held = []
+        for batch in batches:
+            now = [batch.column(n).to_numpy(zero_copy_only=False) for n in range(3)]
+            edge = np.flatnonzero(np.any([np.diff(x) != 0 for x in now], axis=0)) + 1
+            starts = np.concatenate(([0], edge, [batch.num_rows])) if batch.num_rows else []
+            for at, end in zip(starts[:-1], starts[1:]):
+                if held and any(held[-1].column(n)[0] != batch.column(n)[int(at)] for n in range(3)):
+                    yield from alike(held, similar)
+                    held = []
+                held.append(batch.slice(int(at), int(end - at)))
+        if held:
+            yield from alike(held, similar)
+
+    dealt = here.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def alike(batches, similar: float):
+    """Likely pairs of different components among the rows (key, i, j, comp, rep, block, few) of one pair of blocks."""
+    comp, rep, block = (np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in batches]) for n in (3, 4, 5))
+    few = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint8).reshape(-1, SAMPLES)
+    order = np.argsort(comp, kind="stable")
+    comp, rep, block, few = comp[order], rep[order], block[order], few[order]
+    one = batches[0].column(1)[0] == batches[0].column(2)[0]
+    at = 0
+    while at < len(comp):
+        after = int(np.searchsorted(comp, comp[at], side="right"))  # members of one component are not compared
+        if after == len(comp):
+            return
+        end = at + max(1, COMPARED // (len(comp) - after))
+        mine, theirs = slice(at, end), slice(after, None)
+        unlike = comp[mine, None] < comp[None, theirs]
+        if not one:
+            unlike &= block[mine, None] != block[None, theirs]
+        x, y = np.nonzero(unlike & ((few[mine, None] == few[None, theirs]).mean(axis=2) >= similar - MARGIN))
+        if len(x):
+            x, y = rep[mine][x], rep[theirs][y]
+            yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(x, y), pa.int64()), "v": pa.array(np.minimum(x, y), pa.int64())})
+        at = end
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
