@@ -44,3 +44,15 @@ def test_all_pairs_of_a_large_bucket(spark, monkeypatch):
     for size in (neardup.MEMBERS, 90):
         monkeypatch.setattr(neardup, "MEMBERS", size)
         assert {(x.u, x.v) for x in neardup.across(*bucket(spark, members), neardup.SIMILAR).collect()} == want
+
+
+def test_members_that_are_not_the_smallest_of_their_component(spark):
+    """Two linked groups of 40 in one bucket; of all pairs between them only two are alike, one more than the other."""
+    r = np.random.default_rng(5)
+    members = r.integers(0, 1 << 32, (80, neardup.SAMPLES), dtype=np.uint64)
+    members[70, :105], members[75, :90] = members[30, :105], members[35, :90]
+    comps = [(i, 0) for i in range(1, 40)] + [(i, 40) for i in range(41, 80)]
+    args = bucket(spark, members, comps)
+    assert {(x.u, x.v) for x in neardup.across(*args, neardup.SIMILAR).collect()} == {(70, 30), (75, 35)}
+    assert {(x.u, x.v) for x in neardup.across(*args, neardup.SIMILAR, closest=True).collect()} == {(70, 30)}
+    assert neardup.across(args[0], spark.createDataFrame([(i, 0) for i in range(1, 80)], "id long, comp long"), args[2], neardup.SIMILAR).count() == 0

@@ -10,8 +10,9 @@
 3. Each band of a signature is a bucket. Members of a bucket are compared with its
    smallest member, so that a bucket of any size costs a comparison per member,
    and a document has at most as many as there are bands. What differs from its leader
-   is then compared among itself: all pairs of the components left in a bucket, in
-   blocks of members, however many they are.
+   is then compared among itself: all pairs of members of the components left in a
+   bucket, in blocks, however many they are. Of two components the most alike members
+   of a bucket come first, and the others where these do not link them.
 4. Every compared pair is verified by the exact weighted Jaccard similarity of the
    whole texts (pairs whose signatures agree in far fewer samples than the
    threshold asks for are not read). Connected components of the verified pairs
@@ -332,19 +333,27 @@ def searched(docs: DataFrame, doc_id: str, text: str, similar: float) -> tuple[D
 
     # only texts that share a bucket with another one are ever compared, each read from one row
     met = buckets.select(F.explode(F.array("rep", "leader")).alias("rep")).distinct().join(first, "rep").select("rep", "id", "content")
-    named = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = named.join(met.join(repeated, "id", "left_anti").select("id", "rep"), "id").select(F.col("rep").alias("id"), "text")
+    given = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    found = given.join(met.join(repeated, "id", "left_anti").select("id", "rep"), "id").select(F.col("rep").alias("id"), "text")
     if not repeated.isEmpty():
-        rows = digested(named.join(repeated, "id", "left_semi"), "text").withColumnRenamed("__content", "content").dropDuplicates(["id", "content"])
+        rows = digested(given.join(repeated, "id", "left_semi"), "text").withColumnRenamed("__content", "content").dropDuplicates(["id", "content"])
         found = found.unionByName(rows.join(met, ["id", "content"]).select(F.col("rep").alias("id"), "text"))
     texts = stage(found, "texts")
 
     tried = checkpoint(likely(buckets.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct(), sigs, similar))
     links = checkpoint(verified(tried, texts, weights, similar))
     comp = components(links)
-    more = checkpoint(across(buckets, comp, sigs, similar).join(tried, ["u", "v"], "left_anti"))
-    if not more.isEmpty():
-        links = checkpoint(links.unionByName(verified(more, texts, weights, similar)))
+    # the most alike members first: where they link their components, the others need no comparison
+    closest = checkpoint(across(buckets, comp, sigs, similar, closest=True))
+    if not closest.isEmpty():
+        fresh = closest.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
+        links = checkpoint(links.unionByName(verified(fresh, texts, weights, similar)))
+        comp = components(links)
+        apart = with_comp(with_comp(closest, comp, "u", "a"), comp, "v", "b").where("a <> b").select("key").distinct()
+        every = across(buckets.join(apart, "key", "left_semi"), comp, sigs, similar).select("u", "v").distinct()
+        rest = checkpoint(every.join(tried.unionByName(closest.select("u", "v")), ["u", "v"], "left_anti"))
+        if not rest.isEmpty():
+            links = checkpoint(links.unionByName(verified(rest, texts, weights, similar)))
     return signs, first, links, repeated
 
 
@@ -374,14 +383,13 @@ def likely(pairs: DataFrame, sigs: DataFrame, similar: float = SIMILAR) -> DataF
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, similar: float) -> DataFrame:
-    """Likely pairs (u, v) between different components that still share a bucket, u > v.
+def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, similar: float, closest: bool = False) -> DataFrame:
+    """Likely pairs (key, u, v) between members of different components that still share a bucket, u > v.
 
-    One member stands for a component in a bucket. Members are dealt into blocks, and every pair of blocks
-    of a bucket is compared in one task, which gives away only pairs whose signatures are alike enough.
+    Members are dealt into blocks, and every pair of blocks of a bucket is compared in one task, which gives
+    away only pairs whose signatures are alike enough; with ``closest`` of any two components the most alike.
     """
-    here = with_comp(buckets.select("key", "band", "rep"), comp, "rep", "comp")
-    here = here.groupBy("key", "band", "comp").agg(F.min("rep").alias("rep"))
+    here = with_comp(buckets.select("key", "rep"), comp, "rep", "comp")
     sizes = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     here = (here.join(sizes.select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts")), "key").select("key", "comp", "rep", "parts")
             .join(sigs.select("rep", "few"), "rep")
@@ -398,38 +406,52 @@ def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, similar: float)
             starts = np.concatenate(([0], edge, [batch.num_rows])) if batch.num_rows else []
             for at, end in zip(starts[:-1], starts[1:]):
                 if held and any(held[-1].column(n)[0] != batch.column(n)[int(at)] for n in range(3)):
-                    yield from alike(held, similar)
+                    yield from alike(held, similar, closest)
                     held = []
                 held.append(batch.slice(int(at), int(end - at)))
         if held:
-            yield from alike(held, similar)
+            yield from alike(held, similar, closest)
 
     dealt = here.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(run, "key long, u long, v long")
 
 
-def alike(batches, similar: float):
+def alike(batches, similar: float, closest: bool):
     """Likely pairs of different components among the rows (key, i, j, comp, rep, block, few) of one pair of blocks."""
     comp, rep, block = (np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in batches]) for n in (3, 4, 5))
     few = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint8).reshape(-1, SAMPLES)
     order = np.argsort(comp, kind="stable")
     comp, rep, block, few = comp[order], rep[order], block[order], few[order]
-    one = batches[0].column(1)[0] == batches[0].column(2)[0]
+    key, one = batches[0].column(0)[0].as_py(), batches[0].column(1)[0] == batches[0].column(2)[0]
+    best: dict = {}  # by components: share of equal samples, members
     at = 0
     while at < len(comp):
         after = int(np.searchsorted(comp, comp[at], side="right"))  # members of one component are not compared
         if after == len(comp):
-            return
+            break
         end = at + max(1, COMPARED // (len(comp) - after))
         mine, theirs = slice(at, end), slice(after, None)
         unlike = comp[mine, None] < comp[None, theirs]
         if not one:
             unlike &= block[mine, None] != block[None, theirs]
-        x, y = np.nonzero(unlike & ((few[mine, None] == few[None, theirs]).mean(axis=2) >= similar - MARGIN))
-        if len(x):
-            x, y = rep[mine][x], rep[theirs][y]
-            yield pa.RecordBatch.from_pydict({"u": pa.array(np.maximum(x, y), pa.int64()), "v": pa.array(np.minimum(x, y), pa.int64())})
+        share = (few[mine, None] == few[None, theirs]).mean(axis=2)
+        x, y = np.nonzero(unlike & (share >= similar - MARGIN))
+        if len(x) and closest:
+            order = np.lexsort((-share[x, y], comp[theirs][y], comp[mine][x]))
+            x, y = x[order], y[order]
+            a, b = comp[mine][x], comp[theirs][y]
+            for n in np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0)))):
+                new = (share[x[n], y[n]], rep[mine][x[n]], rep[theirs][y[n]])
+                best[a[n], b[n]] = max(best.get((a[n], b[n]), new), new)
+        elif len(x):
+            yield named(key, rep[mine][x], rep[theirs][y])
         at = end
+    if best:
+        yield named(key, *(np.array([m[n] for m in best.values()], np.int64) for n in (1, 2)))
+
+
+def named(key: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(x), key), pa.int64()), "u": pa.array(np.maximum(x, y), pa.int64()), "v": pa.array(np.minimum(x, y), pa.int64())})
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
