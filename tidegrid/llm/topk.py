@@ -75,7 +75,7 @@ def unpacked(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def best(queries, query_ids, candidates, candidate_ids, k: int, floor: np.ndarray | None = None, step: int = DIMENSIONS):
-    """The k best candidates of every query: arrays of query number, candidate id, score.
+    """The k best distinct (candidate id, score) of every query: arrays of query number, candidate id, score.
 
     ``floor`` holds scores that k candidates met before reach already. Pairs of one id are left out.
     """
@@ -89,13 +89,15 @@ def best(queries, query_ids, candidates, candidate_ids, k: int, floor: np.ndarra
     if not safe:  # huge components: whole numbers of any size
         q, c = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (q, c))
         scores = [[max(-1 << 63, min((1 << 63) - 1, sum(a * b for a, b in zip(x, y)))) for y in c] for x in q]
-        found = [sorted((-s, int(candidate_ids[j])) for j, s in enumerate(row) if candidate_ids[j] != query_ids[i])[:k] for i, row in enumerate(scores)]
+        found = [sorted({(-s, int(candidate_ids[j])) for j, s in enumerate(row) if candidate_ids[j] != query_ids[i]})[:k] for i, row in enumerate(scores)]
         flat = [(i, y, -s) for i, row in enumerate(found) for s, y in row]
         return (np.array([x[n] for x in flat], dtype=np.int64) for n in range(3))
     order = np.argsort(-np.square(c).sum(axis=0), kind="stable")  # heavy dimensions first: bounds tighten sooner
     q, columns = q[:, order], np.ascontiguousarray(c[:, order].T)
     left_q = np.sqrt(np.cumsum(np.square(q)[:, ::-1], axis=1)[:, ::-1])
     left_c = np.sqrt(np.cumsum(np.square(columns)[::-1], axis=0)[::-1])
+    names, name = np.unique(candidate_ids, return_inverse=True)
+    repeated = len(names) < len(candidate_ids)
     out = []
     for i in range(len(q)):
         alive = np.flatnonzero(candidate_ids != query_ids[i])
@@ -107,12 +109,18 @@ def best(queries, query_ids, candidates, candidate_ids, k: int, floor: np.ndarra
             rest = 0.0 if done else left_q[i, at + step] * left_c[at + step, alive] * (1 + 1e-9) + 1e-6
             if len(alive) > k:
                 low = score - rest
+                if repeated:  # rows of one id count once
+                    rows, low = low, np.full(max(len(names), k), -np.inf)
+                    np.maximum.at(low, name[alive], rows)
                 least = max(least, np.partition(low, len(low) - k)[len(low) - k])
             keep = score + rest >= least
             if not done and keep.mean() > 0.7 and len(alive) > 64:
                 continue  # compacting would cost more than it saves
             alive, score = alive[keep], score[keep]
-        take = np.lexsort((candidate_ids[alive], -score))[:k]
+        take = np.lexsort((candidate_ids[alive], -score))
+        if repeated and len(take):
+            take = take[np.concatenate(([True], (np.diff(candidate_ids[alive[take]]) != 0) | (np.diff(score[take]) != 0)))]
+        take = take[:k]
         out.append((np.full(len(take), i), candidate_ids[alive[take]], score[take].astype(np.int64)))
     return (np.concatenate([x[n] for x in out]) if out else np.zeros(0, np.int64) for n in range(3))
 
