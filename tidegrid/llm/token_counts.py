@@ -1,4 +1,4 @@
-"""Token counts by a compiled finite-state tokenizer.
+"""Token counts by a compiled splitting rule and a merge queue.
 
 The tokenizer's splitting rule is compiled into a deterministic transducer over
 character classes: seven states, eleven classes, and on each transition what it
@@ -6,9 +6,9 @@ emits (a word starts here, or started one character ago). A stream of texts is
 cut into chunks of equal length. For every chunk the map from each entry state to
 its exit state is computed, all chunks at once; a parallel prefix scan composes
 the maps, which gives every chunk its real entry state; a second sweep then reads
-the emissions. A word-closing transition carries the number of tokens of the word:
-those transitions are compiled when first met, by the file's merges, and kept in a
-bounded table. The counts of a text are the sums over its transitions.
+the emissions. No transition carries a token count: each word goes through the
+merge queue of ``bpe.Merges``, and the numbers of tokens of words of up to 64
+characters are kept in a bounded table. The count of a text is the sum over its words.
 
 Defined results: a null text counts as empty and has no tokens; repeated rows are
 each answered; texts of any length are read whole, in bounded segments whose state
@@ -138,7 +138,7 @@ class Counter:
         self.table, self.odd = np.frombuffer(table, np.uint8), odd
         self.odd_letters = marked(map(chr, odd))
         self.to, self.emits = transducer()
-        self.closing: dict[str, int] = {}  # tokens on the transition that closes a word
+        self.closing: dict[str, int] = {}  # number of tokens by word
 
     def normal(self, text: str) -> str:
         """NFC and lower case as the library has them; every line end becomes a blank."""
@@ -149,7 +149,7 @@ class Counter:
         return text.lower().replace("\n", " ")
 
     def tokens(self, word: str) -> int:
-        """Compile the closing transition of a new word."""
+        """Number of tokens of a word that is not in the table."""
         n = len(self.merges.encode(word.encode()))
         if len(word) <= 64:
             if len(self.closing) >= MOST_WORDS:
@@ -158,7 +158,7 @@ class Counter:
         return n
 
     def trim(self) -> None:
-        """Keep the transitions compiled first, which are the frequent ones."""
+        """Keep the words met first, which are the frequent ones."""
         if len(self.closing) > FIRST_WORDS:
             self.closing = dict(islice(self.closing.items(), FIRST_WORDS))
 
