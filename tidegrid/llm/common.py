@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 SLICE_BYTES = 4 << 20
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,10 @@ def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable
     kept = [f for f in df.schema if f.name.lower() not in gone]
     schema = StructType(kept + added.fields)
     names = [f.name for f in kept]
-    inputs = df.select(*[F.col(quoted(n)) for n in names], F.col(quoted(text)).cast("string").alias("__text"))
+    whole = "__text"
+    while whole.lower() in {n.lower() for n in names}:  # a column may be called so
+        whole += "_"
+    inputs = df.select(*[F.col(quoted(n)) for n in names], F.col(quoted(text)).cast("string").alias(whole))
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,8 +56,8 @@ def map_texts(df: DataFrame, text: str, fields: str, make: Callable[[], Callable
         out = to_arrow_schema(schema)
         each = make()
         for batch in batches:
-            for piece in slices(batch, "__text", limit):
-                made = each(piece.column("__text"))
+            for piece in slices(batch, whole, limit):
+                made = each(piece.column(whole))
                 columns = [piece.column(i) for i in range(len(names))]
                 columns += [m if isinstance(m, pa.Array) else pa.array(m, out.field(len(names) + i).type)
                             for i, m in enumerate(made)]
@@ -74,3 +79,32 @@ def same(a: str, b: str) -> Column:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows whose labels are never learned from: crc32 of the id as text leaves 2 when divided by 4. A null id counts as an empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers in which every bit depends on all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def tokenized(texts: pa.Array, fold: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, runs of bytes other than white space, as one binary array, and where each text begins and ends in it.
+
+    With ``fold`` the letters A-Z count as a-z.
+    """
+    texts = pc.fill_null(texts.cast(pa.binary()), b"")
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    at = at - at[0]
+    if fold:
+        data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    gap = SPACE[data]
+    before, after = np.ones(len(data) + 1, bool), np.ones(len(data) + 1, bool)
+    before[1:], after[:-1] = gap, gap
+    before[at], after[at] = True, True  # a text ends a word
+    begin = np.flatnonzero(~gap & before[:-1])
+    end = np.flatnonzero(~gap & after[1:]) + 1
+    offsets = np.concatenate(([0], np.cumsum(end - begin))).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~gap]))])
+    return words, np.searchsorted(begin, at)

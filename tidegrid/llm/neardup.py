@@ -116,19 +116,26 @@ def shingles(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return *np.unique(mixed(total), return_counts=True), hashlib.md5(words.tobytes()).digest()
 
 
+def shingle_hashes(texts: pa.Array) -> list[np.ndarray]:
+    return [shingles(t)[0] for t in texts.to_pylist()]
+
+
 def cells(hashes: np.ndarray) -> list[np.ndarray]:
     return [((hashes >> U(20 * d)) & U(WIDTH - 1)).astype(np.intp) for d in range(DEPTH)]
 
 
-def sketch(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """Document frequencies of the shingles of all texts, and the number of documents with words."""
+def sketch(docs: DataFrame, text: str = "text", sets=None) -> tuple[np.ndarray, int]:
+    """Document frequencies of the shingles of all texts, and the number of documents with words.
+
+    ``sets(texts)`` gives the distinct shingle hashes of every text of an Arrow array, those of this module by default.
+    """
     block = WIDTH * DEPTH // SKETCH_BLOCKS
 
     def count(batches):
         table, n = np.zeros((DEPTH, WIDTH), np.uint32), 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                found = [hashes for t in piece.column("text").to_pylist() for hashes, _, content in (shingles(t),) if content]
+                found = [h for h in (sets or shingle_hashes)(piece.column("text")) if len(h)]
                 if found:
                     n += len(found)
                     for row, at in zip(table, cells(np.concatenate(found))):

@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 
 from ..session import ready
-from . import bpe, decontaminate, neardup, quality, secrets, shards, token_counts, topk, toxicity, warc
+from . import bpe, decontaminate, neardup, periodic, prefix_trie, quality, secrets, set_join, shards, token_counts, topk, toxicity, warc
 from .common import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
+#: The unsigned checksum of a text ``s`` of digits.
+CRC32 = """xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::UBIGINT)),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, k: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))), 4294967295::UBIGINT)"""
+
 
 def register(name: str, sql: str | None = None):
     def add(build):
@@ -114,6 +118,61 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find(docs))
 
 
+@register("op11_shingle_set_join", r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, w[i:i + 3] AS x FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS o FROM s a JOIN s b ON a.x = b.x AND a.rid <> b.rid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+reach AS (SELECT rid AS a, rid AS b FROM d UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+c AS (SELECT a AS rid, min(doc_id) AS component_id FROM reach JOIN d ON d.rid = b GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@register("op12_prefix_trie", rf"""
+WITH t AS (SELECT conv_id, turn, concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')) AS x,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, list(md5(x) ORDER BY turn NULLS FIRST, md5(x)) AS x, list(words ORDER BY turn NULLS FIRST, md5(x)) AS w FROM t GROUP BY conv_id),
+h AS (SELECT *, CAST({CRC32} % 4 AS BIGINT) AS h FROM l),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.x, [])[:c.h], c.x[c.h + 1:]) AS x, list_concat(coalesce(b.w, [])[:c.h], c.w[c.h + 1:]) AS w
+      FROM h c LEFT JOIN h b ON b.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, x, d, CASE WHEN d = 0 THEN 0 ELSE w[d] END AS words, x[:d] AS prefix, len(x) = d AS ends FROM (SELECT *, unnest(range(0, len(x) + 1)) AS d FROM r)),
+n AS (SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+      sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY prefix, d),
+k AS (SELECT prefix[:d - 1] AS prefix, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (prefix)),
+u AS (SELECT prefix[:a] AS prefix, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM o) GROUP BY 1)
+SELECT o.conv_id, o.d AS depth, p.conv_id AS parent_conv_id, o.n_convs, o.n_children, u.n_leaves, CAST(u.saved_tokens AS BIGINT) AS saved_tokens, o.ends_sha256
+FROM o JOIN u USING (prefix) LEFT JOIN n p ON o.d > 0 AND p.prefix = o.prefix[:o.d - 1]""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(prefix_trie.rebuilt(prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))))
+
+
+@register("op13_periodic_runs", rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS s, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0 FROM documents),
+h AS (SELECT *, CAST({CRC32} AS BIGINT) AS h, len(w0) AS n FROM d),
+a AS (SELECT *, h // 10 AS g, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a FROM h),
+w AS (SELECT rid, doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(0, n), lambda i: w0[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) END AS w FROM a),
+word AS (SELECT rid, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM w),
+same AS (SELECT p.rid, q.i - p.i AS q, p.i FROM word p JOIN word q ON p.rid = q.rid AND p.x = q.x AND q.i > p.i AND q.i - p.i <= p.n // 4),
+run AS (SELECT rid, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM same) GROUP BY rid, q, island
+        HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT rid, start, length, min(q) AS period FROM run GROUP BY ALL),
+best AS (SELECT rid, count(*) AS n_runs, arg_min(struct_pack(start, length, period), [-length, start, period]) AS b,
+         string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS lines FROM runs GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b.start AS BIGINT) AS start, CAST(b.length AS BIGINT) AS length, CAST(b.period AS BIGINT) AS period,
+    CAST(1000 * b.length // b.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM w LEFT JOIN best USING (rid) LEFT JOIN kept USING (rid)""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic.digest(periodic.runs(periodic.with_planted(docs)))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
