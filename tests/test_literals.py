@@ -185,45 +185,6 @@ def test_combine_strict_fails_on_missing(spark):
         join.combine_strict(a, b, "t").collect()
 
 
-def test_pelt_finds_step():
-    import numpy as np
-
-    x = np.r_[np.zeros(60), np.full(60, 5.0), np.zeros(60)] + np.sin(np.arange(180)) * 0.1
-    for model, pen in (("l2", 10.0), ("rbf", 5.0)):
-        assert changepoint.pelt_breaks(x, model, pen, 10) == [60, 120]
-    counts = np.r_[np.full(40, 2.0), np.full(40, 9.0)]
-    assert changepoint.pelt_breaks(counts, "poisson", 5.0, 7) == [40]
-
-
-def test_pelt_is_optimal():
-    """Against exhaustive dynamic programming."""
-    import numpy as np
-
-    x = np.random.default_rng(3).normal(size=40).cumsum()
-    cost, pen, size = changepoint.segment_cost(x, "l2"), 3.0, 4
-    best = {0: -pen}
-    for t in range(size, 41):
-        best[t] = min(best[s] + float(cost(np.array([s]), t)[0]) + pen for s in best if t - s >= size)
-    cuts = [0, *changepoint.pelt_breaks(x, "l2", pen, size), 40]
-    total = sum(float(cost(np.array([s]), t)[0]) + pen for s, t in zip(cuts, cuts[1:])) - pen
-    assert abs(total - best[40]) < 1e-9
-
-
-def test_bocpd_reacts_to_step():
-    import numpy as np
-
-    p = changepoint.run_length_posterior(np.r_[np.random.default_rng(1).normal(0, 0.1, 80), np.random.default_rng(2).normal(8, 0.1, 40)], 100.0)
-    assert p[80] > 0.5 and p[20:80].max() < 0.5
-
-
-def test_hmm_two_states():
-    import numpy as np
-
-    obs = np.r_[np.zeros(30, int), np.full(30, 3), np.zeros(30, int)]
-    path = changepoint.viterbi_states(obs, 2, 4)
-    assert list(path) == [0] * 30 + [1] * 30 + [0] * 30
-
-
 def test_lempel_ziv():
     assert changepoint.lz_phrases("0001101001000101") == 6  # 0|001|10|100|1000|101
     assert changepoint.lz_phrases("0" * 20) == 2

@@ -334,6 +334,53 @@ def _linear(d: DataFrame, keys, order, a, name: str, block: int, levels: int) ->
     return both.withColumn(name, state).drop("_b", "_i", "_local", "_carry")
 
 
+def carried(df: DataFrame, keys, order, given: Sequence[str], made: str, start: Callable[[], Callable], *, back: bool = False) -> DataFrame:
+    """Append columns ``made`` (a DDL string) of a recurrence that only a pass along each series can compute.
+
+    ``start()`` gives the function for a new series; it gets the columns ``given`` of its next
+    rows as numpy arrays and returns one array per made column, and may keep a state. Series are
+    dealt out by key and read in order, batch by batch, so no task holds one: its memory
+    is a batch and the state. ``back`` runs against the order.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    keys, order = cols(keys), cols(order)
+    added = StructType.fromDDL(made)
+    gone = {f.name.lower() for f in added}
+    kept = [f for f in df.schema if f.name.lower() not in gone]
+    at = {f.name: i for i, f in enumerate(kept)}
+    schema = StructType(kept + added.fields)
+    given, at_keys = [at[c] for c in given], [at[c] for c in keys]
+
+    def run(batches):
+        out, last, step = to_arrow_schema(schema), None, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for k in at_keys:
+                code = batch.column(k).dictionary_encode("encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), n]
+            parts = []
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(batch.column(k)[a].as_py() for k in at_keys)
+                if step is None or key != last:
+                    last, step = key, start()
+                parts.append(step(*[batch.column(c).slice(a, b - a).to_numpy(zero_copy_only=False) for c in given]))
+            columns = [pa.array(np.concatenate(x)) for x in zip(*parts)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*batch.columns, *columns], out)], schema=out)
+
+    rows = df.select(*[f.name for f in kept])
+    rows = rows.repartition(*keys) if keys else rows.repartition(1)
+    along = [*keys, *[F.desc(c) for c in order]] if back else [*keys, *order]
+    return rows.sortWithinPartitions(*along).mapInArrow(run, schema)
+
+
 def time_frames(df: DataFrame, keys, ts: str, before: str | int, after: str | int,
                 build: Callable[[WindowSpec], Mapping[str, Column]], *,
                 chunk: str | int | None = None) -> DataFrame:

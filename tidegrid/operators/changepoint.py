@@ -1,160 +1,448 @@
 """Changepoints, hidden states and parsing complexity.
 
-These recurrences are sequential inside a series. They run as grouped functions
-on (key, chunk) groups of a gridded series: the grid step and the chunk length
-bound every group, and scale comes from the number of groups. Row labels are
-numbered across chunks afterwards with a distributed scan.
+Changepoints run over whole series of any length: ``frames.carried`` reads a series in order,
+batch by batch, and hands a small state on, so that no task holds a series and nothing depends on
+where batches or months end. Hidden states are fitted once per key from chunks of bounded
+size whose transfer matrices are chained (``hmm_fit``, ``hmm_path``). Row labels are
+numbered afterwards with a distributed scan.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..frames import cols
+from ..frames import carried, cols, exact_quantiles, floor_div, match, running_count, scan
+from ..session import checkpoint
 
+WAVES = 64  # random waves that stand for the kernel of the cost "rbf"
 
-def _grouped(df: DataFrame, keys, chunk: Column, order: str, value: str, name: str, dtype: str, fn) -> DataFrame:
-    """Run ``fn(values) -> values`` on every (key, chunk) group in time order."""
-    k = cols(keys)
-    base = df.where(F.col(value).isNotNull()).withColumn("_part", chunk)
-    types = dict(base.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*k, "_part", order, value]) + f", `{name}` {dtype}"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf[name] = fn(pdf[value].to_numpy(dtype=float))
-        return pdf
+def sums_of(x: np.ndarray, model: str, scale: float = 1.0) -> np.ndarray:
+    """What the cost of a segment needs of its readings in sum, one row per reading."""
+    if model == "l2":
+        return np.stack([x, x * x], axis=1)
+    if model == "poisson":
+        return x[:, None]
+    if model == "rbf":
+        speed, shift = waves()
+        return math.sqrt(2 / WAVES) * np.cos(x[:, None] * (speed * math.sqrt(2 * scale)) + shift)
+    raise ValueError(f"unknown cost {model}")
 
-    return base.select(*k, "_part", order, value).groupBy(*k, "_part").applyInPandas(run, schema)
 
+@cache
+def waves() -> tuple[np.ndarray, np.ndarray]:
+    """Fixed random waves: the mean product of two readings' waves is about exp(-scale (x - y)^2)."""
+    random = np.random.default_rng(5)
+    return random.normal(size=WAVES), random.uniform(0, 2 * math.pi, WAVES)
 
-def segment_cost(x: np.ndarray, model: str):
-    """Cost of the segments [s, t) for an array of starts s, from cumulative sums."""
-    n = len(x)
-    if model == "rbf":
-        d = (x[:, None] - x[None, :]) ** 2
-        med = np.median(d[d > 0]) if (d > 0).any() else 1.0
-        g = np.exp(-np.clip(d / med, 1e-2, 1e2))
-        np.fill_diagonal(g, 1.0)
-        c = np.zeros((n + 1, n + 1))
-        c[1:, 1:] = g.cumsum(0).cumsum(1)
-        return lambda s, t: (t - s) - (c[t, t] - c[s, t] - c[t, s] + c[s, s]) / (t - s)
-    one, two = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
+
+def segment_cost(total: np.ndarray, n: np.ndarray, model: str) -> np.ndarray:
+    """Costs of segments of ``n`` readings with these sums."""
     if model == "l2":
-        return lambda s, t: (two[t] - two[s]) - (one[t] - one[s]) ** 2 / (t - s)
+        return total[:, 1] - total[:, 0] ** 2 / n
     if model == "poisson":
-        def cost(s, t):
-            total = one[t] - one[s]
-            return np.where(total > 0, total - total * np.log(np.maximum(total, 1e-300) / (t - s)), 0.0)
-        return cost
-    raise ValueError(f"unknown cost {model}")
+        t = total[:, 0]
+        return np.where(t > 0, t - t * np.log(np.maximum(t, 1e-300) / n), 0.0)
+    return n - (total ** 2).sum(axis=1) / n
+
+
+class Pelt:
+    """Optimal partitioning with pruning, reading by reading.
+
+    Kept are the candidates for the start of the last segment: where they are, the best cost up to
+    there, and the running sums. A candidate that is beaten at t is out for every
+    end at which a segment may begin at t, that is from t + ``min_size`` on; it goes only
+    then, so the result is the optimum. Each reading gives the start of the best last segment, and its number.
+    Without changes few candidates are beaten, and their number grows with the series.
+    """
+
+    def __init__(self, model: str, penalty: float, min_size: int):
+        self.model, self.penalty, self.size = model, penalty, max(min_size, 1)
+        self.t, self.run = 0, None
+
+    def __call__(self, x: np.ndarray, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        model, size = self.model, self.size
+        if self.run is None:
+            self.first = float(x[0]) if model == "l2" else 0.0  # costs do not depend on it, rounding does
+            self.scale = 1.0 if scale is None else float(scale[0])
+            self.run = np.zeros(sums_of(np.zeros(1), model).shape[1])
+            self.at, self.best, self.sums = np.zeros(1, np.int64), np.array([-self.penalty]), self.run[None, :].copy()
+            self.beaten = np.full(1, np.iinfo(np.int64).max)
+            self.waiting: list = []  # of the last min_size readings
+        cuts = np.zeros(len(x), np.int64)
+        for k, row in enumerate(sums_of(x - self.first, model, self.scale)):
+            self.run = self.run + row
+            self.t += 1
+            t = self.t
+            if len(self.waiting) == size:
+                start, best, sums = self.waiting.pop(0)
+                if start >= size:
+                    out = self.beaten > start  # those beaten at or before this start are out now
+                    self.at, self.best, self.sums, self.beaten = (np.append(self.at[out], start), np.append(self.best[out], best),
+                                                                  np.vstack([self.sums[out], sums]), np.append(self.beaten[out], np.iinfo(np.int64).max))
+            best = math.inf
+            if t >= size:
+                reach = self.best + segment_cost(self.run - self.sums, t - self.at, model)
+                i = int(np.argmin(reach))
+                best, cuts[k] = reach[i] + self.penalty, self.at[i]
+                self.beaten[(reach > best) & (self.beaten > t)] = t
+            self.waiting.append((t, best, self.run))
+        return cuts, np.arange(self.t - len(x) + 1, self.t + 1)
+
+
+class Breaks:
+    """Follows the starts of last segments from the end of a series back; gives whether a row opens a segment."""
+
+    def __init__(self):
+        self.next = None
+
+    def __call__(self, number: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray]:
+        flag = np.zeros(len(number), bool)
+        if self.next is None:
+            self.next = int(cut[0])
+        top = int(number[0])  # rows come with falling numbers, from 1
+        while self.next > 0 and self.next >= int(number[-1]):
+            # a segment that starts after ``next`` readings opens with the reading after them
+            opener = top - (self.next + 1)
+            if 0 <= opener < len(number):
+                flag[opener] = True
+            self.next = int(cut[top - self.next])
+        # the reading after the last one of the batch
+        if 0 < self.next == int(number[-1]) - 1:
+            flag[-1] = True
+        return (flag,)
+
+
+def pelt(df: DataFrame, value: str, keys, order: str = "ts", model: str = "rbf", penalty: float = 10.0, min_size: int = 48) -> DataFrame:
+    """Rows (keys, order, value, is_break); ``is_break`` marks the first row of every new segment of the whole series.
+
+    ``model``: squared error ``l2``, ``poisson`` counts, or ``rbf``, a Gaussian kernel given by ``WAVES`` random waves, whose width is
+    the median squared difference between the percentiles of the series. Rows without a value are left out.
+    """
+    k = cols(keys)
+    base = df.where(F.col(value).isNotNull()).select(*k, order, F.col(value).cast("double").alias(value))
+    given = [value]
+    if model == "rbf":
+        ends = exact_quantiles(base, k, value, {f"q{i}": i / 100 for i in range(101)}, chunk=None)
+        several = F.array(*[F.pow(F.col(f"q{i}") - F.col(f"q{j}"), 2) for i in range(0, 101, 5) for j in range(0, i, 5)])
+        middle = F.array_sort(F.filter(several, lambda d: d > 0))
+        scale = F.when(F.size(middle) > 0, 1 / F.element_at(middle, ((F.size(middle) + 1) / 2).cast("int"))).otherwise(F.lit(1.0))
+        base, given = match(base, ends.select(*k, scale.alias("_scale")), k), [value, "_scale"]
+    found = checkpoint(carried(base, k, order, given, "_cut long, _number long", lambda: Pelt(model, penalty, min_size)).select(*k, order, value, "_cut", "_number"))
+    return carried(found, k, order, ["_number", "_cut"], "is_break boolean", Breaks, back=True).select(*k, order, value, "is_break")
 
 
-def pelt_breaks(x: np.ndarray, model: str, penalty: float, min_size: int) -> list[int]:
-    """Optimal breakpoints (first index of each new segment) by pruned dynamic programming."""
-    n, cost = len(x), segment_cost(x, model)
-    best, cut, live = np.full(n + 1, np.inf), np.zeros(n + 1, dtype=int), np.array([0])
-    best[0] = -penalty
-    for t in range(min_size, n + 1):
-        start = t - min_size
-        if start >= min_size:
-            live = np.append(live, start)
-        reach = best[live] + cost(live, t)
-        i = int(np.argmin(reach))
-        best[t], cut[t] = reach[i] + penalty, live[i]
-        live = live[reach <= best[t]]
-    out, t = [], n
-    while t > 0 and cut[t] > 0:
-        t = cut[t]
-        out.append(int(t))
-    return out[::-1]
-
-
-def pelt(df: DataFrame, value: str, keys, chunk: Column, order: str = "ts", model: str = "rbf", penalty: float = 10.0,
-         min_size: int = 48) -> DataFrame:
-    """Rows with ``is_break`` marking the first row of every new segment."""
-    def mark(x):
-        flag = np.zeros(len(x), dtype=bool)
-        if len(x) >= 2 * min_size:
-            flag[pelt_breaks(x, model, penalty, min_size)] = True
-        return flag
-
-    return _grouped(df, keys, chunk, order, value, "is_break", "boolean", mark)
-
-
-def run_length_posterior(x: np.ndarray, lam: float) -> np.ndarray:
-    """P(a new run starts at t | data up to t) under a Normal-Gamma(0, 1, 1, 1) prior and hazard 1 / lam."""
-    mu, kappa, alpha, beta = (np.array([v]) for v in (0.0, 1.0, 1.0, 1.0))
-    mass, hazard, out = np.array([1.0]), 1.0 / lam, np.empty(len(x))
-    # alpha grows by one half per reading, so its gamma ratio depends on the run length alone
-    ratio = np.array([math.lgamma(1.5 + r / 2) - math.lgamma(1 + r / 2) for r in range(len(x) + 1)])
-    for t, v in enumerate(x):
-        scale = beta * (kappa + 1) / (alpha * kappa)
-        z = (v - mu) ** 2 / (2 * alpha * scale)
-        like = np.exp(ratio[:len(mass)] - 0.5 * np.log(2 * np.pi * alpha * scale) - (alpha + 0.5) * np.log1p(z))
-        # index 0 holds the prior: v as first value of a new run
-        new = mass * like * np.where(np.arange(len(mass)) == 0, 1.0, 1.0 - hazard) if t else mass * like
-        new = new / new.sum()
-        out[t] = new[0] if t else 1.0
-        post = lambda p, q: np.concatenate([[p], q])
-        mu, kappa, alpha, beta = (post(0.0, (kappa * mu + v) / (kappa + 1)), post(1.0, kappa + 1), post(1.0, alpha + 0.5),
-                                  post(1.0, beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1))))
-        mass = np.concatenate([[hazard], new])
-    return out
-
-
-def bocpd(df: DataFrame, value: str, keys, chunk: Column, lam: float = 200.0, order: str = "ts") -> DataFrame:
-    """Online changepoint probability per row; the first row of a chunk carries no information (0)."""
-    def prob(x):
-        p = run_length_posterior(x, lam)
-        p[:1] = 0.0
-        return p
-
-    return _grouped(df, keys, chunk, order, value, "cp_prob", "double", prob)
-
-
-def viterbi_states(obs: np.ndarray, states: int, symbols: int, iterations: int = 20) -> np.ndarray:
-    """Baum-Welch from a fixed start, then the most likely state path."""
+@cache
+def gamma_ratios(n: int) -> np.ndarray:
+    """ln Gamma(1.5 + r / 2) - ln Gamma(1 + r / 2) for run lengths r."""
+    return np.array([math.lgamma(1.5 + r / 2) - math.lgamma(1 + r / 2) for r in range(n)])
+
+
+def gamma_ratio(run: np.ndarray) -> np.ndarray:
+    """The same for any run length, by its asymptotic series for long ones."""
+    a = np.maximum(1 + run / 2, 500.0)
+    return np.where(run < 1000, gamma_ratios(1000)[np.minimum(run, 999)], 0.5 * np.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3))
+
+
+class RunLengths:
+    """P(a new run starts at t | data up to t) under a Normal-Gamma(0, 1, 1, 1) prior and hazard 1 / lam.
+
+    Run lengths whose probability falls below ``tolerance`` are dropped and the others carried on, so the
+    state stays as long as the plausible runs. The first reading of a series carries no information (0).
+    """
+
+    def __init__(self, lam: float, tolerance: float):
+        self.hazard, self.tolerance, self.started = 1.0 / lam, tolerance, False
+
+    def __call__(self, x: np.ndarray) -> tuple[np.ndarray]:
+        if not self.started:
+            self.run = np.zeros(1, np.int64)
+            self.mu, self.kappa, self.alpha, self.beta = (np.array([v]) for v in (0.0, 1.0, 1.0, 1.0))
+            self.mass = np.array([1.0])
+        out = np.empty(len(x))
+        for k, v in enumerate(x):
+            run, mu, kappa, alpha, beta = self.run, self.mu, self.kappa, self.alpha, self.beta
+            scale = beta * (kappa + 1) / (alpha * kappa)
+            z = (v - mu) ** 2 / (2 * alpha * scale)
+            like = np.exp(gamma_ratio(run) - 0.5 * np.log(2 * np.pi * alpha * scale) - (alpha + 0.5) * np.log1p(z))
+            # run length 0 is the prior: v as the first value of a new run
+            new = self.mass * like * np.where(run == 0, 1.0, 1.0 - self.hazard) if self.started else self.mass * like
+            new = new / new.sum()
+            out[k] = new[0] if self.started else 0.0
+            kept = new >= self.tolerance
+            post = lambda p, q: np.concatenate([[p], q[kept]])
+            self.run = post(0, run + 1)
+            self.mu, self.kappa = post(0.0, (kappa * mu + v) / (kappa + 1)), post(1.0, kappa + 1)
+            self.alpha, self.beta = post(1.0, alpha + 0.5), post(1.0, beta + kappa * (v - mu) ** 2 / (2 * (kappa + 1)))
+            self.mass = post(self.hazard, new)
+            self.started = True
+        return (out,)
+
+
+def bocpd(df: DataFrame, value: str, keys, lam: float = 200.0, order: str = "ts", tolerance: float = 1e-12) -> DataFrame:
+    """Rows (keys, order, value, cp_prob): online changepoint probability over the whole series. Rows without a value are left out."""
+    k = cols(keys)
+    base = df.where(F.col(value).isNotNull()).select(*k, order, F.col(value).cast("double").alias(value))
+    return carried(base, k, order, [value], "cp_prob double", lambda: RunLengths(lam, tolerance))
+
+
+# ------------------------------------------------------------------ hidden states
+
+
+@cache
+def start_parameters(states: int, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions that mostly stay, emissions centred on equal parts of the symbols, equal first states."""
     a = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(a, 0.9 if states > 1 else 1.0)
     centre = (np.arange(states) + 0.5) * symbols / states
     b = np.exp(-np.abs(np.arange(symbols)[None, :] + 0.5 - centre[:, None])) + 1e-3
-    b, pi, n = b / b.sum(1, keepdims=True), np.full(states, 1 / states), len(obs)
-    onehot = np.eye(symbols)[obs]
+    return a, b / b.sum(1, keepdims=True), np.full(states, 1 / states)
+
+
+def hmm_chunks(df: DataFrame, symbol: str, keys, order: str = "ts", size: int = 4096, chunk="1 day") -> DataFrame:
+    """Rows (keys, part, times, symbols): each series cut into numbered parts of ``size`` symbols, one byte each. Rows without a symbol are left out."""
+    k = cols(keys)
+    numbered = scan(df.where(F.col(symbol).isNotNull()).select(*k, order, F.col(symbol).cast("int").alias(symbol)), k, order, {"_no": running_count()}, chunk=chunk)
+    row = F.struct(F.col("_no").alias("n"), F.col(order).alias("t"), F.col(symbol).alias("s"))
+    parts = numbered.groupBy(*k, floor_div(F.col("_no") - 1, size).alias("part")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    symbols = F.unhex(F.array_join(F.transform("r", lambda r: F.lpad(F.hex(r["s"].cast("long")), 2, "0")), ""))
+    return checkpoint(parts.select(*k, "part", F.transform("r", lambda r: r["t"]).alias("times"), symbols.alias("symbols")))
+
+
+def _parts(batch, states: int):
+    """Symbols of the parts of a batch side by side, which of them are there, and their parameters."""
+    raw = [np.frombuffer(s, np.uint8) for s in batch.column("symbols").to_pylist()]
+    size = np.array([len(r) for r in raw])
+    seen = np.zeros((len(raw), size.max()), np.int64)
+    for row, r in zip(seen, raw):
+        row[:len(r)] = r
+    a, b, pi = (np.array(batch.column(c).to_pylist(), float) for c in ("a", "b", "pi"))
+    first = batch.column("part").to_numpy() == 0
+    a = a.reshape(len(raw), states, states)
+    # the step into the first symbol of a series is no transition
+    into = np.where(first[:, None, None], np.eye(states), a)
+    return seen, size, a, b.reshape(len(raw), states, -1), pi, into
+
+
+def _over_parts(df: DataFrame, keys, fields: str, states: int, fn) -> DataFrame:
+    """Append to (keys, part) what ``fn`` makes of the parts of a batch, a dict of one list per field."""
+    k = cols(keys)
+    schema = StructType([*(df.schema[c] for c in [*k, "part"]), *StructType.fromDDL(fields)])
+
+    def run(batches):
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            if batch.num_rows:
+                made = fn(batch, states)
+                columns = [*(batch.column(c) for c in [*k, "part"]), *(pa.array(made[f.name], f.type) for f in list(out)[len(k) + 1:])]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
+
+    return df.mapInArrow(run, schema)
+
+
+def _transfer(batch, states: int) -> dict:
+    """The product of the steps of each part, scaled to a sum of one."""
+    seen, size, a, b, pi, into = _parts(batch, states)
+    rows = np.arange(len(size))
+    m = into * b[rows, :, seen[:, 0]][:, None, :]
+    for t in range(1, seen.shape[1]):
+        m = np.where((t < size)[:, None, None], np.matmul(m, a) * b[rows, :, seen[:, t]][:, None, :], m)
+        m = m / m.sum(axis=(1, 2), keepdims=True)
+    return {"m": m.reshape(len(m), -1).tolist(), "pi": pi.tolist()}
+
+
+class Forward:
+    """Probabilities of the states before each part, given all symbols before it."""
+
+    def __init__(self):
+        self.alpha = None
+
+    def __call__(self, m: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray]:
+        out = np.empty(len(m), object)
+        for k, (x, p) in enumerate(zip(m, pi)):
+            self.alpha = np.asarray(p) if self.alpha is None else self.alpha
+            out[k] = self.alpha.tolist()
+            self.alpha = self.alpha @ np.asarray(x).reshape(len(p), -1)
+            self.alpha = self.alpha / self.alpha.sum()
+        return (out,)
+
+
+class Backward:
+    """How likely the symbols after each part are from each state."""
+
+    def __init__(self):
+        self.beta = None
+
+    def __call__(self, m: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray]:
+        out = np.empty(len(m), object)
+        for k, (x, p) in enumerate(zip(m, pi)):
+            self.beta = np.ones(len(p)) if self.beta is None else self.beta
+            out[k] = self.beta.tolist()
+            self.beta = np.asarray(x).reshape(len(p), -1) @ self.beta
+            self.beta = self.beta / self.beta.sum()
+        return (out,)
+
+
+def _counts(batch, states: int) -> dict:
+    """Expected transitions, emissions and first states of each part."""
+    seen, size, a, b, pi, into = _parts(batch, states)
+    alpha, beta = (np.array(batch.column(c).to_pylist(), float) for c in ("alpha", "beta"))
+    rows, n, symbols = np.arange(len(size)), seen.shape[1], b.shape[2]
+    fwd = np.empty((n, len(rows), states))
+    now = alpha
+    for t in range(n):
+        now = np.einsum("ci,cij->cj", now, into if t == 0 else a) * b[rows, :, seen[:, t]]
+        now = now / now.sum(axis=1, keepdims=True)
+        fwd[t] = now
+    steps, emitted, first = np.zeros((len(rows), states, states)), np.zeros((len(rows), states, symbols)), np.zeros((len(rows), states))
+    begins = batch.column("part").to_numpy() == 0
+    back = beta
+    for t in range(n - 1, -1, -1):
+        there = (t < size)[:, None]
+        gamma = fwd[t] * back
+        gamma = np.where(there, gamma / gamma.sum(axis=1, keepdims=True), 0.0)
+        emitted[rows, :, seen[:, t]] += gamma
+        ahead = b[rows, :, seen[:, t]] * back
+        if t == 0:
+            first += np.where(begins[:, None], gamma, 0.0)
+        before = fwd[t - 1] if t else alpha
+        step = before[:, :, None] * a * ahead[:, None, :]
+        step = step / step.sum(axis=(1, 2), keepdims=True)
+        steps += np.where(there[:, :, None] & ((t > 0) | ~begins)[:, None, None], step, 0.0)
+        into_now = np.einsum("cij,cj->ci", a, ahead)
+        back = np.where(there, into_now / into_now.sum(axis=1, keepdims=True), back)
+    return {"steps": steps.reshape(len(rows), -1).tolist(), "emitted": emitted.reshape(len(rows), -1).tolist(), "first": first.tolist()}
+
+
+def hmm_fit(parts: DataFrame, keys, states: int, symbols: int, iterations: int = 20, start=None) -> DataFrame:
+    """One row per key with the transitions ``a``, emissions ``b`` (row by row) and first states ``pi``, by Baum-Welch over whole series.
+
+    Each iteration multiplies the steps of every part to one matrix, chains these small matrices along a
+    series from both ends, counts within the parts, and adds the counts up per key.
+    """
+    k = cols(keys)
+    given = dict(zip(("a", "b", "pi"), start or start_parameters(states, symbols)))
+    params = parts.select(*k).distinct().select(*k, *[F.array(*[F.lit(float(x)) for x in np.ravel(v)]).alias(n) for n, v in given.items()])
+
+    def shares(x: Column, width: int, extra: float) -> Column:
+        total = [sum((x[i * width + j] for j in range(1, width)), x[i * width]) + width * extra for i in range(states)]
+        return F.array(*[(x[i * width + j] + extra) / total[i] for i in range(states) for j in range(width)])
+
     for _ in range(iterations):
-        e, fwd, bwd, c = b[:, obs].T, np.empty((n, states)), np.ones((n, states)), np.empty(n)
-        for t in range(n):
-            fwd[t] = (pi if t == 0 else fwd[t - 1] @ a) * e[t]
-            c[t] = fwd[t].sum()
-            fwd[t] /= c[t]
-        for t in range(n - 2, -1, -1):
-            bwd[t] = a @ (e[t + 1] * bwd[t + 1]) / c[t + 1]
-        gamma = fwd * bwd
-        gamma /= gamma.sum(1, keepdims=True)
-        xi = a * (fwd[:-1].T @ (e[1:] * bwd[1:] / c[1:, None]))
-        a = (xi + 1e-9) / (xi + 1e-9).sum(1, keepdims=True)
-        b = (gamma.T @ onehot) + 1e-6
-        b, pi = b / b.sum(1, keepdims=True), gamma[0]
-    score, back = np.log(pi + 1e-300) + np.log(b[:, obs[0]]), np.zeros((n, states), dtype=int)
+        whole = match(parts.select(*k, "part", "symbols"), params, k)
+        chained = _over_parts(whole, k, "m array<double>, pi array<double>", states, _transfer)
+        alpha = carried(chained, k, "part", ["m", "pi"], "alpha array<double>", Forward).select(*k, "part", "alpha")
+        beta = carried(chained, k, "part", ["m", "pi"], "beta array<double>", Backward, back=True).select(*k, "part", "beta")
+        both = match(match(whole, alpha, [*k, "part"]), beta, [*k, "part"])
+        counts = _over_parts(both, k, "steps array<double>, emitted array<double>, first array<double>", states, _counts)
+        size = {"steps": states * states, "emitted": states * symbols, "first": states}
+        sums = counts.groupBy(*k).agg(*[F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c) for c, n in size.items()])
+        params = checkpoint(sums.select(*k, shares(F.col("steps"), states, 1e-9).alias("a"), shares(F.col("emitted"), symbols, 1e-6).alias("b"), F.col("first").alias("pi")))
+    return params
+
+
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(np.maximum(x, 1e-300))
+
+
+def _best(batch, states: int) -> dict:
+    """The best log probability through each part from every state before it to every last state."""
+    seen, size, a, b, pi, into = _parts(batch, states)
+    rows = np.arange(len(size))
+    step, emit = _log(a), _log(b)
+    m = _log(into) + emit[rows, :, seen[:, 0]][:, None, :]
+    for t in range(1, seen.shape[1]):
+        on = (m[:, :, :, None] + step[:, None]).max(axis=2) + emit[rows, :, seen[:, t]][:, None, :]
+        m = np.where((t < size)[:, None, None], on, m)
+    return {"m": m.reshape(len(m), -1).tolist(), "pi": _log(pi).tolist()}
+
+
+class BestSoFar:
+    """The best log probability of every state before each part."""
+
+    def __init__(self):
+        self.score = None
+
+    def __call__(self, m: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray]:
+        out = np.empty(len(m), object)
+        for k, (x, p) in enumerate(zip(m, pi)):
+            self.score = np.asarray(p) if self.score is None else self.score
+            out[k] = self.score.tolist()
+            self.score = (self.score[:, None] + np.asarray(x).reshape(len(p), -1)).max(axis=0)
+            self.score = self.score - self.score.max()
+        return (out,)
+
+
+class LastState:
+    """The state at the end of each part on the best path, and before it, from the end of a series back."""
+
+    def __init__(self):
+        self.state = None
+
+    def __call__(self, m: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        out, before = np.empty(len(m), np.int64), np.empty(len(m), np.int64)
+        for k, (x, s) in enumerate(zip(m, score)):
+            through = np.asarray(s)[:, None] + np.asarray(x).reshape(len(s), -1)
+            out[k] = int(through.max(axis=0).argmax()) if self.state is None else self.state
+            before[k] = self.state = int(through[:, out[k]].argmax())
+        return out, before
+
+
+def _decoded(batch, states: int) -> dict:
+    """The best path through each part between the states before it and at its end."""
+    seen, size, a, b, pi, into = _parts(batch, states)
+    last, before = (batch.column(c).to_numpy() for c in ("last", "before"))
+    rows, n = np.arange(len(size)), seen.shape[1]
+    step, emit, begins = _log(a), _log(b), batch.column("part").to_numpy() == 0
+    from_before = np.where(begins[:, None], _log(pi), step[rows, before])
+    score = from_before + emit[rows, :, seen[:, 0]]
+    came = np.zeros((n, len(rows), states), np.int8)
     for t in range(1, n):
-        step = score[:, None] + np.log(a)
-        back[t] = step.argmax(0)
-        score = step.max(0) + np.log(b[:, obs[t]])
-    path = np.empty(n, dtype=int)
-    path[-1] = int(score.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def hmm_states(df: DataFrame, symbol: str, keys, chunk: Column, states: int, symbols: int, order: str = "ts") -> DataFrame:
-    """Hidden state per row of a quantised series, decoded per (key, chunk)."""
-    return _grouped(df, keys, chunk, order, symbol, "state", "int", lambda x: viterbi_states(x.astype(int), states, symbols).astype("int32"))
+        on = score[:, :, None] + step
+        came[t] = on.argmax(axis=1)
+        score = np.where((t < size)[:, None], on.max(axis=1) + emit[rows, :, seen[:, t]], score)
+    path, now = np.zeros((len(rows), n), np.int64), last.copy()
+    for t in range(n - 1, -1, -1):
+        here = t < size
+        path[here, t] = now[here]
+        if t:
+            now = np.where(here, came[t, rows, now], now)
+    return {"path": [p[:s].tolist() for p, s in zip(path, size)]}
+
+
+def hmm_path(parts: DataFrame, params: DataFrame, keys, states: int, symbol: str = "symbol", order: str = "ts") -> DataFrame:
+    """Rows (keys, order, symbol, state): the most likely states over whole series, of equal ones the smallest at the latest difference.
+
+    The best scores through the parts are chained forwards, the states at their ends found backwards, and each part is decoded between them.
+    """
+    k = cols(keys)
+    whole = match(parts.select(*k, "part", "symbols"), params.select(*k, "a", "b", "pi"), k)
+    chained = _over_parts(whole, k, "m array<double>, pi array<double>", states, _best)
+    scored = carried(chained, k, "part", ["m", "pi"], "score array<double>", BestSoFar)
+    ends = carried(scored, k, "part", ["m", "score"], "last long, before long", LastState, back=True).select(*k, "part", "last", "before")
+    paths = _over_parts(match(whole, ends, [*k, "part"]), k, "path array<int>", states, _decoded)
+    rows = match(parts, paths, [*k, "part"])
+    codes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.conv(F.hex(F.substring(F.col("symbols"), i, F.lit(1))), 16, 10).cast("int"))
+    return (rows.select(*k, F.explode(F.arrays_zip(F.col("times").alias("t"), codes.alias("s"), F.col("path").alias("p"))).alias("r"))
+            .select(*k, F.col("r.t").alias(order), F.col("r.s").alias(symbol), F.col("r.p").alias("state")))
+
+
+def hmm_states(df: DataFrame, symbol: str, keys, states: int, symbols: int, order: str = "ts", iterations: int = 20, size: int = 4096, chunk="1 day") -> DataFrame:
+    """Hidden state per row of a quantised series (symbols 0 to ``symbols`` - 1), fitted and decoded once per key. ``chunk`` as in ``scan``."""
+    parts = hmm_chunks(df, symbol, keys, order, size, chunk)
+    return hmm_path(parts, hmm_fit(parts, keys, states, symbols, iterations), keys, states, symbol, order)
+
+
+# ------------------------------------------------------------------------ parsing
 
 
 def lz_phrases(bits: str) -> int:

@@ -11,6 +11,7 @@ from ...operators import features as ft
 from ...operators import segment as sg
 from ...operators import spectral as spx
 from ..registry import query
+from .grid import DENSE
 
 HALF = "182 days"
 WIN = "PARTITION BY entity ORDER BY ts"
@@ -279,33 +280,139 @@ def hourly_by_signal(v):
     return og.ffill(dense(v), "value", "signal", chunk=None)
 
 
-@query("E-06", "changepoint_pelt_l2", views="grid")
+FILLED = f"""{DENSE},
+filled AS (SELECT signal, ts, last_value(value IGNORE NULLS) OVER (PARTITION BY signal ORDER BY ts ROWS UNBOUNDED PRECEDING) AS value FROM dense)"""
+
+
+def optimal_partition(rows: str, key: str, value: str, cost: str, penalty: float, size: int) -> str:
+    """Dynamic programming over all starts of the last segment, ``cost`` from s to e with sums one[] and two[] up to a reading."""
+    reach = f"CASE WHEN (s = 0 OR s >= {size}) AND r.t + 1 - s >= {size} THEN r.best[s + 1] + {cost} ELSE 'inf'::DOUBLE END"
+    return f"""x AS (SELECT {key}, ts, {value} AS value, row_number() OVER w - 1 AS i, sum({value}) OVER w AS s1, sum({value} * {value}) OVER w AS s2 FROM {rows} WINDOW w AS (PARTITION BY {key} ORDER BY ts)),
+    c AS MATERIALIZED (SELECT {key}, list_concat([0.0::DOUBLE], list(s1::DOUBLE ORDER BY i)) AS one, list_concat([0.0::DOUBLE], list(s2::DOUBLE ORDER BY i)) AS two FROM x GROUP BY {key}),
+    r AS (SELECT {key}, 0 AS t, [-{penalty}::DOUBLE] AS best, [0::BIGINT] AS cut FROM c
+        UNION ALL SELECT {key}, t, list_append(best, list_min(reach) + {penalty}), list_append(cut, list_position(reach, list_min(reach)) - 1) FROM (
+            SELECT c.{key}, r.t + 1 AS t, r.best, r.cut, list_transform(range(0, r.t + 1), lambda s: {reach}) AS reach FROM r JOIN c ON c.{key} = r.{key} AND r.t < len(c.one) - 1)),
+    e AS (SELECT r.{key}, r.cut FROM c JOIN r ON c.{key} = r.{key} AND r.t = len(c.one) - 1),
+    b AS (SELECT {key}, cut[len(cut)] AS i FROM e UNION ALL SELECT e.{key}, e.cut[b.i + 1] FROM b JOIN e ON e.{key} = b.{key} AND b.i > 0),
+    m AS (SELECT x.{key}, x.ts, x.value, b.i IS NOT NULL AS is_break FROM x LEFT JOIN b ON b.{key} = x.{key} AND b.i = x.i AND b.i > 0)
+    SELECT {key}, ts, value AS {value}, is_break, sum(is_break::INT) OVER (PARTITION BY {key} ORDER BY ts) AS era_id FROM m"""
+
+
+@query("E-06", "changepoint_pelt_l2", views="grid", r="value", i="era_id",
+       sql=f"WITH {FILLED}, " + optimal_partition("filled", "signal", "value", "c.two[r.t + 2] - c.two[s + 1] - (c.one[r.t + 2] - c.one[s + 1]) ** 2 / (r.t + 1 - s)", 200.0, 24))
 def _(v):
-    d = ch.pelt(hourly_by_signal(v), "value", "signal", cal.trunc("month", "ts"), model="l2", penalty=200.0, min_size=24)
-    return sg.apply_breaks(d.drop("_part"), "is_break", "signal", chunk=None)
+    d = ch.pelt(hourly_by_signal(v), "value", "signal", model="l2", penalty=200.0, min_size=24)
+    return sg.apply_breaks(d, "is_break", "signal", chunk=None)
 
 
 @query("E-06", "changepoint_pelt_rbf", views="grid")
 def _(v):
-    d = ch.pelt(hourly_by_signal(v), "value", "signal", cal.trunc("month", "ts"), model="rbf", penalty=10.0, min_size=48)
-    return sg.apply_breaks(d.drop("_part"), "is_break", "signal", chunk=None)
+    d = ch.pelt(hourly_by_signal(v), "value", "signal", model="rbf", penalty=10.0, min_size=48)
+    return sg.apply_breaks(d, "is_break", "signal", chunk=None)
+
+
+SEGMENT_SUM = "(c.one[r.t + 2] - c.one[s + 1])"
 
 
-@query("E-06,E-13", "changepoint_pelt_poisson", views="climate")
+@query("E-06,E-13", "changepoint_pelt_poisson", views="climate", r="n", i="era_id",
+       sql="WITH " + optimal_partition("(SELECT entity, ts, n::DOUBLE AS n FROM climate)", "entity", "n",
+                                       f"CASE WHEN {SEGMENT_SUM} > 0 THEN {SEGMENT_SUM} - {SEGMENT_SUM} * ln({SEGMENT_SUM} / (r.t + 1 - s)) ELSE 0 END", 5.0, 7))
 def _(v):
     daily = v.climate.select("entity", "ts", F.col("n").cast("double").alias("n"))
-    d = ch.pelt(daily, "n", "entity", F.year("ts"), model="poisson", penalty=5.0, min_size=7)
-    return sg.apply_breaks(d.drop("_part"), "is_break", "entity", chunk=None)
+    d = ch.pelt(daily, "n", "entity", model="poisson", penalty=5.0, min_size=7)
+    return sg.apply_breaks(d, "is_break", "entity", chunk=None)
+
+
+# every run length is kept: mass, and mean, strength, shape and rate of the Normal-Gamma
+RUNS = """o AS MATERIALIZED (SELECT signal, ts, value, row_number() OVER (PARTITION BY signal ORDER BY ts) AS n FROM filled),
+    r AS (SELECT signal, 0::BIGINT AS n, 0.0::DOUBLE AS cp_prob, [{'m': 1.0::DOUBLE, 'mu': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1.0::DOUBLE}] AS s FROM o WHERE n = 1
+        UNION ALL SELECT signal, n, CASE WHEN n > 1 THEN w[1] / list_sum(w) ELSE 0.0 END,
+            list_concat([{'m': 0.01::DOUBLE, 'mu': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1.0::DOUBLE}],
+                list_transform(s, lambda q, i: {'m': w[i] / list_sum(w), 'mu': (q.k * q.mu + v) / (q.k + 1), 'k': q.k + 1, 'a': q.a + 0.5, 'b': q.b + q.k * (v - q.mu) ** 2 / (2 * (q.k + 1))}))
+        FROM (SELECT o.signal, o.n, o.value AS v, r.s, list_transform(r.s, lambda q, i: q.m * CASE WHEN i = 1 THEN 1.0 ELSE 0.99 END
+                * exp(lgamma(q.a + 0.5) - lgamma(q.a) - 0.5 * ln(2 * pi() * q.b * (q.k + 1) / q.k) - (q.a + 0.5) * ln(1 + (o.value - q.mu) ** 2 / (2 * q.b * (q.k + 1) / q.k)))) AS w
+              FROM r JOIN o ON o.signal = r.signal AND o.n = r.n + 1))
+    SELECT o.signal, o.ts, o.value, r.cp_prob, sum((r.cp_prob > 0.5)::INT) OVER (PARTITION BY o.signal ORDER BY o.ts) AS era_id FROM o JOIN r USING (signal, n)"""
+
+
+@query("E-07,E-10", "changepoint_bocpd", views="grid", r="value cp_prob", i="era_id", sql=f"WITH {FILLED}, {RUNS}")
+def _(v):
+    d = ch.bocpd(hourly_by_signal(v), "value", "signal", lam=100.0)
+    return sg.apply_breaks(d, F.col("cp_prob") > 0.5, "signal", chunk=None)
+
+
+STATES, SYMBOLS = 3, 4
+GIVEN = ([[0.92, 0.05, 0.03], [0.06, 0.87, 0.07], [0.02, 0.09, 0.89]], [[0.55, 0.25, 0.13, 0.07], [0.17, 0.41, 0.31, 0.11], [0.05, 0.19, 0.29, 0.47]], [0.5, 0.3, 0.2])
+
+SEEN = f"""{FILLED},
+o AS MATERIALIZED (SELECT signal, ts, row_number() OVER (PARTITION BY signal ORDER BY ts) AS n, CASE WHEN hi - lo < 1e-9 THEN 0 ELSE round((value - lo) / (hi - lo) * 3)::INT END AS symbol
+      FROM filled JOIN (SELECT signal, min(value) AS lo, max(value) AS hi FROM filled GROUP BY signal) USING (signal))"""
+
+
+def best_path(a, b, pi) -> str:
+    """The most likely states with given parameters, step by step."""
+    emit = lambda j: f"ln([{', '.join(map(str, b[j]))}][o.symbol + 1]::DOUBLE)"
+    into = lambda j: "[" + ", ".join(f"r.score[{i + 1}] + ln({a[i][j]}::DOUBLE)" for i in range(STATES)) + "]"
+    js = range(STATES)
+    return f"""r AS (SELECT signal, n, [{', '.join(f"ln({pi[j]}::DOUBLE) + {emit(j)}" for j in js)}] AS score, [0::BIGINT, 0, 0] AS came FROM o WHERE n = 1
+        UNION ALL SELECT o.signal, o.n, [{', '.join(f"list_max({into(j)}) + {emit(j)}" for j in js)}], [{', '.join(f"list_position({into(j)}, list_max({into(j)}))" for j in js)}]
+        FROM r JOIN o ON o.signal = r.signal AND o.n = r.n + 1),
+    p AS (SELECT signal, n, came, list_position(score, list_max(score)) AS state FROM (SELECT *, max(n) OVER (PARTITION BY signal) AS last FROM r) WHERE n = last
+        UNION ALL SELECT r.signal, r.n, r.came, p.came[p.state] FROM p JOIN r ON r.signal = p.signal AND r.n = p.n - 1)
+    SELECT o.signal, o.ts, o.symbol, p.state - 1 AS state FROM o JOIN p USING (signal, n)"""
+
+
+def one_fit(k: int) -> str:
+    """Iteration ``k``: forward and backward probabilities of all readings with the parameters of the one before, and the new parameters."""
+    i_s, j_s = range(STATES), range(SYMBOLS)
+    was = f"p{k - 1}"
+    emit = lambda j, o: f"p.b[{j * SYMBOLS + 1} + {o}.symbol]"
+    even = lambda x: f"list_transform({x}, lambda u: u / list_sum({x}))"
+    gamma = lambda i: f"f.x[{i + 1}] * g.x[{i + 1}]"
+    step = lambda i, j: f"e.x[{i + 1}] * p.a[{i * STATES + j + 1}] * {emit(j, 'o')} * g.x[{j + 1}]"
+    steps = [step(i, j) for i in i_s for j in i_s]
+    return f"""f{k} AS (SELECT signal, n, {even('y')} AS x FROM (SELECT o.signal, o.n, [{', '.join(f"p.pi[{j + 1}] * {emit(j, 'o')}" for j in i_s)}] AS y FROM o JOIN {was} p USING (signal) WHERE o.n = 1)
+        UNION ALL SELECT signal, n, {even('y')} FROM (SELECT o.signal, o.n, [{', '.join('(' + ' + '.join(f"r.x[{i + 1}] * p.a[{i * STATES + j + 1}]" for i in i_s) + f") * {emit(j, 'o')}" for j in i_s)}] AS y
+            FROM f{k} r JOIN o ON o.signal = r.signal AND o.n = r.n + 1 JOIN {was} p ON p.signal = r.signal)),
+    g{k} AS (SELECT signal, max(n) AS n, [1.0::DOUBLE, 1.0, 1.0] AS x FROM o GROUP BY signal
+        UNION ALL SELECT signal, n, {even('y')} FROM (SELECT o.signal, o.n - 1 AS n, [{', '.join(' + '.join(f"p.a[{i * STATES + j + 1}] * {emit(j, 'o')} * r.x[{j + 1}]" for j in i_s) for i in i_s)}] AS y
+            FROM g{k} r JOIN o ON o.signal = r.signal AND o.n = r.n JOIN {was} p ON p.signal = r.signal WHERE o.n > 1)),
+    m{k} AS (SELECT signal, n, symbol, {even('y')} AS y FROM (SELECT o.signal, o.n, o.symbol, [{', '.join(gamma(i) for i in i_s)}] AS y FROM o JOIN f{k} f USING (signal, n) JOIN g{k} g USING (signal, n))),
+    t{k} AS (SELECT signal, {even('y')} AS y FROM (SELECT o.signal, [{', '.join(steps)}] AS y FROM o JOIN f{k} e ON e.signal = o.signal AND e.n = o.n - 1 JOIN g{k} g ON g.signal = o.signal AND g.n = o.n JOIN {was} p ON p.signal = o.signal)),
+    p{k} AS (SELECT signal, list_transform(a, lambda x, q: x / list_sum(a[(q - 1) // {STATES} * {STATES} + 1:(q - 1) // {STATES} * {STATES} + {STATES}])) AS a,
+            list_transform(b, lambda x, q: x / list_sum(b[(q - 1) // {SYMBOLS} * {SYMBOLS} + 1:(q - 1) // {SYMBOLS} * {SYMBOLS} + {SYMBOLS}])) AS b, pi FROM
+        (SELECT signal, [{', '.join(f"sum(y[{q + 1}]) + 1e-9" for q in range(STATES * STATES))}] AS a FROM t{k} GROUP BY signal) JOIN
+        (SELECT signal, [{', '.join(f"coalesce(sum(y[{i + 1}]) FILTER (symbol = {j}), 0) + 1e-6" for i in i_s for j in j_s)}] AS b, [{', '.join(f"sum(y[{i + 1}]) FILTER (n = 1)" for i in i_s)}] AS pi FROM m{k} GROUP BY signal) USING (signal))"""
+
+
+def listed(params) -> str:
+    return ", ".join("[" + ", ".join(f"{x}::DOUBLE" for row in p for x in (row if isinstance(row, list) else [row])) + f"] AS {n}" for p, n in zip(params, ("a", "b", "pi")))
+
+
+PARAMETERS = [("a", STATES * STATES), ("b", STATES * SYMBOLS), ("pi", STATES)]
+
+
+@query("E-09", "changepoint_hmm_fit", views="grid", r="value", i="place",
+       sql=f"WITH RECURSIVE {SEEN}, p0 AS (SELECT DISTINCT signal, {listed(GIVEN)} FROM o), {one_fit(1)}, {one_fit(2)}, p AS (SELECT * FROM p2) "
+           + " UNION ALL ".join(f"SELECT signal, '{n}' AS part, unnest(range(0, {k})) AS place, unnest({n}) AS value FROM p" for n, k in PARAMETERS))
+def _(v):
+    """Two iterations from given parameters, over parts of 100 readings."""
+    q = sg.quantize(hourly_by_signal(v), "value", SYMBOLS - 1, "signal")
+    fit = ch.hmm_fit(ch.hmm_chunks(q, "symbol", "signal", size=100, chunk=None), "signal", STATES, SYMBOLS, 2, GIVEN)
+    return fit.select("signal", F.explode(F.array(*[F.struct(F.lit(n).alias("part"), F.lit(i).alias("place"), F.col(n)[i].alias("value")) for n, k in PARAMETERS for i in range(k)])).alias("x")).select("signal", "x.*")
 
 
-@query("E-07,E-10", "changepoint_bocpd", views="grid")
+@query("E-09", "changepoint_hmm_path", views="grid", i="symbol state", sql=f"WITH {SEEN}, {best_path(*GIVEN)}")
 def _(v):
-    d = ch.bocpd(hourly_by_signal(v), "value", "signal", cal.trunc("month", "ts"), lam=100.0)
-    return sg.apply_breaks(d.drop("_part"), F.col("cp_prob") > 0.5, "signal", chunk=None)
+    """The path with given parameters, decoded in parts of 100 readings."""
+    q = sg.quantize(hourly_by_signal(v), "value", SYMBOLS - 1, "signal")
+    parts = ch.hmm_chunks(q, "symbol", "signal", size=100, chunk=None)
+    given = parts.select("signal").distinct().select("signal", *[F.array(*[F.lit(x) for row in p for x in (row if isinstance(row, list) else [row])]).alias(n) for p, n in zip(GIVEN, ("a", "b", "pi"))])
+    return ch.hmm_path(parts, given, "signal", STATES)
 
 
 @query("E-09", "changepoint_hmm", views="grid")
 def _(v):
-    q = sg.quantize(hourly_by_signal(v), "value", 3, "signal")
-    d = ch.hmm_states(q, "symbol", "signal", cal.trunc("month", "ts"), 3, 4)
-    return sg.segments_from_labels(d.drop("_part"), "state", "signal", chunk=None)
+    q = sg.quantize(hourly_by_signal(v), "value", SYMBOLS - 1, "signal")
+    d = ch.hmm_states(q, "symbol", "signal", STATES, SYMBOLS, chunk=None)
+    return sg.segments_from_labels(d, "state", "signal", chunk=None)

@@ -62,7 +62,9 @@ def _oracle(sql, views, rounded, whole, digits):
     if sql is None:
         return None
     body = sql.strip().rstrip(";")
-    recursive = " FROM r JOIN " in sql
+    recursive = " FROM r JOIN " in sql or body.startswith("WITH RECURSIVE ")
+    body = body.removeprefix("WITH RECURSIVE ") if recursive else body
+    body = f"WITH {body}" if recursive and not body.startswith("WITH ") else body
     chain = CTES(views.split())
     if chain:
         joined = ",\n".join(chain)
