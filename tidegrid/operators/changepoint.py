@@ -150,7 +150,7 @@ def gamma_ratios(n: int) -> np.ndarray:
 def gamma_ratio(run: np.ndarray) -> np.ndarray:
     """The same for any run length, by its asymptotic series for long ones."""
     a = np.maximum(1 + run / 2, 500.0)
-    return np.where(run < 1000, gamma_ratios(1000)[np.minimum(run, 999)], 0.5 * np.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3))
+    return np.where(run < 1000, gamma_ratios(1000)[np.minimum(run, 999).astype(int)], 0.5 * np.log(a) - 1 / (8 * a) + 1 / (192 * a ** 3))
 
 
 class RunLengths:
@@ -160,8 +160,14 @@ class RunLengths:
     state stays as long as the plausible runs. The first reading of a series carries no information (0).
     """
 
-    def __init__(self, lam: float, tolerance: float):
-        self.hazard, self.tolerance, self.started = 1.0 / lam, tolerance, False
+    def __init__(self, lam: float, tolerance: float, numbers=None):
+        self.hazard, self.tolerance, self.started = 1.0 / lam, tolerance, numbers is not None
+        if self.started:
+            self.run, self.mu, self.kappa, self.alpha, self.beta, self.mass = np.array(numbers, float).reshape(6, -1)
+
+    def numbers(self) -> list[float]:
+        """The state, from which another instance can go on."""
+        return np.concatenate([self.run, self.mu, self.kappa, self.alpha, self.beta, self.mass]).tolist()
 
     def __call__(self, x: np.ndarray) -> tuple[np.ndarray]:
         if not self.started:

@@ -261,6 +261,57 @@ def _(v):
     return live.run_available(d, st.scratch(v.spark)).select("event_id", "user_id", "ewma", "edges", "since")
 
 
+#: Readings that two days of further ones have made final, numbered per entity; a gap of more than three days starts anew.
+FINAL = """o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS n,
+    epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id)) > 259200000000 AS anew,
+    epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 172800000000 FROM readings) AS final FROM readings)"""
+
+
+def _two_batches(v, build):
+    """The events in two batches whose times overlap by a day, the second one after a restart of the stream."""
+    root, events = st.scratch(v.spark), v.table("events")
+    middle = events.agg(((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2).alias("m")).scalar()
+    moved = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod("event_id", F.lit(24)) * 3_600_000_000
+    for early in (True, False):
+        events.where((moved < middle) if early else ~(moved < middle)).write.mode("append").parquet(root + "/in")
+        stream = live.timed(live.read_files(v.spark, root + "/in", events.schema), "ts", "2 days")
+        with live.state_store(v.spark):
+            out = live.run_available(build(stream), root)
+    return out
+
+
+@query("S-05", "stream_smoothed_in_order", views="readings", r="ewma", i="edges since",
+       sql=f"""WITH {FINAL}, r(entity, n, y, o, e, s) AS (SELECT entity, n, value, value > 20, 0, CASE WHEN value > 20 THEN 0 ELSE 1 END FROM o WHERE n = 1
+       UNION ALL SELECT o.entity, o.n, CASE WHEN o.anew THEN o.value ELSE 0.7 * r.y + 0.3 * o.value END, o.value > 20, CASE WHEN o.anew THEN 0 ELSE r.e + ((o.value > 20) <> r.o)::INT END,
+         CASE WHEN o.value > 20 THEN 0 WHEN o.anew THEN 1 ELSE r.s + 1 END FROM r JOIN o ON o.entity = r.entity AND o.n = r.n + 1)
+       SELECT event_id, entity AS user_id, y AS ewma, e AS edges, s AS since FROM o JOIN r USING (entity, n) WHERE final""")
+def _(v):
+    return _two_batches(v, lambda d: live.smoothed_in_order(d, "value", "user_id", ["ts", "event_id"], idle="3 days")).drop("ts")
+
+
+@query("S-05,W-16", "stream_holt", views="readings", r="level trend",
+       sql=f"""WITH {FINAL}, r(entity, n, l, t) AS (SELECT entity, n, value, 0.0::DOUBLE FROM o WHERE n = 1
+       UNION ALL SELECT o.entity, o.n, 0.4 * o.value + 0.6 * (r.l + r.t), 0.3 * (0.4 * o.value + 0.6 * (r.l + r.t) - r.l) + 0.7 * r.t FROM r JOIN o ON o.entity = r.entity AND o.n = r.n + 1)
+       SELECT event_id, entity AS user_id, l AS level, t AS trend FROM o JOIN r USING (entity, n) WHERE final""")
+def _(v):
+    return _two_batches(v, lambda d: live.holt(d, "value", "user_id", ["ts", "event_id"])).drop("ts")
+
+
+PRIOR = "{'m': %s::DOUBLE, 'mu': 0.0::DOUBLE, 'k': 1.0::DOUBLE, 'a': 1.0::DOUBLE, 'b': 1.0::DOUBLE}"
+
+
+@query("S-05,E-07", "stream_bocpd", views="readings", r="cp_prob",
+       sql=f"""WITH {FINAL}, r AS (SELECT entity, 0::BIGINT AS n, 0.0::DOUBLE AS cp_prob, [{PRIOR % 1.0}] AS s FROM o WHERE n = 1
+        UNION ALL SELECT entity, n, CASE WHEN n > 1 THEN w[1] / list_sum(w) ELSE 0.0 END,
+            list_concat([{PRIOR % 0.01}], list_transform(s, lambda q, i: {{'m': w[i] / list_sum(w), 'mu': (q.k * q.mu + v) / (q.k + 1), 'k': q.k + 1, 'a': q.a + 0.5, 'b': q.b + q.k * (v - q.mu) ** 2 / (2 * (q.k + 1))}}))
+        FROM (SELECT o.entity, o.n, o.value AS v, r.s, list_transform(r.s, lambda q, i: q.m * CASE WHEN i = 1 THEN 1.0 ELSE 0.99 END
+                * exp(lgamma(q.a + 0.5) - lgamma(q.a) - 0.5 * ln(2 * pi() * q.b * (q.k + 1) / q.k) - (q.a + 0.5) * ln(1 + (o.value - q.mu) ** 2 / (2 * q.b * (q.k + 1) / q.k)))) AS w
+              FROM r JOIN o ON o.entity = r.entity AND o.n = r.n + 1))
+       SELECT event_id, entity AS user_id, cp_prob FROM o JOIN r USING (entity, n) WHERE final""")
+def _(v):
+    return _two_batches(v, lambda d: live.bocpd(d, "value", "user_id", ["ts", "event_id"], lam=100.0)).drop("ts")
+
+
 @query("S-06", "stream_dedupe", views="readings", sql="SELECT entity AS user_id, signal AS event_type, count(*) AS n FROM readings GROUP BY ALL")
 def _(v):
     d = _stream(v).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))

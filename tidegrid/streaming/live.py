@@ -1,20 +1,24 @@
 """Streaming forms of the windowed operators.
 
 Event time must be a zoned timestamp for watermarks, so every entry point casts
-it. State is bounded by the watermark (windows, sessions, duplicates, joins) or
-by one small record per key (``series_state``).
+it. State is bounded by the watermark (windows, sessions, duplicates, joins, readings
+that wait for their turn) or by one small record per key (``series_state``, ``in_order``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
-from ..frames import cols
+from ..frames import cols, micros
+from ..operators.changepoint import RunLengths
 
 
 def read_files(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.parquet", fmt: str = "parquet",
@@ -116,6 +120,147 @@ def series_state(df: DataFrame, value: str, key: str, order: Sequence[str], alph
     return df.groupBy(key).applyInPandasWithState(run, out, STATE, "append", "NoTimeout")
 
 
+class InOrder(StatefulProcessor):
+    """Holds the readings of a key until the watermark has passed them, then gives them to a recurrence in order.
+
+    ``start(numbers)`` makes the recurrence of a key from what it has kept (None at first): a call takes the next
+    readings and returns one array per result, ``numbers()`` gives what to keep. Timers wake a key when its earliest
+    reading is due. After ``idle`` milliseconds without a reading the recurrence starts anew, and a key's state goes.
+    """
+
+    def __init__(self, start, key: str, order: Sequence[str], value: str, waiting: T.StructType, made: Sequence[str], idle: int | None):
+        self.start, self.key, self.order, self.value = start, key, list(order), value
+        self.schema, self.made, self.idle = waiting, list(made), idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.schema)
+        self.kept = handle.getValueState("kept", "numbers array<double>, last long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat([pdf[self.schema.names] for pdf in rows])
+        self.waiting.appendList([tuple(r) for r in new.astype(object).itertuples(index=False)])
+        self.wake(new[self.order[0]].min())
+        return iter(())
+
+    def wake(self, ts) -> None:
+        self.handle.registerTimer(int(-(-pd.Timestamp(ts).value // 1_000_000)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.schema.names)
+        us = rows[self.order[0]].map(lambda t: pd.Timestamp(t).value // 1000).astype("int64")
+        due = us <= now * 1000
+        if due.any():
+            rest = rows[~due]
+            if len(rest):
+                self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
+                self.wake(rest[self.order[0]].min())
+            else:
+                self.waiting.clear()
+            yield self.advance(key, rows[due].assign(__us=us[due]).sort_values(["__us", *self.order[1:]], kind="stable"))
+        elif self.idle is not None and not len(rows) and self.kept.exists() and self.kept.get()[1] + self.idle * 1000 < now * 1000:
+            self.kept.clear()
+
+    def advance(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        numbers, last = self.kept.get() if self.kept.exists() else (None, None)
+        us, x = rows.pop("__us").to_numpy(), rows[self.value].to_numpy(dtype=float)
+        gap = np.diff(us, prepend=us[0] if last is None else last)
+        anew = set(np.flatnonzero(gap > self.idle * 1000).tolist()) if self.idle is not None else set()
+        cuts, parts = [*sorted(anew | {0}), len(x)], []
+        for a, b in zip(cuts, cuts[1:]):
+            step = self.start(None if a in anew else numbers)
+            parts.append(step(x[a:b]))
+        self.kept.update(([float(v) for v in step.numbers()], int(us[-1])))
+        if self.idle is not None:
+            self.handle.registerTimer(int(us[-1] // 1000 + self.idle + 2))
+        out = rows.drop(columns=self.value).reset_index(drop=True)
+        out.insert(0, self.key, key[0])
+        return out.assign(**{n: np.concatenate(c) for n, c in zip(self.made, zip(*parts))})
+
+    def close(self) -> None:
+        pass
+
+
+class Smoothed:
+    """Smoothed value, edges of the state above a threshold, and readings since the last one above it."""
+
+    def __init__(self, alpha: float, threshold: float, numbers=None):
+        self.alpha, self.threshold = alpha, threshold
+        self.now = (None, False, 0, 0) if numbers is None else (numbers[0], bool(numbers[1]), int(numbers[2]), int(numbers[3]))
+
+    def __call__(self, x):
+        rows = []
+        for v in x:
+            self.now = _advance(self.now, float(v), self.alpha, self.threshold)
+            rows.append((self.now[0], self.now[2], self.now[3]))
+        return tuple(np.array(c) for c in zip(*rows))
+
+    def numbers(self):
+        return [float(v) for v in self.now]
+
+
+class Holt:
+    """Level and trend; the first reading is the level, without trend."""
+
+    def __init__(self, alpha: float, beta: float, numbers=None):
+        self.alpha, self.beta, self.now = alpha, beta, numbers
+
+    def __call__(self, x):
+        out = np.empty((len(x), 2))
+        for k, v in enumerate(x):
+            if self.now is None:
+                self.now = (float(v), 0.0)
+            else:
+                level = self.alpha * v + (1 - self.alpha) * (self.now[0] + self.now[1])
+                self.now = (level, self.beta * (level - self.now[0]) + (1 - self.beta) * self.now[1])
+            out[k] = self.now
+        return out[:, 0], out[:, 1]
+
+    def numbers(self):
+        return list(self.now)
+
+
+def in_order(df: DataFrame, value: str, key: str, order: Sequence[str], start, made: str, idle: str | None = None) -> DataFrame:
+    """A recurrence along each key of an unbounded stream with a watermark on ``order[0]``, in order of time also across batches.
+
+    Rows (key, order, made) come out once the watermark has passed them; ``order`` has to be unique per key. Rows
+    without a value take no part; a reading more than ``idle`` after the last one starts anew. Needs the RocksDB state store, as ``state_store`` sets it.
+    """
+    waiting = T.StructType([*(df.schema[c] for c in order), T.StructField(value, T.DoubleType())])
+    added = T.StructType.fromDDL(made)
+    out = T.StructType([df.schema[key], *(df.schema[c] for c in order), *added])
+    processor = InOrder(start, key, order, value, waiting, added.names, None if idle is None else micros(idle) // 1000)
+    rows = df.where(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias(value))
+    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
+
+
+def smoothed_in_order(df: DataFrame, value: str, key: str, order: Sequence[str], alpha: float = 0.3, threshold: float = 20.0, idle: str | None = None) -> DataFrame:
+    return in_order(df, value, key, order, lambda kept: Smoothed(alpha, threshold, kept), "ewma double, edges bigint, since bigint", idle)
+
+
+def holt(df: DataFrame, value: str, key: str, order: Sequence[str], alpha: float = 0.4, beta: float = 0.3, idle: str | None = None) -> DataFrame:
+    """Double exponential smoothing of a stream."""
+    return in_order(df, value, key, order, lambda kept: Holt(alpha, beta, kept), "level double, trend double", idle)
+
+
+def bocpd(df: DataFrame, value: str, key: str, order: Sequence[str], lam: float = 200.0, tolerance: float = 1e-12, idle: str | None = None) -> DataFrame:
+    """Online changepoint probability of a stream; the state of a key is its plausible run lengths."""
+    return in_order(df, value, key, order, lambda kept: RunLengths(lam, tolerance, kept), "cp_prob double", idle)
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """Streams started inside keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def run_available(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Process everything available, write parquet under ``path`` and read it back."""
     q = (df.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/out")
