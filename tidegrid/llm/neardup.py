@@ -1,21 +1,26 @@
 """Near-duplicate detection: consistent weighted sampling over TF-IDF shingles.
 
 1. ``sketch``: document frequencies of all word shingles of all documents, in a
-   count-min sketch of fixed size (8 MB however large the corpus). Its error is a
-   fixed share of the number of documents, so weights behave alike at every size.
-2. ``signed``: a shingle weighs (1 + ln tf) * (1 + ln((1 + N) / (1 + df)) / ln(1 + N)).
+   count-min sketch of fixed size (8 MB however large the corpus). What a cell counts of other
+   shingles is a fixed share of the number of documents; it is taken off.
+2. ``signed``: a shingle weighs (1 + ln tf) * (1 + ``LIFT`` * min(1, ln(N / df) / ln(1 / ``RARE``))): the
+   weight depends on the share of documents that hold it, and all shingles that less than the
+   share ``RARE`` hold weigh the same, so a corpus ten times as large has the same weights.
    Improved consistent weighted sampling draws ``BANDS * ROWS`` samples per document;
    two documents agree in a sample with the probability of their weighted Jaccard
    similarity. Equal word sequences are one content from here on.
 3. Each band of a signature is a bucket. Members of a bucket are compared with its
    smallest member, so that a bucket of any size costs a comparison per member,
-   and a document has at most as many as there are bands. What differs from its leader
-   is then compared among itself: all pairs of members of the components left in a
-   bucket, in blocks, however many they are. Of two components the most alike members
-   of a bucket come first, and the others where these do not link them.
-4. Every compared pair is verified by the exact weighted Jaccard similarity of the
+   and a document has at most as many as there are bands.
+4. Where a bucket still holds members of different components, they are dealt into blocks,
+   and every two blocks meet in one task. From their signatures a task finds the members with a likely
+   partner in another component; only these leave it, not the pairs. They come back with their
+   texts, are compared exactly, all with one at a time by lists of shared shingles, and joined in
+   a union-find of the task, which gives away only the links that joined something: no
+   table has more rows than members and blocks, and no link is lost to that.
+5. Every link is verified by the exact weighted Jaccard similarity of the
    whole texts (pairs whose signatures agree in far fewer samples than the
-   threshold asks for are not read). Connected components of the verified pairs
+   threshold asks for are not compared). Connected components of the links
    are the classes, named by their smallest id.
 
 Defined results: texts with fewer words than a shingle are one shingle; null,
@@ -46,8 +51,11 @@ BANDS, ROWS = 24, 5
 SAMPLES = BANDS * ROWS
 MARGIN = 0.2  # estimated similarity below SIMILAR - MARGIN: five deviations off, not read
 WIDTH, DEPTH = 1 << 20, 2  # cells and rows of the document frequency sketch
+RARE = 0.002  # share of documents below which all shingles weigh the same; several times what chance counts in a cell
+LIFT = 0.5  # how much more a rare shingle weighs than one that all documents hold
 SKETCH_BLOCKS = 64
 MEMBERS = 2048  # members of a bucket in a block
+BLOCK_BYTES = 32 << 20  # and bytes of their weighted shingles
 COMPARED = 1 << 18  # pairs of signatures that are compared at once
 SPREAD = 16  # partial sums of a sketch block
 
@@ -181,17 +189,18 @@ def unpack(raw: bytes) -> np.ndarray:
 
 
 class Weights:
-    """Weights of shingles by their frequency in the corpus."""
+    """Weights of shingles by the share of documents that hold them."""
 
     def __init__(self, table: np.ndarray, documents: int):
-        scale = np.log1p(max(documents, 1))
         width = np.uint32 if table.max(initial=0) < 1 << 32 else np.uint64
-        self.table, self.scale = table.astype(width), scale
+        self.table, self.documents = table.astype(width), max(documents, 1)
+        self.noise = float(table.sum()) / table.size  # what a cell counts of other shingles
 
     def of(self, hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         at = cells(hashes)
-        df = np.minimum(*(row[i] for row, i in zip(self.table, at)))
-        return (1 + np.log(counts)) * (2 - np.minimum(np.log1p(df.astype(np.float64)) / self.scale, 1.0))
+        df = np.minimum(*(row[i] for row, i in zip(self.table, at))) - self.noise
+        share = np.clip(df / self.documents, RARE, 1.0)
+        return (1 + np.log(counts)) * (1 + LIFT * np.log(share) / np.log(RARE))
 
 
 TABLE = 1 << 12
@@ -238,7 +247,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (id, content, sig, few) for every row with an id; ``few`` is the lowest byte of each sample.
+    """Rows (id, content, size, sig, few) for every row with an id; ``size`` counts shingles, ``few`` is the lowest byte of each sample.
 
     The content of a text without words is empty. Signatures are given once per content and task.
     """
@@ -255,13 +264,13 @@ def signed(docs: DataFrame, weights, doc_id: str = "doc_id", text: str = "text")
                             seen.clear()
                         seen.add(content)
                     sig = signature(hashes, w.of(hashes, counts)) if fresh else None
-                    out.append((i, content, sig.tobytes() if fresh else None, sig.astype(np.uint8).tobytes() if fresh else None))
+                    out.append((i, content, len(hashes), sig.tobytes() if fresh else None, sig.astype(np.uint8).tobytes() if fresh else None))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate((pa.int64(), *[pa.binary()] * 3))],
-                                                     names=["id", "content", "sig", "few"])
+                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], kind) for n, kind in enumerate((pa.int64(), pa.binary(), pa.int64(), *[pa.binary()] * 2))],
+                                                     names=["id", "content", "size", "sig", "few"])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, content binary, sig binary, few binary")
+    return rows.mapInArrow(run, "id long, content binary, size long, sig binary, few binary")
 
 
 def digested(docs: DataFrame, text: str) -> DataFrame:
@@ -332,7 +341,7 @@ def searched(docs: DataFrame, doc_id: str, text: str, similar: float) -> tuple[D
     repeated = checkpoint(signs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
                           .where("n > 1").select("id", F.expr("lo <> hi").alias("mixed")))
     sigs = checkpoint(signs.where(F.col("sig").isNotNull()).join(first.select("content", "rep"), "content")
-                      .groupBy("rep").agg(F.first("sig").alias("sig"), F.first("few").alias("few")))
+                      .groupBy("rep").agg(*[F.first(c).alias(c) for c in ("size", "sig", "few")]))
     bands = sigs.select("rep", F.posexplode(F.array(*[
         F.xxhash64(F.lit(k), F.substring("sig", 1 + 4 * ROWS * k, 4 * ROWS)) for k in range(BANDS)])).alias("band", "key"))
     leaders = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("__max")).where("leader <> __max").select("key", "leader")
@@ -349,18 +358,7 @@ def searched(docs: DataFrame, doc_id: str, text: str, similar: float) -> tuple[D
 
     tried = checkpoint(likely(buckets.where("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct(), sigs, similar))
     links = checkpoint(verified(tried, texts, weights, similar))
-    comp = components(links)
-    # the most alike members first: where they link their components, the others need no comparison
-    closest = checkpoint(across(buckets, comp, sigs, similar, closest=True))
-    if not closest.isEmpty():
-        fresh = closest.select("u", "v").distinct().join(tried, ["u", "v"], "left_anti")
-        links = checkpoint(links.unionByName(verified(fresh, texts, weights, similar)))
-        comp = components(links)
-        apart = with_comp(with_comp(closest, comp, "u", "a"), comp, "v", "b").where("a <> b").select("key").distinct()
-        every = across(buckets.join(apart, "key", "left_semi"), comp, sigs, similar).select("u", "v").distinct()
-        rest = checkpoint(every.join(tried.unionByName(closest.select("u", "v")), ["u", "v"], "left_anti"))
-        if not rest.isEmpty():
-            links = checkpoint(links.unionByName(verified(rest, texts, weights, similar)))
+    links = links.unionByName(checkpoint(across(buckets, components(links), sigs, texts, weights, similar)))
     return signs, first, links, repeated
 
 
@@ -390,75 +388,125 @@ def likely(pairs: DataFrame, sigs: DataFrame, similar: float = SIMILAR) -> DataF
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, similar: float, closest: bool = False) -> DataFrame:
-    """Likely pairs (key, u, v) between members of different components that still share a bucket, u > v.
+def across(buckets: DataFrame, comp: DataFrame, sigs: DataFrame, texts: DataFrame, weights, similar: float = SIMILAR) -> DataFrame:
+    """Links (u, v) that join components among the members (key, rep) of buckets, at most one per member and task."""
+    def dealt(rows):
+        return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
-    Members are dealt into blocks, and every pair of blocks of a bucket is compared in one task, which gives
-    away only pairs whose signatures are alike enough; with ``closest`` of any two components the most alike.
-    """
-    here = with_comp(buckets.select("key", "rep"), comp, "rep", "comp")
-    sizes = here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    here = (here.join(sizes.select("key", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts")), "key").select("key", "comp", "rep", "parts")
-            .join(sigs.select("rep", "few"), "rep")
+    met = checkpoint(dealt(blocks(buckets, comp, sigs)).mapInArrow(lambda batches: with_partner(batches, similar), "key long, i int, j int, band int, comp long, rep long, block int"))
+    whole = (met.join(sigs.select("rep", "sig"), "rep").join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+             .select("key", "i", "j", "band", "comp", "rep", "block", "sig", "text"))
+    return dealt(whole).mapInArrow(lambda batches: joining_links(batches, weights.value, similar), "u long, v long")
+
+
+def blocks(buckets: DataFrame, comp: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members (key, i, j, band, comp, rep, block, few) of buckets with several components, once for every pair (i, j) of blocks that theirs is in."""
+    here = with_comp(buckets.select("key", "band", "rep"), comp, "rep", "comp").join(sigs.select("rep", "size"), "rep")
+    sizes = (here.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+             .select("key", F.ceil(F.greatest(F.col("n") / MEMBERS, 16 * F.col("size") / BLOCK_BYTES)).cast("int").alias("parts")))
+    return (here.select("key", "band", "comp", "rep").join(sizes, "key")
             .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "rep", "block", "few"))
-    parts = int(here.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches):
-        held = []
-        for batch in batches:
-            now = [batch.column(n).to_numpy(zero_copy_only=False) for n in range(3)]
-            edge = np.flatnonzero(np.any([np.diff(x) != 0 for x in now], axis=0)) + 1
-            starts = np.concatenate(([0], edge, [batch.num_rows])) if batch.num_rows else []
-            for at, end in zip(starts[:-1], starts[1:]):
-                if held and any(held[-1].column(n)[0] != batch.column(n)[int(at)] for n in range(3)):
-                    yield from alike(held, similar, closest)
-                    held = []
-                held.append(batch.slice(int(at), int(end - at)))
-        if held:
-            yield from alike(held, similar, closest)
-
-    dealt = here.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "key long, u long, v long")
-
-
-def alike(batches, similar: float, closest: bool):
-    """Likely pairs of different components among the rows (key, i, j, comp, rep, block, few) of one pair of blocks."""
-    comp, rep, block = (np.concatenate([b.column(n).to_numpy(zero_copy_only=False) for b in batches]) for n in (3, 4, 5))
-    few = np.frombuffer(b"".join(x for b in batches for x in b.column(6).to_pylist()), np.uint8).reshape(-1, SAMPLES)
-    order = np.argsort(comp, kind="stable")
-    comp, rep, block, few = comp[order], rep[order], block[order], few[order]
-    key, one = batches[0].column(0)[0].as_py(), batches[0].column(1)[0] == batches[0].column(2)[0]
-    best: dict = {}  # by components: share of equal samples, members
-    at = 0
-    while at < len(comp):
-        after = int(np.searchsorted(comp, comp[at], side="right"))  # members of one component are not compared
-        if after == len(comp):
-            break
-        end = at + max(1, COMPARED // (len(comp) - after))
-        mine, theirs = slice(at, end), slice(after, None)
-        unlike = comp[mine, None] < comp[None, theirs]
-        if not one:
-            unlike &= block[mine, None] != block[None, theirs]
-        share = (few[mine, None] == few[None, theirs]).mean(axis=2)
-        x, y = np.nonzero(unlike & (share >= similar - MARGIN))
-        if len(x) and closest:
-            order = np.lexsort((-share[x, y], comp[theirs][y], comp[mine][x]))
-            x, y = x[order], y[order]
-            a, b = comp[mine][x], comp[theirs][y]
-            for n in np.flatnonzero(np.concatenate(([True], (np.diff(a) != 0) | (np.diff(b) != 0)))):
-                new = (share[x[n], y[n]], rep[mine][x[n]], rep[theirs][y[n]])
-                best[a[n], b[n]] = max(best.get((a[n], b[n]), new), new)
-        elif len(x):
-            yield named(key, rep[mine][x], rep[theirs][y])
-        at = end
-    if best:
-        yield named(key, *(np.array([m[n] for m in best.values()], np.int64) for n in (1, 2)))
-
-
-def named(key: int, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"key": pa.array(np.full(len(x), key), pa.int64()), "u": pa.array(np.maximum(x, y), pa.int64()), "v": pa.array(np.minimum(x, y), pa.int64())})
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "comp", "rep", "block")
+            .join(sigs.select("rep", "few"), "rep").select("key", "i", "j", "band", "comp", "rep", "block", "few"))
+
+
+def gathered(batches):
+    """Tables of the rows with one (key, i, j), from sorted batches."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(n).to_numpy(zero_copy_only=False) for n in range(3)]
+        cuts = [0, *(np.flatnonzero(np.any([np.diff(x) != 0 for x in now], axis=0)) + 1).tolist(), batch.num_rows]
+        for at, end in zip(cuts, cuts[1:]):
+            if held and any(held[-1].column(n)[0] != batch.column(n)[at] for n in range(3)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def with_partner(batches, similar: float):
+    """Of every pair of blocks the members whose signature is like one of another component (of the other block, if there are two)."""
+    for t in gathered(batches):
+        t = t.sort_by("comp")  # members of one component are not compared
+        comp, block = (t.column(c).to_numpy() for c in ("comp", "block"))
+        few = np.frombuffer(b"".join(t.column("few").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+        one = t.column("i")[0] == t.column("j")[0]
+        found = np.zeros(len(comp), bool)
+        at = 0
+        while at < len(comp):
+            after = int(np.searchsorted(comp, comp[at], side="right"))
+            if after == len(comp):
+                break
+            end = at + max(1, COMPARED // (len(comp) - after))
+            mine, theirs = slice(at, end), slice(after, None)
+            alike = (comp[mine, None] < comp[None, theirs]) & ((few[mine, None] == few[None, theirs]).mean(axis=2) >= similar - MARGIN)
+            if not one:
+                alike &= block[mine, None] != block[None, theirs]
+            found[mine] |= alike.any(axis=1)
+            found[theirs] |= alike.any(axis=0)
+            at = end
+        if found.any():
+            yield from t.filter(pa.array(found)).drop_columns(["few"]).combine_chunks().to_batches()
+
+
+def joining_links(batches, w: Weights, similar: float):
+    """Of every pair of blocks of texts the links (u, v), u > v, that join components."""
+    for t in gathered(batches):
+        comp, rep, block = (t.column(c).to_numpy() for c in ("comp", "rep", "block"))
+        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u4").reshape(-1, BANDS, ROWS)
+        one = t.column("i")[0] == t.column("j")[0]
+        links = spanning([vector(x, w) for x in t.column("text").to_pylist()], sigs, t.column("band")[0].as_py(), comp, None if one else block, similar)
+        if links:
+            ends = rep[np.array(links)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends.max(axis=1)), pa.array(ends.min(axis=1))], names=["u", "v"])
+
+
+def spanning(vectors, sigs: np.ndarray, band: int, comp: np.ndarray, block: np.ndarray | None, similar: float) -> list[tuple[int, int]]:
+    """Pairs of members that are similar enough and join components, given those joined before.
+
+    Two members that meet in several buckets are compared in that of their first common band.
+    The similarity of one member to all others comes from lists of the members that hold a shingle; shingles of one member are in no list.
+    """
+    size = np.array([len(h) for h, _ in vectors])
+    of, weight = np.repeat(np.arange(len(vectors)), size), np.concatenate([x for _, x in vectors])
+    _, code, held = np.unique(np.concatenate([h for h, _ in vectors]), return_inverse=True, return_counts=True)
+    total = np.array([x.sum() for _, x in vectors])
+    shared = held[code] > 1
+    of, weight, code = of[shared], weight[shared], code[shared]
+    by_code = np.argsort(code, kind="stable")
+    begin, holder, held_weight = np.searchsorted(code[by_code], np.arange(len(held))), of[by_code], weight[by_code]
+    mine = np.searchsorted(of, np.arange(len(vectors) + 1))
+    up = {int(c): int(c) for c in comp}
+
+    def top(c):
+        while up[c] != c:
+            up[c] = up[up[c]]
+            c = up[c]
+        return c
+
+    out = []
+    for x in range(len(vectors) - 1):
+        equal = sigs[x + 1:] == sigs[x]
+        likely = (equal.mean(axis=(1, 2)) >= similar - MARGIN) & (equal.all(axis=2).argmax(axis=1) == band)
+        if block is not None:
+            likely &= block[x + 1:] != block[x]
+        likely[likely] = [top(int(c)) != top(int(comp[x])) for c in comp[x + 1:][likely]]
+        if not likely.any():
+            continue
+        lists = code[mine[x]:mine[x + 1]]
+        n = held[lists]
+        at = np.repeat(begin[lists] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        common = np.bincount(holder[at], np.minimum(held_weight[at], np.repeat(weight[mine[x]:mine[x + 1]], n)), minlength=len(vectors))[x + 1:]
+        for y in np.flatnonzero(likely & (common >= similar * (total[x] + total[x + 1:] - common))):
+            a, b = top(int(comp[x])), top(int(comp[x + 1 + y]))
+            if a != b:
+                up[a] = b
+                out.append((x, x + 1 + int(y)))
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
