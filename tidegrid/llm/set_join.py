@@ -13,17 +13,20 @@ of these links; no link between different sets is lost.
    (a small set that could be linked with a large one gives these too). The boundary
    is the size at which subsets given and list entries scanned are fewest in sum,
    counted over all small sets of the corpus.
-3. Keys that two sets share make lists. Lists with the same members are one list. Each member
-   is compared with the list's smallest one, which costs a pair per entry.
-4. Where a list still holds members of different components, they are dealt into
-   blocks, and every two blocks meet in one task. First each member brings one
-   parity bit row of at most a byte per shingle: the number of bits in which two rows differ is a
-   lower bound of the number of shingles in which the sets differ, so most pairs end
-   there and nothing but the members of the others leaves the task. These bring their whole
-   sets; a task compares exactly, skips what its own union-find has joined, and gives
-   away only the links that joined something, at most one per member. So no table grows
-   with the square of a group.
-5. Whole sets are only made of documents that share a list, which the tasks know by a bit table of
+3. Keys that two sets share make lists; lists with the same members are one list. Two
+   members of a list may link only if their sizes are near enough and, as no shingle before
+   the first shared one is shared, if enough shingles follow it in both: so a pair counts in a list
+   only if sizes and positions allow it. Each member is compared with the list's smallest one,
+   which costs a pair per entry.
+4. All other pairs of a list stay inside tasks. Members are dealt into blocks, and every two blocks meet in
+   one task, which gives away only members that have a possible partner. This is done
+   with sizes and positions; then with the first shingles, where each that only one side has
+   is a difference; then, for members of different components, with parity rows of about
+   a byte per shingle, whose differing bits are a lower bound of differing shingles; and what is
+   left brings its whole sets. The last step compares exactly, skips what its own
+   union-find has joined, and gives away only links that joined something, at most one
+   per member. So no table grows with the square of a group.
+5. Whole sets are only made of documents that are still in question, which tasks know by a bit table of
    bounded size (``MOST_BITS``); documents that it lets through in vain go in a join.
 
 Defined results: null, empty and wordless texts have an empty set, which is linked with
@@ -130,10 +133,13 @@ class Ranks:
     def of(self, hashes: np.ndarray) -> np.ndarray:
         return np.minimum(*(row[i] for row, i in zip(self.table, cells(hashes))))
 
+    def rank(self, hashes: np.ndarray) -> np.ndarray:
+        """A bounded estimate, then the hash, shortened. With the hash behind it this orders all shingles."""
+        return (np.minimum(self.of(hashes), (1 << 20) - 1).astype(U) << U(44)) | (hashes >> U(20))
+
     def first(self, hashes: np.ndarray, n: int) -> np.ndarray:
-        """The n first shingles in rank. The order is total: by a bounded estimate, then by hash."""
-        rank = (np.minimum(self.of(hashes), (1 << 20) - 1).astype(U) << U(44)) | (hashes >> U(20))
-        return hashes[np.argsort(rank, kind="stable")[:n]]  # hashes are sorted: ties of the shortened hash fall by the whole
+        """The n first of sorted shingles in rank."""
+        return hashes[np.argsort(self.rank(hashes), kind="stable")[:n]]
 
 
 def each_set(batch: pa.RecordBatch):
@@ -176,26 +182,40 @@ def cheapest(costs: dict[int, tuple[int, float]], share: int = SHARE) -> int:
 
 
 def keys_of(sets: DataFrame, boundary: int, share: int, known=None) -> DataFrame:
-    """Rows (key, rep, n): keys under which a set can meet those linked with it; with ``known`` only those in this bit table."""
+    """Rows (key, rep, n, pos): keys under which a set can meet those linked with it, and how many of its shingles come
+    before; with ``known`` only those in this bit table."""
     def run(batches):
         bits = known.value if known is not None else None
         for batch in batches:
-            keys, reps, sizes = [], [], []
+            keys, places, reps, sizes = [], [], [], []
             for rep, n, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 first = np.frombuffer(first, U)
-                parts = [subset_keys(first, boundary, share)] if n <= boundary else []
+                parts = []
+                if n <= boundary:  # what shares a subset overlaps enough, wherever
+                    subsets = subset_keys(first, boundary, share)
+                    parts.append((subsets, np.zeros(len(subsets), np.int32)))
                 if 100 * n >= share * (boundary + 1):
-                    parts.append(first[:prefix(n, share)])
-                for k in parts:
+                    parts.append((first[:prefix(n, share)], np.arange(prefix(n, share), dtype=np.int32)))
+                for k, pos in parts:
                     if bits is not None:
-                        k = k[inside(bits, k)]
+                        near = inside(bits, k)
+                        k, pos = k[near], pos[near]
                     keys.append(k)
+                    places.append(pos)
                     reps.append(np.full(len(k), rep, np.int64))
                     sizes.append(np.full(len(k), n, np.int64))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([k.view(np.int64) for k in keys], reps, sizes)], names=["key", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ([k.view(np.int64) for k in keys], reps, sizes, places)], names=["key", "rep", "n", "pos"])
+
+    return sets.where(F.col("first").isNotNull()).select("rep", "n", "first").mapInArrow(run, "key long, rep long, n long, pos int")
+
 
-    return sets.where(F.col("first").isNotNull()).select("rep", "n", "first").mapInArrow(run, "key long, rep long, n long")
+def may_link(n, pos, m, other, share: int):
+    """Whether sets of n and m shingles that share one, with so many before it, and none of these, can link. Of numbers, arrays or columns."""
+    least = F.least if hasattr(n, "alias") else np.minimum
+    most = F.greatest if hasattr(n, "alias") else np.maximum
+    enough = (100 + share) * least(n - pos, m - other) >= share * (n + m)
+    return (100 * least(n, m) >= share * most(n, m)) & enough
 
 
 def bit_table(numbers: DataFrame, column: str) -> np.ndarray:
@@ -310,43 +330,86 @@ def groups(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def close_pairs(n: np.ndarray, comp: np.ndarray, block: np.ndarray, odd: list[np.ndarray], one: bool, share: int):
-    """Pairs (x, y) of different components, of different blocks unless it is ``one``, that parity rows do not rule out."""
+def sized_pairs(n: np.ndarray, pos: np.ndarray, block: np.ndarray, one: bool, share: int):
+    """(x, all y that sizes and positions allow), x before y in order of size, of different blocks unless it is ``one``."""
     order = np.argsort(n, kind="stable")
-    by_size: dict = {}
-    for size in sorted({len(o) for o in odd}):
-        for k in (size, 2 * size):  # partners are at most of the next width, which folds to this one
-            by_size.setdefault(size, {}).update({i: folded(odd[i], size) for i in range(len(odd)) if len(odd[i]) == k})
-    tables = {size: (np.array(sorted(rows, key=lambda i: n[i])), None) for size, rows in by_size.items()}
-    tables = {size: (at, np.stack([by_size[size][i] for i in at])) for size, (at, _) in tables.items()}
-    for x in order:
-        at, rows = tables[len(odd[x])]
-        lo, hi = np.searchsorted(n[at], n[x]), np.searchsorted(n[at], 100 * n[x] // share, side="right")
-        y = at[lo:hi]
-        ok = (comp[y] != comp[x]) & ((n[y] > n[x]) | (y > x))
+    sizes, places, blocks = n[order], pos[order], block[order]
+    for i, x in enumerate(order[:-1]):
+        end = np.searchsorted(sizes, 100 * sizes[i] // share, side="right")
+        ok = may_link(sizes[i], places[i], sizes[i + 1:end], places[i + 1:end], share)
         if not one:
-            ok &= block[y] != block[x]
-        y = y[ok]
-        if len(y):
-            apart = np.bitwise_count(rows[lo:hi][ok] ^ odd[x]).sum(axis=1, dtype=np.int64)
-            for k in np.flatnonzero(apart <= can_differ(int(n[x]), n[y], share)):
-                yield int(x), int(y[k])
+            ok &= blocks[i + 1:end] != blocks[i]
+        if ok.any():
+            yield x, order[i + 1:end][ok]
 
 
-def met_members(batches, share: int):
-    """Of each pair of blocks the members (key, i, j, comp, rep, block) with a partner that may link."""
+def paired(batches, pairs_of):
+    """Of every pair of blocks the members that are in a pair (x, all y)."""
     for t in groups(batches, 3):
-        comp, rep, block, n = (t.column(c).to_numpy() for c in ("comp", "rep", "block", "n"))
-        odd = [np.frombuffer(o, np.uint8) for o in t.column("odd").to_pylist()]
-        found = {k for pair in close_pairs(n, comp, block, odd, t.column("i")[0] == t.column("j")[0], share) for k in pair}
-        if found:
-            yield from t.select(["key", "i", "j", "comp", "rep", "block"]).take(pa.array(sorted(found))).combine_chunks().to_batches()
+        found = np.zeros(t.num_rows, bool)
+        for x, y in pairs_of(t, t.column("i")[0] == t.column("j")[0]):
+            if len(y):
+                found[x], found[y] = True, True
+        if found.any():
+            yield from t.select(["key", "i", "j", "rep", "block", "n", "pos"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+
+def sized(t: pa.Table, one: bool, share: int):
+    return sized_pairs(*(t.column(c).to_numpy() for c in ("n", "pos", "block")), one, share)
+
+
+def sharing_first(t: pa.Table, one: bool, share: int, ranks: Ranks):
+    """Of the pairs that sizes allow those whose first shingles do not differ too much already.
+
+    A shingle among the first of one set, and not beyond the last of the first of the other, is in both lists or not in both sets.
+    """
+    firsts = [np.frombuffer(f, U) for f in t.column("first").to_pylist()]
+    n = t.column("n").to_numpy()
+    firsts = [f[:prefix(int(k), share)] for f, k in zip(firsts, n)]
+    every, code = np.unique(np.concatenate(firsts), return_inverse=True)
+    order = np.empty(len(every), np.int64)
+    order[np.lexsort((every, ranks.rank(every)))] = np.arange(len(every))
+    code = order[code]  # numbers in the order of ranks
+    size = np.array([len(f) for f in firsts])
+    begin = np.concatenate(([0], np.cumsum(size)))
+    of, by_code = np.repeat(np.arange(len(size)), size), np.argsort(code, kind="stable")
+    held = np.bincount(code, minlength=len(every))
+    at_code = np.concatenate(([0], np.cumsum(held)))
+    last = code[begin[1:] - 1]
+    for x, y in sized(t, one, share):
+        mine = code[begin[x]:begin[x + 1]]
+        count = held[mine]
+        at = np.repeat(at_code[mine] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+        common = np.bincount(of[by_code[at]], minlength=len(size))[y]
+        theirs = np.add.reduceat(code <= last[x], begin[:-1])[y]
+        apart = np.searchsorted(mine, last[y], side="right") + theirs - 2 * common
+        yield x, y[apart <= can_differ(n[x], n[y], share)]
+
+
+def close_pairs(n: np.ndarray, pos: np.ndarray, comp: np.ndarray, block: np.ndarray, odd: list[np.ndarray], one: bool, share: int):
+    """Of the pairs that sizes allow those of different components that parity rows do not rule out."""
+    tables: dict = {}
+    for size in sorted({len(o) for o in odd}):
+        # partners have this width, or the next one, which folds to it
+        at = np.flatnonzero([len(o) in (size, 2 * size) for o in odd])
+        tables[size] = (np.searchsorted(at, np.arange(len(odd))), np.stack([folded(odd[k], size) for k in at]))
+    for x, y in sized_pairs(n, pos, block, one, share):
+        y = y[comp[y] != comp[x]]
+        if len(y):
+            place, rows = tables[len(odd[x])]
+            apart = np.bitwise_count(rows[place[y]] ^ odd[x]).sum(axis=1, dtype=np.int64)
+            yield x, y[apart <= can_differ(n[x], n[y], share)]
+
+
+def unlike(t: pa.Table, one: bool, share: int):
+    odd = [np.frombuffer(o, np.uint8) for o in t.column("odd").to_pylist()]
+    return close_pairs(*(t.column(c).to_numpy() for c in ("n", "pos", "comp", "block")), odd, one, share)
 
 
 def joining_links(batches, share: int):
     """Of each pair of blocks of whole sets, links (u, v) that join components, found with a local union-find."""
     for t in groups(batches, 3):
-        comp, rep, block = (t.column(c).to_numpy() for c in ("comp", "rep", "block"))
+        comp, rep, block, pos = (t.column(c).to_numpy() for c in ("comp", "rep", "block", "pos"))
         sets = [np.frombuffer(s, U) for s in t.column("set").to_pylist()]
         n, up, out = np.array([len(s) for s in sets]), {}, []
 
@@ -356,29 +419,47 @@ def joining_links(batches, share: int):
                 c = up[c]
             return c
 
-        for x, y in close_pairs(n, comp, block, [parity(s) for s in sets], t.column("i")[0] == t.column("j")[0], share):
-            a, b = top(int(comp[x])), top(int(comp[y]))
-            if a != b and linked(sets[x], sets[y], share):
-                up[a] = b
-                out.append((int(rep[x]), int(rep[y])))
+        for x, several in close_pairs(n, pos, comp, block, [parity(s) for s in sets], t.column("i")[0] == t.column("j")[0], share):
+            for y in several:
+                a, b = top(int(comp[x])), top(int(comp[y]))
+                if a != b and linked(sets[x], sets[y], share):
+                    up[a] = b
+                    out.append((int(rep[x]), int(rep[y])))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["u", "v"])
 
 
-def across(lists: DataFrame, comp: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """Links (u, v) that join components among the members (key, rep, n) of lists."""
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    here = with_comp(lists, comp, "rep", "comp")
-    sizes = (here.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("bytes"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-             .select("key", F.ceil(F.greatest(F.col("m") / BLOCK, 2 * F.col("bytes") / BLOCK_BYTES)).cast("int").alias("parts")))
-    dealt = (here.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-             .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "comp", "rep", "block"))
-    rows = dealt.join(sets.select("rep", "n", "odd"), "rep").select("key", "i", "j", "comp", "rep", "block", "n", "odd")
-    met = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(
-        lambda batches: met_members(batches, share), "key long, i int, j int, comp long, rep long, block int")
-    whole = checkpoint(met).join(sets.select("rep", "set"), "rep").select("key", "i", "j", "comp", "rep", "block", "set")
-    return whole.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda batches: joining_links(batches, share), "u long, v long")
+MEMBER = "key long, i int, j int, rep long, block int, n long, pos int"
+
+
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """Deal rows so that those of a pair of blocks come one after another in one task."""
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def dealt(lists: DataFrame) -> DataFrame:
+    """Members (key, i, j, rep, block, n, pos) of lists, once for every pair (i, j) of blocks that theirs is in."""
+    sizes = lists.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, 2 * F.sum("n") / BLOCK_BYTES)).cast("int").alias("parts"))
+    return (lists.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep", "block", "n", "pos"))
+
+
+def possible(lists: DataFrame, firsts: DataFrame, ranks, share: int) -> DataFrame:
+    """Members of lists that sizes, positions and first shingles allow to link with another one."""
+    near = checkpoint(in_blocks(dealt(lists)).mapInArrow(lambda batches: paired(batches, lambda t, one: sized(t, one, share)), MEMBER))
+    return checkpoint(in_blocks(near.join(firsts, "rep").select(*near.columns, "first")).mapInArrow(
+        lambda batches: paired(batches, lambda t, one: sharing_first(t, one, share, ranks.value)), MEMBER))
+
+
+def across(met: DataFrame, comp: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """Links (u, v) that join components among members that may link."""
+    here = with_comp(met, comp, "rep", "comp")
+    several = here.groupBy("key", "i", "j").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "i", "j")
+    rows = here.join(several, ["key", "i", "j"], "left_semi").join(sets.select("rep", "odd"), "rep").select(*met.columns, "comp", "odd")
+    close = checkpoint(in_blocks(rows).mapInArrow(lambda batches: paired(batches, lambda t, one: unlike(t, one, share)), MEMBER))
+    whole = with_comp(close, comp, "rep", "comp").join(sets.select("rep", "set"), "rep").select(*close.columns, "comp", "set")
+    return in_blocks(whole).mapInArrow(lambda batches: joining_links(batches, share), "u long, v long")
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int = SHARE) -> DataFrame:
@@ -386,23 +467,29 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", share: int
     spark = docs.sparkSession
     given = docs.select(F.col(quoted(doc_id)).cast("long").alias("id"), F.col(quoted(text)).cast("string").alias("text"))
     table, _ = sketch(given, "text", shingle_sets)
-    sets = checkpoint(sets_of(given, spark.sparkContext.broadcast(Ranks(table)), share))
+    ranks = spark.sparkContext.broadcast(Ranks(table))
+    sets = checkpoint(sets_of(given, ranks, share))
     costs = {r.n: (r.c, r.s) for r in sets.where(f"n <= {SMALL} AND scans IS NOT NULL").groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum("scans").alias("s")).collect()}  # SMALL rows
     boundary = cheapest(costs, share)
 
     shared = checkpoint(keys_of(sets, boundary, share).groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("hi")).where("lead <> hi").select("key", "lead"))
     bits = spark.sparkContext.broadcast(bit_table(shared, "key"))
-    listed = checkpoint(keys_of(sets, boundary, share, bits).join(shared, "key").select("key", "rep", "n", "lead").distinct())
-    same = listed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("rep"), 32)).alias("s"), F.expr("bit_xor(xxhash64(rep, 1))").alias("x"), F.first("lead").alias("lead"))
-    one = same.groupBy("m", "s", "x", "lead").agg(F.min("key").alias("key")).select("key")  # lists of the same members
+    listed = checkpoint(keys_of(sets, boundary, share, bits).join(shared, "key").distinct())
+    # lists of the same members are one: that of the first of their shingles, which comes first in all members
+    same = listed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("rep"), 32)).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"),
+                                     F.first("lead").alias("lead"), F.sum("pos").alias("p"))
+    one = same.groupBy("m", "s", "x", "lead").agg(F.min_by("key", F.struct("p", "key")).alias("key")).select("key")
     lists = checkpoint(listed.join(one, "key", "left_semi"))
 
-    whole = whole_sets(given, lists.select("rep").distinct(), sets.select("id", "rep"))
-    sizes = whole.select(F.col("rep").alias("lead"), F.col("n").alias("k"))
-    pairs = (lists.where("rep <> lead").select("rep", "lead", "n").distinct().join(sizes, "lead")
-             .where(100 * F.least("n", "k") >= share * F.greatest("n", "k")).select(F.col("rep").alias("u"), F.col("lead").alias("v")))
+    # once per set
+    firsts = sets.where(F.col("first").isNotNull()).select("rep", "first").join(lists.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.first("first").alias("first"))
+    met = possible(lists.select("key", "rep", "n", "pos"), firsts, ranks, share)
+    whole = whole_sets(given, met.select("rep").distinct(), sets.select("id", "rep"))
+
+    leads = met.groupBy("key", "i", "j").agg(F.min("rep").alias("v"))
+    pairs = met.join(leads, ["key", "i", "j"]).where("rep <> v").select(F.col("rep").alias("u"), "v").distinct()
     links = checkpoint(verified(checkpoint(near(pairs, whole, share)), whole, share))
-    links = links.unionByName(checkpoint(across(lists.select("key", "rep", "n"), components(links), whole, share)))
+    links = links.unionByName(checkpoint(across(met, components(links), whole, share)))
 
     names = with_comp(sets.where("rep IS NOT NULL").groupBy("rep").agg(F.min("id").alias("least")), components(links), "rep", "comp")
     best = names.groupBy("comp").agg(F.min("least").alias("component_id"))
