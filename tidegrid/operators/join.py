@@ -7,12 +7,14 @@ sort-merge join, whose skewed partitions adaptive execution splits.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, bucket_no, cols, epoch, last_valid, micros, next_valid, row_frames, running_sum, scan, value_scan
+from ..frames import attach_row, bucket_no, cols, epoch, floor_div, last_valid, match, micros, next_valid, row_frames, running_sum, scan, value_scan
 from ..functions.stats import corr
 from ..sources.tables import stage
 
@@ -195,48 +197,85 @@ def lagged(df: DataFrame, col: str, lags: Sequence[int], keys, order="ts", chunk
                       lambda w: {f"{col}_lag_{n}": F.lag(col, n).over(w) for n in lags}, chunk=chunk)
 
 
+LEAF = 64  # donors in a cell
+
+
 def knn_join(left: DataFrame, donors: DataFrame, features: Mapping[str, str], k: int, *, row_id: str,
              donor_id: str, target: str, chunk="spread") -> DataFrame:
     """Mean target of the ``k`` nearest donors (Euclidean, ties by donor id) for every left row.
 
-    Exact without pairing every row with every donor. Donors are numbered along
-    the first feature. The nearest ``k`` on either side of a row bound its k-th
-    distance; only donors whose first feature lies within that bound can matter,
-    and they form one range of donor numbers. The numbering and the bounds feed
-    several later steps, so both are written once as tables rather than computed again.
+    Exact without pairing every row with every donor. Donors are packed into cells of about ``LEAF``:
+    sliced by rank along the first feature, every slice by rank along the second, and so on for
+    up to three, so cells are small where donors are dense. A row's own cell bounds its k-th distance; what
+    may be nearer lies within the bound in every feature, which is a range of slices, and in each of them a
+    range of cells. The donors of a cell travel as one row of arrays, so a row meets a cell in a plain equi-join and
+    distances stay inside expressions. Rows with equal features are one place. Rows and donors with a NULL among id, target or features take no part.
     """
-    lead = next(iter(features))
+    names, size = list(features), max(LEAF, 4 * k)
+    levels = names[:3]
     d = donors.select(F.col(donor_id).alias("_id"), F.col(target).alias("_y"),
                       *[F.col(features[f]).cast("double").alias(f"_d_{f}") for f in features]).dropna()
     rows = left.select(row_id, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
-
-    def count_donors(found: DataFrame, *parts: DataFrame) -> DataFrame:
-        """Stack donors and places along the line; ``_no`` counts the donors met so far."""
-        both = found.select(F.col(f"_d_{lead}").alias("_x"), F.lit(0).alias("_side"), F.struct(*d.columns).alias("_d"))
-        for p in parts:
-            both = both.unionByName(p, allowMissingColumns=True)
+    places, n = rows.select(*names).distinct(), d.count()
+    parts = max(1, math.ceil((n / size) ** (1 / len(levels))))
+
+    def counted(found: DataFrame, places: DataFrame | None, keys: Sequence[str], feature: str) -> DataFrame:
+        """Stack donors and places (struct _q, value _x, side -1 before and 1 after equal donors); ``_no`` counts the donors met so far."""
+        both = found.select(*keys, F.col(f"_d_{feature}").alias("_x"), F.lit(0).alias("_side"), F.struct(*found.columns).alias("_d"))
+        if places is not None:
+            both = both.unionByName(places, allowMissingColumns=True)
         one = F.when(F.col("_d").isNotNull(), 1).otherwise(0).cast("long")
-        return value_scan(both, (), "_x", {"_no": running_sum(one)}, chunk=chunk, tie=["_side", "_d"])
-
-    def place(of: DataFrame, x, side: int) -> DataFrame:
-        return of.select(x.alias("_x"), F.lit(side).alias("_side"), F.struct(*of.columns).alias("_q"))
-
-    numbered = stage(count_donors(d, place(rows, F.col(lead), 1)), "numbered")
-    known = numbered.where(F.col("_d").isNotNull()).select("_no", "_d.*")
-    total = known.agg(F.count(F.lit(1)).alias("_total"))
-    dist = F.sqrt(sum((F.pow(F.col(f) - F.col(f"_d_{f}"), 2) for f in features), F.lit(0.0)))
-    seed = F.sequence(F.greatest(F.col("_no") - k + 1, F.lit(1).cast("long")), F.least(F.col("_no") + k, F.col("_total")))
-    seeds = attach_row(numbered.where(F.col("_q").isNotNull()), total).select("_q.*", F.explode(seed).alias("_no"))
-    near = seeds.join(known.drop("_id", "_y"), "_no").withColumn("_dist", dist)
-    kth = F.try_element_at(F.sort_array(F.collect_list("_dist")), F.lit(k))  # at most 2k seeds per row
-    reach = stage(near.groupBy(*rows.columns).agg((F.coalesce(kth, F.lit(float("inf"))) * (1 + 1e-12)).alias("_bound")), "reach")
-    ring = count_donors(known, place(reach, F.col(lead) + F.col("_bound"), 1), place(reach, F.col(lead) - F.col("_bound"), -1))
-    ends = ring.where(F.col("_q").isNotNull()).groupBy("_q").agg(F.min("_no").alias("_from"), F.max("_no").alias("_to"))
-    pairs = (ends.where("_from < _to").select("_q.*", F.explode(F.sequence(F.col("_from") + 1, F.col("_to"))).alias("_no"))
-             .join(known, "_no").withColumn("_dist", dist))
-    nearest = Window.partitionBy(row_id).orderBy("_dist", "_id")
-    return (pairs.where(F.col("_dist") <= F.col("_bound")).withColumn("_r", F.row_number().over(nearest))
-            .where(F.col("_r") <= k).groupBy(row_id).agg(F.avg("_y").alias(target)))
+        return value_scan(both, keys, "_x", {"_no": running_sum(one)}, chunk=chunk, tie=["_side", "_d", "_q"] if places is not None else ["_d"])
+
+    # ranks along the features, slice by slice
+    cells, tables = [], []
+    for i, f in enumerate(levels):
+        width = max(1, math.ceil(n / parts ** (i + 1)))  # donors of a slice at this level
+        no = counted(d, None, cells, f).select("_d.*", "_no")
+        d = no.withColumn(f"_c{i}", floor_div(F.col("_no") - 1, width)).drop("_no")
+        tables.append((f, list(cells), width))
+        cells.append(f"_c{i}")
+    d = stage(d, "cells")
+    full = {c: d.groupBy(*cells[:i]).agg(F.max(c).alias("_last")) for i, c in enumerate(cells)}
+
+    def placed(of: DataFrame, keys: Sequence[str], feature: str, at: Mapping[int, Column]) -> DataFrame:
+        """``_q`` and the number of donors of its slice at or before each given value."""
+        here = F.struct(*of.columns)
+        q = reduce(DataFrame.unionByName, [of.select(*keys, x.alias("_x"), F.lit(side).alias("_side"), here.alias("_q")) for side, x in at.items()])
+        found = counted(d, q, keys, feature).where(F.col("_q").isNotNull())
+        return found.select("_q", "_side", F.coalesce("_no", F.lit(0).cast("long")).alias("_no"))
+
+    home = places
+    for c, (f, keys, width) in zip(cells, tables):
+        at = placed(home, keys, f, {1: F.col(f)}).select("_q.*", floor_div(F.greatest(F.col("_no") - 1, F.lit(0).cast("long")), width).alias(c))
+        last = full[c]
+        at = match(at, last, keys) if keys else attach_row(at, last)
+        home = at.withColumn(c, F.least(c, "_last")).drop("_last")
+    packed = d.groupBy(*cells).agg(F.collect_list(F.struct("_id", "_y", *[f"_d_{f}" for f in names])).alias("_donors"))
+
+    def distance(x: Column) -> Column:
+        return F.sqrt(sum((F.pow(F.col(f) - x[f"_d_{f}"], 2) for f in names), F.lit(0.0)))
+
+    near = match(home, packed, cells)
+    kth = F.try_element_at(F.array_sort(F.transform("_donors", distance)), F.lit(k))
+    reach = stage(near.select(*names, (F.coalesce(kth, F.lit(float("inf"))) * (1 + 1e-12)).alias("_bound")), "reach")
+
+    visits = reach
+    for c, (f, keys, width) in zip(cells, tables):
+        ends = placed(visits, keys, f, {-1: F.col(f) - F.col("_bound"), 1: F.col(f) + F.col("_bound")})
+        ends = ends.groupBy("_q").agg(F.min("_no").alias("_from"), F.max("_no").alias("_to")).where("_from < _to")
+        visits = ends.select("_q.*", F.explode(F.sequence(floor_div(F.col("_from"), width), floor_div(F.col("_to") - 1, width))).alias(c))
+    inside = F.filter(F.transform("_donors", lambda x: F.struct(distance(x).alias("_dist"), x["_id"].alias("_id"), x["_y"].alias("_y"))), lambda x: x["_dist"] <= F.col("_bound"))
+    pairs = match(visits, packed, cells).select(*names, F.inline(F.slice(F.array_sort(inside), 1, k)))
+    nearest = Window.partitionBy(*names).orderBy("_dist", "_id")
+    found = pairs.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k).groupBy(*names).agg(F.avg("_y").alias("_mean"))
+    return rows.join(found, names).select(row_id, F.col("_mean").alias(target))
+
+
+def literature_of(literature: DataFrame, species: str, phenotype: str, unit: str, *, columns: Sequence[str] = ("species", "phenotype_name", "phenotype_unit")) -> DataFrame:
+    """Rows on a trait: the species contains the name, in any case; phenotype and unit are equal. NULLs do not match."""
+    s, p, u = columns
+    return literature.where(F.contains(F.lower(F.col(s)), F.lower(F.lit(species))) & (F.col(p) == phenotype) & (F.col(u) == unit))
 
 
 def knn_lookup(df: DataFrame, literature: DataFrame, features: Mapping[str, str], *, row_id: str, donor_id: str,

@@ -166,7 +166,11 @@ def _(v):
     return og.multires(v.readings, ["1h", "6h", "1d", "1w"], "signal", "value")
 
 
-@query("I-11", "impute_knn", views="climate")
+@query("I-11", "impute_knn", views="climate", r="co2 light rh",
+       sql="""WITH d AS MATERIALIZED (SELECT entity || '_' || strftime(ts, '%Y%m%d') AS id, CASE WHEN co2 > 450 THEN co2 END AS co2, light, rh FROM climate),
+       n AS (SELECT a.id, avg(b.co2) AS fill FROM d a, LATERAL (SELECT co2 FROM d b WHERE b.co2 IS NOT NULL ORDER BY sqrt(pow(a.light - b.light, 2) + pow(a.rh - b.rh, 2)), b.id LIMIT 3) b
+             WHERE a.co2 IS NULL GROUP BY a.id)
+       SELECT d.id, coalesce(co2, fill) AS co2, light, rh FROM d LEFT JOIN n USING (id)""")
 def _(v):
     d = v.climate.select(F.concat_ws("_", "entity", F.date_format("ts", "yyyyMMdd")).alias("id"),
                          F.when(F.col("co2") > 450, F.col("co2")).alias("co2"), "light", "rh")

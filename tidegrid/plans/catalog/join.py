@@ -174,3 +174,18 @@ def _(v):
     out = oj.knn_lookup(v.table("customer"), lit, {"c_acctbal": "s_acctbal", "c_nationkey": "s_nationkey"},
                         row_id="c_custkey", donor_id="s_suppkey", target="c_acctbal_y", chunk=split_hot(v.table("customer"), (), v.limit))
     return out.withColumnRenamed("c_acctbal_y", "c_acctbal")
+
+
+@query("J-14", "join_literature", views="climate", r="size",
+       sql="""WITH d AS (SELECT p_partkey, p_size, p_retailprice / 40 AS light, p_size + 20 AS temp FROM part
+         WHERE contains(lower(p_name), 'blue') AND p_type = 'MEDIUM' AND p_size % 2 = 0),
+       e AS (SELECT entity, avg(light) AS light, avg(temp) AS temp FROM climate GROUP BY entity),
+       p AS (SELECT entity, p_size, row_number() OVER (PARTITION BY entity ORDER BY sqrt(pow(e.light - d.light, 2) + pow(e.temp - d.temp, 2)), p_partkey) AS k FROM e, d)
+       SELECT entity, avg(p_size) AS size FROM p WHERE k <= 3 GROUP BY entity""")
+def _(v):
+    table = v.table("part").withColumns({"light": F.col("p_retailprice") / 40, "temp": F.col("p_size") + 20,
+                                          "unit": F.when(F.col("p_size") % 2 == 0, "cm").otherwise("mm")})
+    lit = oj.literature_of(table, "BLUE", "MEDIUM", "cm", columns=("p_name", "p_type", "unit"))
+    eras = v.climate.groupBy("entity").agg(F.avg("light").alias("light"), F.avg("temp").alias("temp"))
+    out = oj.knn_lookup(eras, lit, {"light": "light", "temp": "temp"}, row_id="entity", donor_id="p_partkey", target="p_size", chunk=v.split(of="climate"))
+    return out.withColumnRenamed("p_size", "size")
