@@ -73,6 +73,59 @@ def test_headerless_and_preamble(spark, tmp_path):
     assert p.rows.collect()[0].n == 7
 
 
+def test_files_that_cannot_be_read(spark, tmp_path):
+    """Files cut short, no archives and without a line end fail as a whole; several headers, empty files and a broken document beside them."""
+    import gzip
+
+    (tmp_path / "csv").mkdir()
+    rows = "".join(f"2014-02-01 10:00:{i % 60:02d},{i}\n" for i in range(20_000))
+    whole = gzip.compress(("when,n\n" + rows).encode())
+    (tmp_path / "csv" / "a.csv.gz").write_bytes(whole)
+    (tmp_path / "csv" / "b.csv.gz").write_bytes(whole[:len(whole) // 2])
+    (tmp_path / "csv" / "c.csv.gz").write_bytes(b"when,n\n2014-02-01 10:00:00,1\n")
+    (tmp_path / "csv" / "d.csv").write_text("n,other,when\r\n7,x,2014-02-01 11:00:00\r\n8,y,bad\r\n")
+    (tmp_path / "csv" / "e.csv").write_bytes(b"x" * (5 << 20))
+    (tmp_path / "csv" / "f.csv").write_text("")
+    C = sf.ColumnSpec
+    spec = sf.FileSpec(str(tmp_path / "csv"), datetime="when", columns=(C("n", "n", "int"),))
+    p = sf.read_csv(spark, spec)
+    assert sorted(r.source_file.rsplit("/")[-1] for r in p.failed.collect()) == ["b.csv.gz", "c.csv.gz", "e.csv"]
+    assert p.rows.count() == 20_001 and {r.n for r in p.rows.collect()} == {*range(20_000)}
+    assert [r.raw for r in p.rejects.collect()] == ["8,y,bad"]
+    (tmp_path / "json").mkdir()
+    (tmp_path / "json" / "a.json").write_text(json.dumps([{"uuid": "u", "Readings": [[1390518000000, 1.5]]}], indent=1))
+    (tmp_path / "json" / "b.json").write_text('[{"uuid": "u", "Readings": [[139')
+    got = sf.ingest(spark, [spec, sf.FileSpec(str(tmp_path / "json"), format="stream_json", streams={"u": "t"}), sf.FileSpec(str(tmp_path / "none"), datetime=0)])
+    assert got.rows.count() == 20_002 and len(got.failed) == 1
+    assert sorted(r.source_file.rsplit("/")[-1] for r in got.files.collect()) == ["b.csv.gz", "b.json", "c.csv.gz", "e.csv"]
+
+
+def test_planning_reads_the_beginning_of_plain_files(tmp_path):
+    """Of a file of 60 MB a few kilobytes."""
+    (tmp_path / "big.csv").write_text("when,n\n" + "2014-02-01 10:00:00,1\n" * 2_800_000)
+    read = []
+    real = sf.opened
+
+    class Counted:
+        def __enter__(self):
+            self.s = real(str(tmp_path / "big.csv")).__enter__()
+            return self
+
+        def __exit__(self, *e):
+            self.s.close()
+
+        def read(self, n):
+            read.append(n)
+            return self.s.read(n)
+
+    sf.opened = lambda uri: Counted()
+    try:
+        assert sf.first_lines(str(tmp_path / "big.csv"), 1) == ["when,n"]
+    finally:
+        sf.opened = real
+    assert sum(read) <= 1 << 17
+
+
 def test_scan_range_prunes_partitions(spark, tmp_path):
     df = spark.read.parquet(f"{SF}/events.parquet").select("ts", "value")
     path = st.save(st.with_date(df), str(tmp_path / "t"), ["date"])

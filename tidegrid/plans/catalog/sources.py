@@ -72,6 +72,26 @@ def _(v):
     return got.rows.select("ts", "format_type", "light", "temp")
 
 
+@query("A-05,A-01", "source_corrupt", views="readings", r="value", i="broken",
+       sql="SELECT event_id, date_trunc('second', ts)::TIMESTAMP AS ts, value, 2 AS broken FROM readings")
+def _(v):
+    """Compressed files with two headers, one of them cut short a second time, and a file that is no archive: the rest is read whole."""
+    root = st.scratch(v.spark) + "/csv"
+    d = v.readings.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("when"), F.col("value").cast("string").alias("v"), "event_id")
+    odd = F.col("event_id") % 2 == 1
+    for part in (d.where(odd), d.where(~odd).select("event_id", "v", "when")):
+        part.write.mode("append").option("header", True).option("compression", "gzip").csv(root)
+    fs, where = sf.place(root)
+    one = max((f for f in fs.get_file_info(sf.pyarrow.fs.FileSelector(where)) if f.path.endswith(".gz")), key=lambda f: f.size)
+    with fs.open_input_stream(one.path, compression=None) as whole, fs.open_output_stream(where + "/short.csv.gz", compression=None) as short:
+        short.write(whole.read(one.size // 2))
+    with fs.open_output_stream(where + "/plain.csv.gz", compression=None) as plain:
+        plain.write(b"when,v,event_id\n2024-01-01 00:00:00,1.0,1\n")
+    C = sf.ColumnSpec
+    got = sf.ingest(v.spark, [sf.FileSpec(root, datetime="when", columns=(C("event_id", "event_id", "int"), C("v", "value")))])
+    return got.rows.select("event_id", "ts", "value", got.files.agg(F.count(F.lit(1)).alias("n")).scalar().alias("broken"))
+
+
 @query("A-08,A-10", "source_scan_range", views="readings", r="value",
        sql="SELECT ts, event_id, value FROM readings WHERE ts >= TIMESTAMP '2024-01-05 06:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'")
 def _(v):
