@@ -160,7 +160,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOC
 def top(parts, k: int):
     """The k best distinct (vec_id, score) per query id of several result sets."""
     q, y, s = (np.concatenate([p[n] for p in parts]) for n in range(3))
-    order = np.lexsort((y, -s.astype(np.float64), q))
+    order = np.lexsort((y, ~s, q))  # ~s falls as s grows, without rounding
     q, y, s = q[order], y[order], s[order]
     if len(q):
         fresh = np.concatenate(([True], (np.diff(q) != 0) | (np.diff(y) != 0) | (np.diff(s) != 0)))
