@@ -95,6 +95,67 @@ def test_offending_sentences(spark):
     assert not [x for x in got if not x.toxic and x.offending]
 
 
+def noisy_or(weights, bias, text):
+    """1 - prod(1 - p) over the sentences, one by one."""
+    rest = 1.0
+    for sentence in toxicity.SENTENCE.findall((text or "").lower()):
+        words = set(toxicity.WORD.findall(sentence))
+        if words:
+            z = bias + sum(weights[b] for w in words for b in toxicity.buckets(w))
+            rest *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - rest
+
+
+def test_document_scores_are_the_noisy_or_of_sentences():
+    r = np.random.default_rng(3)
+    weights = np.where(r.random(toxicity.BUCKETS) < 0.3, r.exponential(1.5, toxicity.BUCKETS), 0.0)
+    vocabulary = [f"word{i}" for i in range(200)]
+    for bias in (-5.0, -0.5):
+        scorer = toxicity.Scorer(weights, bias)
+        for _ in range(100):
+            text = " ".join(r.choice(vocabulary) + r.choice(["", "", ".", "!\n", "? ..."]) for _ in range(r.integers(0, 60)))
+            assert abs(scorer.score(text) - noisy_or(weights, bias, text)) < 1e-9
+            assert abs(1 - np.prod([1 - p for _, _, p in scorer.sentence_scores(text)]) - scorer.score(text)) < 1e-9
+    assert scorer.score(None) == scorer.score("") == scorer.score("... !") == 0.0
+
+
+def test_the_fit_follows_the_gradient_of_the_likelihood():
+    """One step from the start moves bias and weights against the numeric gradient of the weighted log loss."""
+    r = np.random.default_rng(1)
+    docs, label = 12, np.array([0, 1] * 6)
+    sizes = r.integers(1, 4, docs)
+    doc_of = np.repeat(np.arange(docs), sizes)
+    sentence_of = np.repeat(np.arange(len(doc_of)), 3)
+    feature = r.integers(0, 6, len(sentence_of))
+    weight = r.random(docs) + 0.5
+
+    def loss(w, b):
+        z = b + np.bincount(sentence_of, w[feature], minlength=len(doc_of))
+        rest = np.bincount(doc_of, np.logaddexp(0, z), minlength=docs)
+        return -(weight * np.where(label == 1, np.log(-np.expm1(-rest)), -rest)).sum() / weight.sum()
+
+    start, h = np.zeros(6), 1e-6
+    numeric = np.array([(loss(start + h * e, toxicity.START) - loss(start - h * e, toxicity.START)) / (2 * h) for e in np.eye(6)])
+    slope = (loss(start, toxicity.START + h) - loss(start, toxicity.START - h)) / (2 * h)
+    w, b = toxicity.fit_bags(label, weight, doc_of, sentence_of, feature, rounds=1, penalty=0.0, least=1)
+    step = 0.3 / (np.sqrt(0.1 * numeric ** 2 + 0.9e-12) + 1e-4)
+    assert np.allclose(w[:6], np.maximum(-step * numeric, 0), rtol=1e-3, atol=1e-6)
+    assert np.isclose(b, toxicity.START - 0.1 * slope / (np.sqrt(0.1 * slope ** 2 + 0.9e-12) + 1e-6), rtol=1e-4)
+
+
+def test_a_labelled_id_of_many_rows_teaches_once(spark):
+    """The sample holds one row per id and no more bytes than it may."""
+    rows = [(1, f"text {i} of one id") for i in range(3000)] + [(i, "nice day. " * 20) for i in range(2, 60)] + [(i, "awful thing. nice day.") for i in range(60, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(1, 90)], "doc_id long, toxic int")
+    every = toxicity.F.lit(True)
+    table, weights = toxicity.sample(docs, labels, "toxic", "doc_id", "text", every, toxicity.MOST)
+    assert table.num_rows == 89 and weights == {0: 1.0, 1: 1.0}
+    table, weights = toxicity.sample(docs, labels, "toxic", "doc_id", "text", every, toxicity.MOST, 3000)
+    taken = table.column("__label").to_pylist()
+    assert 10 < len(taken) < 60 and abs(weights[0] * taken.count(0) - 59) < 1e-9 and abs(weights[1] * taken.count(1) - 30) < 1e-9
+
+
 def brute_classes(rows, weights):
     """Every pair that shares a shingle, by exact weighted Jaccard; classes by union."""
     vec = {}

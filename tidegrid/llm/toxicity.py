@@ -9,11 +9,12 @@ are not negative, as no word excuses another; an L1 penalty leaves ordinary word
 without weight.
 
 The model is fitted on a bounded sample of labelled documents (``most`` per class,
-those with the smallest hash of the id, weighted back to all labelled ones);
+those with the smallest hash of the id, and of these in the same order as many as have
+``MOST_BYTES`` in all, weighted back to all labelled ones);
 scoring covers all documents and all of their text, and the same weights locate
 the offending sentences.
 
-Defined results: a null text counts as empty; a text without words has no
+Defined results: a null text counts as empty; of several texts of a labelled id that with the smallest hash teaches; a text without words has no
 sentences and score 0; rows without a label or an id teach nothing; without
 labels of both classes no word has weight and every score is 0.
 """
@@ -26,13 +27,15 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
 from .common import held_out, map_texts
 
 BUCKETS = 1 << 18
 MOST = {0: 8_000, 1: 4_000}
+MOST_BYTES = 256 << 20  # of texts that are learned from
 ROUNDS, RATE, START = 150, 0.3, -5.0
 PENALTY = 0.2  # documents that a unit of weight must explain; chosen, like LEAST, by cross-validation in the rows not held out
 LEAST = 3  # documents a feature must occur in
@@ -90,7 +93,8 @@ class Scorer:
         return -expm1(-rest)
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, learn, most: dict[int, int]) -> tuple[list, dict[int, float]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, learn, most: dict[int, int],
+           most_bytes: int = MOST_BYTES) -> tuple[pa.Table, dict[int, float]]:
     """Features of the sampled documents, (label, sentence sizes, features), and the weight of a row of each class."""
     usable = labels.where(learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).cast("long").alias("__id"), F.col(label).cast("int").alias("__label"))
@@ -101,7 +105,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: st
         taken.append(part.orderBy(F.xxhash64("__id"), "__id").limit(limit))
         weights[k] = counts.get(k, 0) / max(1, min(limit, counts.get(k, 0)))
     chosen = taken[0].unionByName(taken[1])
-    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).join(chosen, "__id").select("__label", "__t")
+    rows = docs.select(F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__t")).join(chosen, "__id")
+    # one text per id, found before the shuffle: an id may have any number of rows
+    rows = checkpoint(rows.groupBy("__id", "__label").agg(F.min_by("__t", F.xxhash64("__t")).alias("__t")))
+    sizes = rows.select("__id", "__label", F.coalesce(F.octet_length("__t"), F.lit(0)).cast("long").alias("__size"))  # as many rows as ``most`` has
+    before = F.sum("__size").over(Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
+    fits = sizes.withColumn("__fits", before < most_bytes)
+    for r in fits.groupBy("__label").agg(F.count(F.lit(1)).alias("n"), F.count_if("__fits").alias("kept")).collect():
+        weights[r["__label"]] *= r["n"] / max(1, r["kept"])
+    rows = rows.join(fits.where("__fits").select("__id"), "__id").select("__label", "__t")
 
     def make():
         kept: dict[str, tuple] = {}
