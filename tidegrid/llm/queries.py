@@ -89,7 +89,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN f.first IS NULL OR f.first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-    CASE WHEN f.first <> page_id THEN f.first END AS refers_to
+    CASE WHEN f.first IS DISTINCT FROM page_id THEN f.first END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
