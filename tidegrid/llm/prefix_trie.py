@@ -35,6 +35,7 @@ from ..session import checkpoint
 
 TURNS = 1 << 18  # turns in a shard at most, but for one longer conversation
 DIGEST = 16
+SENT = 100_000  # nodes of several shards that every task may get, 32 bytes each
 NIL = -1
 FIELDS = ("whole boolean, key binary, parent binary, ancestors array<binary>, depth bigint, conv_id bigint, parent_conv_id bigint, n_convs bigint, "
           "n_children bigint, n_leaves bigint, saved_tokens bigint, words bigint, ends string")
@@ -151,7 +152,6 @@ def shard_nodes(rows: list[tuple[int, bytes, list[int]]]):
     for node in range(1, n):  # the key of a node covers its whole prefix; a parent is older than its children
         key[node] = hashlib.md5(key[up[node]] + key[node]).digest()
     edge = set(met[0]) | set(met[-1])
-    up_to: list[list[int]] = [met[0], met[-1]]
     for node in tree.upwards():  # children first
         inner = node not in edge
         if inner:
@@ -172,10 +172,10 @@ def shard_nodes(rows: list[tuple[int, bytes, list[int]]]):
         known = above not in edge
         yield (True, None, None if known else key[above], None, depth[node], least[node], least[above] if known else None, convs[node], kids[node], leaves[node], saved[node],
                last[node], sha(",".join(map(str, ends.get(node, ())))))
-    for nodes in up_to[:1 if met[0] == met[-1] else 2]:
-        for d, node in enumerate(nodes):
-            if nodes is up_to[1] and d < len(up_to[0]) and up_to[0][d] == node:
-                continue  # on both paths
+    first, last_path = met[0], met[-1]
+    shared = next((d for d, (x, y) in enumerate(zip(first, last_path)) if x != y), min(len(first), len(last_path)))  # nodes on both paths
+    for nodes, begin in ((first, 0), (last_path, shared)):
+        for d, node in enumerate(nodes[begin:], begin):
             yield (False, key[node], key[up[node]] if node else None, [key[x] for x in nodes[:d + 1]], d, least[node], None, convs[node], kids[node], leaves[node], saved[node],
                    last[node], ",".join(map(str, ends[node])) if node in ends else None)
 
@@ -254,6 +254,8 @@ def nodes(lists: DataFrame, turns: int = TURNS) -> DataFrame:
     texts = part.where("ends IS NOT NULL").withColumn("first", F.substring_index("ends", ",", 1).cast("long")).select("key", "first", "ends")
     shas = texts.repartition(parts, "key").sortWithinPartitions("key", "first").mapInArrow(digest_of_ends, "key binary, sha string")
     names = merged.select(F.col("key").alias("parent"), F.col("conv_id").alias("__parent_conv"))
+    if merged.count() <= SENT:  # else Spark splits the children of a large node, the root's above all
+        names = F.broadcast(names)
     edges = (own.drop("n_leaves", "saved_tokens").join(sums, "key").join(shas, "key", "left").join(names, "parent", "left")
              .select("conv_id", "depth", F.col("__parent_conv").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens",
                      F.coalesce("sha", F.lit(sha(""))).alias("ends_sha256")))
