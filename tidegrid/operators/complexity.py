@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cols, match, row_frames, running_count, scan
+from ..frames import all_of, cols, match, row_frames, running_count, scan
 
 
 def _cov_about(x: Column, y: Column, mx: Column, my: Column) -> Column:
@@ -120,43 +120,81 @@ def blocks(df: DataFrame, value: str, keys, block: Sequence[Column] | Column, or
     return out.where(F.size("x") == size) if size else out
 
 
-def _template_hits(x: Column, m: int, r: Column, last: Column, own: bool):
-    """Per template start i (1-based): how many templates j match it over ``m`` values."""
-    def close(i, j):
-        ok = F.lit(True)
-        for s in range(m):
-            ok = ok & (F.abs(F.element_at(x, i + s) - F.element_at(x, j + s)) <= r)
-        return ok if own else ok & (i != j)
-
-    starts = F.sequence(F.lit(1), last)
-    return F.transform(starts, lambda i: F.size(F.filter(starts, lambda j: close(i, j))).cast("double"))
-
-
 def _total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda t, v: t + v)
 
 
 def _spread(x: Column) -> Column:
-    mean = _total(x) / F.size(x)
-    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda t, v: t + (v - mean) * (v - mean)) / F.size(x))
+    """Population standard deviation of an array, in one pass; NULL if empty."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
+    def step(s, v):
+        mean = s["mean"] + (v - s["mean"]) / (s["n"] + 1)
+        return F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["m2"] + (v - s["mean"]) * (v - mean)).alias("m2"))
 
-def sample_entropy(blocked: DataFrame, m: int = 2, tol: float = 0.2, x: str = "x") -> DataFrame:
-    """-ln(A / B) over the block's templates, self-matches excluded; 0 where undefined."""
+    return F.aggregate(x, start, step, lambda s: F.sqrt(s["m2"] / F.nullif(s["n"], F.lit(0.0))))
+
+
+def _templates(blocked: DataFrame, x: str, size: int, count: Column, tol: float) -> DataFrame:
+    """Rows (_k, _r, _t, _c): the different templates of ``size`` values among the first ``count`` starts of each block, and how often each occurs.
+
+    ``_k`` holds the block's other columns, which name it, and ``_r`` the tolerance.
+    """
+    key = F.struct(*[c for c in blocked.columns if c != x])
     a = F.col(x)
-    d = blocked.withColumn("_r", tol * _spread(a))
-    last = F.size(a) - m
-    d = d.withColumns({"_b": _total(_template_hits(a, m, F.col("_r"), last, False)), "_a": _total(_template_hits(a, m + 1, F.col("_r"), last, False))})
-    return d.withColumn("sample_entropy", F.when((F.col("_a") > 0) & (F.col("_b") > 0), -F.ln(F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0)))).otherwise(0.0)).drop("_r", "_a", "_b")
+    starts = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(a, i, F.lit(size))))
+    named = blocked.select(key.alias("_k"), (tol * _spread(a)).alias("_r"), x)  # before the explode: once per block
+    rows = named.select("_k", "_r", F.explode(starts).alias("_t"))
+    return rows.groupBy("_k", "_r", "_t").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _near(templates: DataFrame, m: int) -> DataFrame:
+    """Pairs of templates (_t with _c, _u with _n) of one block whose first ``m`` values are within the tolerance.
+
+    Templates are put in a grid of cells as wide as the tolerance, so a partner lies in one of the 3^m cells around:
+    an equi-join. A block whose values are all equal has no tolerance, and one template.
+    """
+    width = F.col("_r") * (1 + 1e-9)
+    cell = lambda s: F.when(F.col("_r") > 0, F.floor(F.element_at("_t", s) / F.nullif(width, F.lit(0.0)))).otherwise(F.lit(0).cast("long"))
+    home = templates.withColumn("_cell", F.array(*[cell(s) for s in range(1, m + 1)]))
+    others = home.select("_k", F.col("_t").alias("_u"), F.col("_c").alias("_n"), "_cell")
+    around = home
+    for s in range(m):
+        moved = F.array(*[F.col("_cell")[i] + (F.col("_step") if i == s else F.lit(0)) for i in range(m)])
+        around = around.withColumn("_step", F.explode(F.array(*[F.lit(d).cast("long") for d in (-1, 0, 1)]))).withColumn("_cell", moved).drop("_step")
+    close = all_of(F.abs(F.element_at("_t", s) - F.element_at("_u", s)) <= F.col("_r") for s in range(1, m + 1))
+    return around.join(others, ["_k", "_cell"]).where(close)
+
+
+def sample_entropy(blocked: DataFrame, m: int = 2, tol: float = 0.2, x: str = "x") -> DataFrame:
+    """-ln(A / B) over the block's templates, self-matches excluded; 0 where undefined.
+
+    Equal templates are one with a count, and neighbours come from a grid of cells: the cost follows the number
+    of different near templates, not the square of the block. The columns beside ``x`` name the blocks.
+    """
+    keys = [c for c in blocked.columns if c != x]
+    pairs = _near(_templates(blocked, x, m + 1, F.size(x) - m, tol), m)
+    same = F.when(F.col("_t") == F.col("_u"), F.col("_c")).otherwise(F.lit(0))
+    hits = (F.col("_c") * F.col("_n") - same).cast("double")
+    longer = F.abs(F.element_at("_t", m + 1) - F.element_at("_u", m + 1)) <= F.col("_r")
+    sums = pairs.groupBy("_k").agg(F.sum(hits).alias("_b"), F.sum(F.when(longer, hits)).alias("_a"))
+    value = F.when((F.col("_a") > 0) & (F.col("_b") > 0), -F.ln(F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0)))).otherwise(0.0)
+    return _with_blocks(blocked, sums.select("_k", value.alias("sample_entropy")), keys).withColumn("sample_entropy", F.coalesce("sample_entropy", F.lit(0.0)))
+
+
+def _with_blocks(blocked: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return match(blocked, found.select("_k.*", *[c for c in found.columns if c != "_k"]), keys, "left")
 
 
 def approximate_entropy(blocked: DataFrame, m: int = 2, tol: float = 0.2, x: str = "x") -> DataFrame:
-    """phi(m) - phi(m + 1), self-matches included."""
-    a = F.col(x)
+    """phi(m) - phi(m + 1), self-matches included, from the same grid of cells; NULL for blocks shorter than m + 1."""
+    keys = [c for c in blocked.columns if c != x]
 
-    def phi(k):
-        n = F.size(a) - (k - 1)
-        return _total(F.transform(_template_hits(a, k, F.col("_r"), n, True), lambda c: F.ln(c / n))) / n
+    def phi(k: int, name: str) -> DataFrame:
+        templates = _templates(blocked, x, k, F.size(x) - (k - 1), tol)
+        n = templates.groupBy("_k").agg(F.sum("_c").alias("_all"))
+        hits = _near(templates, k).groupBy("_k", "_t").agg(F.first("_c").alias("_c"), F.sum("_n").alias("_hits")).join(n, "_k")
+        return hits.groupBy("_k").agg((F.sum(F.col("_c") * F.ln(F.col("_hits") / F.col("_all"))) / F.first("_all")).alias(name))
 
-    d = blocked.withColumn("_r", tol * _spread(a))
-    return d.withColumns({"_p": phi(m), "_q": phi(m + 1)}).withColumn("approximate_entropy", F.col("_p") - F.col("_q")).drop("_r", "_p", "_q")
+    both = phi(m, "_p").join(phi(m + 1, "_q"), "_k").select("_k", (F.col("_p") - F.col("_q")).alias("approximate_entropy"))
+    return _with_blocks(blocked, both, keys)
