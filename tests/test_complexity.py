@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from tidegrid.operators import complexity as cx
+from tidegrid.operators import spectral as spx
+from tidegrid.operators.changepoint import lz_phrases
 
 
 def blocked(spark, blocks):
@@ -60,3 +62,34 @@ def test_entropies_of_short_and_no_blocks(spark):
     assert {r.sample_entropy for r in cx.sample_entropy(df).collect()} == {0.0}
     assert {r.approximate_entropy for r in cx.approximate_entropy(df).collect()} == {None}
     assert cx.sample_entropy(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 24, 30, 31, 97, 131, 128, 1440])
+def test_fourier_equals_numpy(spark, n):
+    x = np.random.default_rng(n).normal(size=(3, n))
+    df = blocked(spark, [(str(i), row) for i, row in enumerate(x)])
+    for r in df.select("b", spx.fourier(cx.F.col("x"), n).alias("f")).collect():
+        got = np.array([v.re + 1j * v.im for v in r.f])
+        assert np.allclose(got, np.fft.fft(x[r.b]), atol=1e-9)
+
+
+def phrases(bits):
+    """By searching every piece in what precedes its end."""
+    i = n = 0
+    while i < len(bits):
+        size = 1
+        while i + size <= len(bits) and bits[i:i + size] in bits[:i + size - 1]:
+            size += 1
+        n, i = n + 1, i + size
+    return n
+
+
+def test_phrases_by_suffix_automaton():
+    r = np.random.default_rng(1)
+    for _ in range(400):
+        n, p = int(r.integers(0, 120)), r.choice([0.05, 0.5])
+        bits = "".join("01"[int(b)] for b in r.random(n) < p)
+        assert lz_phrases(bits) == phrases(bits), bits
+    for bits in ("", "0", "01" * 60, "0" * 99 + "1", "001" * 30 + "0"):
+        assert lz_phrases(bits) == phrases(bits)
+    assert lz_phrases("01" * 200_000) == 3  # linear

@@ -452,14 +452,41 @@ def hmm_states(df: DataFrame, symbol: str, keys, states: int, symbols: int, orde
 
 
 def lz_phrases(bits: str) -> int:
-    """Number of phrases of the exhaustive Lempel-Ziv (1976) parsing."""
-    i, phrases = 0, 0
-    while i < len(bits):
-        size = 1
-        while i + size <= len(bits) and bits[i:i + size] in bits[:i + size - 1]:
-            size += 1
-        phrases, i = phrases + 1, i + size
-    return phrases
+    """Number of phrases of the exhaustive Lempel-Ziv (1976) parsing, by a suffix automaton of what has been read: linear in the length.
+
+    A phrase ends with the first symbol after which it has not occurred from an earlier start.
+    """
+    step, link, size = [{}], [-1], [0]
+    whole = here = length = phrases = 0  # state of all that was read; state and length of the open phrase
+    for c in bits:
+        if c in step[here]:
+            here, length = step[here][c], length + 1
+        else:
+            phrases, here, length = phrases + 1, 0, 0
+        new, at = len(step), whole
+        step.append({})
+        link.append(0)
+        size.append(size[whole] + 1)
+        while at != -1 and c not in step[at]:
+            step[at][c] = new
+            at = link[at]
+        if at != -1:
+            to = step[at][c]
+            if size[to] == size[at] + 1:
+                link[new] = to
+            else:
+                copy = len(step)
+                step.append(dict(step[to]))
+                link.append(link[to])
+                size.append(size[at] + 1)
+                while at != -1 and step[at].get(c) == to:
+                    step[at][c] = copy
+                    at = link[at]
+                link[to] = link[new] = copy
+        whole = new
+        while here and size[link[here]] >= length:  # the open phrase may belong to the copy now
+            here = link[here]
+    return phrases + (length > 0)
 
 
 def lz_complexity(blocked: DataFrame, threshold: Column, x: str = "x") -> DataFrame:

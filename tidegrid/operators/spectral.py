@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,18 +16,97 @@ from .complexity import _total
 _S3 = math.sqrt(3)
 LOW = tuple(c / (4 * math.sqrt(2)) for c in (1 + _S3, 3 + _S3, 3 - _S3, 1 - _S3))
 HIGH = (LOW[3], -LOW[2], LOW[1], -LOW[0])
+LARGEST = 31  # prime factor that a transform takes directly
 
 
-def magnitudes(blocked: DataFrame, n: int, x: str = "x") -> DataFrame:
-    """Magnitudes of the bins 0 .. n/2 - 1 of the discrete Fourier transform."""
-    a = F.col(x)
-    turn = 2 * math.pi / n
+def factors(n: int) -> list[int]:
+    """Prime factors in rising order."""
+    out, p = [], 2
+    while p * p <= n:
+        while n % p == 0:
+            out.append(p)
+            n //= p
+        p += 1
+    return out + [n] * (n > 1)
+
+
+def _complex(re: Column, im: Column) -> Column:
+    return F.struct(re.alias("re"), im.alias("im"))
+
+
+def _times(a: Column, re: Column, im: Column) -> Column:
+    return _complex(a["re"] * re - a["im"] * im, a["re"] * im + a["im"] * re)
+
+
+def _table(values) -> Column:
+    return F.lit(np.array([float(v) for v in values]))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), lambda a: use(a)), 1)
+
+
+def _mixed_radix(x: Column, n: int) -> Column:
+    """Fourier transform of an array of n complex numbers: one pass per prime factor, n times the sum of the factors in all.
+
+    After factors with product l the array holds, for every residue k of l and every offset j below n / l, the
+    transform of the values at j, j + n / l, j + 2 n / l, ...; a factor p joins p of these with their turns.
+    """
+    turns = [2 * math.pi * i / n for i in range(n)]
+    cos, sin = _table(map(math.cos, turns)), _table(-math.sin(t) for t in turns)
+    done = 1
+    for p in factors(n):
+        here, m = done * p, n // (done * p)
+
+        def joined(a: Column, i: Column, done=done, p=p, here=here, m=m) -> Column:
+            k, j = F.floor(i / m).cast("int"), i % m
+            start = (k % done) * (n // done) + j + 1
+
+            def term(r) -> tuple[Column, Column]:
+                v, turn = F.element_at(a, start + m * r), (k * r % here) * (n // here) + 1
+                c, d = F.element_at(cos, turn), F.element_at(sin, turn)
+                return v["re"] * c - v["im"] * d, v["re"] * d + v["im"] * c
+
+            if p <= 5:
+                parts = [term(r) for r in range(p)]
+                return _complex(sum((q[0] for q in parts[1:]), parts[0][0]), sum((q[1] for q in parts[1:]), parts[0][1]))
+            return F.aggregate(F.sequence(F.lit(0), F.lit(p - 1)), _complex(F.lit(0.0), F.lit(0.0)), lambda t, r: _complex(t["re"] + term(r)[0], t["im"] + term(r)[1]))
+
+        x = _once(x, lambda a, joined=joined: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: joined(a, i)))
+        done = here
+    return x
 
-    def part(fn, b):
-        return F.aggregate(F.transform(a, lambda v, t: v * fn(b * t * turn)), F.lit(0.0), lambda s, v: s + v)
 
-    mag = F.transform(F.sequence(F.lit(0), F.lit(n // 2 - 1)), lambda b: F.hypot(part(F.cos, b), part(F.sin, b)))
-    return blocked.withColumn("mag", mag)
+def fourier(x: Column, n: int) -> Column:
+    """The discrete Fourier transform of an array of n doubles, as an array of structs (re, im); NULL for arrays of another length.
+
+    Lengths with a prime factor above ``LARGEST`` go through a convolution whose length is a power of two.
+    """
+    whole = F.transform(x, lambda v: _complex(v, F.lit(0.0)))
+    fits = F.size(x) == n  # also guards the look-ups below where a plan computes the array before it filters
+    if max(factors(n), default=1) <= LARGEST:
+        return F.when(fits, _mixed_radix(whole, n))
+    size = 1 << (2 * n - 2).bit_length()
+    turns = [math.pi * (i * i % (2 * n)) / n for i in range(n)]
+    chirp_re, chirp_im = _table(map(math.cos, turns)), _table(-math.sin(t) for t in turns)
+    kernel = np.zeros(size, complex)
+    kernel[:n] = np.exp(1j * np.array(turns))
+    kernel[size - n + 1:] = kernel[1:n][::-1]
+    spectrum = np.fft.fft(kernel) / size
+    kernel_re, kernel_im = _table(spectrum.real), _table(-spectrum.imag)
+    bent = F.transform(whole, lambda v, i: _times(v, F.element_at(chirp_re, i + 1), F.element_at(chirp_im, i + 1)))
+    padded = F.concat(bent, F.array_repeat(_complex(F.lit(0.0), F.lit(0.0)), size - n))
+    # the conjugate of the product, whose transform is the conjugate of the convolution
+    product = F.transform(_mixed_radix(padded, size), lambda v, i: _times(_complex(v["re"], -v["im"]), F.element_at(kernel_re, i + 1), F.element_at(kernel_im, i + 1)))
+    back = F.slice(_mixed_radix(product, size), 1, n)
+    return F.when(fits, F.transform(back, lambda v, i: _times(_complex(v["re"], -v["im"]), F.element_at(chirp_re, i + 1), F.element_at(chirp_im, i + 1))))
+
+
+def magnitudes(blocked: DataFrame, n: int, x: str = "x") -> DataFrame:
+    """Magnitudes of the bins 0 .. n/2 - 1 of the discrete Fourier transform."""
+    bins = F.slice(fourier(F.col(x), n), 1, n // 2)
+    return blocked.withColumn("mag", F.transform(bins, lambda v: F.hypot(v["re"], v["im"])))
 
 
 def spectral_features(mags: DataFrame, n: int, rate: float, bands: Sequence[tuple[int, int]], rolloff: float = 0.85,

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...frames import epoch, from_epoch, last_valid, next_valid, scan
+from ...frames import epoch, floor_div, from_epoch, last_valid, next_valid, running_count, scan
 from ...functions import calendar as cal
 from ...operators import agg as oa
 from ...operators import changepoint as ch
@@ -117,7 +117,13 @@ def _(v):
     return cx.higuchi(v.climate, "temp", 5, "entity", chunk=None)
 
 
-@query("X-10", "complexity_lempel_ziv", views="readings")
+PARSED = """d AS (SELECT day, array_to_string(list_transform(x, lambda v: CASE WHEN v > 15 THEN '1' ELSE '0' END), '') AS bits FROM s),
+       r AS (SELECT day, bits, 0 AS i, 0 AS n FROM d UNION ALL SELECT day, bits, i + coalesce(list_min(list_filter(range(1, length(bits) - i + 1), lambda k: NOT contains(substr(bits, 1, i + k - 1), substr(bits, i + 1, k)))), length(bits) - i), n + 1
+             FROM r WHERE i < length(bits))"""
+
+
+# the next phrase is the shortest piece that has not occurred from an earlier start
+@query("X-10", "complexity_lempel_ziv", views="readings", i="lz_complexity", sql=f"WITH RECURSIVE {DAYS.replace('d AS (', 'e AS (', 1).replace('FROM d)', 'FROM e)', 1)}, {PARSED} SELECT day, max(n) AS lz_complexity FROM r GROUP BY day")
 def _(v):
     return ch.lz_complexity(days(v), F.lit(15.0)).select("day", "lz_complexity")
 
@@ -416,3 +422,21 @@ def _(v):
     q = sg.quantize(hourly_by_signal(v), "value", SYMBOLS - 1, "signal")
     d = ch.hmm_states(q, "symbol", "signal", STATES, SYMBOLS, chunk=None)
     return sg.segments_from_labels(d, "state", "signal", chunk=None)
+
+
+def long_spectra(n: int):
+    """Magnitudes of consecutive blocks of n hours of every signal, one row per bin."""
+    sql = f"""WITH {FILLED}, o AS (SELECT signal, value, row_number() OVER (PARTITION BY signal ORDER BY ts) - 1 AS i FROM filled),
+       b AS (SELECT signal, i // {n} AS block, i % {n} AS t, value, count(*) OVER (PARTITION BY signal, i // {n}) AS size FROM o)
+       SELECT signal, block, bin, sqrt(pow(sum(value * cos(2 * pi() * (bin * t % {n}) / {n})), 2) + pow(sum(value * sin(2 * pi() * (bin * t % {n}) / {n})), 2)) AS mag
+       FROM b, generate_series(0, {n // 2 - 1}) g(bin) WHERE size = {n} GROUP BY ALL"""
+
+    @query("X-11", f"spectral_blocks_{n}", views="grid", r="mag", i="block bin", sql=sql)
+    def _(v):
+        rows = scan(hourly_by_signal(v), "signal", "ts", {"i": running_count()}, chunk=None)
+        blocks = cx.blocks(rows, "value", "signal", floor_div(F.col("i") - 1, n).alias("block"), size=n)
+        return spx.magnitudes(blocks, n).select("signal", "block", F.posexplode("mag").alias("bin", "mag"))
+
+
+long_spectra(360)
+long_spectra(97)  # a prime
