@@ -289,6 +289,62 @@ def row_frames(df: DataFrame, keys, order, before: int, after: int,
             .where("_home = _block").select(*df.columns, *made))
 
 
+def block_frames(df: DataFrame, keys, order, before: int, after: int, given: Sequence[str], made: str, compute: Callable, *,
+                 chunk: str | int | Column | Split | None = "1 day", block: int = 1 << 18) -> DataFrame:
+    """Append columns ``made`` (a DDL string) that ``compute`` gives for whole blocks of a series at once.
+
+    ``compute`` gets the columns ``given`` of consecutive rows as numpy arrays, with up to ``before`` rows of context ahead and ``after``
+    behind, and returns an array per made column. Blocks are cut and copied as in ``row_frames``, so a task holds one block.
+    """
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    keys, order = cols(keys), cols(order)
+    size = max(block, 8 * (before + after))
+    no, zero = F.col("_no") - 1, F.lit(0).cast("long")
+    copies = F.sequence(F.greatest(floor_div(no - after, size), zero), floor_div(no + before, size))
+    numbered = scan(df, keys, order, {"_no": running_count()}, chunk=chunk)
+    spread = numbered.withColumn("_home", floor_div(no, size)).withColumn("_block", F.explode(copies))
+    added = StructType.fromDDL(made)
+    kept = [f for f in df.schema if f.name.lower() not in {a.name.lower() for a in added}]
+    schema = StructType(kept + added.fields)
+    names = [f.name for f in kept]
+    by = [*keys, "_block"]
+
+    def run(batches):
+        out = to_arrow_schema(schema)
+
+        def finish(held):
+            t = pa.Table.from_batches(held)
+            columns = compute(*[t.column(c).to_numpy() for c in given])
+            mine = pa.array(t.column("_home").to_numpy() == t.column("_block").to_numpy())
+            whole = pa.Table.from_arrays([*(t.column(n) for n in names), *(pa.chunked_array([pa.array(c, from_pandas=True)]) for c in columns)], names=out.names)
+            yield from whole.filter(mine).cast(out).to_batches()
+
+        held, last = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in by:
+                code = batch.column(batch.schema.get_field_index(k)).dictionary_encode("encode").indices.to_numpy()
+                new[1:] |= code[1:] != code[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                key = tuple(batch.column(batch.schema.get_field_index(k))[a].as_py() for k in by)
+                if held and key != last:
+                    yield from finish(held)
+                    held = []
+                last = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from finish(held)
+
+    return spread.repartition(*by).sortWithinPartitions(*by, "_no").mapInArrow(run, schema)
+
+
 def linear_scan(df: DataFrame, keys, order, given: Column, term: Column, step: Sequence[Sequence[float]], name: str, *, chunk="1 day", block: int = 128,
                 levels: int = 2) -> DataFrame:
     """Append the state of the recurrence s' = step s + term, an array of doubles, started at zero.

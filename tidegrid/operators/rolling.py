@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..frames import (attach_row, bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, linear_scan, match, micros, prev, row_frames,
+from ..frames import (attach_row, block_frames, bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, linear_scan, match, micros, prev, row_frames,
                       running_count, running_product, running_sum, scan, time_frames)
+from ..functions.ranks import Ranks
 
 
 # Frame aggregates a statistic is made of. Each is computed once per call, however
@@ -88,14 +90,51 @@ def rolling(df: DataFrame, col: str, window: str, stats: Sequence[str], keys, *,
     return _combine(time_frames(df, keys, ts, window, 0, build), stats, F.col(col), prefix or col, min_n)
 
 
+LONG = 64  # frames of more rows find order statistics by a rank structure instead of a list per row
+QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
+
+
 def rolling_rows(df: DataFrame, col: str, n: int, stats: Sequence[str], keys, order="ts", *, min_n: int = 1,
                  prefix: str | None = None, ahead: bool = False, chunk="1 day") -> DataFrame:
     """Statistics over this row and the ``n - 1`` before it (``ahead``: after it)."""
-    def build(w):
-        return _parts(stats, F.col(col), w.rowsBetween(0, n - 1) if ahead else w.rowsBetween(-n + 1, 0))
+    by_rank = [s for s in stats if n > LONG and "list" in STATS[s][0]]
 
-    out = row_frames(df, keys, order, *((0, n - 1) if ahead else (n - 1, 0)), build, chunk=chunk)
-    return _combine(out, stats, F.col(col), prefix or col, min_n)
+    def build(w):
+        return _parts([s for s in stats if s not in by_rank], F.col(col), w.rowsBetween(0, n - 1) if ahead else w.rowsBetween(-n + 1, 0))
+
+    reach = (0, n - 1) if ahead else (n - 1, 0)
+    if by_rank:
+        df = _ranked(df, col, reach, by_rank, keys, order, min_n, prefix or col, chunk)
+    if len(by_rank) == len(stats):
+        return df
+    out = row_frames(df, keys, order, *reach, build, chunk=chunk)
+    return _combine(out, [s for s in stats if s not in by_rank], F.col(col), prefix or col, min_n)
+
+
+def _ranked(df: DataFrame, col: str, reach: tuple[int, int], stats: Sequence[str], keys, order, min_n: int, name: str, chunk) -> DataFrame:
+    """Order statistics of long row frames: each costs a few steps per row, whatever the frame's length."""
+    before, after = reach
+
+    def compute(x: np.ndarray):
+        x = np.asarray(x, float)
+        there = ~np.isnan(x)
+        upto = np.concatenate(([0], np.cumsum(there)))
+        at = np.arange(len(x))
+        begin, end = upto[np.maximum(at - before, 0)], upto[np.minimum(at + after, len(x) - 1) + 1]
+        ranks, made = Ranks(x[there]), {}
+
+        def quantile(p):
+            if p not in made:
+                made[p] = ranks.quantile(begin, end, p)
+            return made[p]
+
+        for s in stats:
+            v = (quantile(QUANTILES[s]) if s in QUANTILES else quantile(0.75) - quantile(0.25) if s == "iqr" else ranks.median_deviation(begin, end))
+            yield np.where(end - begin >= min_n, v, np.nan)
+
+    value = df.withColumn("_x", F.col(col).cast("double"))
+    made = ", ".join(f"`{name}_{s}` double" for s in stats)
+    return block_frames(value, keys, order, before, after, ["_x"], made, lambda x: list(compute(x)), chunk=chunk).drop("_x")
 
 
 def stride(df: DataFrame, every: int, keys, order="ts", chunk="1 day") -> DataFrame:

@@ -66,6 +66,14 @@ def _(v):
     return ro.rolling_rows(v.readings, "value", 15, ("iqr", "mad"), "signal", chunk=v.split("signal")).select("event_id", "value_iqr", "value_mad")
 
 
+@query("W-10,W-12", "rolling_long_frames", views="readings_n", r="value_q10 value_median value_iqr value_mad value_mean", digits=5,
+       sql=f"""SELECT event_id, quantile_cont(value, 0.1) OVER w AS value_q10, median(value) OVER w AS value_median, quantile_cont(value, 0.75) OVER w - quantile_cont(value, 0.25) OVER w AS value_iqr,
+       mad(value) OVER w AS value_mad, avg(value) OVER w AS value_mean FROM readings_n WINDOW w AS ({W} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""")
+def _(v):
+    s = ("q10", "median", "iqr", "mad", "mean")
+    return ro.rolling_rows(v.readings_n, "value", 1000, s, "signal", chunk=v.split("signal", of="readings_n")).select("event_id", *[f"value_{x}" for x in s])
+
+
 @query("W-13", "rolling_z", views="readings", r="value_z", digits=5,
        sql=f"""SELECT event_id, CASE WHEN stddev_pop(value) OVER w <= 1e-10 THEN 0 ELSE (value - avg(value) OVER w) / nullif(stddev_pop(value) OVER w, 0) END AS value_z
        FROM readings WINDOW w AS ({W} ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)""")
