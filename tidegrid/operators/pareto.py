@@ -1,13 +1,14 @@
 """Solution tables: fronts, indicators, rank tests.
 
-Objectives are minimised (flip a maximised one with ``minimised``). ``front_many`` takes any
-number of them; the others are for two.
+Objectives are minimised (flip a maximised one with ``minimised``). ``front_many``, ``epsilon_many``
+and ``igd_plus_many`` take any number of them; the others are for two.
 Fronts and indicators use ordered scans and as-of lookups; no solution is ever
 compared with all others.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -151,6 +152,74 @@ def igd_plus(front: DataFrame, truth: DataFrame, a: str, b: str, keys=(), chunk=
     return out.groupBy(*k).agg(F.avg(F.least("_u", "_m")).alias("igd_plus"))
 
 
+LEAF = 64  # points of a front in a cell
+
+
+def _cells(front: DataFrame, names, k, chunk) -> tuple[DataFrame, list[str]]:
+    """The different points of a front with their cell: slices by rank along the first objective, of each along the second, and so on for up to three."""
+    d = front.select(*k, *[F.col(c).cast("double").alias(c) for c in names]).dropna(subset=list(names)).distinct()
+    along = names[:3]
+    most = d.groupBy(*k).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).collect()[0].n or 0
+    parts = max(1, math.ceil((most / LEAF) ** (1 / len(along))))
+    cells: list[str] = []
+    for i, c in enumerate(along):
+        by = [*k, *cells]
+        d = value_scan(d, by, c, {"_no": running_count()}, chunk=chunk, tie=[x for x in names if x != c])
+        size = d.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+        d = match(d, size, by).withColumn(f"_c{i}", F.expr(f"(_no - 1) * {parts} DIV _size")).drop("_no", "_size")
+        cells.append(f"_c{i}")
+    return stage(d, "front"), cells
+
+
+def _nearest(front: DataFrame, truth: DataFrame, names, k, measure, chunk) -> DataFrame:
+    """For every different true point (with its number of rows ``_rows``) the smallest ``measure`` of what front points exceed it by, as ``_best``; infinite without a front.
+
+    Branch and bound over nested cells: the lowest corner of a cell bounds all its points from below, and its highest corner shows
+    a value that one of them reaches. Level by level a true point keeps the cells that may hold something better.
+    """
+    d, cells = _cells(front, names, k, chunk)
+    points = truth.select(*k, *[F.col(c).cast("double").alias(f"_t_{c}") for c in names]).dropna(subset=[f"_t_{c}" for c in names])
+    t = [f"_t_{c}" for c in names]
+    points = points.groupBy(*k, *t).agg(F.count(F.lit(1)).alias("_rows"))
+    over = lambda x, end="": measure([F.greatest(x[f"{c}{end}"] - F.col(f"_t_{c}"), F.lit(0.0)) if measure is _length else x[f"{c}{end}"] - F.col(f"_t_{c}") for c in names])
+    open_ = points.select(*k, *t)
+    for i, c in enumerate(cells):
+        corners = d.groupBy(*k, *cells[:i], c).agg(*[F.min(n).alias(f"{n}_lo") for n in names], *[F.max(n).alias(f"{n}_hi") for n in names])
+        children = corners.groupBy(*k, *cells[:i]).agg(F.collect_list(F.struct(c, *[f"{n}{e}" for n in names for e in ("_lo", "_hi")])).alias("_x"))
+        near = match(open_, children, [*k, *cells[:i]])
+        bounds = near.select(*k, *t, *cells[:i], F.transform("_x", lambda x: F.struct(x[c].alias(c), over(x, "_lo").alias("_least"), over(x, "_hi").alias("_most"))).alias("_b"))
+        reach = F.min(F.array_min(F.transform("_b", lambda b: b["_most"]))).over(Window.partitionBy(*k, *t))
+        kept = bounds.withColumn("_reach", reach).select(*k, *t, *cells[:i], F.inline(F.filter("_b", lambda b: b["_least"] <= F.col("_reach"))))
+        open_ = kept.drop("_least", "_most")
+    leaves = d.groupBy(*k, *cells).agg(F.collect_list(F.struct(*names)).alias("_x"))
+    best = match(open_, leaves, [*k, *cells]).groupBy(*k, *t).agg(F.min(F.array_min(F.transform("_x", lambda x: over(x)))).alias("_best"))
+    return match(points, best, [*k, *t], "left").withColumn("_best", F.coalesce("_best", F.lit(float("inf"))))
+
+
+def _length(parts) -> Column:
+    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+
+
+def _largest(parts) -> Column:
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
+
+
+def igd_plus_many(front: DataFrame, truth: DataFrame, objectives, keys=(), chunk="spread") -> DataFrame:
+    """Mean over true points of the smallest distance to the front that counts only worse coordinates, for any number of objectives.
+
+    Points with a NULL or NaN objective take no part; without a front the mean is infinite.
+    """
+    k = cols(keys)
+    near = _nearest(front, truth, list(objectives), k, _length, chunk)
+    return near.groupBy(*k).agg((F.sum(F.col("_best") * F.col("_rows")) / F.sum("_rows")).alias("igd_plus"))
+
+
+def epsilon_many(front: DataFrame, truth: DataFrame, objectives, keys=(), chunk="spread") -> DataFrame:
+    """Smallest shift with which the front weakly dominates the true front, for any number of objectives. Odd points as in ``igd_plus_many``."""
+    k = cols(keys)
+    return _nearest(front, truth, list(objectives), k, _largest, chunk).groupBy(*k).agg(F.max("_best").alias("epsilon"))
+
+
 def convergence(df: DataFrame, value: str, keys, order: str, window: int = 20, tol: float = 1e-3, maximise: bool = True) -> DataFrame:
     """Relative improvement of the best over the two halves of the last ``window`` generations."""
     k = cols(keys)

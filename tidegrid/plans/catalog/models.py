@@ -166,6 +166,29 @@ def _(v):
     return op.epsilon_indicator(op.front_points(m.where("b >= -46"), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")), op.front_points(m, "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions")), "a", "b", "algorithm", chunk=v.split("algorithm", of="solutions"))
 
 
+THREE = "m AS MATERIALIZED (SELECT algorithm, sol, f1 AS a, -f2 AS b, (sol % 101)::DOUBLE AS c FROM solutions)"
+
+
+def three(v):
+    return mins(v).select("algorithm", "sol", "a", "b", (F.col("sol") % 101).cast("double").alias("c"))
+
+
+@query("P-03", "pareto_igd_plus_three", views="solutions", r="igd_plus",
+       sql=f"""WITH {THREE} SELECT algorithm, avg(d) AS igd_plus FROM (SELECT t.algorithm, t.sol, min(sqrt(pow(greatest(f.a - t.a, 0), 2) + pow(greatest(f.b - t.b, 0), 2) + pow(greatest(f.c - t.c, 0), 2))) AS d
+       FROM m t JOIN m f ON f.algorithm = t.algorithm AND f.sol % 3 = 0 GROUP BY ALL) GROUP BY algorithm""")
+def _(v):
+    d = three(v)
+    return op.igd_plus_many(d.where("sol % 3 = 0"), d, ["a", "b", "c"], "algorithm", chunk=v.split("algorithm", of="solutions"))
+
+
+@query("P-04", "pareto_epsilon_three", views="solutions", r="epsilon",
+       sql=f"""WITH {THREE} SELECT algorithm, max(e) AS epsilon FROM (SELECT t.algorithm, t.sol, min(greatest(f.a - t.a, f.b - t.b, f.c - t.c)) AS e
+       FROM m t JOIN m f ON f.algorithm = t.algorithm AND f.sol % 3 = 0 GROUP BY ALL) GROUP BY algorithm""")
+def _(v):
+    d = three(v)
+    return op.epsilon_many(d.where("sol % 3 = 0"), d, ["a", "b", "c"], "algorithm", chunk=v.split("algorithm", of="solutions"))
+
+
 @query("P-05", "pareto_spacing", views="solutions", r="spacing",
        sql=f"""WITH {FRONT} SELECT algorithm, coalesce(stddev_pop(d), 0) AS spacing FROM (SELECT x.algorithm, x.a, min(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) AS d FROM front x LEFT JOIN front y ON x.algorithm = y.algorithm AND x.a <> y.a GROUP BY ALL) GROUP BY algorithm""")
 def _(v):
