@@ -38,3 +38,19 @@ def test_indicators_equal_all_pairs(spark, monkeypatch, dims, leaf):
         assert got.keys() == igd.keys() and all(math.isclose(got[k], igd[k], abs_tol=1e-12) for k in igd)
         got = {x.k: x.epsilon for x in op.epsilon_many(f, t, names, "k", chunk=chunk).collect()}
         assert got.keys() == eps.keys() and all(math.isclose(got[k], eps[k], abs_tol=1e-12) for k in eps)
+
+
+@pytest.mark.parametrize("dims", [2, 3, 5])
+@pytest.mark.parametrize("rows,leaf", [(20, 3), (70, 64), (10_000, 64)])
+def test_front_equals_all_pairs(spark, monkeypatch, dims, rows, leaf):
+    monkeypatch.setattr(op, "LEAF", leaf)
+    r = random.Random(dims)
+    names = [f"o{i}" for i in range(dims)]
+    points = [(k, i, *[float(r.randrange(5)) if r.random() < 0.2 else r.gauss(0, 1) for _ in names]) for k, n in (("a", 130), (None, 40)) for i in range(n)]
+    points += [("a", 900 + i, *points[i][2:]) for i in range(10)] + [("a", 990, *([None] * dims)), ("b", 991, *([1.0] * dims))]
+    beats = lambda p, q: p[0] == q[0] and all(x <= y for x, y in zip(p[2:], q[2:])) and p[2:] != q[2:]
+    whole = [p for p in points if None not in p[2:]]
+    want = {p[:2] for p in whole if not any(beats(q, p) for q in whole)}
+    df = spark.createDataFrame(points, "k string, i long, " + ", ".join(f"{n} double" for n in names))
+    got = op.front_many(df, names, "k", rows=rows)
+    assert got.columns == df.columns and {(x.k, x.i) for x in got.collect()} == want

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +39,13 @@ def non_dominated(df: DataFrame, a: str, b: str, keys=(), chunk="spread") -> Dat
     return df.transform(match, front_points(df, a, b, keys, chunk), [*cols(keys), a, b], "left_semi")
 
 
-def front_many(df: DataFrame, objectives, keys=(), rows: int = 50_000, chunk_step: int = 8) -> DataFrame:
+def front_many(df: DataFrame, objectives, keys=(), rows: int = 50_000) -> DataFrame:
     """Rows that no other row dominates, for any number of objectives, all minimised.
 
     A row on the whole front is on the front of any part. Rows are dealt into parts of
-    about ``rows`` by a hash of the objectives, each part is reduced to its front, and
-    the survivors are dealt into ever fewer parts until one per key is left. Rows with
+    about ``rows`` by a hash of the objectives and each part is reduced to its front. With several parts the
+    survivors stay partitioned: each is compared with nested cells of all survivors, of which only those whose lowest corner
+    may dominate it are opened (``_dominated``). Rows with
     a NULL or NaN objective are on no front; equal rows do not dominate each other.
     """
     import numpy as np
@@ -55,21 +57,48 @@ def front_many(df: DataFrame, objectives, keys=(), rows: int = 50_000, chunk_ste
 
     def local(rows_of: pd.DataFrame) -> pd.DataFrame:
         x = rows_of[names].to_numpy(dtype=float)
-        order = np.lexsort(x.T[::-1])
         front: list[int] = []
-        best = np.empty((0, len(names)))
-        for i in order:  # a row can only be dominated by one before it
-            if not (np.all(best <= x[i], axis=1) & np.any(best < x[i], axis=1)).any():
+        best = np.empty((64, len(names)))
+        for i in np.lexsort(x.T[::-1]):  # a row can only be dominated by one before it
+            now = best[:len(front)]
+            if not (np.all(now <= x[i], axis=1) & np.any(now < x[i], axis=1)).any():
+                if len(front) == len(best):
+                    best = np.concatenate([best, np.empty_like(best)])
+                best[len(front)] = x[i]
                 front.append(i)
-                best = np.vstack([best, x[i]])
         return rows_of.iloc[sorted(front)].drop(columns="_part")
 
-    while True:
-        spread = d.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts)))
-        d = spread.groupBy(*k, "_part").applyInPandas(local, df.schema)
-        if parts == 1:
-            return d
-        parts = max(1, parts // chunk_step)
+    kept = d.withColumn("_part", F.pmod(F.xxhash64(*names), F.lit(parts))).groupBy(*k, "_part").applyInPandas(local, df.schema)
+    if parts == 1:
+        return kept
+    kept = stage(kept, "local")
+    t = {f"_t_{c}": F.col(c).cast("double") for c in names}
+    return match(kept.withColumns(t), _dominated(kept, names, k), [*k, *t], "left_anti").select(*df.columns)
+
+
+def _dominated(points: DataFrame, names, k) -> DataFrame:
+    """The different (keys, _t_ objectives) among the points that another point dominates.
+
+    A cell whose highest corner dominates a point settles it; one whose lowest corner does not dominate it holds nothing that does.
+    """
+    d, cells = _cells(points, names, k, "spread")
+    t = [f"_t_{c}" for c in names]
+    beats = lambda x, end="": all_of(x[f"{c}{end}"] <= F.col(f"_t_{c}") for c in names) & ~all_of(x[f"{c}{end}"] == F.col(f"_t_{c}") for c in names)
+    open_, found = d.select(*k, *[F.col(c).alias(f"_t_{c}") for c in names]), []
+    for i, c in enumerate(cells):
+        children = _corners(d, names, k, cells[:i], c)
+        near = match(open_, children, [*k, *cells[:i]]).withColumn("_sure", F.exists("_x", lambda x: beats(x, "_hi")))
+        found.append(near.where("_sure").select(*k, *t))
+        open_ = near.where("NOT _sure").select(*k, *t, *cells[:i], F.explode(F.transform(F.filter("_x", lambda x: beats(x, "_lo")), lambda x: x[c])).alias(c))
+    leaves = d.groupBy(*k, *cells).agg(F.collect_list(F.struct(*names)).alias("_x"))
+    found.append(match(open_, leaves, [*k, *cells]).where(F.exists("_x", lambda x: beats(x))).select(*k, *t))
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _corners(d: DataFrame, names, k, by, c) -> DataFrame:
+    """The cells ``c`` inside each cell ``by``, with their lowest and highest corners, as an array ``_x``."""
+    corners = d.groupBy(*k, *by, c).agg(*[F.min(n).alias(f"{n}_lo") for n in names], *[F.max(n).alias(f"{n}_hi") for n in names])
+    return corners.groupBy(*k, *by).agg(F.collect_list(F.struct(c, *[f"{n}{e}" for n in names for e in ("_lo", "_hi")])).alias("_x"))
 
 
 def hypervolume(df: DataFrame, a: str, b: str, ref: tuple[float, float], keys=(), chunk="spread") -> DataFrame:
@@ -184,9 +213,7 @@ def _nearest(front: DataFrame, truth: DataFrame, names, k, measure, chunk) -> Da
     over = lambda x, end="": measure([F.greatest(x[f"{c}{end}"] - F.col(f"_t_{c}"), F.lit(0.0)) if measure is _length else x[f"{c}{end}"] - F.col(f"_t_{c}") for c in names])
     open_ = points.select(*k, *t)
     for i, c in enumerate(cells):
-        corners = d.groupBy(*k, *cells[:i], c).agg(*[F.min(n).alias(f"{n}_lo") for n in names], *[F.max(n).alias(f"{n}_hi") for n in names])
-        children = corners.groupBy(*k, *cells[:i]).agg(F.collect_list(F.struct(c, *[f"{n}{e}" for n in names for e in ("_lo", "_hi")])).alias("_x"))
-        near = match(open_, children, [*k, *cells[:i]])
+        near = match(open_, _corners(d, names, k, cells[:i], c), [*k, *cells[:i]])
         bounds = near.select(*k, *t, *cells[:i], F.transform("_x", lambda x: F.struct(x[c].alias(c), over(x, "_lo").alias("_least"), over(x, "_hi").alias("_most"))).alias("_b"))
         reach = F.min(F.array_min(F.transform("_b", lambda b: b["_most"]))).over(Window.partitionBy(*k, *t))
         kept = bounds.withColumn("_reach", reach).select(*k, *t, *cells[:i], F.inline(F.filter("_b", lambda b: b["_least"] <= F.col("_reach"))))
