@@ -156,3 +156,20 @@ def impute_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     made = {c: F.when(F.col(c) == inf, F.col(f"{c}_hi")).when(F.col(c) == -inf, F.col(f"{c}_lo"))
             .when(F.col(c).isNull() | F.isnan(c), F.col(f"{c}_med")).otherwise(F.col(c)) for c in columns}
     return attach_row(df, fixed).withColumns(made).select(*df.columns)
+
+
+def distribution_features(df: DataFrame, value: str, keys, quantiles: Sequence[float] = (0.1, 0.2, 0.3, 0.4, 0.6, 0.7, 0.8, 0.9), bins: int = 10, chunk="spread") -> DataFrame:
+    """Quantiles ``quantile_p`` and ``binned_entropy`` per key.
+
+    The entropy is that of ``bins`` equal parts of the key's range, the last one closed; a constant series has none (0). NULL
+    values take no part, and keys without values no row.
+    """
+    k = cols(keys)
+    d = df.where(F.col(value).isNotNull()).select(*k, F.col(value).cast("double").alias("_v"))
+    ends = d.groupBy(*k).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    part = F.least(F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * bins), F.lit(bins - 1))
+    counts = match(d, ends, k).groupBy(*k, part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"))  # at most ``bins`` rows per key
+    total = F.sum("_c")
+    entropy = counts.groupBy(*k).agg((F.ln(total) - F.sum(F.col("_c") * F.ln("_c")) / total).alias("binned_entropy"))
+    names = {f"quantile_{round(100 * q)}": q for q in quantiles}
+    return match(exact_quantiles(d, k, "_v", names, chunk=chunk), entropy, k)

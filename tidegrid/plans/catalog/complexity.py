@@ -239,6 +239,19 @@ def _(v):
     return ft.extract(v.readings, "value", "entity", ft.EFFICIENT, chunk=v.split("entity"))
 
 
+TENTHS = [10, 20, 30, 40, 60, 70, 80, 90]
+
+
+@query("X-16", "features_distribution", views="readings_n", r="binned_entropy " + " ".join(f"quantile_{q}" for q in TENTHS),
+       sql="""WITH b AS (SELECT entity, value AS v, min(value) OVER w AS lo, max(value) OVER w AS hi FROM readings_n WHERE value IS NOT NULL WINDOW w AS (PARTITION BY entity)),
+       c AS (SELECT entity, least(floor((v - lo) / nullif(hi - lo, 0) * 10), 9) AS part, count(*) AS c FROM b GROUP BY ALL),
+       e AS (SELECT entity, -sum(c / t * ln(c / t)) AS binned_entropy FROM (SELECT *, sum(c) OVER (PARTITION BY entity) AS t FROM c) GROUP BY entity)
+       SELECT entity, any_value(binned_entropy) AS binned_entropy, """ + ", ".join(f"quantile_cont(value, {q / 100}) AS quantile_{q}" for q in TENTHS) + """
+       FROM readings_n JOIN e USING (entity) WHERE value IS NOT NULL GROUP BY entity""")
+def _(v):
+    return ft.distribution_features(v.readings_n, "value", "entity", chunk=v.split("entity", of="readings_n"))
+
+
 @query("X-16", "features_duplicates", views="readings", r="reoccurring_values reoccurring_points distinct_share sum_of_reoccurring_values",
        sql="""WITH c AS (SELECT signal, value AS v, count(*) AS c FROM readings GROUP BY ALL) SELECT signal, arg_max(c, v) > 1 AS has_duplicate_max, arg_min(c, v) > 1 AS has_duplicate_min, bool_or(c > 1) AS has_duplicate,
        count(*) FILTER (c > 1) / count(*) AS reoccurring_values, coalesce(sum(c) FILTER (c > 1), 0) / sum(c) AS reoccurring_points, count(*) / sum(c) AS distinct_share, coalesce(sum(v) FILTER (c > 1), 0) AS sum_of_reoccurring_values FROM c GROUP BY signal""")

@@ -288,3 +288,25 @@ def _(v):
     E = oq.Expectation
     return oq.run_suite(v.readings_n, [E("not_null", "value", mostly=0.8), E("between", "value", 0, 100, 0.95), E("mean_between", "value", 1, 50),
                                        E("in_set", "signal", values=("click", "error", "purchase", "signup", "view")), E("not_null", "absent")])
+
+
+@query("M-15", "model_pipeline_saved", views="readings_n", r="value value_mean value_max step",
+       sql="""WITH c AS (SELECT event_id, signal, ts, least(greatest(value, 1), 50) AS value FROM readings_n WHERE value IS NOT NULL),
+       w AS (SELECT *, avg(value) OVER r AS value_mean, max(value) OVER r AS value_max FROM c WINDOW r AS (PARTITION BY signal ORDER BY ts, event_id ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))
+       SELECT event_id, value, value_mean, value_max, value - lag(value) OVER (PARTITION BY signal ORDER BY ts, event_id) AS step FROM w""")
+def _(v):
+    """Clean, window and lag steps in one pipeline model that is saved and loaded before it is used."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    from ...sources.tables import scratch
+    from ...steps import Step
+
+    data, keys, order = v.readings_n.where("value IS NOT NULL").select("event_id", "signal", "ts", "value"), ["signal"], ["ts", "event_id"]
+    whole = Pipeline(stages=[
+        Step(function="operators.clean:clip_outliers", arguments={"rules": {"value": [1.0, 50.0]}}),
+        Step(function="operators.rolling:rolling_rows", arguments={"col": "value", "n": 12, "stats": ["mean", "max"], "keys": keys, "order": order}),
+        Step(function="operators.join:lagged", arguments={"col": "value", "lags": [1], "keys": keys, "order": order})]).fit(data)
+    path = scratch(v.spark) + "/pipeline"
+    whole.write().save(path)
+    made = PipelineModel.load(path).transform(data)
+    return made.select("event_id", "value", "value_mean", "value_max", (F.col("value") - F.col("value_lag_1")).alias("step"))
