@@ -73,6 +73,16 @@ def test_headerless_and_preamble(spark, tmp_path):
     assert p.rows.collect()[0].n == 7
 
 
+def test_options_of_a_partitioned_jdbc_read():
+    """No database runs here: only the options are looked at."""
+    got = st.jdbc_options({"url": "jdbc:x", "dbtable": "weather", "numPartitions": "3"}, "2024-01-01", "2024-02-01", "time", 8, ["time", "temp"])
+    assert got == {"url": "jdbc:x", "partitionColumn": "time", "lowerBound": "2024-01-01", "upperBound": "2024-02-01", "numPartitions": "3", "fetchsize": "10000",
+                   "dbtable": "(SELECT time, temp FROM weather WHERE time >= '2024-01-01' AND time <= '2024-02-01') AS part"}
+    assert st.jdbc_options({"url": "jdbc:x", "query": "SELECT 1"}, "a", "b", "t", 8) == {"url": "jdbc:x", "query": "SELECT 1"}
+    with pytest.raises(ValueError, match="part"):
+        st.jdbc_options({"dbtable": "w"}, "a", "b", "t", 0)
+
+
 def test_files_that_cannot_be_read(spark, tmp_path):
     """Files cut short, no archives and without a line end fail as a whole; several headers, empty files and a broken document beside them."""
     import gzip

@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, cols, exact_quantiles, match, row_frames, running_count, running_sum, scan
+from ..frames import attach_row, cols, exact_quantiles, last_valid, match, row_frames, running_count, scan
 
 V, P, N1, P2 = F.col, "_p1", "_n1", "_p2"
 
@@ -56,7 +56,7 @@ def register(name: str, build: Callable[[], Column], profile: dict = EFFICIENT)
 
 
 def prepare(df: DataFrame, value: str, keys, order="ts", chunk="1 day") -> DataFrame:
-    """Lags, lead, positions, key statistics and lengths of runs on one side of the mean."""
+    """Lags, lead, positions, key statistics and places in runs on one side of the mean, of which the last is a run's length."""
     k = cols(keys)
     d = df.where(F.col(value).isNotNull()).select(*k, *cols(order), F.col(value).cast("double").alias("v"))
     stats = d.groupBy(*k).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count(F.lit(1)).alias("n"))
@@ -64,10 +64,9 @@ def prepare(df: DataFrame, value: str, keys, order="ts", chunk="1 day") -> DataF
     d = row_frames(d, k, order, 2, 1, lambda w: {P: F.lag("v").over(w), P2: F.lag("v", 2).over(w), N1: F.lead("v").over(w)}, chunk=chunk)
     side = F.signum(F.col("v") - F.col("mean"))
     d = d.transform(match, stats, k).withColumn("_side", side)
-    starts = F.coalesce((side != F.signum(F.col(P) - F.col("mean"))), F.lit(True)).cast("long")
-    d = scan(d.withColumn("_start", starts), k, order, {"_no": running_sum("_start")}, chunk=chunk)
-    runs = d.groupBy(*k, "_no").agg(F.count(F.lit(1)).alias("_run"))
-    return d.transform(match, runs, [*k, "_no"])
+    starts = F.coalesce((side != F.signum(F.col(P) - F.col("mean"))), F.lit(True))
+    d = scan(d, k, order, {"_start": last_valid(F.when(starts, F.col("_i")))}, chunk=chunk)
+    return d.withColumn("_run", F.col("_i") - F.col("_start") + 1)
 
 
 def extract(df: DataFrame, value: str, keys, profile: Mapping[str, Callable[[], Column]], order="ts", chunk="1 day") -> DataFrame:

@@ -204,9 +204,28 @@ def _(v):
     return spx.cwt(v.climate, "temp", [2.0], "entity", chunk=HALF).select("entity", "ts", "cwt_0")
 
 
-@query("X-14", "wavelet_coherence", views="climate")
+COHERENCE_SCALES = [2.0, 4.0]
+
+
+def _coherence_sql(half: int) -> str:
+    """Both transforms by all pairs of rows within nine of the largest scale, then sums over neighbouring rows."""
+    part = lambda v, fn, s: f"sum(b.{v} * exp(-0.5 * pow((a.i - b.i) / {s}, 2)) / sqrt({s}) * {fn}(6 * (a.i - b.i) / {s}))"
+    made = ", ".join(f"{part(v, fn, s)} AS {fn}_{v}_{i}" for i, s in enumerate(COHERENCE_SCALES) for v in ("temp", "light") for fn in ("cos", "sin"))
+
+    def ratio(i):
+        a, b, c, e = (f"{fn}_{v}_{i}" for v in ("temp", "light") for fn in ("cos", "sin"))
+        cross = f"sqrt(pow(sum({a} * {c} + {b} * {e}) OVER w, 2) + pow(sum({b} * {c} - {a} * {e}) OVER w, 2))"
+        own = f"(sum({a} * {a} + {b} * {b}) OVER w * sum({c} * {c} + {e} * {e}) OVER w)"
+        return f"CASE WHEN {own} > 0 THEN {cross} / sqrt(nullif({own}, 0)) ELSE 0 END AS coherence_{i}"
+
+    return f"""WITH o AS MATERIALIZED (SELECT entity, ts, temp, light, row_number() OVER ({WIN}) AS i FROM climate),
+       t AS MATERIALIZED (SELECT a.entity, a.ts, any_value(a.temp) AS temp, any_value(a.light) AS light, {made} FROM o a JOIN o b ON a.entity = b.entity AND abs(a.i - b.i) <= {9 * max(COHERENCE_SCALES)} GROUP BY a.entity, a.ts)
+       SELECT entity, ts, temp, light, {', '.join(map(ratio, range(len(COHERENCE_SCALES))))} FROM t WINDOW w AS ({WIN} ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"""
+
+
+@query("X-14", "wavelet_coherence", views="climate", r="temp light coherence_0 coherence_1", digits=5, sql=_coherence_sql(4))
 def _(v):
-    return spx.coherence(v.climate.select("entity", "ts", "temp", "light"), "temp", "light", [2.0, 4.0], 4, "entity", chunk=None)
+    return spx.coherence(v.climate.select("entity", "ts", "temp", "light"), "temp", "light", COHERENCE_SCALES, 4, "entity", chunk=None)
 
 
 @query("X-15", "features_minimal", views="readings", r="sum mean std var rms max abs_max min median", i="length", digits=5,

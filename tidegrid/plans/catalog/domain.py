@@ -355,6 +355,7 @@ SPOT = "spot AS (SELECT w.entity, w.hour, w.view AS power, p.price FROM wide w J
 
 
 def spot(v):
+    """Hours with power and a price; hours without a price cost nothing that is known, and take no part."""
     return v.wide.where("view IS NOT NULL").select("entity", "hour", F.col("view").alias("power")).join(v.price, "hour")
 
 

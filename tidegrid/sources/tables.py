@@ -57,7 +57,11 @@ def merged(target: DataFrame, new: DataFrame, keys) -> DataFrame:
 
 
 def upsert(spark: SparkSession, path: str, new: DataFrame, keys, partition: Sequence[str]) -> None:
-    """Insert or replace by key, rewriting only the partitions the new rows touch or leave."""
+    """Insert or replace by key, rewriting only the partitions the new rows touch or leave.
+
+    Partitions whose last row has moved are emptied in a second write. A job that ends between the two leaves
+    such rows in both places; the same call again mends that, as it finds and empties them anew.
+    """
     parts, old = list(partition), spark.read.parquet(path)
     left = match(old, new.select(*cols(keys)).distinct(), keys, "left_semi").select(*parts).distinct()
     fresh = new.select(*parts).distinct()
@@ -109,12 +113,27 @@ def write_features(df: DataFrame, path: str, run_date: str, ts: str = "ts", enti
     _overwrite(out, path, ["date"])
 
 
+def jdbc_options(source: Mapping[str, str], start: str, end: str, ts: str, parts: int, columns: Sequence[str] = ("*",)) -> dict[str, str]:
+    """Options of a JDBC read in ``parts`` queries, each over an equal part of [start, end] of ``ts``.
+
+    The period is also a condition of the query itself, so that the first and the last part, which Spark leaves open, do not
+    read what lies outside. What ``source`` sets itself stays; without a ``dbtable`` (a name) it is taken as it is.
+    """
+    if parts < 1:
+        raise ValueError("at least one part")
+    if "dbtable" not in source:
+        return dict(source)
+    table, rest = source["dbtable"], {k: v for k, v in source.items() if k != "dbtable"}
+    query = f"(SELECT {', '.join(columns)} FROM {table} WHERE {ts} >= '{start}' AND {ts} <= '{end}') AS part"
+    return {"partitionColumn": ts, "lowerBound": start, "upperBound": end, "numPartitions": str(parts), "fetchsize": "10000", **rest, "dbtable": query}
+
+
 def read_external(spark: SparkSession, source: Mapping[str, str] | str, start: str, end: str, ts: str, area: str | None = None,
-                  area_col: str = "area") -> DataFrame:
-    """Weather or prices of a period and area, from parquet or JDBC options (filters are pushed down)."""
+                  area_col: str = "area", parts: int = 8) -> DataFrame:
+    """Weather or prices of a period and area, from parquet or from JDBC options by ``parts`` parallel queries (filters are pushed down)."""
     if isinstance(source, str):
         df = spark.read.parquet(source)
     else:
-        df = spark.read.format("jdbc").options(**source).load()
+        df = spark.read.format("jdbc").options(**jdbc_options(source, start, end, ts, parts)).load()
     out = df.where((F.col(ts) >= F.lit(start).cast("timestamp_ntz")) & (F.col(ts) <= F.lit(end).cast("timestamp_ntz")))
     return out if area is None else out.where(F.col(area_col) == area)
