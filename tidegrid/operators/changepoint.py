@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 
 from ..frames import carried, cols, exact_quantiles, floor_div, match, running_count, scan
 from ..session import checkpoint
+from ..sources.tables import stage
 
 WAVES = 64  # random waves that stand for the kernel of the cost "rbf"
 
@@ -352,7 +353,8 @@ def hmm_fit(parts: DataFrame, keys, states: int, symbols: int, iterations: int =
         counts = _over_parts(both, k, "steps array<double>, emitted array<double>, first array<double>", states, _counts)
         size = {"steps": states * states, "emitted": states * symbols, "first": states}
         sums = counts.groupBy(*k).agg(*[F.array(*[F.sum(F.col(c)[i]) for i in range(n)]).alias(c) for c, n in size.items()])
-        params = checkpoint(sums.select(*k, shares(F.col("steps"), states, 1e-9).alias("a"), shares(F.col("emitted"), symbols, 1e-6).alias("b"), F.col("first").alias("pi")))
+        # a written table: a checkpoint would hand on what the optimizer knows of the old plan, which grows with every iteration
+        params = stage(sums.select(*k, shares(F.col("steps"), states, 1e-9).alias("a"), shares(F.col("emitted"), symbols, 1e-6).alias("b"), F.col("first").alias("pi")), "params")
     return params
 
 
