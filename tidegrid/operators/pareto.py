@@ -269,6 +269,12 @@ def average_ranks(df: DataFrame, value: str, keys=(), chunk="spread") -> DataFra
     return df.transform(match, r, [*k, value])
 
 
+def _tie_sum(ties: str) -> Column:
+    """Sum of t³ - t over groups of t equal values, from the t of every row; like any cube of a row count it is a double, as it may pass 64 bits."""
+    t = F.col(ties).cast("double")
+    return F.sum(t * t - 1)
+
+
 def wilcoxon(df: DataFrame, x: str, y: str, keys=(), chunk="spread") -> DataFrame:
     """Signed-rank test of paired rows: zero differences dropped, normal approximation with tie correction."""
     k = cols(keys)
@@ -276,8 +282,8 @@ def wilcoxon(df: DataFrame, x: str, y: str, keys=(), chunk="spread") -> DataFram
     ranks = value_ranks(d, k, "_a", chunk).select(*k, "_a", (F.col("below") + (F.col("n") + 1) / 2).alias("_r"), F.col("n").alias("_t"))
     g = d.transform(match, ranks, [*k, "_a"]).groupBy(*k).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_wp"),
-        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("_wm"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
-    n = F.col("n_pairs")
+        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("_wm"), _tie_sum("_t").alias("_ties"))
+    n = F.col("n_pairs").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_ties") / 48
     w = F.least("_wp", "_wm")
     z = (w - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))
@@ -290,7 +296,7 @@ def _two_groups(df: DataFrame, value: str, group: str, x: str, y: str, keys, chu
     d = average_ranks(df.where(F.col(group).isin(x, y)).where(F.col(value).isNotNull()), value, k, chunk)
     is_x = F.col(group) == x
     return d.groupBy(*k).agg(F.count_if(is_x).alias("n_x"), F.count_if(~is_x).alias("n_y"),
-                             F.sum(F.when(is_x, F.col("rank"))).alias("_r"), F.sum(F.col("ties") * F.col("ties") - 1).alias("_ties"))
+                             F.sum(F.when(is_x, F.col("rank"))).alias("_r"), _tie_sum("ties").alias("_ties"))
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, x: str, y: str, keys=(), chunk="spread") -> DataFrame:
@@ -322,7 +328,7 @@ def a12_band(a12: str) -> Column:
 def _rank_sums(df: DataFrame, value: str, group: str, chunk) -> tuple[DataFrame, DataFrame]:
     d = average_ranks(df.where(F.col(value).isNotNull()), value, (), chunk)
     per = d.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.sum("rank").alias("_r"))
-    total = d.agg(F.count(F.lit(1)).alias("_total"), F.sum(F.col("ties") * F.col("ties") - 1).alias("_ties"))
+    total = d.agg(F.count(F.lit(1)).alias("_total"), _tie_sum("ties").alias("_ties"))
     return per, total  # a handful of groups, and one row
 
 
@@ -330,9 +336,9 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, chunk="spread") -> Dat
     """H with tie correction and its chi-square tail."""
     per, total = _rank_sums(df, value, group, chunk)
     s = attach_row(per.agg(F.sum(F.col("_r") * F.col("_r") / F.col("_n")).alias("_s"), F.count(F.lit(1)).alias("n_groups")), total)
-    n = F.col("_total")
+    n = F.col("_total").cast("double")
     h = (12 / (n * (n + 1)) * F.col("_s") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
-    out = s.select("n_groups", n.alias("n_total"), h.alias("h"))
+    out = s.select("n_groups", F.col("_total").alias("n_total"), h.alias("h"))
     return out.withColumn("p_value", chi2_tail("h", (F.col("n_groups") - 1).cast("double")))
 
 
