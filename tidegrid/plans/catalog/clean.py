@@ -180,7 +180,7 @@ def _(v):
        sql="SELECT entity, hour, view, click FROM wide")
 def _(v):
     d = oc.select_signals(v.wide, ["click", "purchase", "view"], keep=["entity", "hour"])
-    return oc.select_by_coverage(d, ["click", "purchase", "view"], 0.05, ["view"], 2, keep=["entity", "hour"])
+    return oc.select_by_coverage(d, ["click", "purchase", "view"], 0.05, ["view", "click"], 2, keep=["entity", "hour"])
 
 
 @query("C-25", "clean_column_coverage", views="wide", r="coverage",
