@@ -36,3 +36,19 @@ def test_selected_columns_do_not_depend_on_which_signal_is_seen_most(spark, tmp_
     got = contract.queries()["clean_select_columns"](spark, str(tmp_path))
     assert got.columns == ["entity", "hour", "view", "click"]
     assert sorted(x.click for x in got.collect() if x.click is not None) == [float(i) for i, s in enumerate(seen) if s == "click"]
+
+
+def test_dominated_points_are_never_searched(spark, monkeypatch):
+    """Ten points decide whatever else the front and the true front hold."""
+    seen, cells = [], op._cells
+    monkeypatch.setattr(op, "_cells", lambda front, *rest: seen.append(front.count()) or cells(front, *rest))
+    best = [(float(i), float(9 - i), 0.0) for i in range(10)]
+    rest = [(a + 1 + i % 7, b + 1 + i % 5, 1.0 + i) for i in range(60) for a, b, _ in best]
+    d = spark.createDataFrame([("a", *r) for r in best + rest], "k string, x double, y double, z double")
+    front = d.where("x % 2 = 1")
+    kept = [r for r in best + rest if r[0] % 2 == 1]
+    over = lambda t: [[q - p for q, p in zip(f, t)] for f in kept]
+    igd = [min(math.sqrt(sum(max(e, 0) ** 2 for e in f)) for f in over(t)) for t in best + rest]
+    assert math.isclose(op.igd_plus_many(front, d, ["x", "y", "z"], "k").collect()[0].igd_plus, sum(igd) / len(igd))
+    assert op.epsilon_many(front, d, ["x", "y", "z"], "k").collect()[0].epsilon == max(min(max(f) for f in over(t)) for t in best + rest)
+    assert max(seen) <= 20

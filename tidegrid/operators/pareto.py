@@ -200,13 +200,20 @@ def _cells(front: DataFrame, names, k, chunk) -> tuple[DataFrame, list[str]]:
     return stage(d, "front"), cells
 
 
+def _undominated(points: DataFrame, names, k) -> DataFrame:
+    """The different complete points that no other point dominates."""
+    d = points.select(*k, *[F.col(c).cast("double").alias(c) for c in names]).dropna(subset=list(names)).distinct()
+    return stage(front_many(stage(d, "points"), names, k), "undominated")
+
+
 def _nearest(front: DataFrame, truth: DataFrame, names, k, measure, chunk) -> DataFrame:
     """For every different true point (with its number of rows ``_rows``) the smallest ``measure`` of what front points exceed it by, as ``_best``; infinite without a front.
 
-    Branch and bound over nested cells: the lowest corner of a cell bounds all its points from below, and its highest corner shows
-    a value that one of them reaches. Level by level a true point keeps the cells that may hold something better.
+    A measure never falls as a front point grows, so a front point that another one dominates is never needed and goes first.
+    Branch and bound over nested cells of the rest: the lowest corner of a cell bounds all its points from below, and its highest corner
+    shows a value that one of them reaches. Level by level a true point keeps one cell that reaches the smallest such value, and those that may hold less.
     """
-    d, cells = _cells(front, names, k, chunk)
+    d, cells = _cells(_undominated(front, names, k), names, k, chunk)
     points = truth.select(*k, *[F.col(c).cast("double").alias(f"_t_{c}") for c in names]).dropna(subset=[f"_t_{c}" for c in names])
     t = [f"_t_{c}" for c in names]
     points = points.groupBy(*k, *t).agg(F.count(F.lit(1)).alias("_rows"))
@@ -215,8 +222,10 @@ def _nearest(front: DataFrame, truth: DataFrame, names, k, measure, chunk) -> Da
     for i, c in enumerate(cells):
         near = match(open_, _corners(d, names, k, cells[:i], c), [*k, *cells[:i]])
         bounds = near.select(*k, *t, *cells[:i], F.transform("_x", lambda x: F.struct(x[c].alias(c), over(x, "_lo").alias("_least"), over(x, "_hi").alias("_most"))).alias("_b"))
-        reach = F.min(F.array_min(F.transform("_b", lambda b: b["_most"]))).over(Window.partitionBy(*k, *t))
-        kept = bounds.withColumn("_reach", reach).select(*k, *t, *cells[:i], F.inline(F.filter("_b", lambda b: b["_least"] <= F.col("_reach"))))
+        place = lambda b: F.struct(b["_most"].alias("most"), *[F.col(x).alias(x) for x in cells[:i]], b[c].alias(c))
+        reach = F.min(F.array_min(F.transform("_b", place))).over(Window.partitionBy(*k, *t))
+        may = lambda b: (b["_least"] < F.col("_reach.most")) | (place(b) == F.col("_reach"))
+        kept = bounds.withColumn("_reach", reach).select(*k, *t, *cells[:i], F.inline(F.filter("_b", may)))
         open_ = kept.drop("_least", "_most")
     leaves = d.groupBy(*k, *cells).agg(F.collect_list(F.struct(*names)).alias("_x"))
     best = match(open_, leaves, [*k, *cells]).groupBy(*k, *t).agg(F.min(F.array_min(F.transform("_x", lambda x: over(x)))).alias("_best"))
@@ -242,9 +251,12 @@ def igd_plus_many(front: DataFrame, truth: DataFrame, objectives, keys=(), chunk
 
 
 def epsilon_many(front: DataFrame, truth: DataFrame, objectives, keys=(), chunk="spread") -> DataFrame:
-    """Smallest shift with which the front weakly dominates the true front, for any number of objectives. Odd points as in ``igd_plus_many``."""
-    k = cols(keys)
-    return _nearest(front, truth, list(objectives), k, _largest, chunk).groupBy(*k).agg(F.max("_best").alias("epsilon"))
+    """Smallest shift with which the front weakly dominates the true front, for any number of objectives. Odd points as in ``igd_plus_many``.
+
+    A true point that another one dominates needs no larger shift than that one, so the true points no other dominates decide.
+    """
+    k, names = cols(keys), list(objectives)
+    return _nearest(front, _undominated(truth, names, k), names, k, _largest, chunk).groupBy(*k).agg(F.max("_best").alias("epsilon"))
 
 
 def convergence(df: DataFrame, value: str, keys, order: str, window: int = 20, tol: float = 1e-3, maximise: bool = True) -> DataFrame:
