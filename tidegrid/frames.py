@@ -290,23 +290,39 @@ def row_frames(df: DataFrame, keys, order, before: int, after: int,
 
 
 def block_frames(df: DataFrame, keys, order, before: int, after: int, given: Sequence[str], made: str, compute: Callable, *,
-                 chunk: str | int | Column | Split | None = "1 day", block: int = 1 << 18) -> DataFrame:
+                 chunk: str | int | Column | Split | None = "1 day", block: int = 1 << 16) -> DataFrame:
     """Append columns ``made`` (a DDL string) that ``compute`` gives for whole blocks of a series at once.
 
     ``compute`` gets the columns ``given`` of consecutive rows as numpy arrays, with up to ``before`` rows of context ahead and ``after``
     behind, and returns an array per made column. Blocks are cut and copied as in ``row_frames``, so a task holds one block.
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     keys, order = cols(keys), cols(order)
     size = max(block, 8 * (before + after))
     no, zero = F.col("_no") - 1, F.lit(0).cast("long")
     copies = F.sequence(F.greatest(floor_div(no - after, size), zero), floor_div(no + before, size))
     numbered = scan(df, keys, order, {"_no": running_count()}, chunk=chunk)
     spread = numbered.withColumn("_home", floor_div(no, size)).withColumn("_block", F.explode(copies))
+    return _computed(spread, keys, "_no", df, given, made, compute)
+
+
+def time_block_frames(df: DataFrame, keys, ts: str, before: str | int, after: str | int, given: Sequence[str], made: str, compute: Callable) -> DataFrame:
+    """Append columns ``made`` that ``compute`` gives for whole blocks of time, cut and copied as in ``time_frames``.
+
+    ``compute`` gets the microseconds (0 where there is no time), whether the block is that of the rows without a time, and the columns ``given``.
+    """
+    none, us = F.lit(-(1 << 62)).cast("long"), F.col("_us")
+    spread = _time_blocks(df, ts, micros(before), micros(after)).withColumns({
+        "_home": F.coalesce("_home", none), "_block": F.coalesce("_block", none), "_timeless": us.isNull(), "_us": F.coalesce(us, F.lit(0).cast("long"))})
+    return _computed(spread, cols(keys), "_us", df, ["_us", "_timeless", *given], made, compute)
+
+
+def _computed(spread: DataFrame, keys: list[str], along: str, df: DataFrame, given: Sequence[str], made: str, compute: Callable) -> DataFrame:
+    """The columns of ``df`` and those ``compute`` made, for the rows at home in each ``_block``."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     added = StructType.fromDDL(made)
     kept = [f for f in df.schema if f.name.lower() not in {a.name.lower() for a in added}]
     schema = StructType(kept + added.fields)
@@ -320,7 +336,7 @@ def block_frames(df: DataFrame, keys, order, before: int, after: int, given: Seq
             t = pa.Table.from_batches(held)
             columns = compute(*[t.column(c).to_numpy() for c in given])
             mine = pa.array(t.column("_home").to_numpy() == t.column("_block").to_numpy())
-            whole = pa.Table.from_arrays([*(t.column(n) for n in names), *(pa.chunked_array([pa.array(c, from_pandas=True)]) for c in columns)], names=out.names)
+            whole = pa.Table.from_arrays([*(t.column(n) for n in names), *(pa.chunked_array([c if isinstance(c, pa.Array) else pa.array(c, from_pandas=True)]) for c in columns)], names=out.names)
             yield from whole.filter(mine).cast(out).to_batches()
 
         held, last = [], None
@@ -342,7 +358,7 @@ def block_frames(df: DataFrame, keys, order, before: int, after: int, given: Seq
         if held:
             yield from finish(held)
 
-    return spread.repartition(*by).sortWithinPartitions(*by, "_no").mapInArrow(run, schema)
+    return spread.repartition(*by).sortWithinPartitions(*by, along).mapInArrow(run, schema)
 
 
 def linear_scan(df: DataFrame, keys, order, given: Column, term: Column, step: Sequence[Sequence[float]], name: str, *, chunk="1 day", block: int = 128,
@@ -445,20 +461,24 @@ def time_frames(df: DataFrame, keys, ts: str, before: str | int, after: str | in
     The series is cut into chunks eight windows long (at least a day), so about
     an eighth of the rows travels twice and no task holds a whole series.
     """
-    keys, back, ahead = cols(keys), micros(before), micros(after)
-    width = max(micros(chunk) if chunk else DAY, back + ahead, 8 * (back + ahead) if not chunk else 0)
-    t = F.col("_us")
-    spread = (df.withColumn("_us", epoch(ts))
-              .withColumn("_home", floor_div(t, width))
-              # a row without a time is in the frame of no other, but stays
-              .withColumn("_block", F.explode_outer(F.sequence(
-                  floor_div(t - ahead, width),
-                  floor_div(t + back, width)))))
+    keys = cols(keys)
+    spread = _time_blocks(df, ts, micros(before), micros(after), chunk)
     made = dict(build(Window.partitionBy(*keys, "_block").orderBy("_us")))
     return (spread.select(*df.columns, "_home", "_block", *[c.alias(n) for n, c in made.items()])
             .where("_home <=> _block").select(*df.columns, *made))
 
 
+def _time_blocks(df: DataFrame, ts: str, back: int, ahead: int, chunk: str | int | None = None) -> DataFrame:
+    width = max(micros(chunk) if chunk else DAY, back + ahead, 8 * (back + ahead) if not chunk else 0)
+    t = F.col("_us")
+    return (df.withColumn("_us", epoch(ts))
+            .withColumn("_home", floor_div(t, width))
+            # a row without a time is in the frame of no other, but stays
+            .withColumn("_block", F.explode_outer(F.sequence(
+                floor_div(t - ahead, width),
+                floor_div(t + back, width)))))
+
+
 # ---------------------------------------------------------------------- quantiles
 
 

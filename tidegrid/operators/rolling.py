@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..frames import (attach_row, block_frames, bucket_no, cols, epoch, exact_quantiles, floor_div, following, from_epoch, linear_scan, match, micros, prev, row_frames,
-                      running_count, running_product, running_sum, scan, time_frames)
+                      running_count, running_product, running_sum, scan, time_block_frames, time_frames)
+from ..functions.moments import Moments
 from ..functions.ranks import Ranks
 
 
@@ -83,6 +84,8 @@ def rolling(df: DataFrame, col: str, window: str, stats: Sequence[str], keys, *,
             min_n: int = 1, ts: str = "ts", prefix: str | None = None) -> DataFrame:
     """Time-range statistics. ``closed='left'`` covers [t - w, t), ``'right'`` covers (t - w, t]."""
     w_us = micros(window)
+    if {p for s in stats for p in STATS[s][0]} <= set(SUMS) and df.schema[col].dataType.simpleString() == "double":
+        return _combine(_summed(df, col, w_us, stats, keys, closed, ts), stats, F.col(col), prefix or col, min_n)
 
     def build(w):
         return _parts(stats, F.col(col), w.rangeBetween(-w_us, -1) if closed == "left" else w.rangeBetween(-w_us + 1, 0))
@@ -90,6 +93,30 @@ def rolling(df: DataFrame, col: str, window: str, stats: Sequence[str], keys, *,
     return _combine(time_frames(df, keys, ts, window, 0, build), stats, F.col(col), prefix or col, min_n)
 
 
+# parts that come from count, sum and squared deviations of a frame
+SUMS = {"n": lambda n, s, q: (n, n >= 0), "sum": lambda n, s, q: (s, n > 0), "mean": lambda n, s, q: (s / np.maximum(n, 1), n > 0),
+        "std": lambda n, s, q: (np.sqrt(q / np.maximum(n - 1, 1)), n > 1), "var": lambda n, s, q: (q / np.maximum(n - 1, 1), n > 1),
+        "pop": lambda n, s, q: (np.sqrt(q / np.maximum(n, 1)), n > 0)}
+
+
+def _summed(df: DataFrame, col: str, w_us: int, stats: Sequence[str], keys, closed: str, ts: str) -> DataFrame:
+    """The parts of ``stats``: each row joins a few ready sums, however many rows its frame holds."""
+    needed = list(dict.fromkeys(["n", *[p for s in stats for p in STATS[s][0]]]))
+
+    def compute(t, timeless, x, there):
+        import pyarrow as pa
+
+        begin = np.searchsorted(t, t - w_us, "left") if closed == "left" else np.searchsorted(t, t - w_us, "right")
+        end = np.searchsorted(t, t, "left") if closed == "left" else np.searchsorted(t, t, "right")
+        begin, end = np.where(timeless, 0, begin), np.where(timeless, len(t), end)
+        found = Moments(np.asarray(x, float), np.asarray(there, bool)).of(begin, end)
+        return [pa.array(v, mask=~known) for v, known in (SUMS[p](*found) for p in needed)]
+
+    made = ", ".join(f"`_w_{p}` {'long' if p == 'n' else 'double'}" for p in needed)
+    d = df.withColumns({"_x": F.coalesce(F.col(col), F.lit(0.0)), "_there": F.col(col).isNotNull()})
+    return time_block_frames(d, keys, ts, w_us, 0, ["_x", "_there"], made, compute).drop("_x", "_there")
+
+
 LONG = 64  # frames of more rows find order statistics by a rank structure instead of a list per row
 QUANTILES = {"median": 0.5, "q10": 0.1, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q90": 0.9}
 

@@ -15,7 +15,7 @@ W = "PARTITION BY signal ORDER BY ts"
        sql="""SELECT event_id, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS value_mean, CASE WHEN count(value) OVER w >= 3 THEN stddev(value) OVER w END AS value_std
        FROM readings_n WINDOW w AS (PARTITION BY signal ORDER BY epoch_us(ts) RANGE BETWEEN 21600000000 PRECEDING AND 1 PRECEDING)""")
 def _(v):
-    return ro.rolling(v.readings_n, "value", "6h", ["mean", "std"], "signal", min_n=3).select("event_id", "value_mean", "value_std")
+    return ro.rolling(v.readings_n.select("event_id", "signal", "ts", "value"), "value", "6h", ["mean", "std"], "signal", min_n=3).select("event_id", "value_mean", "value_std")
 
 
 @query("W-05,W-06", "rolling_time_right", views="readings_n", r="value_mean value_q50",
@@ -71,7 +71,7 @@ def _(v):
        mad(value) OVER w AS value_mad, avg(value) OVER w AS value_mean FROM readings_n WINDOW w AS ({W} ROWS BETWEEN 999 PRECEDING AND CURRENT ROW)""")
 def _(v):
     s = ("q10", "median", "iqr", "mad", "mean")
-    return ro.rolling_rows(v.readings_n, "value", 1000, s, "signal", chunk=v.split("signal", of="readings_n")).select("event_id", *[f"value_{x}" for x in s])
+    return ro.rolling_rows(v.readings_n.select("event_id", "signal", "ts", "value"), "value", 1000, s, "signal", chunk=v.split("signal", of="readings_n")).select("event_id", *[f"value_{x}" for x in s])
 
 
 @query("W-13", "rolling_z", views="readings", r="value_z", digits=5,
