@@ -3,11 +3,14 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
+from tidegrid.functions.moments import Moments
 from tidegrid.operators import pareto as op
+from tidegrid.operators import rolling, spectral
 
 
 def test_rank_tests_beyond_two_million_rows(spark):
@@ -52,3 +55,49 @@ def test_dominated_points_are_never_searched(spark, monkeypatch):
     assert math.isclose(op.igd_plus_many(front, d, ["x", "y", "z"], "k").collect()[0].igd_plus, sum(igd) / len(igd))
     assert op.epsilon_many(front, d, ["x", "y", "z"], "k").collect()[0].epsilon == max(min(max(f) for f in over(t)) for t in best + rest)
     assert max(seen) <= 20
+
+
+def test_moments_of_windows():
+    r = np.random.default_rng(1)
+    x, there = r.normal(1e6, 1, 301), r.random(301) < 0.8
+    x[100:140] = 7.1
+    begin = r.integers(0, 301, 400)
+    end = np.minimum(begin + r.integers(0, 60, 400), 301)
+    for b, e, n, s, q in zip(begin, end, *Moments(x, there).of(begin, end)):
+        v = x[b:e][there[b:e]]
+        assert n == len(v) and math.isclose(s, math.fsum(v)) and math.isclose(q, ((v - v.mean()) ** 2).sum() if n else 0.0, rel_tol=1e-9, abs_tol=1e-8)
+        assert q == 0 or not len(v) or v.min() < v.max()
+
+
+@pytest.mark.parametrize("closed", ["left", "right"])
+def test_time_frames_do_not_read_each_frame_anew(spark, closed):
+    """Equal times, rows without a time, NULLs; the plan has no window over the frame's rows."""
+    rows = [(i, "ab"[i % 2] if i % 17 else None, None if i % 13 == 0 else datetime(2024, 1, 1) + timedelta(minutes=7 * (i // 3)), None if i % 5 == 0 else float(i % 29)) for i in range(900)]
+    d = spark.createDataFrame(rows, "id int, k string, ts timestamp_ntz, value double")
+    out = rolling.rolling(d, "value", "6h", ["mean", "std", "count"], "k", closed=closed, min_n=2)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x.id: x for x in out.collect()}
+    assert len(got) == len(rows)
+    for i, k, t, _ in rows:
+        near = lambda o: (o is None) if t is None else o is not None and (timedelta(0) < t - o <= timedelta(hours=6) if closed == "left" else timedelta(0) <= t - o < timedelta(hours=6))  # noqa: B023, E731
+        v = [r[3] for r in rows if r[1] == k and near(r[2]) and r[3] is not None]
+        if len(v) < 2:
+            assert got[i].value_mean is None and got[i].value_count is None
+        else:
+            assert got[i].value_count == len(v) and math.isclose(got[i].value_mean, np.mean(v)) and math.isclose(got[i].value_std, np.std(v, ddof=1), abs_tol=1e-9)
+
+
+def test_transforms_by_fixed_weights(spark):
+    """Two scales against the sum over all rows, a NULL, a short series; no list per row."""
+    rows = [(k, i, None if (k, i) == ("a", 60) else math.sin(i) * i) for k, n in (("a", 90), ("b", 5)) for i in range(n)]
+    d = spark.createDataFrame(rows, "k string, ts int, x double")
+    out = spectral.cwt(d, "x", [0.5, 1.5], "k", chunk=None)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    for g in out.collect():
+        for j, s in enumerate((0.5, 1.5)):
+            near = [(g.ts - i, x) for k, i, x in rows if k == g.k and abs(i - g.ts) <= math.ceil(9 * s)]
+            if any(x is None for _, x in near):
+                assert g[f"cwt_{j}"] is None
+            else:
+                re, im = (sum(x * math.exp(-0.5 * (o / s) ** 2) / math.sqrt(s) * fn(6 * o / s) for o, x in near) for fn in (math.cos, math.sin))
+                assert math.isclose(g[f"cwt_{j}"], math.hypot(re, im), rel_tol=1e-9, abs_tol=1e-9)

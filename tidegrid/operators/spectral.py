@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cols, prev, row_frames, running_count, scan
+from ..frames import cols, prev, row_frames, scan
 from .complexity import _total
 
 # Daubechies filter with four taps, orthonormal.
@@ -212,26 +212,21 @@ def cwt(df: DataFrame, value: str, scales: Sequence[float], keys, order="ts", om
 
     Beyond ``envelope`` scales a weight is below exp(-envelope ** 2 / 2): with the default under rounding.
     """
-    numbered = scan(df, keys, order, {"_pos": running_count()}, chunk=chunk)
-    reach = [int(math.ceil(envelope * s)) for s in scales]
-
-    def build(w):
-        out = {}
-        for i, (s, r) in enumerate(zip(scales, reach)):
-            near = F.collect_list(F.struct("_pos", F.col(value).alias("v"))).over(w.rowsBetween(-r, r))
-
-            def part(fn, near=near, s=s):
-                def term(e):
-                    t = (F.col("_pos") - e["_pos"]) / s
-                    return e["v"] * F.exp(-0.5 * t * t) / math.sqrt(s) * fn(omega * t)
-
-                return F.aggregate(near, F.lit(0.0), lambda acc, e: acc + term(e))
-
-            out[f"re_{i}"], out[f"im_{i}"] = part(F.cos), part(F.sin)
-        return out
-
-    d = row_frames(numbered, keys, order, max(reach), max(reach), build, chunk=chunk)
-    return d.withColumns({f"cwt_{i}": F.hypot(f"re_{i}", f"im_{i}") for i in range(len(scales))}).drop("_pos")
+    x, d = F.col(value).cast("double"), df
+    for i, s in enumerate(scales):
+        r = int(math.ceil(envelope * s))
+        names = {o: f"_at_{o + r}" for o in range(-r, r + 1)}
+
+        def build(w, names=names):  # rows before the first and after the last add nothing
+            return {n: (F.lag(x, -o, 0.0) if o < 0 else F.lead(x, o, 0.0)).over(w) for o, n in names.items()}
+
+        # one projection per scale, as one for all would be too long to be compiled
+        near, made = row_frames(d, keys, order, r, r, build, chunk=chunk), {}
+        for part, fn in (("re", math.cos), ("im", math.sin)):
+            weight = {o: math.exp(-0.5 * (o / s) ** 2) / math.sqrt(s) * fn(omega * -o / s) for o in names}
+            made[f"{part}_{i}"] = sum((F.col(n) * weight[o] for o, n in names.items()), F.lit(0.0))
+        d = near.select(*d.columns, *[c.alias(n) for n, c in made.items()])
+    return d.withColumns({f"cwt_{i}": F.hypot(f"re_{i}", f"im_{i}") for i in range(len(scales))})
 
 
 def coherence(df: DataFrame, x: str, y: str, scales: Sequence[float], half: int, keys, order="ts", omega: float = 6.0,
