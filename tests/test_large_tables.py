@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as contract
 from tidegrid.functions.moments import Moments
 from tidegrid.operators import pareto as op
-from tidegrid.operators import rolling, spectral
+from tidegrid.operators import model, rolling, spectral
 
 
 def test_rank_tests_beyond_two_million_rows(spark):
@@ -101,3 +101,17 @@ def test_transforms_by_fixed_weights(spark):
             else:
                 re, im = (sum(x * math.exp(-0.5 * (o / s) ** 2) / math.sqrt(s) * fn(6 * o / s) for o, x in near) for fn in (math.cos, math.sin))
                 assert math.isclose(g[f"cwt_{j}"], math.hypot(re, im), rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forest"])
+def test_partitions_of_training_rows_are_bounded(spark, monkeypatch, kind):
+    from pyspark.ml import Pipeline
+
+    monkeypatch.setattr(model, "ROWS", 100, raising=False)
+    seen, fit = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.extend(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()) or fit(self, df))
+    d = spark.range(0, 1000, 1, 1).select((F.col("id") % 17).cast("double").alias("x"), (F.col("id") % 34).cast("double").alias("y"),
+                                          F.when(F.col("id") < 800, "train").otherwise("valid").alias("part"), F.lit("unused").alias("other"))
+    made = model.train_regressor(d, ["x"], "y", kind=kind, part="part", rounds=2, depth=2)
+    assert sum(seen) == (1000 if kind == "boosted" else 800) and max(seen) <= 200
+    assert model.score(made, d).where(F.col("prediction").isNull()).isEmpty()

@@ -84,6 +84,15 @@ def scaled(df: DataFrame, features: Sequence[str], kind: str = "standard"):
     return fitted, fitted.transform(df)
 
 
+ROWS = 500_000  # training rows of a partition, which every pass of the training reads whole
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt into partitions of about ``ROWS``, so that they grow in number and not in size; up to ``ROWS`` rows stay as they are."""
+    n = df.count()
+    return df.repartition(-(-n // ROWS)) if n > ROWS else df
+
+
 def train_regressor(df: DataFrame, features: Sequence[str], target: str, *, kind: str = "boosted", part: str | None = None,
                     rounds: int = 50, depth: int = 5, scale: str = "standard", seed: int = 7):
     """Fit scaling and a tree ensemble; boosting stops early on the ``valid`` part when there is one."""
@@ -91,7 +100,7 @@ def train_regressor(df: DataFrame, features: Sequence[str], target: str, *, kind
     from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    data = complete_rows(df, [*features, target])
+    data = complete_rows(df, [*features, target]).select(*dict.fromkeys([*features, target, *([part] if part else [])]))
     if kind == "boosted":
         tree = GBTRegressor(featuresCol="features", labelCol=target, maxIter=rounds, maxDepth=depth, seed=seed)
         if part:
@@ -102,7 +111,7 @@ def train_regressor(df: DataFrame, features: Sequence[str], target: str, *, kind
         tree = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=rounds, maxDepth=depth, seed=seed)
     scaler = (RobustScaler(inputCol="raw", outputCol="features") if scale == "robust"
               else StandardScaler(inputCol="raw", outputCol="features", withMean=True))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), scaler, tree]).fit(data)
+    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), scaler, tree]).fit(dealt(data))
 
 
 def importances(model, features: Sequence[str], top: int | None = None) -> list[tuple[str, float]]:
