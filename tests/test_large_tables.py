@@ -4,13 +4,16 @@ import math
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as contract
 from tidegrid.functions.moments import Moments
 from tidegrid.operators import pareto as op
 from tidegrid.operators import model, rolling, spectral
+from tidegrid.streaming import live
 
 
 def test_rank_tests_beyond_two_million_rows(spark):
@@ -115,3 +118,21 @@ def test_partitions_of_training_rows_are_bounded(spark, monkeypatch, kind):
     made = model.train_regressor(d, ["x"], "y", kind=kind, part="part", rounds=2, depth=2)
     assert sum(seen) == (1000 if kind == "boosted" else 800) and max(seen) <= 200
     assert model.score(made, d).where(F.col("prediction").isNull()).isEmpty()
+
+
+def test_ordered_streams_serve_many_keys_in_one_call(spark):
+    """Keys are dealt into a bounded number of parts; each key of a part goes on from what it has kept, in order of time."""
+    df = spark.createDataFrame([(i, datetime(2024, 1, 1), i, 1.0) for i in range(5000)], "k long, ts timestamp, no long, x double").withWatermark("ts", "1 day")
+    plan = live.smoothed_in_order(df, "x", "k", ["ts", "no"], idle="3 days")._jdf.queryExecution().analyzed().toString()
+    assert f"pmod(xxhash64(k" in plan and f"cast({live.GROUPS} as bigint)" in plan
+    day = 86_400_000_000
+    step = live.InOrder(lambda kept: live.Smoothed(0.3, 20.0, kept), "k", "x", T.StructType.fromDDL("k long, us__ long, no long, x double"),
+                        T.StructType.fromDDL("k long, numbers array<double>, last long"), ["ewma", "edges", "since"], 3 * 86_400_000)
+    rows = pd.DataFrame({"k": [2, 1, 2, 1, 3], "us__": [9 * day, 2 * day, 8 * day, 1 * day, 5], "no": [1, 2, 3, 4, 5], "x": [10.0, 30.0, 30.0, 10.0, 7.0]})
+    kept = {2: ([50.0, 1.0, 0.0, 0.0], 7 * day), 1: ([50.0, 1.0, 4.0, 0.0], -9 * day)}
+    got = {r.no: (r.ewma, r.edges, r.since) for r in step.advance(rows, kept).itertuples()}
+    assert got == {3: (44.0, 0, 0), 1: (33.8, 1, 1), 4: (10.0, 0, 1), 2: (16.0, 1, 0), 5: (7.0, 0, 1)}
+    assert kept[3] == ([7.0, 0.0, 0.0, 1.0], 5) and kept[1][1] == 2 * day and kept.keys() == {1, 2, 3}
+    alone = pd.DataFrame({"k": [None, None], "us__": [2, 1], "no": [1, 2], "x": [1.0, 2.0]})
+    kept = {}
+    assert step.advance(alone, kept).no.tolist() == [2, 1] and list(kept) == [None]

@@ -2,7 +2,7 @@
 
 Event time must be a zoned timestamp for watermarks, so every entry point casts
 it. State is bounded by the watermark (windows, sessions, duplicates, joins, readings
-that wait for their turn) or by one small record per key (``series_state``, ``in_order``).
+that wait for their turn) or by one small record per key (``series_state``, ``in_order``, which keeps those of a part of the keys together).
 """
 
 from __future__ import annotations
@@ -120,63 +120,110 @@ def series_state(df: DataFrame, value: str, key: str, order: Sequence[str], alph
     return df.groupBy(key).applyInPandasWithState(run, out, STATE, "append", "NoTimeout")
 
 
+GROUPS = 1024  # parts the keys of a stream are dealt into: a call of Python serves all keys of a part
+BLOCK = 1000  # rows that lie in the state as one record
+
+
+def packed(schema: T.StructType) -> T.StructType:
+    """The schema of a record that holds a block of rows, column by column."""
+    return T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in schema])
+
+
+def pack(columns: Sequence[list]) -> list[tuple]:
+    return [tuple(c[i:i + BLOCK] for c in columns) for i in range(0, len(columns[0]), BLOCK)]
+
+
+def unpack(state, width: int) -> list[list]:
+    """The columns of all blocks of a list state."""
+    columns = [[] for _ in range(width)]
+    for block in state.get() if state.exists() else ():
+        for column, more in zip(columns, block):
+            column.extend(more)
+    return columns
+
+
 class InOrder(StatefulProcessor):
-    """Holds the readings of a key until the watermark has passed them, then gives them to a recurrence in order.
+    """Holds the readings of a part of the keys until the watermark has passed them, then gives them to a recurrence per key in order.
 
     ``start(numbers)`` makes the recurrence of a key from what it has kept (None at first): a call takes the next
-    readings and returns one array per result, ``numbers()`` gives what to keep. Timers wake a key when its earliest
-    reading is due. After ``idle`` milliseconds without a reading the recurrence starts anew, and a key's state goes.
+    readings and returns one array per result, ``numbers()`` gives what to keep. Timers wake a part when its earliest
+    reading is due. After ``idle`` milliseconds without a reading the recurrence of a key starts anew, and what it has kept goes.
     """
 
-    def __init__(self, start, key: str, order: Sequence[str], value: str, waiting: T.StructType, made: Sequence[str], idle: int | None):
-        self.start, self.key, self.order, self.value = start, key, list(order), value
-        self.schema, self.made, self.idle = waiting, list(made), idle
+    def __init__(self, start, key: str, value: str, waiting: T.StructType, kept: T.StructType, made: Sequence[str], idle: int | None):
+        self.start, self.key, self.value, self.ids = start, key, value, waiting.names[2:-1]
+        self.schema, self.keeps, self.made, self.idle = waiting, kept, list(made), idle
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
-        self.kept = handle.getValueState("kept", "numbers array<double>, last long")
+        self.waiting = handle.getListState("waiting", packed(self.schema))
+        self.kept = handle.getListState("kept", packed(self.keeps))
 
     def handleInputRows(self, key, rows, timerValues):
         new = pd.concat([pdf[self.schema.names] for pdf in rows])
-        self.waiting.appendList([tuple(r) for r in new.astype(object).itertuples(index=False)])
-        self.wake(new[self.order[0]].min())
+        self.waiting.appendList(pack(self.columns(new, key)))
+        self.wake(new["us__"].min())
         return iter(())
 
-    def wake(self, ts) -> None:
-        self.handle.registerTimer(int(-(-pd.Timestamp(ts).value // 1_000_000)))
+    def columns(self, rows: pd.DataFrame, part) -> list[list]:
+        """Rows as they are kept; the readings without a key are a part of their own."""
+        columns = [rows[c].astype(object).tolist() for c in self.schema.names]
+        if part[0] < 0:
+            columns[0] = [None] * len(rows)
+        return columns
+
+    def wake(self, us) -> None:
+        self.handle.registerTimer(int(-(-int(us) // 1000)))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.schema.names)
-        us = rows[self.order[0]].map(lambda t: pd.Timestamp(t).value // 1000).astype("int64")
-        due = us <= now * 1000
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pd.DataFrame(dict(zip(self.schema.names, unpack(self.waiting, len(self.schema)))))
+        due = rows["us__"].to_numpy(dtype="int64") <= now
+        rest = rows[~due]
+        if not due.any() and (self.idle is None or not self.kept.exists()):
+            return
+        kept = {k: (numbers, last) for k, numbers, last in zip(*unpack(self.kept, len(self.keeps)))}
         if due.any():
-            rest = rows[~due]
             if len(rest):
-                self.waiting.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
-                self.wake(rest[self.order[0]].min())
+                self.waiting.put(pack(self.columns(rest, key)))
+                self.wake(rest["us__"].min())
             else:
                 self.waiting.clear()
-            yield self.advance(key, rows[due].assign(__us=us[due]).sort_values(["__us", *self.order[1:]], kind="stable"))
-        elif self.idle is not None and not len(rows) and self.kept.exists() and self.kept.get()[1] + self.idle * 1000 < now * 1000:
+            yield self.advance(rows[due], kept)
+        if self.idle is not None:
+            busy = set(rest[self.key].tolist())
+            quiet = {k: last for k, (_, last) in kept.items() if k not in busy}
+            gone = [k for k, last in quiet.items() if last + self.idle * 1000 < now]
+            for k in gone:
+                del kept[k], quiet[k]
+            if quiet:
+                self.handle.registerTimer(int(min(quiet.values()) // 1000 + self.idle + 2))
+            if not due.any() and not gone:
+                return
+        if kept:
+            self.kept.put(pack([list(kept), [numbers for numbers, _ in kept.values()], [last for _, last in kept.values()]]))
+        else:
             self.kept.clear()
 
-    def advance(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        numbers, last = self.kept.get() if self.kept.exists() else (None, None)
-        us, x = rows.pop("__us").to_numpy(), rows[self.value].to_numpy(dtype=float)
-        gap = np.diff(us, prepend=us[0] if last is None else last)
-        anew = set(np.flatnonzero(gap > self.idle * 1000).tolist()) if self.idle is not None else set()
-        cuts, parts = [*sorted(anew | {0}), len(x)], []
-        for a, b in zip(cuts, cuts[1:]):
-            step = self.start(None if a in anew else numbers)
-            parts.append(step(x[a:b]))
-        self.kept.update(([float(v) for v in step.numbers()], int(us[-1])))
-        if self.idle is not None:
-            self.handle.registerTimer(int(us[-1] // 1000 + self.idle + 2))
-        out = rows.drop(columns=self.value).reset_index(drop=True)
-        out.insert(0, self.key, key[0])
-        return out.assign(**{n: np.concatenate(c) for n, c in zip(self.made, zip(*parts))})
+    def advance(self, rows: pd.DataFrame, kept: dict) -> pd.DataFrame:
+        """Results of the rows, key by key; ``kept`` is brought up to date."""
+        code, keys = pd.factorize(rows[self.key], use_na_sentinel=False)
+        rows = rows.assign(_code=code).sort_values(["_code", "us__", *self.ids], kind="stable")
+        code, all_us, all_x = rows.pop("_code").to_numpy(), rows["us__"].to_numpy(dtype="int64"), rows.pop(self.value).to_numpy(dtype=float)
+        ends = [*(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+        names, parts = rows[self.key].tolist(), []
+        for begin, end in zip([0, *ends], ends):
+            name = None if pd.isna(names[begin]) else names[begin]
+            us, x = all_us[begin:end], all_x[begin:end]
+            numbers, last = kept.get(name, (None, None))
+            gap = np.diff(us, prepend=us[0] if last is None else last)
+            anew = set(np.flatnonzero(gap > self.idle * 1000).tolist()) if self.idle is not None else set()
+            cuts = [*sorted(anew | {0}), len(x)]
+            for a, b in zip(cuts, cuts[1:]):
+                step = self.start(None if a in anew else numbers)
+                parts.append(step(x[a:b]))
+            kept[name] = ([float(v) for v in step.numbers()], int(us[-1]))
+        return rows.reset_index(drop=True).assign(**{n: np.concatenate(c) for n, c in zip(self.made, zip(*parts))})
 
     def close(self) -> None:
         pass
@@ -227,12 +274,17 @@ def in_order(df: DataFrame, value: str, key: str, order: Sequence[str], start, m
     Rows (key, order, made) come out once the watermark has passed them; ``order`` has to be unique per key. Rows
     without a value take no part; a reading more than ``idle`` after the last one starts anew. Needs the RocksDB state store, as ``state_store`` sets it.
     """
-    waiting = T.StructType([*(df.schema[c] for c in order), T.StructField(value, T.DoubleType())])
+    ts, ids, number = order[0], order[1:], T.StructField("us__", T.LongType())
+    waiting = T.StructType([df.schema[key], number, *(df.schema[c] for c in ids), T.StructField(value, T.DoubleType())])
+    kept = T.StructType([df.schema[key], T.StructField("numbers", T.ArrayType(T.DoubleType())), T.StructField("last", T.LongType())])
     added = T.StructType.fromDDL(made)
-    out = T.StructType([df.schema[key], *(df.schema[c] for c in order), *added])
-    processor = InOrder(start, key, order, value, waiting, added.names, None if idle is None else micros(idle) // 1000)
-    rows = df.where(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).transformWithStateInPandas(processor, out, "Append", "EventTime")
+    out = T.StructType([df.schema[key], number, *(df.schema[c] for c in ids), *added])
+    processor = InOrder(start, key, value, waiting, kept, added.names, None if idle is None else micros(idle) // 1000)
+    part = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS)))
+    # the time itself stays among the rows, as the watermark is on it
+    rows = df.where(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias(value), F.unix_micros(ts).alias("us__"), part.alias("part__"))
+    found = rows.groupBy("part__").transformWithStateInPandas(processor, out, "Append", "EventTime")
+    return found.select(key, F.timestamp_micros("us__").alias(ts), *ids, *added.names)
 
 
 def smoothed_in_order(df: DataFrame, value: str, key: str, order: Sequence[str], alpha: float = 0.3, threshold: float = 20.0, idle: str | None = None) -> DataFrame:
