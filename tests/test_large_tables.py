@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as contract
 from tidegrid.functions.moments import Moments
 from tidegrid.operators import pareto as op
-from tidegrid.operators import model, rolling, spectral
+from tidegrid.operators import coupling, model, rolling, spectral
 from tidegrid.streaming import live
 
 
@@ -136,3 +136,30 @@ def test_ordered_streams_serve_many_keys_in_one_call(spark):
     alone = pd.DataFrame({"k": [None, None], "us__": [2, 1], "no": [1, 2], "x": [1.0, 2.0]})
     kept = {}
     assert step.advance(alone, kept).no.tolist() == [2, 1] and list(kept) == [None]
+
+
+@pytest.mark.parametrize("n, most", [(4, 2), (20, 3)])
+def test_rolling_lag_reads_each_series_once(spark, n, most):
+    """Equal to the definition with gaps, constant stretches and series shorter than the window, and no frame is read anew."""
+    g = np.random.default_rng(n)
+    rows, want = [], {}
+    for key, size in ((None, 1), ("a", 2500), ("b", n - 1), ("c", 57)):
+        x = [None if g.random() < 0.05 else 5.0 if 30 < i < 70 else float(g.normal()) for i in range(size)]
+        y = [None if g.random() < 0.02 else float(g.integers(3)) for i in range(size)]
+        rows += [(key, i, x[i], y[i]) for i in range(size)]
+        for i in range(size):
+            frame, best = range(i, min(i + n, size)), []
+            for k in range(most + 1):
+                pairs = [(x[j], y[j + k]) for j in frame if j + k < size and x[j] is not None and y[j + k] is not None]
+                a, b = np.array(pairs).T if pairs else (np.zeros(1), np.zeros(1))
+                spread = a.std() * b.std()
+                best.append((np.mean((a - a.mean()) * (b - b.mean())) / spread if spread > 1e-9 else -1.0, -k))
+            full = sum(j + most < size and y[j + most] is not None for j in frame) == n
+            want[key, i] = max(best) if full else None
+    df = spark.createDataFrame(rows, "k string, ts long, x double, y double")
+    out = coupling.rolling_lag(df, "x", "y", most, n, "k", chunk=None)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.k, r.ts): r for r in out.collect()}
+    assert got.keys() == want.keys()
+    assert all((got[k].corr is None) if w is None else math.isclose(got[k].corr, w[0], abs_tol=1e-9) for k, w in want.items())
+    assert sum(w is not None for w in want.values()) > 500

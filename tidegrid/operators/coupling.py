@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import cols, following, prev, row_frames, scan
+from ..frames import carried, cols, following, is_plain, prev, row_frames, scan
 from ..functions.stats import corr
 from .stress import forward
 
@@ -40,8 +41,18 @@ def _pick_lag(df: DataFrame, max_lag: int, keep) -> DataFrame:
 
 
 def rolling_lag(df: DataFrame, lead: str, follow: str, max_lag: int, n: int, keys, order="ts", chunk="1 day") -> DataFrame:
-    """Best lag of ``follow`` behind ``lead`` in each forward window of ``n`` rows."""
+    """Best lag of ``follow`` behind ``lead`` in each forward window of ``n`` rows.
+
+    Where no series is split, each is read once against the order, and only the rows that the next windows need are handed on.
+    """
     lags = range(max_lag + 1)
+    if is_plain(chunk):
+        x, y = F.col(lead).cast("double"), F.col(follow).cast("double")
+        given = {"_x": x, "_y": y, "_hx": x.isNotNull(), "_hy": y.isNotNull()}
+        made = ", ".join(f"_r{k} double" for k in lags) + ", _c long"
+        out = carried(df.withColumns(given), keys, order, list(given), made, lambda: LagWindows(max_lag, n), back=True)
+        best = F.when(F.col("_c") == n, _best([F.col(f"_r{k}") for k in lags]))
+        return out.withColumn("_b", best).select(*df.columns, (-F.col("_b.neg")).alias("lag"), F.col("_b.corr").alias("corr"))
     d = row_frames(df, keys, order, 0, max_lag, lambda w: {f"_y{k}": F.lead(follow, k).over(w) for k in lags}, chunk=chunk)
 
     def build(w):
@@ -54,6 +65,39 @@ def rolling_lag(df: DataFrame, lead: str, follow: str, max_lag: int, n: int, key
     return out.withColumn("_b", best).select(*df.columns, (-F.col("_b.neg")).alias("lag"), F.col("_b.corr").alias("corr"))
 
 
+class LagWindows:
+    """Correlations of x with y some rows later in the window of ``n`` rows from each row on, of rows that come against the order.
+
+    -1 where either is constant or no pair is whole; last comes the number of rows of the window that have a y ``most`` rows later.
+    """
+
+    def __init__(self, most: int, n: int, flat: float = 1e-9):
+        self.most, self.n, self.flat = most, n, flat
+        none = np.zeros(n - 1 + most)
+        self.after = [none, none, none.astype(bool), none.astype(bool)]  # x, y and whether there is one, of the next rows
+
+    def __call__(self, *given):
+        m, n = len(given[0]), self.n
+        rows = [np.concatenate([np.asarray(now, after.dtype)[::-1], after]) for now, after in zip(given, self.after)]
+        self.after = [r[:n - 1 + self.most] for r in rows]
+        x, y, has_x, has_y = rows
+        wide = m + n - 1
+        out = [self.corr(x[:wide], y[k:k + wide], has_x[:wide] & has_y[k:k + wide])[::-1] for k in range(self.most + 1)]
+        later = has_y[self.most:self.most + wide]
+        return *out, np.lib.stride_tricks.sliding_window_view(later, n).sum(axis=1)[::-1]
+
+    def corr(self, x: np.ndarray, y: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        def windows(a):
+            return np.lib.stride_tricks.sliding_window_view(a, self.n)
+
+        use = windows(whole)
+        count = np.maximum(use.sum(axis=1), 1)
+        with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+            dx, dy = (np.where(use, w - (w.sum(axis=1) / count)[:, None], 0.0) for w in (windows(np.where(whole, x, 0.0)), windows(np.where(whole, y, 0.0))))
+            spread = np.sqrt((dx * dx).sum(axis=1) / count) * np.sqrt((dy * dy).sum(axis=1) / count)
+            return np.where(spread <= self.flat, -1.0, (dx * dy).sum(axis=1) / count / spread)
+
+
 def thermal_slope(df: DataFrame, inside: str, outside: str, power: str, n: int, keys, order="ts", min_diff: float = 0.5,
                   min_points: int = 10, chunk="1 day") -> DataFrame:
     """Heating power per degree of difference: regression over each forward window, 0 with too few points."""

@@ -302,7 +302,7 @@ def _(v):
        r AS (SELECT entity, ts, count(y3) OVER w AS n, {', '.join(f'corr(y{k}, out_temp) OVER w AS r{k}' for k in LAGS)} FROM l {fwd(20)})
        SELECT entity, ts, CASE WHEN n = 20 THEN greatest(r0, r1, r2, r3) END AS corr FROM r""")
 def _(v):
-    return oc.rolling_lag(v.climate, "out_temp", "temp", 3, 20, "entity", chunk=GRID).select("entity", "ts", "corr")
+    return oc.rolling_lag(v.climate.select("entity", "ts", "out_temp", "temp"), "out_temp", "temp", 3, 20, "entity", chunk=GRID).select("entity", "ts", "corr")
 
 
 @query("D-30", "coupling_slope", views="climate", r="slope", digits=3,
