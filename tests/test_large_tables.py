@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as contract
 from tidegrid.functions.moments import Moments
 from tidegrid.operators import pareto as op
-from tidegrid.operators import coupling, model, rolling, spectral
+from tidegrid.operators import changepoint, coupling, model, rolling, spectral
 from tidegrid.streaming import live
 
 
@@ -163,3 +163,15 @@ def test_rolling_lag_reads_each_series_once(spark, n, most):
     assert got.keys() == want.keys()
     assert all((got[k].corr is None) if w is None else math.isclose(got[k].corr, w[0], abs_tol=1e-9) for k, w in want.items())
     assert sum(w is not None for w in want.values()) > 500
+
+
+def test_pelt_looks_at_several_readings_together(monkeypatch):
+    """Costs are computed for as many readings at once as no segment may begin among, however the series is cut into batches."""
+    calls, real = [], changepoint.segment_cost
+    monkeypatch.setattr(changepoint, "segment_cost", lambda *a: calls.append(1) or real(*a))
+    x = np.random.default_rng(3).poisson(4, 700).astype(float)
+    whole = changepoint.Pelt("poisson", 5.0, 7)(x)
+    assert len(calls) <= 100
+    step = changepoint.Pelt("poisson", 5.0, 7)
+    parts = [step(p) for p in np.split(x, [1, 2, 300, 305])]
+    assert all(np.array_equal(np.concatenate(a), b) for a, b in zip(zip(*parts), whole))

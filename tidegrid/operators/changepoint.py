@@ -47,13 +47,13 @@ def waves() -> tuple[np.ndarray, np.ndarray]:
 
 
 def segment_cost(total: np.ndarray, n: np.ndarray, model: str) -> np.ndarray:
-    """Costs of segments of ``n`` readings with these sums."""
+    """Costs of segments of ``n`` readings with these sums (along the last axis)."""
     if model == "l2":
-        return total[:, 1] - total[:, 0] ** 2 / n
+        return total[..., 1] - total[..., 0] ** 2 / n
     if model == "poisson":
-        t = total[:, 0]
+        t = total[..., 0]
         return np.where(t > 0, t - t * np.log(np.maximum(t, 1e-300) / n), 0.0)
-    return n - (total ** 2).sum(axis=1) / n
+    return n - (total ** 2).sum(axis=-1) / n
 
 
 class Pelt:
@@ -63,42 +63,65 @@ class Pelt:
     there, and the running sums. A candidate that is beaten at t is out for every
     end at which a segment may begin at t, that is from t + ``min_size`` on; it goes only
     then, so the result is the optimum. Each reading gives the start of the best last segment, and its number.
-    Without changes few candidates are beaten, and their number grows with the series.
+    Without changes few candidates are beaten, and their number grows with the series. A start is a
+    candidate only ``min_size`` readings later, so as many readings are looked at together.
     """
 
+    NEVER = np.iinfo(np.int64).max
+    MOST = 1 << 18  # numbers of a table of readings by candidates
+
     def __init__(self, model: str, penalty: float, min_size: int):
         self.model, self.penalty, self.size = model, penalty, max(min_size, 1)
         self.t, self.run = 0, None
 
     def __call__(self, x: np.ndarray, scale: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        model, size = self.model, self.size
         if self.run is None:
-            self.first = float(x[0]) if model == "l2" else 0.0  # costs do not depend on it, rounding does
+            self.first = float(x[0]) if self.model == "l2" else 0.0  # costs do not depend on it, rounding does
             self.scale = 1.0 if scale is None else float(scale[0])
-            self.run = np.zeros(sums_of(np.zeros(1), model).shape[1])
+            self.run = np.zeros(sums_of(np.zeros(1), self.model).shape[1])
             self.at, self.best, self.sums = np.zeros(1, np.int64), np.array([-self.penalty]), self.run[None, :].copy()
-            self.beaten = np.full(1, np.iinfo(np.int64).max)
-            self.waiting: list = []  # of the last min_size readings
+            self.beaten = np.full(1, self.NEVER)
+            # the last min_size readings: number, best cost, sums
+            self.waiting = np.zeros(0, np.int64), np.zeros(0), np.zeros((0, len(self.run)))
         cuts = np.zeros(len(x), np.int64)
-        for k, row in enumerate(sums_of(x - self.first, model, self.scale)):
-            self.run = self.run + row
-            self.t += 1
-            t = self.t
-            if len(self.waiting) == size:
-                start, best, sums = self.waiting.pop(0)
-                if start >= size:
-                    out = self.beaten > start  # those beaten at or before this start are out now
-                    self.at, self.best, self.sums, self.beaten = (np.append(self.at[out], start), np.append(self.best[out], best),
-                                                                  np.vstack([self.sums[out], sums]), np.append(self.beaten[out], np.iinfo(np.int64).max))
-            best = math.inf
-            if t >= size:
-                reach = self.best + segment_cost(self.run - self.sums, t - self.at, model)
-                i = int(np.argmin(reach))
-                best, cuts[k] = reach[i] + self.penalty, self.at[i]
-                self.beaten[(reach > best) & (self.beaten > t)] = t
-            self.waiting.append((t, best, self.run))
+        runs = np.cumsum(np.vstack([self.run, sums_of(x - self.first, self.model, self.scale)]), axis=0)[1:]
+        k = 0
+        while k < len(x):
+            several = max(1, self.MOST // ((len(self.at) + self.size) * runs.shape[1]))
+            m = min(self.size, len(x) - k, several)
+            cuts[k:k + m] = self.block(runs[k:k + m])
+            k += m
+        self.run = runs[-1]
         return cuts, np.arange(self.t - len(x) + 1, self.t + 1)
 
+    def block(self, run: np.ndarray) -> np.ndarray:
+        """Starts of the best last segments of at most ``min_size`` readings with these running sums."""
+        m, size = len(run), self.size
+        t = np.arange(self.t + 1, self.t + m + 1)
+        newest = t - size  # the latest start of a segment that ends at t
+        number, cost, sums = self.waiting
+        stay = self.beaten > newest[0]  # those beaten at or before this start are out now
+        enter = (number >= max(size, newest[0])) & (number <= newest[-1])
+        if enter.any() or not stay.all():
+            self.at, self.best = np.concatenate([self.at[stay], number[enter]]), np.concatenate([self.best[stay], cost[enter]])
+            self.sums = np.concatenate([self.sums[stay], sums[enter]])
+            self.beaten = np.concatenate([self.beaten[stay], np.full(enter.sum(), self.NEVER)])
+        best, cut = np.full(m, math.inf), np.zeros(m, np.int64)
+        can = max(0, -int(newest[0]))  # readings before the first possible end
+        if can < m:
+            out = (self.at > newest[can:, None]) | (self.beaten <= newest[can:, None])
+            length = np.where(out, 1, t[can:, None] - self.at)
+            reach = self.best + segment_cost(run[can:, None] - self.sums, length, self.model)
+            reach[out] = math.inf
+            i = np.argmin(reach, axis=1)
+            best[can:], cut[can:] = reach[np.arange(len(i)), i] + self.penalty, self.at[i]
+            over = (reach > best[can:, None]) & ~out
+            first = np.where(over.any(axis=0), t[can:][np.argmax(over, axis=0)], self.NEVER)
+            self.beaten = np.minimum(self.beaten, first)
+        self.t += m
+        self.waiting = tuple(np.concatenate(z)[-size:] for z in zip(self.waiting, (t, best, run)))
+        return cut
+
 
 class Breaks:
     """Follows the starts of last segments from the end of a series back; gives whether a row opens a segment."""
