@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 import __spark_entry__ as contract
 from tidegrid.functions.moments import Moments
 from tidegrid.operators import pareto as op
-from tidegrid.operators import changepoint, coupling, model, rolling, spectral
+from tidegrid.operators import changepoint, coupling, grid, model, rolling, spectral
 from tidegrid.streaming import live
 
 
@@ -175,3 +175,19 @@ def test_pelt_looks_at_several_readings_together(monkeypatch):
     step = changepoint.Pelt("poisson", 5.0, 7)
     parts = [step(p) for p in np.split(x, [1, 2, 300, 305])]
     assert all(np.array_equal(np.concatenate(a), b) for a, b in zip(zip(*parts), whole))
+
+
+def test_grids_are_dealt_into_bounded_partitions(spark, monkeypatch):
+    """Whole keys, about as many grid rows in each partition however many keys there are; few rows stay as they are."""
+    rows = [(k, at, 1.0) for k in range(60) for at in (datetime(2024, 1, 1), datetime(2024, 1, 5, 3))]
+    df = spark.createDataFrame(rows, "entity long, ts timestamp_ntz, value double")
+    assert grid.dealt(df, "1h", "entity").rdd.getNumPartitions() == df.rdd.getNumPartitions()
+    parts = grid.dealt(df, "1h", "entity", most=500)
+    assert parts.rdd.getNumPartitions() == math.ceil(60 * 100 / 500)
+    full = grid.densify(parts, "1h", "entity").withColumn("_p", F.spark_partition_id())
+    sizes = full.groupBy("_p").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("k")).collect()
+    assert sum(r.n for r in sizes) == 6000 and sum(r.k for r in sizes) == 60 and max(r.n for r in sizes) < 2000
+    seen, real = [], grid.dealt
+    monkeypatch.setattr(grid, "dealt", lambda *a, **k: seen.append(1) or real(*a, **k))
+    contract.queries()["impute_linear"](spark, "/root/testdata/sf0.001")
+    assert seen

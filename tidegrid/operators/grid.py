@@ -6,6 +6,7 @@ number of rows per key is span / step, and ``chunk=None`` is the cheaper choice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -39,6 +40,20 @@ def densify(df: DataFrame, step: str, keys, ts: str = "ts", chunk=None) -> DataF
                         else (from_epoch(t + F.col("_o") * s).alias(c) if c == ts else F.col(c)) for c in df.columns])
 
 
+GRID_ROWS = 500_000  # grid rows of a partition
+
+
+def dealt(df: DataFrame, step: str, keys, ts: str = "ts", most: int = GRID_ROWS) -> DataFrame:
+    """Deal whole keys into so many partitions that one holds about ``most`` rows of their complete grid.
+
+    What windows over the keys sort in a task then stays the same however many keys there are. Costs one count of the grid.
+    """
+    k = cols(keys)
+    ends = df.groupBy(*k).agg((F.max(bucket_no(ts, step)) - F.min(bucket_no(ts, step)) + 1).alias("_n"))
+    parts = math.ceil((ends.agg(F.sum("_n").alias("n")).first().n or 0) / most)
+    return df.repartition(parts, *k) if parts > 1 else df
+
+
 def asfreq(df: DataFrame, step: str, keys, ts: str = "ts") -> DataFrame:
     """Only readings exactly on the grid survive; no aggregation."""
     on_grid = df.where(F.pmod(epoch(ts), F.lit(micros(step))) == 0)
