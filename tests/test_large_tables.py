@@ -133,9 +133,20 @@ def test_ordered_streams_serve_many_keys_in_one_call(spark):
     got = {r.no: (r.ewma, r.edges, r.since) for r in step.advance(rows, kept).itertuples()}
     assert got == {3: (44.0, 0, 0), 1: (33.8, 1, 1), 4: (10.0, 0, 1), 2: (16.0, 1, 0), 5: (7.0, 0, 1)}
     assert kept[3] == ([7.0, 0.0, 0.0, 1.0], 5) and kept[1][1] == 2 * day and kept.keys() == {1, 2, 3}
-    alone = pd.DataFrame({"k": [None, None], "us__": [2, 1], "no": [1, 2], "x": [1.0, 2.0]})
-    kept = {}
-    assert step.advance(alone, kept).no.tolist() == [2, 1] and list(kept) == [None]
+
+
+def test_ordered_streams_keep_keys_beside_null_ones(spark, tmp_path):
+    """A large number as key stays what it is where other rows of a batch have none."""
+    rows = [(None if i % 3 == 0 else (1 << 60) + i % 3, datetime(2024, 1, 1) + timedelta(hours=i), i, float(i)) for i in range(60)]
+    spark.createDataFrame(rows, "k long, ts timestamp, no long, x double").write.parquet(str(tmp_path / "in"))
+    stream = live.timed(live.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), "ts", "1 hour")
+    with live.state_store(spark):
+        got = {r.no: (r.k, r.ewma) for r in live.run_available(live.smoothed_in_order(stream, "x", "k", ["ts", "no"]), str(tmp_path)).collect()}
+    want, now = {}, {}
+    for k, _, no, x in rows[:59]:
+        now[k] = 0.7 * now[k] + 0.3 * x if k in now else x
+        want[no] = (k, now[k])
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1]) for i in want)
 
 
 @pytest.mark.parametrize("n, most", [(4, 2), (20, 3)])

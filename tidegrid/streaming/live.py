@@ -161,16 +161,13 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         new = pd.concat([pdf[self.schema.names] for pdf in rows])
-        self.waiting.appendList(pack(self.columns(new, key)))
+        self.waiting.appendList(pack(self.columns(new)))
         self.wake(new["us__"].min())
         return iter(())
 
-    def columns(self, rows: pd.DataFrame, part) -> list[list]:
-        """Rows as they are kept; the readings without a key are a part of their own."""
-        columns = [rows[c].astype(object).tolist() for c in self.schema.names]
-        if part[0] < 0:
-            columns[0] = [None] * len(rows)
-        return columns
+    def columns(self, rows: pd.DataFrame) -> list[list]:
+        """Rows as they are kept."""
+        return [rows[c].astype(object).tolist() for c in self.schema.names]
 
     def wake(self, us) -> None:
         self.handle.registerTimer(int(-(-int(us) // 1000)))
@@ -185,7 +182,7 @@ class InOrder(StatefulProcessor):
         kept = {k: (numbers, last) for k, numbers, last in zip(*unpack(self.kept, len(self.keeps)))}
         if due.any():
             if len(rest):
-                self.waiting.put(pack(self.columns(rest, key)))
+                self.waiting.put(pack(self.columns(rest)))
                 self.wake(rest["us__"].min())
             else:
                 self.waiting.clear()
@@ -207,14 +204,13 @@ class InOrder(StatefulProcessor):
 
     def advance(self, rows: pd.DataFrame, kept: dict) -> pd.DataFrame:
         """Results of the rows, key by key; ``kept`` is brought up to date."""
-        code, keys = pd.factorize(rows[self.key], use_na_sentinel=False)
+        code, _ = pd.factorize(rows[self.key])
         rows = rows.assign(_code=code).sort_values(["_code", "us__", *self.ids], kind="stable")
         code, all_us, all_x = rows.pop("_code").to_numpy(), rows["us__"].to_numpy(dtype="int64"), rows.pop(self.value).to_numpy(dtype=float)
         ends = [*(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
         names, parts = rows[self.key].tolist(), []
         for begin, end in zip([0, *ends], ends):
-            name = None if pd.isna(names[begin]) else names[begin]
-            us, x = all_us[begin:end], all_x[begin:end]
+            name, us, x = names[begin], all_us[begin:end], all_x[begin:end]
             numbers, last = kept.get(name, (None, None))
             gap = np.diff(us, prepend=us[0] if last is None else last)
             anew = set(np.flatnonzero(gap > self.idle * 1000).tolist()) if self.idle is not None else set()
@@ -275,16 +271,18 @@ def in_order(df: DataFrame, value: str, key: str, order: Sequence[str], start, m
     without a value take no part; a reading more than ``idle`` after the last one starts anew. Needs the RocksDB state store, as ``state_store`` sets it.
     """
     ts, ids, number = order[0], order[1:], T.StructField("us__", T.LongType())
-    waiting = T.StructType([df.schema[key], number, *(df.schema[c] for c in ids), T.StructField(value, T.DoubleType())])
-    kept = T.StructType([df.schema[key], T.StructField("numbers", T.ArrayType(T.DoubleType())), T.StructField("last", T.LongType())])
+    name = T.StructField("key__", T.StringType())  # the key as text that is never NULL: a number beside a NULL would reach Python as a float
+    waiting = T.StructType([name, number, *(df.schema[c] for c in ids), T.StructField(value, T.DoubleType())])
+    kept = T.StructType([name, T.StructField("numbers", T.ArrayType(T.DoubleType())), T.StructField("last", T.LongType())])
     added = T.StructType.fromDDL(made)
-    out = T.StructType([df.schema[key], number, *(df.schema[c] for c in ids), *added])
-    processor = InOrder(start, key, value, waiting, kept, added.names, None if idle is None else micros(idle) // 1000)
-    part = F.when(F.col(key).isNull(), F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS)))
+    out = T.StructType([name, number, *(df.schema[c] for c in ids), *added])
+    processor = InOrder(start, name.name, value, waiting, kept, added.names, None if idle is None else micros(idle) // 1000)
+    text, part = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), F.pmod(F.xxhash64(key), F.lit(GROUPS))
     # the time itself stays among the rows, as the watermark is on it
-    rows = df.where(F.col(value).isNotNull()).select(key, *order, F.col(value).cast("double").alias(value), F.unix_micros(ts).alias("us__"), part.alias("part__"))
+    rows = df.where(F.col(value).isNotNull()).select(text.alias("key__"), *order, F.col(value).cast("double").alias(value), F.unix_micros(ts).alias("us__"), part.alias("part__"))
     found = rows.groupBy("part__").transformWithStateInPandas(processor, out, "Append", "EventTime")
-    return found.select(key, F.timestamp_micros("us__").alias(ts), *ids, *added.names)
+    back = F.when(F.col("key__") != "", F.expr("substr(key__, 2)").cast(df.schema[key].dataType)).alias(key)
+    return found.select(back, F.timestamp_micros("us__").alias(ts), *ids, *added.names)
 
 
 def smoothed_in_order(df: DataFrame, value: str, key: str, order: Sequence[str], alpha: float = 0.3, threshold: float = 20.0, idle: str | None = None) -> DataFrame:
