@@ -150,3 +150,33 @@ def test_queries_never_lose_a_match():
                 assert scanner.candidates(query, postings, 1).tolist() == [0], rule.kind
     assert secrets.trigram_query(secrets.BASE[2]) is True
     assert secrets.trigram_query(secrets.BASE[1]) == ("and", ("aki", "kia"))
+
+
+def test_stale_entries_cost_no_lookup():
+    """Only new neighbours are looked up: the first pairs once, and two at most for each merge."""
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            self.asked += 1
+            return super().get(key)
+
+    letters = bpe.byte_letters()
+    vocab = {c: i for i, c in enumerate(letters)}
+    pairs = [("a", "a"), ("aa", "aa"), ("aaaa", "a"), ("b", "a"), ("a", "b"), ("aa", "b")]
+    for a, b in pairs:
+        vocab[a + b] = len(vocab)
+    merges = bpe.Merges(vocab, pairs)
+    merges.rank = Counted(merges.rank)
+    for word in (b"a" * 40, b"ab" * 20, b"aab" * 13 + b"c", b"c"):
+        merges.rank.asked = 0
+        ids = merges.encode(word)
+        assert merges.rank.asked <= len(word) - 1 + 2 * (len(word) - len(ids))
+        text = list(word.decode())
+        for a, b in pairs:  # the pair of the lowest rank first, from the left
+            i = 0
+            while i < len(text) - 1:
+                if (text[i], text[i + 1]) == (a, b):
+                    text[i:i + 2] = [a + b]
+                i += 1
+        assert ids == [vocab[x] for x in text]
