@@ -8,13 +8,14 @@ sort-merge join, whose skewed partitions adaptive execution splits.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import attach_row, bucket_no, cols, epoch, floor_div, last_valid, match, micros, next_valid, row_frames, running_sum, scan, value_scan
+from ..frames import attach_row, bucket_no, cols, epoch, last_valid, match, micros, next_valid, row_frames, scan
 from ..functions.stats import corr
 from ..sources.tables import stage
 
@@ -197,78 +198,156 @@ def lagged(df: DataFrame, col: str, lags: Sequence[int], keys, order="ts", chunk
                       lambda w: {f"{col}_lag_{n}": F.lag(col, n).over(w) for n in lags}, chunk=chunk)
 
 
-LEAF = 64  # donors in a cell
+CELL = 1024  # donors in a cell, about
+MOST_CELLS = 1 << 16  # the driver holds their bounds; beyond it cells grow
+SEEN = 8  # donors a cell's bounds are drawn from, about
+ANCHORS = 256  # donors that every row may be compared with
+ROWS = 4096  # rows that one group compares with the donors of a cell
+PAIRS = 1 << 20  # distances in memory at a time
+
+
+class Cells:
+    """A k-d tree over a few donors: it cuts all of space into ``2 ** depth`` numbered cells.
+
+    A node sends values below its cut to the left and the others to the right. Equal donors cannot be cut apart, so some cells may stay empty.
+    """
+
+    def __init__(self, points: np.ndarray, depth: int, anchors: int):
+        self.depth, self.anchors = depth, points[:anchors]
+        self.axis, self.cut = np.zeros(2 ** depth - 1, np.int64), np.full(2 ** depth - 1, np.inf)
+        held = [points]
+        for node in range(len(self.cut)):
+            at, held[node] = held[node], None
+            axis, cut = self._halved(at)
+            self.axis[node], self.cut[node] = axis, cut
+            below = at[:, axis] < cut
+            held += [at[below], at[~below]]
+
+    @staticmethod
+    def _halved(at: np.ndarray) -> tuple[int, float]:
+        """The widest feature and its median, or the next value above the least."""
+        if len(at) < 2:
+            return 0, np.inf
+        low, high = at.min(0), at.max(0)
+        wide = np.zeros(at.shape[1])
+        np.subtract(high, low, out=wide, where=high > low)
+        axis = int(wide.argmax())
+        if not wide[axis]:
+            return axis, np.inf
+        x = at[:, axis]
+        middle = np.partition(x, len(x) // 2)[len(x) // 2]
+        return axis, middle if middle > low[axis] else x[x > low[axis]].min()
+
+    def within(self, x: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of every cell that may hold a point not farther than ``bound`` in any feature; a NaN bound is none."""
+        row, node = np.arange(len(x)), np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            v, b, cut = x[row, self.axis[node]], bound[row], self.cut[node]
+            left, right = ~(v - b >= cut), ~(v + b < cut)
+            row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left] + 1, 2 * node[right] + 2))
+        return row, node - len(self.cut)
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        row, cell = self.within(x, np.zeros(len(x)))
+        return cell[np.argsort(row)]
+
+
+def _points(table, names: Sequence[str]) -> np.ndarray:
+    """Feature columns of an Arrow table or batch, a row per point."""
+    return np.column_stack([table.column(n).to_numpy() if isinstance(table, pa.Table) else table.column(n).to_numpy(zero_copy_only=False) for n in names])
+
+
+def _distances(x: np.ndarray, donors: np.ndarray):
+    """Blocks (first row, distances to all donors) of bounded size."""
+    step = max(1, PAIRS // max(1, len(donors)))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for a in range(0, len(x), step):
+            block = x[a:a + step]
+            yield a, np.sqrt(sum((np.square(block[:, i, None] - donors[None, :, i]) for i in range(x.shape[1])), 0.0))
+
+
+def _kth(distances: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k-th distance, NaN if it has fewer."""
+    return np.partition(distances, k - 1, axis=1)[:, k - 1] if distances.shape[1] >= k else np.full(len(distances), np.nan)
 
 
 def knn_join(left: DataFrame, donors: DataFrame, features: Mapping[str, str], k: int, *, row_id: str,
              donor_id: str, target: str, chunk="spread") -> DataFrame:
     """Mean target of the ``k`` nearest donors (Euclidean, ties by donor id) for every left row.
 
-    Exact without pairing every row with every donor. Donors are packed into cells of about ``LEAF``:
-    sliced by rank along the first feature, every slice by rank along the second, and so on for
-    up to three, so cells are small where donors are dense. A row's own cell bounds its k-th distance; what
-    may be nearer lies within the bound in every feature, which is a range of slices, and in each of them a
-    range of cells. The donors of a cell travel as one row of arrays, so a row meets a cell in a plain equi-join and
-    distances stay inside expressions. Rows with equal features are one place. Rows and donors with a NULL among id, target or features take no part.
+    Exact without pairing every row with every donor. A k-d tree over a bounded sample of the donors cuts space into cells of about ``CELL``
+    donors; the sample only places the cuts, every donor takes part. A row's own cell bounds its k-th distance; then the row visits
+    every cell the bound reaches into. Rows and donors of a cell meet in one group, which holds at most about ``ROWS`` rows, so the donors of a cell with
+    more rows are repeated. Donors travel twice and in no order, so shuffles grow with the rows. Of equal donors in a crowded cell the first ``k`` by id are kept.
+    Rows with equal features are one place. Rows and donors with a NULL among id, target or features take no part. No group grows with the
+    tables, so ``chunk`` has nothing to split.
     """
-    names, size = list(features), max(LEAF, 4 * k)
-    levels = names[:3]
+    names, size = list(features), max(CELL, 4 * k)
     d = donors.select(F.col(donor_id).alias("_id"), F.col(target).alias("_y"),
                       *[F.col(features[f]).cast("double").alias(f"_d_{f}") for f in features]).dropna()
-    rows = left.select(row_id, *[F.col(f).cast("double").alias(f) for f in features]).dropna()
+    theirs = [f"_d_{f}" for f in names]
+    rows = stage(left.select(row_id, *[F.col(f).cast("double").alias(f) for f in features]).dropna(), "rows")
     places, n = rows.select(*names).distinct(), d.count()
-    parts = max(1, math.ceil((n / size) ** (1 / len(levels))))
-
-    def counted(found: DataFrame, places: DataFrame | None, keys: Sequence[str], feature: str) -> DataFrame:
-        """Stack donors and places (struct _q, value _x, side -1 before and 1 after equal donors); ``_no`` counts the donors met so far."""
-        both = found.select(*keys, F.col(f"_d_{feature}").alias("_x"), F.lit(0).alias("_side"), F.struct(*found.columns).alias("_d"))
-        if places is not None:
-            both = both.unionByName(places, allowMissingColumns=True)
-        one = F.when(F.col("_d").isNotNull(), 1).otherwise(0).cast("long")
-        return value_scan(both, keys, "_x", {"_no": running_sum(one)}, chunk=chunk, tie=["_side", "_d", "_q"] if places is not None else ["_d"])
-
-    # ranks along the features, slice by slice
-    cells, tables = [], []
-    for i, f in enumerate(levels):
-        width = max(1, math.ceil(n / parts ** (i + 1)))  # donors of a slice at this level
-        no = counted(d, None, cells, f).select("_d.*", "_no")
-        d = no.withColumn(f"_c{i}", floor_div(F.col("_no") - 1, width)).drop("_no")
-        tables.append((f, list(cells), width))
-        cells.append(f"_c{i}")
-    d = stage(d, "cells")
-    full = {c: d.groupBy(*cells[:i]).agg(F.max(c).alias("_last")) for i, c in enumerate(cells)}
-
-    def placed(of: DataFrame, keys: Sequence[str], feature: str, at: Mapping[int, Column]) -> DataFrame:
-        """``_q`` and the number of donors of its slice at or before each given value."""
-        here = F.struct(*of.columns)
-        q = reduce(DataFrame.unionByName, [of.select(*keys, x.alias("_x"), F.lit(side).alias("_side"), here.alias("_q")) for side, x in at.items()])
-        found = counted(d, q, keys, feature).where(F.col("_q").isNotNull())
-        return found.select("_q", "_side", F.coalesce("_no", F.lit(0).cast("long")).alias("_no"))
-
-    home = places
-    for c, (f, keys, width) in zip(cells, tables):
-        at = placed(home, keys, f, {1: F.col(f)}).select("_q.*", floor_div(F.greatest(F.col("_no") - 1, F.lit(0).cast("long")), width).alias(c))
-        last = full[c]
-        at = match(at, last, keys) if keys else attach_row(at, last)
-        home = at.withColumn(c, F.least(c, "_last")).drop("_last")
-    packed = d.groupBy(*cells).agg(F.collect_list(F.struct("_id", "_y", *[f"_d_{f}" for f in names])).alias("_donors"))
-
-    def distance(x: Column) -> Column:
-        return F.sqrt(sum((F.pow(F.col(f) - x[f"_d_{f}"], 2) for f in names), F.lit(0.0)))
-
-    near = match(home, packed, cells)
-    kth = F.try_element_at(F.array_sort(F.transform("_donors", distance)), F.lit(k))
-    reach = stage(near.select(*names, (F.coalesce(kth, F.lit(float("inf"))) * (1 + 1e-12)).alias("_bound")), "reach")
-
-    visits = reach
-    for c, (f, keys, width) in zip(cells, tables):
-        ends = placed(visits, keys, f, {-1: F.col(f) - F.col("_bound"), 1: F.col(f) + F.col("_bound")})
-        ends = ends.groupBy("_q").agg(F.min("_no").alias("_from"), F.max("_no").alias("_to")).where("_from < _to")
-        visits = ends.select("_q.*", F.explode(F.sequence(floor_div(F.col("_from"), width), floor_div(F.col("_to") - 1, width))).alias(c))
-    inside = F.filter(F.transform("_donors", lambda x: F.struct(distance(x).alias("_dist"), x["_id"].alias("_id"), x["_y"].alias("_y"))), lambda x: x["_dist"] <= F.col("_bound"))
-    pairs = match(visits, packed, cells).select(*names, F.inline(F.slice(F.array_sort(inside), 1, k)))
-    nearest = Window.partitionBy(*names).orderBy("_dist", "_id")
-    found = pairs.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k).groupBy(*names).agg(F.avg("_y").alias("_mean"))
+    depth = math.ceil(math.log2(min(MOST_CELLS, max(1.0, n / size))))
+    wanted = max(SEEN << depth, 16 * size)
+    some = d.select(*theirs)
+    seen = (some if n <= wanted else some.sample(wanted / n, 1)).toArrow()
+    cells = Cells(_points(seen, theirs), depth, max(ANCHORS, 4 * k))
+
+    def celled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Append the number of the cell a row lies in."""
+        def numbers(batches):
+            for batch in batches:
+                yield batch.append_column("_cell", pa.array(cells.home(_points(batch, columns)), pa.int32()))
+
+        return df.mapInArrow(numbers, df.withColumn("_cell", F.lit(0)).schema)
+
+    d = celled(d, theirs)
+    crowded = [r["_cell"] for r in d.groupBy("_cell").count().where(F.col("count") > 8 * size).collect()]  # of at most MOST_CELLS
+    if crowded:
+        first = Window.partitionBy(*theirs).orderBy("_id", "_y")
+        kept = d.where(F.col("_cell").isin(crowded)).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k).drop("_r")
+        d = d.where(~F.col("_cell").isin(crowded)).unionByName(kept)
+
+    def meeting(visits: DataFrame, donors: DataFrame, work: Callable, schema: str) -> DataFrame:
+        """What ``work`` returns for the rows that visit a cell and the donors of the cell."""
+        load = F.broadcast(visits.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("_parts")))  # at most MOST_CELLS rows
+        there = match(donors, load, ["_cell"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        here = match(visits, load, ["_cell"]).withColumn("_part", F.pmod(F.xxhash64(*names), F.col("_parts")).cast("int")).drop("_parts")
+        return here.groupBy("_cell", "_part").cogroup(there.groupBy("_cell", "_part")).applyInArrow(work, schema)
+
+    def bounds(here: pa.Table, there: pa.Table) -> pa.Table:
+        x = _points(here, names)
+        bound = np.full(len(x), np.nan)
+        for near in (_points(there, theirs), cells.anchors):
+            short = np.flatnonzero(np.isnan(bound))
+            for a, distances in _distances(x[short], near):
+                bound[short[a:a + len(distances)]] = _kth(distances, k)
+        bound *= 1 + 1e-12
+        row, cell = cells.within(x, bound)
+        return pa.table([*x[row].T, bound[row], pa.array(cell, pa.int32())], [*names, "_bound", "_cell"])
+
+    def nearest(here: pa.Table, there: pa.Table) -> pa.Table:
+        there = there.sort_by([("_id", "ascending"), ("_y", "ascending")])
+        x, bound, near = _points(here, names), here["_bound"].to_numpy(), _points(there, theirs)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for a, distances in _distances(x, near):
+            limit = np.fmin(bound[a:a + len(distances)], _kth(distances, k))[:, None]
+            row, donor = np.nonzero((distances <= limit) | np.isnan(limit))
+            dist = distances[row, donor]
+            order = np.lexsort((donor, dist, row))
+            row, donor, dist = row[order], donor[order], dist[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            found.append((row[first] + a, donor[first], dist[first]))
+        row, donor, dist = map(np.concatenate, zip(*found))
+        return pa.table([*x[row].T, dist, there["_id"].take(donor), there["_y"].take(donor)], [*names, "_dist", "_id", "_y"])
+
+    place = ", ".join(f"`{f}` double" for f in names)
+    reach = stage(meeting(celled(places, names), d.select("_cell", *theirs), bounds, f"{place}, _bound double, _cell int"), "reach")
+    types = {f.name: f.dataType.simpleString() for f in d.schema}
+    pairs = meeting(reach, d, nearest, f"{place}, _dist double, _id {types['_id']}, _y {types['_y']}")
+    ranked = Window.partitionBy(*names).orderBy("_dist", "_id", "_y")
+    found = pairs.withColumn("_r", F.row_number().over(ranked)).where(F.col("_r") <= k).groupBy(*names).agg(F.avg("_y").alias("_mean"))
     return rows.join(found, names).select(row_id, F.col("_mean").alias(target))
 
 
@@ -289,6 +368,7 @@ def knn_lookup(df: DataFrame, literature: DataFrame, features: Mapping[str, str]
 
 def knn_impute(df: DataFrame, col: str, features: Sequence[str], k: int, row_id: str, chunk="spread") -> DataFrame:
     """Fill NULLs of ``col`` by the mean of the ``k`` rows nearest on the other columns."""
+    df = stage(df, "knn")  # it is read several times
     found = knn_join(df.where(F.col(col).isNull()), df.where(F.col(col).isNotNull()), {f: f for f in features}, k,
                      row_id=row_id, donor_id=row_id, target=col, chunk=chunk).withColumnRenamed(col, "_fill")
     return df.join(found, row_id, "left").withColumn(col, F.coalesce(col, "_fill")).drop("_fill")
