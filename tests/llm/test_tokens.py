@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from tidegrid.llm import bpe, secrets, token_counts
@@ -57,6 +58,20 @@ def test_decode_any_ids():
     assert c.decode([-1, 10**6]) == ""
 
 
+def test_pieces_of_ascii_and_other_texts():
+    """ASCII texts take a plain pattern of their own; both patterns split as the library's does, at every control character and contraction."""
+    t, c, r = Tokenizer.from_file(BYTE), bpe.Codec(open(BYTE).read()), random.Random(4)
+    theirs = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    plain = [*map(chr, range(128)), *("''' \n\tsstremvlld" * 3)]
+    for letters in (plain, [*plain, *"éßÉ中٣½\xa0 \x85　😀"]):
+        for _ in range(3000):
+            text = "".join(r.choices(letters, k=r.randrange(1, 24)))
+            assert c.pieces(text) == theirs.findall(text)
+            if text.isascii():
+                assert c.ascii_words.findall(text) == c.words.findall(text)
+            assert c.encode(text) == t.encode(text, add_special_tokens=False).ids
+
+
 def test_merge_queue_equals_repeated_best_pair():
     c = bpe.Codec(open(BYTE).read()).merges
     for word in (b"aaaaaaaaaaab", b"mississippi", b"  the", bytes(range(256)), b"abababababa" * 30):
