@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,6 +14,8 @@ import __spark_entry__ as contract
 from tidegrid.functions.moments import Moments
 from tidegrid.operators import pareto as op
 from tidegrid.operators import changepoint, coupling, grid, model, rolling, spectral
+from tidegrid.plans import registry
+from tidegrid.plans.views import Views
 from tidegrid.streaming import live
 
 
@@ -120,6 +123,37 @@ def test_partitions_of_training_rows_are_bounded(spark, monkeypatch, kind):
     assert model.score(made, d).where(F.col("prediction").isNull()).isEmpty()
 
 
+def test_boosting_computes_its_rows_once(spark, tmp_path, monkeypatch):
+    """On a large table rows are grouped once and dealt once, whatever is trained and scored; the model is that of a small one."""
+    from pyspark.ml import Pipeline
+
+    day = lambda i: None if i % 41 == 0 else datetime(2024, 1, 1) + timedelta(days=i // 12)
+    rows = [(i, None if i % 37 == 0 else i % 7, day(i), i % 4, None if i < 600 and i % 29 == 0 else float(1 + i * i % 50), (i % 11) / 100, float(100 + i * 31 % 997), (i % 9) / 100, "O") for i in range(1200)]
+    spark.createDataFrame(rows + rows[::10], "l_orderkey long, l_suppkey long, l_shipdate timestamp_ntz, l_linenumber int, l_quantity double, l_discount double, "
+                          "l_extendedprice double, l_tax double, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(model, "ROWS", 100)
+    build, seen, read, fit, complete = registry.load()["model_boosted"].build, [], [], Pipeline.fit, model.complete_rows
+    monkeypatch.setattr(Pipeline, "fit", lambda self, df: seen.append((df, df.storageLevel, df.rdd.getNumPartitions(), df.count())) or fit(self, df))
+    monkeypatch.setattr(model, "complete_rows", lambda df, *rest: read.append(df.inputFiles()) or complete(df, *rest))
+    one, many = build(Views(spark, str(tmp_path))), build(Views(spark, str(tmp_path), limit=100))
+    a, b = one.collect()[0].asDict(), many.collect()[0].asDict()
+    assert a["n"] > 50 and a["rmse"] > 0 and a.keys() == b.keys() and all(math.isclose(a[k], b[k], rel_tol=1e-6, abs_tol=1e-9) for k in a)
+    (small, _, _, n), (large, level, parts, m) = seen
+    assert n == m > 500 and parts == math.ceil(m / 100)
+    assert level == StorageLevel.DISK_ONLY and not (large.storageLevel.useDisk or small.storageLevel.useDisk)
+    assert len(read) == 2 and all(read) and not any("lineitem" in f for f in [*read[1], *many.inputFiles()])
+
+
+def test_shares_of_times_written_first(spark):
+    """The same shares; rows without a time stay out. What is written is small, so rows are not shuffled to meet it."""
+    d = spark.createDataFrame([(i, None if i % 13 == 0 else datetime(2024, 1, 1) + timedelta(days=i // 5)) for i in range(300)], "id int, ts timestamp_ntz")
+    for chunk in (None, "spread"):
+        first = model.time_split(d, chunk=chunk, write=True)
+        plan = first._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and first.inputFiles()
+        assert sorted(map(tuple, first.collect()), key=str) == sorted(map(tuple, model.time_split(d, chunk=chunk).collect()), key=str)
+
+
 def test_ordered_streams_serve_many_keys_in_one_call(spark):
     """Keys are dealt into a bounded number of parts; each key of a part goes on from what it has kept, in order of time."""
     df = spark.createDataFrame([(i, datetime(2024, 1, 1), i, 1.0) for i in range(5000)], "k long, ts timestamp, no long, x double").withWatermark("ts", "1 day")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frames import HOUR, attach_row, cols, epoch, floor_div, is_plain, match, row_frames, value_ranks
 from ..functions.stats import corr
 from ..functions.tails import t_two_sided
+from ..sources.tables import stage
 
 EPS = 1e-8
 
@@ -48,20 +51,23 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
-def time_rank(df: DataFrame, ts: str = "ts", name: str = "time_rank", chunk="spread") -> DataFrame:
-    """Share of rows before each row's time, from merged timestamps: no global sort in one task."""
+def time_rank(df: DataFrame, ts: str = "ts", name: str = "time_rank", chunk="spread", write: bool = False) -> DataFrame:
+    """Share of rows before each row's time, from merged timestamps: no global sort in one task.
+
+    With ``write`` the shares of the times are written first. Spark then knows before it joins whether they are few, and need not shuffle the rows.
+    """
     t = df.withColumn("_t", epoch(ts))
     total = df.agg(F.count(F.lit(1)).alias("_total"))
     # instants are close together in relative size: bucket them by the hour
     part = chunk if is_plain(chunk) else floor_div(F.col("_t"), HOUR)
     ranks = attach_row(value_ranks(t, (), "_t", part), total).select("_t", (F.col("below") / F.col("_total")).alias(name))
-    return t.transform(match, ranks, "_t").drop("_t")
+    return t.transform(match, stage(ranks, "ranks") if write else ranks, "_t").drop("_t")
 
 
-def time_split(df: DataFrame, ts: str = "ts", train: float = 0.7, valid: float = 0.15, chunk="spread") -> DataFrame:
+def time_split(df: DataFrame, ts: str = "ts", train: float = 0.7, valid: float = 0.15, chunk="spread", write: bool = False) -> DataFrame:
     """Column ``part``: the earliest rows train, the next validate, the last test."""
     r = F.col("time_rank")
-    return time_rank(df, ts, chunk=chunk).withColumn("part", F.when(r < train, "train").when(r < train + valid, "valid").otherwise("test")).drop("time_rank")
+    return time_rank(df, ts, chunk=chunk, write=write).withColumn("part", F.when(r < train, "train").when(r < train + valid, "valid").otherwise("test")).drop("time_rank")
 
 
 def expanding_folds(df: DataFrame, folds: int, ts: str = "ts", chunk="spread") -> DataFrame:
@@ -87,10 +93,21 @@ def scaled(df: DataFrame, features: Sequence[str], kind: str = "standard"):
 ROWS = 500_000  # training rows of a partition, which every pass of the training reads whole
 
 
-def dealt(df: DataFrame) -> DataFrame:
-    """Rows dealt into partitions of about ``ROWS``, so that they grow in number and not in size; up to ``ROWS`` rows stay as they are."""
+@contextmanager
+def dealt(df: DataFrame) -> Iterator[DataFrame]:
+    """Rows dealt into partitions of about ``ROWS``, so that they grow in number and not in size; up to ``ROWS`` rows stay as they are.
+
+    What is dealt is kept on disk until the end, as each pass of a training would compute and shuffle all of it again.
+    """
     n = df.count()
-    return df.repartition(-(-n // ROWS)) if n > ROWS else df
+    if n <= ROWS:
+        yield df
+        return
+    kept = df.repartition(-(-n // ROWS)).persist(StorageLevel.DISK_ONLY)
+    try:
+        yield kept
+    finally:
+        kept.unpersist()
 
 
 def train_regressor(df: DataFrame, features: Sequence[str], target: str, *, kind: str = "boosted", part: str | None = None,
@@ -111,7 +128,8 @@ def train_regressor(df: DataFrame, features: Sequence[str], target: str, *, kind
         tree = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=rounds, maxDepth=depth, seed=seed)
     scaler = (RobustScaler(inputCol="raw", outputCol="features") if scale == "robust"
               else StandardScaler(inputCol="raw", outputCol="features", withMean=True))
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), scaler, tree]).fit(dealt(data))
+    with dealt(data) as rows:
+        return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="raw"), scaler, tree]).fit(rows)
 
 
 def importances(model, features: Sequence[str], top: int | None = None) -> list[tuple[str, float]]:

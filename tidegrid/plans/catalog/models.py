@@ -97,8 +97,10 @@ def _(v):
 
 @query("M-10,M-11,M-15", "model_boosted", views="climate")
 def _(v):
-    d = om.time_split(v.climate, "ts", chunk=v.split(of="climate"))
-    m = om.train_regressor(d, ["temp", "rh", "light", "n"], "power", part="part", rounds=5, depth=3)
+    features, large = ["temp", "rh", "light", "n"], v.split(of="lines").found
+    climate = v.written("climate", "ts", *features, "power") if large else v.climate
+    d = om.time_split(climate, "ts", chunk=v.split(of="climate"), write=large)
+    m = om.train_regressor(d, features, "power", part="part", rounds=5, depth=3)
     return om.metrics(om.score(m, d.where("part = 'test'")), "power", "prediction")
 
 

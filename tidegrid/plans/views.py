@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import Split, bucket, cols, split_hot
+from ..sources.tables import stage
 
 SIGNALS = ("click", "error", "purchase", "signup", "view")
 
@@ -32,6 +33,11 @@ class Views:
             made[of, keys] = split_hot(getattr(self, of), cols(keys), self.limit)
         return made[of, keys]
 
+    def written(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a view that a query reads many times: computed once, then read from a table, by ``split`` too."""
+        self.__dict__[name] = stage(getattr(self, name).select(*columns), name)
+        return self.__dict__[name]
+
     def spread(self, of: str):
         """For quantiles over a whole view: spread them unless it is small."""
         return None if not self.split(of=of).found else "spread"
